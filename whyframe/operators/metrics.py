@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import mix
+from whyframe.functions.text import let
 from whyframe.operators.models import LogisticScore
 
 
@@ -29,8 +31,6 @@ def diversity(df: DataFrame, keys: list[str], id_col: str, vector: Column, block
     packed = cells.groupBy(*keys, "lo", "hi").agg(
         F.collect_list(F.when(~F.col("right"), F.col("v"))).alias("left"), F.collect_list(F.when(F.col("right"), F.col("v"))).alias("right"))
 
-    import pandas as pd
-
     @F.pandas_udf("double")
     def distances(same: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         import numpy as np
@@ -76,7 +76,6 @@ def fitted_non_representativeness(picks: DataFrame, keys: list[str], id_col: str
     """The same metric with a logistic fit per fold, for selected subsets (at most ``k`` cases each)."""
     def loss(pdf):
         import numpy as np
-        import pandas as pd
 
         pdf = pdf.sort_values([y, id_col])
         t = pdf[y].to_numpy(dtype=float)
@@ -128,8 +127,6 @@ def faithfulness(score: LogisticScore, coefs: dict[str, Column], base: float = 0
         vc, vp = mean([(a - mc) * (a - mc) for a in c]), mean([(b - mp) * (b - mp) for b in p])
         return F.when((vc > 1e-18) & (vp > 1e-18), -cov / F.sqrt(vc * vp))
 
-    from whyframe.functions.text import let
-
     packed = F.struct(F.array(*cs).alias("c"), F.array(*probs).alias("p"))
     k = len(feats)
     return let(packed, lambda s: corr([s["c"][i] for i in range(k)], [s["p"][i] for i in range(k)]))
@@ -144,8 +141,6 @@ def monotonicity(score: LogisticScore, coefs: dict[str, Column], base: float = 0
             ((coefs[g] < coefs[f]) | ((coefs[g] == coefs[f]) & F.lit(j < i))).cast("int") for j, g in enumerate(feats) if g != f
         ]) for i, f in enumerate(feats)
     }
-    from whyframe.functions.text import let
-
     steps = F.transform(F.sequence(F.lit(0), F.lit(len(feats) - 1)), lambda s: _predicted(
         score, {f: F.when(place[f] <= s, F.col(f)).otherwise(F.lit(base)) for f in feats}, positive))
     return let(steps, lambda p: F.forall(F.sequence(F.lit(1), F.lit(len(feats) - 1)), lambda i: F.get(p, i) >= F.get(p, i - 1)))

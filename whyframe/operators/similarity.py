@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +87,6 @@ def _jaro_winkler(s: str, t: str) -> float:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro-Winkler similarity (no Spark built-in): Arrow batches, one short text pair per row."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def jw(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([
@@ -123,7 +122,6 @@ def rank_similar(
 
     def score(left, right):
         import numpy as np
-        import pandas as pd
 
         if left.empty or right.empty:
             return pd.DataFrame({"qid": [], "pid": [], "cosine": []})
