@@ -17,6 +17,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spread(df: DataFrame, keep: list, array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, with its position as a long when asked.
+
+    A plain ``explode`` makes the optimizer add a filter on the array's size,
+    which evaluates a costly array a second time; the outer form does not.
+    """
+    out = df.select(*keep, F.posexplode_outer(array).alias("_pos", name)).filter(F.col("_pos").isNotNull())
+    return out.withColumn("_pos", F.col("_pos").cast("long")).withColumnRenamed("_pos", pos) if pos else out.drop("_pos")
+
+
 def sentence_case(c: Column) -> Column:
     """First character upper, the rest lower."""
     return F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.lower(F.substr(c, F.lit(2))))

@@ -2,8 +2,8 @@
 
 Two exact layouts, neither of which pairs instances with background rows in a join:
 
-* few explained instances, any background: the instances are plan constants and
-  all coalition values are averages in one pass over the background;
+* few explained instances, any background: the instances travel with the tasks and
+  all coalition values are averages from one pass over the background;
 * any number of explained rows, few background rows: the background is the
   constant and the attribution is a projection without shuffle.
 
@@ -44,28 +44,55 @@ def small_rows(df: DataFrame, what: str) -> list:
     return rows
 
 
-def shapley(background: DataFrame, instances: DataFrame, id_col: str, score: LogisticScore, per_pass: int = 256) -> DataFrame:
-    """``(id, feature, phi)`` for a few instances against the whole background table."""
+def shapley(background: DataFrame, instances: DataFrame, id_col: str, score: LogisticScore) -> DataFrame:
+    """``(id, feature, phi)`` for a few instances against the whole background table.
+
+    Workers turn each Arrow batch of the background into sums per (instance,
+    coalition) with numpy; only those ``instances x 2^d`` sums per partition
+    are shuffled.
+    """
+    import numpy as np
+
     feats = score.features
     d = len(feats)
     rows = small_rows(instances.select(id_col, *feats), "explained instances")
-    step = max(1, per_pass >> d)
-    out = []
-    for start in range(0, len(rows), step):
-        part = rows[start:start + step]
-        aggs = []
-        for r, row in enumerate(part):
-            for s in range(1 << d):
-                vals = {f: F.lit(float(row[f])) if s >> i & 1 else F.col(f) for i, f in enumerate(feats)}
-                aggs.append(F.avg(score.column(vals)).alias(f"v{r}_{s}"))
-        one = background.agg(*aggs)
-        cells = [
-            F.struct(F.lit(row[id_col]).alias(id_col), F.lit(f).alias("feature"),
-                     _phi([F.col(f"v{r}_{s}") for s in range(1 << d)], i, d).alias("phi"))
-            for r, row in enumerate(part) for i, f in enumerate(feats)
-        ]
-        out.append(one.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, out)
+    if not rows:
+        return instances.sparkSession.createDataFrame([], f"{id_col} {instances.schema[id_col].dataType.simpleString()}, feature string, phi double")
+    x = np.array([[float(r[f]) for f in feats] for r in rows])
+    n, size = len(rows), 1 << d
+    on = np.array([[bool(s >> i & 1) for i in range(d)] for s in range(size)])
+
+    def partial(batches):
+        import pandas as pd
+
+        acc, cnt = np.zeros((n, size)), 0
+        for pdf in batches:
+            b = pdf[feats].to_numpy(dtype=float)
+            cnt += len(b)
+            for s in range(size):
+                for r in range(n):
+                    acc[r, s] += score.numpy(np.where(on[s], x[r], b)).sum()
+        if cnt:
+            yield pd.DataFrame({"row": np.repeat(np.arange(n), size), "mask": np.tile(np.arange(size), n), "s": acc.ravel(), "c": cnt})
+
+    sums = (
+        background.select(*feats).mapInPandas(partial, "row int, mask int, s double, c long")
+        .groupBy("row", "mask").agg((F.sum("s") / F.sum("c")).alias("v"))
+    )
+    # each coalition value adds to or subtracts from every feature with its weight
+    def share(s: int, i: int) -> float:
+        without = s & ~(1 << i)
+        w = coalition_weight(without.bit_count(), d)
+        return w if s >> i & 1 else -w
+
+    table = F.array(*[F.array(*[F.lit(share(s, i)) for i in range(d)]) for s in range(size)])
+    ids = F.array(*[F.lit(r[id_col]) for r in rows])
+    shares = F.get(table, F.col("mask"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), (shares[i] * F.col("v")).alias("part")) for i, f in enumerate(feats)])
+    return (
+        sums.select(F.get(ids, F.col("row")).alias(id_col), F.inline(cells))
+        .groupBy(id_col, "feature").agg(F.sum("part").alias("phi"))
+    )
 
 
 def shapley_rows(cases: DataFrame, background: list[dict], score: LogisticScore) -> dict[str, Column]:

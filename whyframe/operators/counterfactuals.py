@@ -7,9 +7,7 @@ over the queries: no join, no shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import is_categorical
@@ -24,38 +22,53 @@ def grid_candidates(d: int, levels: int) -> list[tuple[int, int, int, int, int]]
 
 
 def counterfactuals(queries: DataFrame, cases: DataFrame, id_col: str, score: LogisticScore, levels: int = 9) -> DataFrame:
-    """Best flip per query: ``(id, n_changed, distance, candidate, cf_<feature>...)``; queries without one are left out."""
+    """Best flip per query: ``(id, n_changed, distance, candidate, cf_<feature>...)``; queries without one are left out.
+
+    Fewest changed features win, then the smallest range-scaled distance, then
+    the candidate's number. Arrow batches of queries are scored against the
+    fixed candidate list with numpy.
+    """
     feats = score.features
     d = len(feats)
     spans = cases.agg(F.struct(*[a for f in feats for a in (
         F.min(f).cast("double").alias(f"lo_{f}"), F.max(f).cast("double").alias(f"hi_{f}"))]).alias("r")).scalar()
     base = queries.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]).withColumn("_r", spans)
-    cands = F.array(*[
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "i", "a", "j", "b"), c)]) for c in grid_candidates(d, levels)
-    ])
-    was = score.column({f: F.col(f) for f in feats}) >= 0.5
-
-    def span(f: str) -> Column:
-        return F.col(f"_r.hi_{f}") - F.col(f"_r.lo_{f}")
-
-    def moved(c: Column, f: str, i: int) -> Column:
-        def at(level: Column) -> Column:
-            return F.col(f"_r.lo_{f}") + level * span(f) / (levels - 1)
-
-        return F.when(c["i"] == i, at(c["a"])).when(c["j"] == i, at(c["b"])).otherwise(F.col(f))
-
-    def placed(c: Column) -> Column:
-        vals = [moved(c, f, i) for i, f in enumerate(feats)]
-        dist = reduce(lambda a, b: a + b, [
-            F.coalesce(F.try_divide(F.abs(v - F.col(f)), span(f)), F.lit(0.0)) for v, f in zip(vals, feats)])
-        return F.struct(
-            (F.lit(1) + (c["j"] >= 0).cast("int")).cast("long").alias("n_changed"),
-            F.round(dist, 9).alias("distance"), c["id"].cast("long").alias("candidate"),
-            *[v.alias(f"cf_{f}") for v, f in zip(vals, feats)],
-        )
-
-    flips = F.filter(F.transform(cands, placed), lambda p: (score.column({f: p[f"cf_{f}"] for f in feats}) >= 0.5) != F.col("_was"))
-    return base.withColumn("_was", was).withColumn("_best", F.array_min(flips)).filter("_best is not null").select(id_col, "_best.*")
+    base = base.select(id_col, *feats, "_r.*")
+    grid = grid_candidates(d, levels)
+
+    def search(batches):
+        import numpy as np
+        import pandas as pd
+
+        no, i, a, j, b = (np.array(c) for c in zip(*grid))
+        level = np.full((len(no), d), -1)
+        level[np.arange(len(no)), i] = a
+        two = j >= 0
+        level[np.flatnonzero(two), j[two]] = b[two]
+        n_changed = 1 + two.astype(int)
+        for pdf in batches:
+            for start in range(0, len(pdf), 512):
+                part = pdf.iloc[start:start + 512]
+                x = part[feats].to_numpy()
+                lo = part[[f"lo_{f}" for f in feats]].to_numpy()
+                span = part[[f"hi_{f}" for f in feats]].to_numpy() - lo
+                moved = lo[:, None, :] + level[None] * span[:, None, :] / (levels - 1)
+                cf = np.where(level[None] >= 0, moved, x[:, None, :])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = np.abs(cf - x[:, None, :]) / span[:, None, :]
+                dist = np.round(np.where(span[:, None, :] > 0, dist, 0.0).sum(axis=2), 9)
+                flip = (score.numpy(cf) >= 0.5) != (score.numpy(x) >= 0.5)[:, None]
+                key = np.where(flip, n_changed[None] * 1e6 + dist, np.inf)
+                best = key.argmin(axis=1)
+                rows = np.flatnonzero(np.isfinite(key[np.arange(len(x)), best]))
+                best = best[rows]
+                yield pd.DataFrame({
+                    id_col: part[id_col].to_numpy()[rows], "n_changed": n_changed[best], "distance": dist[rows, best], "candidate": no[best],
+                    **{f"cf_{f}": cf[rows, best, k] for k, f in enumerate(feats)}})
+
+    schema = (f"{id_col} {queries.schema[id_col].dataType.simpleString()}, n_changed long, distance double, candidate long, "
+              + ", ".join(f"cf_{f} double" for f in feats))
+    return base.mapInPandas(search, schema)
 
 
 def changes(queries: DataFrame, cfs: DataFrame, id_col: str, outcome: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whyframe.functions.text import WORD, is_number, let
+from whyframe.functions.text import WORD, is_number, let, spread
 from whyframe.operators.schema_match import AliasTable
 
 PAIRS = "array<struct<k:string,v:string>>"
@@ -163,11 +163,8 @@ def parse_interpretations(
 
 def long_groups(df: DataFrame, keys: list[str], groups: str = "groups") -> DataFrame:
     """``(keys, group_idx, pos, feature, value)``, one row per pair."""
-    return (
-        df.select(*keys, F.posexplode(groups).alias("group_idx", "_g"))
-        .select(*keys, F.col("group_idx").cast("long").alias("group_idx"), F.posexplode("_g").alias("pos", "_p"))
-        .select(*keys, "group_idx", F.col("pos").cast("long").alias("pos"), F.col("_p.k").alias("feature"), F.col("_p.v").alias("value"))
-    )
+    each = spread(spread(df, keys, F.col(groups), "_g", "group_idx"), [*keys, "group_idx"], F.col("_g"), "_p", "pos")
+    return each.select(*keys, "group_idx", "pos", F.col("_p.k").alias("feature"), F.col("_p.v").alias("value"))
 
 
 def usable(df: DataFrame, types: list[str], kind: str = "explanation_type", require_groups: bool = False) -> tuple[DataFrame, DataFrame]:

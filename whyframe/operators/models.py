@@ -32,7 +32,9 @@ class LogisticScore:
     def numpy(self, x):
         import numpy as np
 
-        z = self.bias + x @ np.array(list(self.weights.values()))
+        z = np.full(x.shape[:-1], self.bias)
+        for i, w in enumerate(self.weights.values()):  # same order of sums as the Column and SQL forms
+            z = z + x[..., i] * w
         return 1.0 / (1.0 + np.exp(-z))
 
     def sql(self, values: dict[str, str] | None = None) -> str:
@@ -116,30 +118,34 @@ def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = Non
 
 
 def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int] | None = None, trees: int = 20,
-                seed: int = 7) -> DataFrame:
+                seed: int = 7, parallelism: int = 4) -> DataFrame:
     """Stratified k-fold accuracy: ``(model_no, mean_score, std_score)``.
 
     Features are prepared once per fold on its training part; all folds of a
     model are scored as one union, so accuracy is a single aggregate.
     """
     from functools import reduce
+    from multiprocessing.pool import ThreadPool
 
     from pyspark.ml import Pipeline
 
     folds = stratified_folds(df, id_col, y, k, seed).persist()
-    scored = []
-    for f in range(k):
+
+    def run(f: int) -> list[DataFrame]:
         train = folds.filter(F.col("fold") != f)
         prep = Pipeline(stages=feature_stages(df, y, [id_col])).fit(train)
         train_x = prep.transform(train).select("features", y).persist()
         test_x = prep.transform(folds.filter(F.col("fold") == f)).select("features", y)
-        for no, (_, est) in candidates(y, trees).items():
-            if which and no not in which:
-                continue
-            scored.append(est.fit(train_x).transform(test_x).select(
-                F.lit(no).cast("long").alias("model_no"), F.lit(f).alias("fold"),
-                (F.col("prediction") == F.col(y)).cast("double").alias("hit")))
+        out = [
+            est.fit(train_x).transform(test_x).select(
+                F.lit(no).cast("long").alias("model_no"), F.lit(f).alias("fold"), (F.col("prediction") == F.col(y)).cast("double").alias("hit"))
+            for no, (_, est) in candidates(y, trees).items() if not which or no in which
+        ]
         train_x.unpersist()
+        return out
+
+    with ThreadPool(parallelism) as pool:  # folds are independent Spark jobs
+        scored = [s for part in pool.map(run, range(k)) for s in part]
     per_fold = reduce(DataFrame.unionByName, scored).groupBy("model_no", "fold").agg(F.avg("hit").alias("accuracy"))
     return cv_summary(per_fold, "model_no", "accuracy")
 

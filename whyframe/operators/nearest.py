@@ -16,10 +16,10 @@ neighbours are fetched by equality on rank. Work grows with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from whyframe.core import numeric_columns, shuffle_width, unpivot_numeric
+from whyframe.core import ensure_checkpoint_dir, numeric_columns, shuffle_width, unpivot_numeric
 from whyframe.functions.text import is_number
 from whyframe.operators.ranking import bucket_of, quantile_bounds
 from whyframe.operators.schema_match import AliasTable
@@ -32,6 +32,7 @@ def nearest_by_value(targets: DataFrame, values: DataFrame, k: int = 10) -> Data
     ``(diff, case_id)`` in order. Missing values count as infinitely far.
     """
     spark = values.sparkSession
+    ensure_checkpoint_dir(spark)
     inf = F.lit(float("inf"))
     vals = values.select("part", "case_id", F.nanvl(F.coalesce("value", inf), inf).alias("value"))
 
@@ -43,23 +44,22 @@ def nearest_by_value(targets: DataFrame, values: DataFrame, k: int = 10) -> Data
         .groupBy("part", "value").agg(F.sort_array(F.collect_list("case_id")).alias("ids"))
     )
     wanted = targets.select("part", F.col("target").cast("double").alias("value")).distinct()
+    both = thin.unionByName(wanted.withColumn("ids", F.lit(None).cast(thin.schema["ids"].dataType)))
 
     n = max(8, min(4096, shuffle_width(spark) * 4))
     stride = max(2, int(n ** 0.5))
     # targets take part in the cut points, so far-off targets spread over buckets too
-    bounds = quantile_bounds(
-        values.select("part", "value").unionByName(wanted), ["part"], "value", n
-    )
-    both = thin.select("part", "value", "ids").unionByName(
-        wanted.select("part", "value", F.lit(None).cast(thin.schema["ids"].dataType).alias("ids"))
-    )
+    bounds = quantile_bounds(values.select("part", "value").unionByName(wanted), ["part"], "value", n)
     # one row per part: at most as many as the table has numeric columns
     placed = both.join(F.broadcast(bounds), "part", "left").withColumn(
         "bucket", F.coalesce(bucket_of(F.col("value"), F.col("bounds"), stride), F.lit(0))
     ).drop("bounds")
     is_val = F.col("ids").isNotNull().cast("long")
     order = Window.partitionBy("part", "bucket").orderBy("value", is_val)
-    counted = placed.withColumn("upto", F.sum(is_val).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the ordered buckets are read three times below, so they are written once
+    counted = placed.withColumn(
+        "upto", F.sum(is_val).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ).checkpoint()
     sizes = counted.groupBy("part", "bucket").agg(F.sum(is_val).alias("n"))
     before = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
@@ -99,13 +99,14 @@ def nearest_cases(cases: DataFrame, groups: DataFrame, k: int = 10, id_col: str
     usable = usable_features(groups, cases, id_col)
     at = F.struct("column", "target")
     ends = usable.groupBy(*keys).agg(
-        F.min_by(at, "pos").alias("head"), F.max_by(at, "pos").alias("tail"),
-        F.count(F.lit(1)).alias("n"),
+        F.min_by(at, "pos").alias("head"), F.max_by(at, "pos").alias("tail")
     )
+    # one narrow row per group, written once so that the parse behind it runs once
+    ensure_checkpoint_dir(cases.sparkSession)
     ends = ends.select(
-        *keys, "n", F.col("head.column").alias("part"), F.col("head.target").alias("target"),
+        *keys, F.col("head.column").alias("part"), F.col("head.target").alias("target"),
         F.col("tail.column").alias("last_col"), F.col("tail.target").alias("last_target"),
-    )
+    ).checkpoint()
     numeric = [c for c in numeric_columns(cases) if c != id_col]
     used = ends.select("part").distinct()
     values = (
@@ -114,22 +115,20 @@ def nearest_cases(cases: DataFrame, groups: DataFrame, k: int = 10, id_col: str
         .join(F.broadcast(used), "part", "left_semi")  # at most one row per column
     )
     picks = nearest_by_value(ends.select("part", "target"), values, k)
-    chosen = ends.join(picks, ["part", "target"])
-    single = chosen.filter("n = 1 or last_col = part and last_target = target").select(
-        *keys, F.posexplode("picks").alias("p", "pick")
-    ).select(*keys, F.col("pick.case_id").alias(id_col), (F.col("p") + 1).cast("long").alias("rank"))
-
-    multi = chosen.filter("not (n = 1 or last_col = part and last_target = target)").select(
-        *keys, "last_col", "last_target", F.explode("picks").alias("pick")
-    ).select(*keys, "last_col", "last_target", F.col("pick.case_id").alias(id_col))
-    row_value = F.coalesce(*[F.when(F.col("last_col") == c, F.col(c).cast("double")) for c in numeric])
+    chosen = ends.join(picks, ["part", "target"]).select(
+        *keys, "last_col", "last_target", ((F.col("last_col") != F.col("part")) | (F.col("last_target") != F.col("target"))).alias("reorder"), F.posexplode("picks").alias("p", "pick")
+    ).select(*keys, "last_col", "last_target", "reorder", (F.col("p") + 1).cast("long").alias("rank"), F.col("pick.case_id").alias(id_col))
+
+    # a later feature re-orders: only those rows need the case itself
     inf = F.lit(float("inf"))
-    far = F.abs(F.nanvl(F.coalesce(row_value, inf), inf) - F.col("last_target"))
+    row_value = F.coalesce(*[F.when(F.col("last_col") == c, F.col(c).cast("double")) for c in numeric])
+    far = F.when(F.col("reorder"), F.abs(F.nanvl(F.coalesce(row_value, inf), inf) - F.col("last_target"))).otherwise(F.col("rank"))
+    # rows that look nothing up get a spread key instead of piling up on null
+    keyed = chosen.withColumn("_key", F.when(F.col("reorder"), F.col(id_col))).withColumn(
+        "_salt", F.when(F.col("reorder"), F.lit(0)).otherwise(F.hash(*keys)))
     order = Window.partitionBy(*keys).orderBy(far, id_col)  # at most k rows each
-    reranked = multi.join(cases.select(id_col, *numeric), id_col).select(
-        *keys, id_col, F.row_number().over(order).cast("long").alias("rank")
-    )
-    return single.unionByName(reranked)
+    values_of = cases.select(F.col(id_col).alias("_key"), F.lit(0).alias("_salt"), *numeric)
+    return keyed.join(values_of, ["_key", "_salt"], "left").select(*keys, id_col, F.row_number().over(order).cast("long").alias("rank"))
 
 
 def whole_table_groups(cases: DataFrame, groups: DataFrame, id_col: str = "case_id") -> DataFrame:

@@ -13,21 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nonneg_weights(gram, mu, rounds: int = 20000):
-    """Maximise ``w.mu - w.K.w/2`` over ``w >= 0`` for a few rows, by coordinate ascent."""
+def nonneg_weights(gram, mu):
+    """Maximise ``w.mu - w.K.w/2`` over ``w >= 0`` for a few rows, growing and shrinking the set of positive weights."""
     import numpy as np
 
-    w = np.zeros(len(mu))
-    for _ in range(rounds):
-        moved = 0.0
-        for i in range(len(mu)):
-            if gram[i, i] <= 0:
-                continue
-            new = max(0.0, w[i] + (mu[i] - gram[i] @ w) / gram[i, i])
-            moved = max(moved, abs(new - w[i]))
-            w[i] = new
-        if moved < 1e-12:
+    n = len(mu)
+    w, active = np.zeros(n), np.zeros(n, dtype=bool)
+    tol = 1e-10 * max(1.0, float(np.abs(mu).max(initial=0.0)))
+    for _ in range(5 * n):
+        grad = np.where(active, -np.inf, mu - gram @ w)
+        if grad.max(initial=-np.inf) <= tol:
             break
+        active[int(grad.argmax())] = True
+        while active.any():
+            idx = np.flatnonzero(active)
+            z = np.linalg.lstsq(gram[np.ix_(idx, idx)], mu[idx], rcond=None)[0]
+            if (z > 0).all():
+                w[:] = 0
+                w[idx] = z
+                break
+            low = z <= 0
+            step = np.min(w[idx][low] / np.maximum(w[idx][low] - z[low], 1e-300))
+            w[idx] += step * (z - w[idx])
+            active[idx[low & (w[idx] <= tol)]] = False
+            w[~active] = 0
     return w
 
 
@@ -42,7 +51,7 @@ def _greedy(x, m: int):
         gain = mu - (x @ x[chosen].T) @ w if chosen else mu.copy()
         gain[chosen] = -np.inf
         pick = int(np.argmax(gain))
-        if gain[pick] <= 0:
+        if gain[pick] <= 1e-10 * float(np.abs(mu).max()):
             break
         chosen.append(pick)
         xs = x[chosen]

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from whyframe.functions.text import WORD, let
 
 
+# separators of the constant alias texts; no column name holds them
+_ROW, _CELL = "\x01", "\x02"
+
+
 def _acronym(name: str) -> str:
     if " " in name:
         return "".join(w[:1].upper() for w in name.split(" "))
@@ -34,31 +38,44 @@ class AliasTable:
         self.acronym = {_acronym(c): c for c in columns}
 
     @staticmethod
-    def _pick(names: dict[str, str], key: Column) -> Column:
-        out = None
-        for alias, column in names.items():
-            out = F.when(key == alias, F.lit(column)) if out is None else out.when(key == alias, F.lit(column))
-        return F.lit(None).cast("string") if out is None else out
+    def _table(names: dict[str, str]) -> Column:
+        """A constant map; spelled as one text so that the plan stays small."""
+        text = _ROW.join(f"{alias}{_CELL}{column}" for alias, column in names.items())
+        return F.str_to_map(F.lit(text), F.lit(_ROW), F.lit(_CELL))
+
+    @staticmethod
+    def _list(names: dict[str, str]) -> Column:
+        return F.split(F.lit(_ROW.join(names)), _ROW)
 
     def exact(self, key: Column) -> Column:
         """Column whose alias equals the key (spaces, underscores and case ignored); null without one."""
         squeezed = F.lower(F.regexp_replace(key, "[ _]", ""))
         return let(squeezed, lambda k: F.coalesce(
-            self._pick(self.edited, k), self._pick(self.expanded, k), self._pick(self.acronym, F.upper(k))
+            F.try_element_at(self._table(self.edited), k),
+            F.try_element_at(self._table(self.expanded), k),
+            F.try_element_at(self._table(self.acronym), F.upper(k)),
         ))
 
     def substring(self, text: Column) -> Column:
         """First column (in schema order) whose name occurs in the text, else whose initials contain it; '' without one."""
-        def found(t: Column) -> Column:
-            out = None
-            tests = [(F.contains(t, F.lit(a.lower())), c) for a, c in self.edited.items()]
-            tests += [(F.contains(t, F.lit(a.lower())), c) for a, c in self.expanded.items()]
-            tests += [(F.contains(F.lit(a.lower()), t), c) for a, c in self.acronym.items()]
-            for cond, column in tests:
-                out = F.when(cond, F.lit(column)) if out is None else out.when(cond, F.lit(column))
-            return out.otherwise(F.lit(""))
-
-        return let(F.lower(text), found)
+        def lowered(names: dict[str, str]) -> dict[str, str]:
+            out: dict[str, str] = {}
+            for alias, column in names.items():
+                out.setdefault(alias.lower(), column)
+            return out
+
+        edited, expanded, acronym = lowered(self.edited), lowered(self.expanded), lowered(self.acronym)
+
+        def first(names: dict[str, str], test) -> Column:
+            hit = F.try_element_at(F.filter(self._list(names), test), F.lit(1))
+            return F.try_element_at(self._table(names), hit)
+
+        return let(F.lower(text), lambda t: F.coalesce(
+            first(edited, lambda a: F.contains(t, a)),
+            first(expanded, lambda a: F.contains(t, a)),
+            first(acronym, lambda a: F.contains(a, t)),
+            F.lit(""),
+        ))
 
     def in_text(self, text: Column) -> Column:
         """Distinct columns named by the words of a sentence, in order of first mention."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import numeric_columns
+from whyframe.functions.text import spread
 from whyframe.operators.similarity import levenshtein_similarity
 
 
@@ -133,7 +134,8 @@ def token_f1(df: DataFrame, ref: str, res: str, by: list[str] | None = None, sep
     toks = df.select(*by, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.split(F.col(ref), sep).alias("toks")),
         F.struct(F.lit(1).alias("side"), F.split(F.col(res), sep).alias("toks")),
-    )).alias("s")).select(*by, "s.side", F.explode("s.toks").alias("tok"))
+    )).alias("s"))
+    toks = spread(toks, [*by, "s.side"], F.col("s.toks"), "tok")
     per = toks.groupBy(*by, "tok").agg(F.count_if(F.col("side") == 0).alias("g"), F.count_if(F.col("side") == 1).alias("p"))
     sums = per.groupBy(*by).agg(
         F.coalesce(F.sum(F.least("g", "p")), F.lit(0)).alias("same"),

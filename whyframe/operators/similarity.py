@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whyframe.functions.text import tokens
+from whyframe.functions.text import spread, tokens
 
 # Smooth idf over two texts: 1 for a shared token, this for a token of one text only.
 LONE_IDF = math.log(1.5) + 1
@@ -24,7 +24,7 @@ def tfidf_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
         F.struct(F.lit(1).alias("side"), F.col(a).alias("text")),
         F.struct(F.lit(2).alias("side"), F.col(b).alias("text")),
     )).alias("s"))
-    toks = sides.select(key, "s.side", F.explode(tokens(F.col("s.text"))).alias("tok"))
+    toks = spread(sides, [key, "s.side"], tokens(F.col("s.text")), "tok")
     tf = toks.groupBy(key, "tok").agg(
         F.count_if(F.col("side") == 1).alias("ta"), F.count_if(F.col("side") == 2).alias("tb")
     )

@@ -131,7 +131,7 @@ def reference_fields(t):
 @query("quoted_strings", """
     SELECT page_id, q AS quoted, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '["“]([^"]+)"', 1)) AS q FROM pages) GROUP BY ALL""")
 def quoted_strings(t):
-    df = t.pages.select("page_id", F.explode(tx.quoted(F.col("html"))).alias("quoted"))
+    df = tx.spread(t.pages, ["page_id"], tx.quoted(F.col("html")), "quoted")
     return df.groupBy("page_id", "quoted").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -168,8 +168,8 @@ def render_block(t):
 def chunk_fixed(t):
     """Fixed-width pieces of whole documents."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(200))
-    return t.documents.filter("length(text) > 0").select("doc_id", F.posexplode(F.transform(starts, lambda s: F.substr(F.col("text"), s, F.lit(200)))).alias("pos", "piece")).select(
-        "doc_id", F.col("pos").cast("long").alias("pos"), "piece")
+    pieces = F.transform(starts, lambda s: F.substr(F.col("text"), s, F.lit(200)))
+    return tx.spread(t.documents.filter("length(text) > 0"), ["doc_id"], pieces, "piece", "pos")
 
 
 def _kept(col, sep):
@@ -202,8 +202,7 @@ CHUNK_SQL = f"""
 @query("chunk_recursive", CHUNK_SQL + "SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS pos, unnest(c) AS piece FROM chunks")
 def chunk_recursive(t):
     """Pieces of at most 200 characters cut at paragraphs, lines, spaces; whole documents."""
-    return t.documents.select("doc_id", F.posexplode(tx.chunk(F.col("text"))).alias("pos", "piece")).select(
-        "doc_id", F.col("pos").cast("long").alias("pos"), "piece")
+    return tx.spread(t.documents, ["doc_id"], tx.chunk(F.col("text")), "piece", "pos")
 
 
 @query("column_aliases", """

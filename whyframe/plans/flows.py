@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whyframe.core import ensure_checkpoint_dir
 from whyframe.functions import text as tx
 from whyframe.operators import frames as fr
 from whyframe.operators import interpretations as ip
@@ -106,14 +107,16 @@ def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[st
     explainer is one plan over all records routed to it.
     """
     keys = ["record_id", "group_idx"]
+    ensure_checkpoint_dir(cases.sparkSession)
     parsed, _ = ip.usable(ip.parse_interpretations(records, columns), types)
     routes = routing.route_explainer(parsed.select("record_id", "explanation_type"), methods, implemented).select("record_id", "explainer")
     picks = nearest_cases(cases, ip.long_groups(parsed, ["record_id"]), k, id_col)
-    rows = picks.join(cases, id_col).join(routes, "record_id")
+    # every explainer reads the routed cases, so they are written once
+    rows = picks.join(cases, id_col).join(routes, "record_id").checkpoint()
     of = {name: rows.filter(F.col("explainer") == name) for name in implemented}
     feats = score.features
 
-    protos = group_prototypes(of["run_protodash"], keys, id_col, feats)
+    protos = group_prototypes(of["run_protodash"], keys, id_col, feats).checkpoint()
     proto_rows = protos.join(cases, id_col)
     vec = F.array(*[F.col(f).cast("double") for f in [*feats, "weight"]])
     proto_div = diversity(proto_rows, keys, id_col, vec)
