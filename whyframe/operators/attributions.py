@@ -13,7 +13,7 @@ Wide models use sampled coalitions and a weighted least-squares fit.
 from __future__ import annotations
 
 from functools import reduce
-from math import factorial
+from math import comb, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,16 +130,21 @@ def kernel_shap(background: DataFrame, vector: str, instances: DataFrame, id_col
     x = np.array([r[vector] for r in rows], dtype=float)
     n, d = x.shape
     w = np.asarray(weights, dtype=float)
-    rng = np.random.default_rng(seed)
     sizes = np.arange(1, d)
     odds = (d - 1) / (sizes * (d - sizes))
-    masks = np.zeros((coalitions + 2, d), dtype=bool)
-    masks[1] = True
-    for c in range(0, coalitions, 2):
-        pick = rng.choice(d, size=rng.choice(sizes, p=odds / odds.sum()), replace=False)
-        masks[2 + c, pick] = True
-        if c + 1 < coalitions:
-            masks[3 + c] = ~masks[2 + c]
+    if d <= 16 and (1 << d) - 2 <= coalitions:  # few enough to take them all, with their kernel weights
+        inner = np.array([[bool(s >> i & 1) for i in range(d)] for s in range(1, (1 << d) - 1)])
+        size = inner.sum(axis=1)
+        weight = odds[size - 1] / np.array([comb(d, int(z)) for z in size])
+    else:
+        rng = np.random.default_rng(seed)
+        inner = np.zeros((coalitions, d), dtype=bool)
+        for c in range(0, coalitions, 2):  # a coalition and its complement
+            inner[c, rng.choice(d, size=rng.choice(sizes, p=odds / odds.sum()), replace=False)] = True
+            if c + 1 < coalitions:
+                inner[c + 1] = ~inner[c]
+        weight = np.ones(coalitions)
+    masks = np.vstack([np.zeros((1, d), dtype=bool), np.ones((1, d), dtype=bool), inner])
     fixed = (x * w) @ masks.T  # instance part of the logit per coalition
 
     def partial(batches):
@@ -169,7 +174,8 @@ def kernel_shap(background: DataFrame, vector: str, instances: DataFrame, id_col
         v = pdf.sort_values("mask")["v"].to_numpy()
         z = masks[2:].astype(float)
         y = v[2:] - v[0] - z[:, -1] * (v[1] - v[0])
-        phi, *_ = np.linalg.lstsq(z[:, :-1] - z[:, -1:], y, rcond=None)
+        root = np.sqrt(weight)
+        phi, *_ = np.linalg.lstsq((z[:, :-1] - z[:, -1:]) * root[:, None], y * root, rcond=None)
         phi = np.append(phi, v[1] - v[0] - phi.sum())
         return pd.DataFrame({id_col: ids[int(pdf["row"].iloc[0])], "feature_idx": np.arange(d), "phi": phi})
 
