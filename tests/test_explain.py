@@ -147,7 +147,7 @@ def test_diversity(spark):
 def test_faithfulness_and_monotonicity(spark, cases):
     rows, df = cases
     coefs = {f: F.col(f) * w for f, w in SCORE.weights.items()}
-    out = {r.case_id: (r.f, r.m) for r in df.select("case_id", mt.faithfulness(SCORE, coefs).alias("f"), mt.monotonicity(SCORE, coefs).alias("m")).collect()}
+    out = {r.case_id: (r.f, r.m) for r in mt.monotonicity(mt.faithfulness(df, SCORE, coefs, "f"), SCORE, coefs, "m").collect()}
     w = np.array(list(SCORE.weights.values()))
     for r in rows[:30]:
         x = np.array(r[1:4])

@@ -238,10 +238,14 @@ def chunk(text: Column, size: int = 200) -> Column:
         return F.transform(starts, lambda s: atom(key, F.substr(piece, s, F.lit(size))))
 
     def words(line: Column, key: Column) -> Column:
+        # usual lines: the longest runs that end before a space, found by one regular expression;
+        # runs of one line never fit together again, so the packing below leaves them as they are
+        runs = F.regexp_extract_all(line, F.lit(f"(?s).{{1,{size}}}(?= |$)"), F.lit(0))
         parts = kept(F.split(line, " "), " ")
-        return F.flatten(F.transform(parts, lambda w, k: F.when(
+        one_by_one = F.flatten(F.transform(parts, lambda w, k: F.when(
             F.length(w) < size, F.array(atom(key, w))
         ).otherwise(cut(F.concat(key, F.lit("/"), k.cast("string")), w))))
+        return F.when(line.rlike(f"[^ ]{{{size - 1}}}"), one_by_one).otherwise(F.transform(runs, lambda r: atom(key, r)))
 
     def lines(par: Column, key: Column) -> Column:
         parts = kept(F.split(par, "\n"), "\n")

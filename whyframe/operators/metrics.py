@@ -9,18 +9,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import mix
-from whyframe.functions.text import let
 from whyframe.operators.models import LogisticScore
 
 
-def diversity(df: DataFrame, keys: list[str], id_col: str, vector: Column, block: int = 512) -> DataFrame:
+def _distances():
+    @F.pandas_udf("double")
+    def distances(same: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def total(s, a, b):
+            x = np.array([np.asarray(v, dtype=float) for v in a])
+            if s:
+                return sum(float(np.sqrt(((x[i + 1:] - x[i]) ** 2).sum(axis=1)).sum()) for i in range(len(x) - 1))
+            y = np.array([np.asarray(v, dtype=float) for v in b])
+            if not len(x) or not len(y):
+                return 0.0
+            return sum(float(np.sqrt(((y - row) ** 2).sum(axis=1)).sum()) for row in x)
+
+        return pd.Series([total(s, a, b) for s, a, b in zip(same, left, right)], dtype="float64")
+
+    return distances
+
+
+def diversity(df: DataFrame, keys: list[str], id_col: str, vector: Column, block: int = 512, max_group: int | None = None) -> DataFrame:
     """``(keys, n, diversity)``: sum of pairwise Euclidean distances within a group, divided by its size.
 
     A group is hashed into blocks of about ``block`` rows. Each task gets one
     block against one block as arrays and adds up the distances with numpy, so
     pairs never become rows and a huge group spreads over many tasks. A
-    group that fits one block (the usual ten-row result) is a single cell.
+    group that fits one block (the usual ten-row result) is a single cell;
+    ``max_group`` states a bound the caller's operator guarantees (k nearest, m
+    prototypes) and saves the counting pass.
     """
+    if max_group is not None and max_group <= block:
+        rows = df.select(*keys, vector.cast("array<double>").alias("v"))
+        packed = rows.groupBy(*keys).agg(F.collect_list("v").alias("left"))
+        return packed.select(*keys, F.size("left").cast("long").alias("n"), (
+            _distances()(F.lit(True), "left", F.array().cast("array<array<double>>")) / F.size("left")).alias("diversity"))
     rows = df.select(*keys, F.xxhash64(id_col).alias("h"), vector.cast("array<double>").alias("v"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sized = rows.join(sizes.withColumn("nb", F.ceil(F.col("n") / block)), keys)
@@ -31,22 +56,7 @@ def diversity(df: DataFrame, keys: list[str], id_col: str, vector: Column, block
     packed = cells.groupBy(*keys, "lo", "hi").agg(
         F.collect_list(F.when(~F.col("right"), F.col("v"))).alias("left"), F.collect_list(F.when(F.col("right"), F.col("v"))).alias("right"))
 
-    @F.pandas_udf("double")
-    def distances(same: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def total(s, a, b):
-            x = np.array([np.asarray(v, dtype=float) for v in a])
-            if s:
-                return sum(float(np.sqrt(((x[i + 1:] - x[i]) ** 2).sum(axis=1)).sum()) for i in range(len(x) - 1))
-            y = np.array([np.asarray(v, dtype=float) for v in b])
-            if not len(x) or not len(y):
-                return 0.0
-            return sum(float(np.sqrt(((y - row) ** 2).sum(axis=1)).sum()) for row in x)
-
-        return pd.Series([total(s, a, b) for s, a, b in zip(same, left, right)], dtype="float64")
-
-    summed = packed.select(*keys, distances(F.col("lo") == F.col("hi"), "left", "right").alias("d")).groupBy(*keys).agg(F.sum("d").alias("d"))
+    summed = packed.select(*keys, _distances()(F.col("lo") == F.col("hi"), "left", "right").alias("d")).groupBy(*keys).agg(F.sum("d").alias("d"))
     return summed.join(sizes, keys).select(*keys, "n", (F.col("d") / F.col("n")).alias("diversity"))
 
 
@@ -107,40 +117,46 @@ def _predicted(score: LogisticScore, values: dict[str, Column], positive: Column
     return F.when(positive, p).otherwise(1.0 - p)
 
 
-def faithfulness(score: LogisticScore, coefs: dict[str, Column], base: float = 0.0) -> Column:
-    """Per row: minus the correlation of coefficients with the predicted class's probability after removing each feature.
+def faithfulness(df: DataFrame, score: LogisticScore, coefs: dict[str, Column], name: str = "faithfulness", base: float = 0.0) -> DataFrame:
+    """Add per row: minus the correlation of coefficients with the predicted class's probability after removing each feature.
 
-    Null when either side is constant.
+    Null when either side is constant. Two projections in one stage: the
+    ablated probabilities first, the correlation from those columns.
     """
     feats = score.features
     n = float(len(feats))
     positive = score.column() >= 0.5
-    probs = [_predicted(score, {g: F.lit(base) if g == f else F.col(g) for g in feats}, positive) for f in feats]
-    cs = [coefs[f] for f in feats]
+    probs = {f"_p{i}": _predicted(score, {g: F.lit(base) if g == f else F.col(g) for g in feats}, positive) for i, f in enumerate(feats)}
+    steps = df.withColumns({**probs, **{f"_c{i}": coefs[f].cast("double") for i, f in enumerate(feats)}})
+    k = range(len(feats))
 
-    def mean(cols):
+    def mean(cols: list[Column]) -> Column:
         return reduce(lambda a, b: a + b, cols) / n
 
-    def corr(c: list[Column], p: list[Column]) -> Column:
-        mc, mp = mean(c), mean(p)
-        cov = mean([(a - mc) * (b - mp) for a, b in zip(c, p)])
-        vc, vp = mean([(a - mc) * (a - mc) for a in c]), mean([(b - mp) * (b - mp) for b in p])
-        return F.when((vc > 1e-18) & (vp > 1e-18), -cov / F.sqrt(vc * vp))
+    steps = steps.withColumns({"_mc": mean([F.col(f"_c{i}") for i in k]), "_mp": mean([F.col(f"_p{i}") for i in k])})
+    dc = [F.col(f"_c{i}") - F.col("_mc") for i in k]
+    dp = [F.col(f"_p{i}") - F.col("_mp") for i in k]
+    steps = steps.withColumns({
+        "_cov": mean([a * b for a, b in zip(dc, dp)]), "_vc": mean([a * a for a in dc]), "_vp": mean([b * b for b in dp])})
+    value = F.when((F.col("_vc") > 1e-18) & (F.col("_vp") > 1e-18), -F.col("_cov") / F.sqrt(F.col("_vc") * F.col("_vp")))
+    return steps.select(*df.columns, value.alias(name))
 
-    packed = F.struct(F.array(*cs).alias("c"), F.array(*probs).alias("p"))
-    k = len(feats)
-    return let(packed, lambda s: corr([s["c"][i] for i in range(k)], [s["p"][i] for i in range(k)]))
 
-
-def monotonicity(score: LogisticScore, coefs: dict[str, Column], base: float = 0.0) -> Column:
-    """Per row: does the predicted class's probability never fall while features enter by rising coefficient?"""
+def monotonicity(df: DataFrame, score: LogisticScore, coefs: dict[str, Column], name: str = "monotone", base: float = 0.0) -> DataFrame:
+    """Add per row: does the predicted class's probability never fall while features enter by rising coefficient?"""
     feats = score.features
-    positive = score.column() >= 0.5
+    k = range(len(feats))
+    steps = df.withColumns({f"_c{i}": coefs[f].cast("double") for i, f in enumerate(feats)})
     place = {
-        f: reduce(lambda a, b: a + b, [
-            ((coefs[g] < coefs[f]) | ((coefs[g] == coefs[f]) & F.lit(j < i))).cast("int") for j, g in enumerate(feats) if g != f
-        ]) for i, f in enumerate(feats)
+        f"_r{i}": reduce(lambda a, b: a + b, [
+            ((F.col(f"_c{j}") < F.col(f"_c{i}")) | ((F.col(f"_c{j}") == F.col(f"_c{i}")) & F.lit(j < i))).cast("int") for j in k if j != i
+        ]) for i in k
     }
-    steps = F.transform(F.sequence(F.lit(0), F.lit(len(feats) - 1)), lambda s: _predicted(
-        score, {f: F.when(place[f] <= s, F.col(f)).otherwise(F.lit(base)) for f in feats}, positive))
-    return let(steps, lambda p: F.forall(F.sequence(F.lit(1), F.lit(len(feats) - 1)), lambda i: F.get(p, i) >= F.get(p, i - 1)))
+    steps = steps.withColumns({**place, "_pos": score.column() >= 0.5})
+    steps = steps.withColumns({
+        f"_p{s}": _predicted(score, {f: F.when(F.col(f"_r{i}") <= s, F.col(f)).otherwise(F.lit(base)) for i, f in enumerate(feats)}, F.col("_pos"))
+        for s in k
+    })
+    rising = [F.col(f"_p{s}") >= F.col(f"_p{s - 1}") for s in k if s > 0]
+    value = reduce(lambda a, b: a & b, rising) if rising else F.lit(True)
+    return steps.select(*df.columns, value.alias(name))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from whyframe.core import shuffle_width
 from whyframe.functions.text import spread, tokens
 
 # Smooth idf over two texts: 1 for a shared token, this for a token of one text only.
@@ -98,7 +99,7 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
 def rank_similar(
     questions: DataFrame, prototypes: DataFrame, qid: str, qtext: str, pid: str, ptext: str,
-    n: int = 5, q_block: int = 4096, p_block: int = 512,
+    n: int = 5, q_block: int = 512, p_block: int = 512,
 ) -> DataFrame:
     """The ``n`` prototypes closest to each question by pair cosine (ties by prototype id).
 
@@ -168,9 +169,10 @@ def rank_similar(
     # at most n rows per question and prototype block
     order = Window.partitionBy("qid").orderBy(F.round("cosine", 9).desc(), "pid")
     ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+    # few rows but costly per row: fix the number of tasks instead of letting them merge
+    shown = ranked.join(q, "qid").join(p, "pid").repartition(shuffle_width(q.sparkSession), "qid", "pid")
     return (
-        ranked.join(q, "qid").join(p, "pid")
-        .select("qid", "rank", "pid", "cosine",
+        shown.select("qid", "rank", "pid", "cosine",
                 F.levenshtein("ptext", "qtext").cast("long").alias("levenshtein"),
                 jaro_winkler(F.col("ptext"), F.col("qtext")).alias("jaro_winkler"))
     )

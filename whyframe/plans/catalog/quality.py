@@ -60,7 +60,7 @@ def diversity(t):
     """The first whole slice: parse, match columns, pick nearest cases, score their spread."""
     c = cases(t)
     picks = nearest_cases(c, question_groups(t)).join(c.select("case_id", "CustKey", "TotalPrice"), "case_id")
-    out = mt.diversity(picks, ["record_id", "group_idx"], "case_id", F.array(F.col("CustKey").cast("double"), "TotalPrice"))
+    out = mt.diversity(picks, ["record_id", "group_idx"], "case_id", F.array(F.col("CustKey").cast("double"), "TotalPrice"), max_group=10)
     return out.withColumn("diversity", F.round("diversity", 4))
 
 
@@ -107,7 +107,7 @@ CASES_SQL = ("r AS (SELECT row_number() OVER () AS rid, l_returnflag, l_quantity
     f AS (SELECT rid, l_returnflag, avg((c - mc) * (p - mp)) AS cov, avg((c - mc) * (c - mc)) AS vc, avg((p - mp) * (p - mp)) AS vp FROM x JOIN m USING (rid, l_returnflag) GROUP BY ALL)
     SELECT l_returnflag, round(avg(CASE WHEN vc > 1e-18 AND vp > 1e-18 THEN -cov / sqrt(vc * vp) END), 5) AS faithfulness, count(*) AS n FROM f GROUP BY 1""")
 def faithfulness(t):
-    df = t.lineitem.select("l_returnflag", mt.faithfulness(LINE_SCORE, coefs()).alias("f"))
+    df = mt.faithfulness(t.lineitem.select("l_returnflag", *FEATS), LINE_SCORE, coefs(), "f")
     return df.groupBy("l_returnflag").agg(F.round(F.avg("f"), 5).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +119,7 @@ def faithfulness(t):
     d AS (SELECT rid, l_returnflag, p - lag(p) OVER (PARTITION BY rid ORDER BY k) AS d FROM q)
     SELECT l_returnflag, count(*) FILTER (ok) AS n_monotone, count(*) AS n FROM (SELECT rid, l_returnflag, bool_and(coalesce(d, 0) >= -1e-12) AS ok FROM d GROUP BY ALL) GROUP BY 1""")
 def monotonicity(t):
-    df = t.lineitem.select("l_returnflag", mt.monotonicity(LINE_SCORE, coefs()).alias("ok"))
+    df = mt.monotonicity(t.lineitem.select("l_returnflag", *FEATS), LINE_SCORE, coefs(), "ok")
     return df.groupBy("l_returnflag").agg(F.count_if("ok").alias("n_monotone"), F.count(F.lit(1)).alias("n"))
 
 

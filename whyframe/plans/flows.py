@@ -119,12 +119,12 @@ def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[st
     protos = group_prototypes(of["run_protodash"], keys, id_col, feats).checkpoint()
     proto_rows = protos.join(cases, id_col)
     vec = F.array(*[F.col(f).cast("double") for f in [*feats, "weight"]])
-    proto_div = diversity(proto_rows, keys, id_col, vec)
+    proto_div = diversity(proto_rows, keys, id_col, vec, max_group=k)
     proto_rep = fitted_non_representativeness(proto_rows, keys, id_col, feats, label)
 
     flips = counterfactuals(of["run_dice"].select(id_col, *feats).distinct(), cases, id_col, score)
     dice = of["run_dice"].select(*keys, id_col).join(flips, id_col)
-    dice_div = diversity(dice, keys, id_col, F.array(*[F.col(f"cf_{f}") for f in feats]))
+    dice_div = diversity(dice, keys, id_col, F.array(*[F.col(f"cf_{f}") for f in feats]), max_group=k)
 
     shap = group_attributions(of["run_shap"], keys, score)
     rules = group_rules(of["run_rulexai"], keys, score)
