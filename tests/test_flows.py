@@ -18,11 +18,12 @@ def test_decompose(spark):
 
 
 def test_synthesize(spark):
-    rows = [("r1", i, "Data Explanation", "def", "why", "Representative Samples", [{"Age": "1", "Diabetes": "1"}, {"BMI": "2"}], v) for i, v in enumerate([5, 5, 6])]
+    rows = [("r1", i, "Data Explanation", "def", "why my bmi", "Representative Samples", [{"Age": "1", "Diabetes": "1"}, {"BMI": "2"}], v) for i, v in enumerate([5, 5, 6])]
     df = spark.createDataFrame(rows, "run_id string, subset_idx int, explanation_type string, definition string, question string, modality string, group_maps array<map<string,string>>, result int")
-    out = flows.synthesize(df, ["result"]).collect()
+    out = flows.synthesize(df, ["result"], ["Age", "BMI"]).collect()
     assert [(r.subset_idx, r.group_maps[0]) for r in out] == [(0, {"Age": "1"})]
-    assert "Answer the question: why" in out[0].prompt
+    assert out[0].subset_prompt.startswith("Find a match in the data based on feature group: why my bmi. \n")
+    assert "which are: BMI in dataframe" in out[0].prompt
 
 
 def test_delegate_covers_every_record(spark):
@@ -32,3 +33,14 @@ def test_delegate_covers_every_record(spark):
     res = entry.queries()["delegate_batch"](spark, folder).select("explainer", "record_id").distinct()
     per = {r.explainer: r.n for r in res.groupBy("explainer").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert per["run_protodash"] == 60 and per["run_shap"] == 30 and per["run_rulexai"] == 30 and per["run_dice"] >= 1
+
+
+def test_printed_lines(spark):
+    from whyframe.operators import prompts as pr
+
+    line = spark.range(1).select(pr.f1_line(F.lit("Action"), F.lit(2 / 3), F.lit(0.5), F.lit(1.0))).first()[0]
+    assert line == "Action, F1: 66.67%, Precision: 50.0% and Recall: 100.0%"
+    gen = spark.range(1).select(pr.generation_prompt(F.lit("Data Explanation"), F.array(F.lit("q1"), F.lit("q2")), ["Age"], "Outcome", F.array(F.lit("Age 1 to 5")))).first()[0]
+    assert gen.startswith("Generate 20 questions for Data Explanation. ") and "q1\nq2" in gen and "range from Age 1 to 5" in gen
+    rec = spark.range(1).select(pr.inference_prompt(F.lit("Do."), F.lit(" why ")), pr.inference_prompt(F.lit("Do."), F.lit("why"), F.lit("A"))).first()
+    assert rec[0] == "### System:\nDo.\n\n### User:\nwhy\n\n### Response:\n\n\n" and "### Response:\nA\n" in rec[1]

@@ -150,17 +150,19 @@ def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int
     return cv_summary(per_fold, "model_no", "accuracy")
 
 
+def _exists(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def best_model_flow(df: DataFrame, y: str, id_col: str, which: list[int] | None = None, path: str | None = None):
     """Fit, report, pick the best by F1 and refit it on all rows; reuse a model saved at ``path``."""
     from pyspark.ml import Pipeline, PipelineModel
 
     from whyframe.operators.scoring import best_model
 
-    if path is not None:
-        try:
-            return PipelineModel.load(path), None
-        except Exception:  # nothing saved yet
-            pass
+    if path is not None and _exists(df.sparkSession, path):
+        return PipelineModel.load(path), None
     _, report = fit_models(df, y, id_col, which)
     report = report.persist()
     no = int(best_model(report.withColumn("all", F.lit(1)), ["all"]).first()["best_model"])

@@ -9,45 +9,75 @@ from whyframe.functions.text import add_empty, chunk, render
 from whyframe.operators.frames import seeded_sample
 from whyframe.operators.scoring import numbered_concat, run_metrics
 
-# Section marks and field order of the training records.
-INSTRUCTION = "### System:\n{instruction}\n### User:\n{question}\n"
-RESPONSE = ("### Response:\nExplanation type: {kind}\nMachine interpretation: {parse}\n"
-            "Action: {action}\nTarget variable: {target}\n")
-# What the wording of a prompt adds per kind of result.
+# Layout of training records and wording of the prompts.
+TASK = "Question: {question}\n"
+ANSWER = "Machine interpretation: {parse}\nAction: {action}\nExplanation type: {explanation type}\nTarget variable: {target variable}\n"
+RECORD = "### System:\n{instruction}\n\n### User:\n{user}\n\n### Response:\n{response}\n\n"
+SUBSET_PROMPT = ("Find a match in the data based on feature group: {feature_group}. \nContext: The outcome variable is {outcome_variable}.\n"
+                 "If there are no full matches, summarize the dataset.")
+EXPLANATION_PROMPT = ("Summarize the data in English. Structure your response based on the expected format for: "
+                      "{Explanation_Type} being that {Definition}.")
+QUESTION_NOTE = "If features from question which are: {columns} in dataframe, tailor your answers to them."
 RESULT_NOTES = {
-    "Counterfactual Explanation": "The result contains changes to the original cases.",
-    "Rationale Explanation": "The result contains rules for the prediction.",
+    "Counterfactual Explanation": "The dataframe contains changes and not actual values.",
+    "Rationale Explanation": "The dataframe contains rules derived for classification. Summarize them.",
 }
+GENERATION_PROMPT = ("Generate 20 questions for {explanation}. {explanation} questions are of the form, {questions}\nYour features could be: {features}\n"
+                     "and the prediction is {prediction}.\nThe feature values range from {feature_ranges}\nFor each question, also generate a machine "
+                     "interpretation which includes: predicate logic translation of the question, action mentioned in the question, explanation type: "
+                     "{explanation}, and the target variable in the question and if there is a low / high likelihood.")
 USER_STUDY_COLUMNS = ["The explanation is sufficiently complete.", "The explanation is clear.", "Comments"]
 
 
-def training_text(kind: Column, parse: Column, action: Column, target: Column, question: Column, instruction: str) -> tuple[Column, Column]:
-    """Prompt and expected answer of one question; a missing action is empty."""
-    return (render(INSTRUCTION, instruction=F.lit(instruction), question=question),
-            render(RESPONSE, kind=kind, parse=parse, action=action, target=target))
+def build_corpus(df: DataFrame, instruction: str) -> DataFrame:
+    """``text, instruction, input, output, label`` records from question rows; a missing action is empty."""
+    answer = render(ANSWER, **{"parse": F.col("interpretation"), "action": F.col("action"), "explanation type": F.col("explanation_type"),
+                               "target variable": F.col("target")})
+    out = df.withColumns({"_user": render(TASK, question=F.col("question")), "_answer": answer})
+    text = render(RECORD, instruction=F.lit(instruction), user=F.col("_user"), response=F.col("_answer"))
+    return out.select(
+        *[c for c in df.columns if c.endswith("_id")], text.alias("text"), F.lit(instruction).alias("instruction"),
+        F.col("question").alias("input"), F.col("_answer").alias("output"), F.col("explanation_type").alias("label"))
+
+
+def inference_prompt(instruction: Column, question: Column, output: Column | None = None) -> Column:
+    """Prompt of one stored record; its answer is included only for training."""
+    return render(RECORD, instruction=instruction, user=F.trim(question), response=F.lit("") if output is None else output)
+
+
+def explanation_prompt(kind: Column, definition: Column, columns: Column | None = None) -> Column:
+    """Prompt for the result of an explainer, with the columns its question names and a note on the kind of result."""
+    parts = [render(EXPLANATION_PROMPT, Explanation_Type=kind, Definition=definition)]
+    if columns is not None:
+        parts.append(F.when(F.size(columns) > 0, render(QUESTION_NOTE, columns=F.array_join(columns, ", "))).otherwise(F.lit("")))
+    note = F.lit("")
+    for name, text in RESULT_NOTES.items():
+        note = F.when(kind == name, F.lit(text)).otherwise(note)
+    return F.concat(*parts, note)
 
 
-def build_corpus(df: DataFrame, instruction: str) -> DataFrame:
-    """``text, instruction, input, output, label`` records from question rows."""
-    prompt, answer = training_text(F.col("explanation_type"), F.col("interpretation"), F.col("action"), F.col("target"), F.col("question"), instruction)
-    return df.withColumn("_p", prompt).withColumn("_a", answer).select(
-        *[c for c in df.columns if c.endswith("_id")], F.concat("_p", "_a").alias("text"), F.lit(instruction).alias("instruction"),
-        F.col("question").alias("input"), F.col("_a").alias("output"), F.col("explanation_type").alias("label"))
+def subset_prompt(group: Column, question: Column, outcome: str) -> Column:
+    """Ask for the rows of a feature group; an empty group falls back on the question."""
+    asked = F.when(F.coalesce(group, F.lit("")) == "", question).otherwise(group)
+    return render(SUBSET_PROMPT, feature_group=asked, outcome_variable=F.lit(outcome))
 
 
-def explanation_prompt(kind: Column, definition: Column, question: Column, result: Column, with_question: Column) -> Column:
-    note = F.lit("")
-    for name, text in RESULT_NOTES.items():
-        note = F.when(kind == name, F.lit(" " + text)).otherwise(note)
-    base = render("Write a {kind} ({definition}) of: {result}.", kind=kind, definition=definition, result=result)
-    asked = F.when(with_question, F.concat(F.lit(" Answer the question: "), question)).otherwise(F.lit(""))
-    return F.concat(base, note, asked)
+def generation_prompt(kind: Column, questions: Column, features: list[str], prediction: str, ranges: Column) -> Column:
+    return render(GENERATION_PROMPT, explanation=kind, questions=F.array_join(questions, "\n"), features=F.lit("\n".join(features)),
+                  prediction=F.lit(prediction), feature_ranges=F.array_join(ranges, "\n"))
+
+
+def f1_line(field: Column, f1: Column, precision: Column, recall: Column) -> Column:
+    """One printed score line."""
+    pct = [F.round(c * 100, 2).cast("string") for c in (f1, precision, recall)]
+    return render("{field}, F1: {f}%, Precision: {p}% and Recall: {r}%", field=field, f=pct[0], p=pct[1], r=pct[2])
 
 
-def subset_prompt(groups: Column, columns: Column) -> Column:
-    """Ask for matching rows of the feature groups; columns named in the question are listed when there are any."""
-    named = F.when(F.size(columns) > 0, F.concat(F.lit(" Columns in the question: "), F.array_join(columns, ", "), F.lit("."))).otherwise(F.lit(""))
-    return F.concat(F.lit("Find rows matching "), groups, F.lit("; summarise the data when nothing matches."), named)
+def group_report(df: DataFrame, run: str, group: str, subset: str, explanation: str, page: int = 1000) -> DataFrame:
+    """Text report of a run: one block per group, in group order, in pages of ``page`` groups."""
+    block = render("Group {g}\nMatched subset {s}\nExplainer explanation {e}\n---------\n", g=F.col(group), s=F.col(subset), e=F.col(explanation))
+    rows = df.select(F.col(run), F.floor(F.col(group) / page).cast("long").alias("page"), F.struct(F.col(group).alias("g"), block.alias("b")).alias("r"))
+    return rows.groupBy(run, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["b"]), "").alias("report"))
 
 
 def eval_records(df: DataFrame, size: int = 200, context_size: int | None = None) -> DataFrame:

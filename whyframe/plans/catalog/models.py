@@ -59,10 +59,10 @@ def best_model_flow(t):
 
 
 @query("build_sft_corpus", f"""
-    SELECT o_orderkey AS record_id, concat(p, a) AS text, 'Answer.' AS instruction, q AS input, a AS output, kind AS label FROM (
-      SELECT *, concat('### System:', chr(10), 'Answer.', chr(10), '### User:', chr(10), q, chr(10)) AS p,
-        concat('### Response:', chr(10), 'Explanation type: ', kind, chr(10), 'Machine interpretation: Predict(', price, ')', chr(10),
-               'Action: ', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, chr(10), 'Target variable: ', o_orderpriority, chr(10)) AS a
+    SELECT o_orderkey AS record_id, concat('### System:', chr(10), 'Answer.', chr(10), chr(10), '### User:', chr(10), 'Question: ', q, chr(10), chr(10), chr(10),
+        '### Response:', chr(10), a, chr(10), chr(10)) AS text, 'Answer.' AS instruction, q AS input, a AS output, kind AS label FROM (
+      SELECT *, concat('Machine interpretation: Predict(', price, ')', chr(10), 'Action: ', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END, chr(10),
+        'Explanation type: ', kind, chr(10), 'Target variable: ', o_orderpriority, chr(10)) AS a
       FROM (SELECT *, {KIND} AS kind, {PRICE} AS price, concat('why ', o_orderkey) AS q FROM orders))""")
 def build_sft_corpus(t):
     df = t.orders.select(

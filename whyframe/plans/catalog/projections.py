@@ -5,9 +5,10 @@ import string
 from pyspark.sql import functions as F
 
 from whyframe.functions import text as tx
-from whyframe.operators.prompts import explanation_prompt
+from whyframe.operators.prompts import explanation_prompt, subset_prompt
 from whyframe.operators.routing import needs_question
-from whyframe.plans.catalog.shared import KIND, METHODS, PRICE, values, values_sql
+from whyframe.operators.schema_match import AliasTable
+from whyframe.plans.catalog.shared import CASE_COLUMNS, KIND, METHODS, PRICE, values, values_sql
 from whyframe.plans.registry import query
 
 
@@ -106,15 +107,23 @@ def add_empty_cols(t):
 
 
 @query("render_prompt", f"""
-    SELECT o_orderkey, concat('Write a ', kind, ' (', o_orderpriority, ') of: ', price, '.',
-      CASE kind WHEN 'Counterfactual Explanation' THEN ' The result contains changes to the original cases.'
-                WHEN 'Rationale Explanation' THEN ' The result contains rules for the prediction.' ELSE '' END,
-      CASE WHEN kind = 'Data Explanation' THEN concat(' Answer the question: ', 'why ', o_orderkey) ELSE '' END) AS prompt
-    FROM (SELECT *, {KIND} AS kind, {PRICE} AS price FROM orders)""")
+    SELECT o_orderkey, concat('Summarize the data in English. Structure your response based on the expected format for: ', kind, ' being that ', o_orderpriority, '.',
+      CASE WHEN o_orderkey % 2 = 0 THEN 'If features from question which are: TotalPrice in dataframe, tailor your answers to them.' ELSE '' END,
+      CASE kind WHEN 'Counterfactual Explanation' THEN 'The dataframe contains changes and not actual values.'
+                WHEN 'Rationale Explanation' THEN 'The dataframe contains rules derived for classification. Summarize them.' ELSE '' END) AS prompt
+    FROM (SELECT *, {KIND} AS kind FROM orders)""")
 def render_prompt(t):
-    kind = F.expr(KIND)
-    return t.orders.select("o_orderkey", explanation_prompt(
-        kind, F.col("o_orderpriority"), F.concat(F.lit("why "), "o_orderkey"), F.expr(PRICE), kind == "Data Explanation").alias("prompt"))
+    """Prompt of every order's result, with the columns its question names."""
+    question = F.when(F.col("o_orderkey") % 2 == 0, F.lit("why this total_price?")).otherwise(F.lit("why?"))
+    return t.orders.select("o_orderkey", explanation_prompt(F.expr(KIND), F.col("o_orderpriority"), AliasTable(CASE_COLUMNS).in_text(question)).alias("prompt"))
+
+
+@query("render_subset_prompt", f"""
+    SELECT o_orderkey, concat('Find a match in the data based on feature group: ', CASE WHEN o_orderkey % 3 = 0 THEN concat('why ', o_orderkey) ELSE concat('TotalPrice=', {PRICE}) END,
+      '. ', chr(10), 'Context: The outcome variable is Outcome.', chr(10), 'If there are no full matches, summarize the dataset.') AS prompt FROM orders""")
+def render_subset_prompt(t):
+    group = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("TotalPrice="), F.expr(PRICE)))
+    return t.orders.select("o_orderkey", subset_prompt(group, F.expr("concat('why ', CAST(o_orderkey AS STRING))"), "Outcome").alias("prompt"))
 
 
 @query("fill_missing_zero", """

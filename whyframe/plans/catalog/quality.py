@@ -150,3 +150,12 @@ def human_eval_set(t):
                              F.concat(F.lit("result "), (s * 2).cast("string")).alias("result_text")).distinct()
     evals = t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("metric"), F.col("l_quantity").cast("long").alias("value"))
     return pr.human_eval_set(records, expl, evals)
+
+
+@query("group_report", """
+    SELECT conv_id AS run_id, CAST(floor(turn / 1000) AS BIGINT) AS page,
+      string_agg(concat('Group ', turn, chr(10), 'Matched subset ', role, chr(10), 'Explainer explanation ', text, chr(10), '---------', chr(10)), '' ORDER BY turn) AS report
+    FROM conversations GROUP BY 1, 2""")
+def group_report(t):
+    """Text report of every conversation, one block per turn."""
+    return pr.group_report(t.conversations.withColumnRenamed("conv_id", "run_id"), "run_id", "turn", "role", "text")

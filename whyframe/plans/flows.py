@@ -14,9 +14,10 @@ from whyframe.operators.counterfactuals import counterfactuals
 from whyframe.operators.metrics import diversity, fitted_non_representativeness
 from whyframe.operators.models import LogisticScore
 from whyframe.operators.nearest import nearest_cases
-from whyframe.operators.prompts import explanation_prompt
+from whyframe.operators.prompts import explanation_prompt, subset_prompt
 from whyframe.operators.prototypes import group_prototypes
 from whyframe.operators.rules import rule_length, rule_text
+from whyframe.operators.schema_match import AliasTable
 from whyframe.operators.scoring import scorecard
 
 # Fields of a generated answer.
@@ -147,10 +148,17 @@ def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[st
     return results, evaluations
 
 
-def synthesize(assembled: DataFrame, result_cols: list[str]) -> DataFrame:
-    """Prompt per kept (run, subset): subsets cut to the groups, equal results dropped, text rendered."""
+def synthesize(assembled: DataFrame, result_cols: list[str], columns: list[str], outcome: str = "Outcome") -> DataFrame:
+    """Prompts per kept (run, subset): subsets cut to the groups, equal results dropped, patient-only groups left out.
+
+    Adds ``group_text``, ``subset_prompt`` and ``prompt``.
+    """
     kept = fr.truncate_to_groups(assembled, "subset_idx", "group_maps")
     kept = fr.dedup_frames(kept, "run_id", "subset_idx", result_cols)
-    return kept.withColumn("prompt", explanation_prompt(
-        F.col("explanation_type"), F.col("definition"), F.col("question"), F.concat_ws(", ", *[F.col(c).cast("string") for c in result_cols]),
-        routing.needs_question()))
+    kept = fr.drop_patient_only(kept.withColumn("group_map", F.get("group_maps", F.col("subset_idx"))))
+    group = F.array_join(F.transform(F.map_entries("group_map"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
+    kept = kept.withColumn("group_text", F.when(routing.needs_question(), F.col("question")).otherwise(group))
+    return kept.withColumns({
+        "subset_prompt": subset_prompt(F.col("group_text"), F.col("question"), outcome),
+        "prompt": explanation_prompt(F.col("explanation_type"), F.col("definition"), AliasTable(columns).in_text(F.col("question"))),
+    })
