@@ -86,7 +86,8 @@ def shapley(background: DataFrame, instances: DataFrame, id_col: str, score: Log
         return w if s >> i & 1 else -w
 
     table = F.array(*[F.array(*[F.lit(share(s, i)) for i in range(d)]) for s in range(size)])
-    ids = F.array(*[F.lit(r[id_col]) for r in rows])
+    id_type = instances.schema[id_col].dataType
+    ids = F.array(*[F.lit(r[id_col]).cast(id_type) for r in rows])
     shares = F.get(table, F.col("mask"))
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), (shares[i] * F.col("v")).alias("part")) for i, f in enumerate(feats)])
     return (

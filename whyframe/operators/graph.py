@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import ensure_checkpoint_dir
-from whyframe.functions.text import quoted, uri_label
+from whyframe.functions.text import quoted, spread, uri_label
 
 # Public vocabulary terms.
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
@@ -87,10 +87,8 @@ def mine_questions(nodes: DataFrame, triples: DataFrame, first_only: bool = Fals
     examples = objects(triples, EXAMPLE, "example")
     if first_only:
         examples = examples.groupBy("s").agg(F.min("example").alias("example"))
-    return (
-        nodes.select("s").join(examples, "s").join(label, "s", "left")
-        .select(F.coalesce("explanation", F.lit("")).alias("explanation"), F.explode(quoted(F.col("example"))).alias("question"))
-    )
+    found = nodes.select("s").join(examples, "s").join(label, "s", "left")
+    return spread(found, [F.coalesce("explanation", F.lit("")).alias("explanation")], quoted(F.col("example")), "question")
 
 
 def instances_of(triples: DataFrame, label: str) -> DataFrame:

@@ -91,13 +91,10 @@ def groups_of(text: Column) -> Column:
 
 def split_interpretation(df: DataFrame, text: str = "interpretation") -> DataFrame:
     """Add ``raw_actions`` and ``raw_groups``; a leading wrapper action without own group is dropped."""
-    return (
-        df.withColumn("raw_groups", groups_of(F.col(text)))
-        .withColumn("raw_actions", actions_of(F.col(text)))
-        .withColumn("raw_actions", F.when(
-            F.size("raw_actions") == F.size("raw_groups") + 1, F.slice("raw_actions", 2, F.greatest(F.size("raw_actions"), F.lit(1)))
-        ).otherwise(F.col("raw_actions")))
-    )
+    out = df.withColumns({"raw_groups": groups_of(F.col(text)), "_acts": actions_of(F.col(text))})
+    wrapped = F.size("_acts") == F.size("raw_groups") + 1
+    inner = F.slice("_acts", 2, F.greatest(F.size("_acts"), F.lit(1)))
+    return out.withColumn("raw_actions", F.when(wrapped, inner).otherwise(F.col("_acts"))).drop("_acts")
 
 
 def rename_placeholder(pairs: Column, label: Column) -> Column:
@@ -124,40 +121,40 @@ def parse_interpretations(
 ) -> DataFrame:
     """Add ``actions`` (sorted, distinct) and ``groups`` (array of ordered pairs)."""
     al = AliasTable(columns)
-    out = split_interpretation(df, text)
-    # actions with the column each one names (null for plain actions)
-    out = out.withColumn("_named", F.transform("raw_actions", lambda a: F.struct(a.alias("a"), al.exact(a).alias("label"))))
-    out = out.withColumn("_groups", F.transform("raw_groups", lambda g: group_pairs(g, al)))
-    # a placeholder in group i belongs to action i
-    out = out.withColumn("_groups", F.transform("_groups", lambda g, i: let(
-        F.get(F.col("_named"), i)["label"],
-        lambda label: F.when(label.isNull(), g).otherwise(rename_placeholder(g, label)),
-    )))
-    # what is left of the text outside actions and groups may hold one more group
-    rest = F.aggregate("raw_groups", F.col(text), lambda acc, g: F.replace(acc, g, F.lit("")))
-    rest = F.aggregate("raw_actions", rest, lambda acc, a: F.replace(acc, a, F.lit("")))
-    out = out.withColumn("_rest", rest).withColumn("_groups", F.when(
-        F.contains(F.col("_rest"), F.lit("=")), F.concat("_groups", F.array(group_pairs(F.col("_rest"), al)))
-    ).otherwise(F.col("_groups")))
+    raw_actions, raw_groups = F.col("raw_actions"), F.col("raw_groups")
+    # actions with the column each one names (null for plain actions); groups as written;
+    # and the text outside both, which may hold one more group
+    rest = F.aggregate(raw_groups, F.col(text), lambda acc, g: F.replace(acc, g, F.lit("")))
+    rest = F.aggregate(raw_actions, rest, lambda acc, a: F.replace(acc, a, F.lit("")))
+    out = split_interpretation(df, text).withColumns({
+        "_named": F.transform(raw_actions, lambda a: F.struct(a.alias("a"), al.exact(a).alias("label"))),
+        "_groups": F.transform(raw_groups, lambda g: group_pairs(g, al)),
+        "_rest": rest,
+    })
+
+    def renamed(groups: Column, labels: Column, then=lambda g: g) -> Column:
+        """A placeholder in group i belongs to entry i of the labels."""
+        return F.transform(groups, lambda g, i: then(let(
+            F.get(labels, i)["label"], lambda label: F.when(label.isNull(), g).otherwise(rename_placeholder(g, label)))))
+
     # column-naming actions beyond the groups line up with the groups from the first one
-    late = F.filter(F.slice("_named", F.size("raw_groups") + 1, F.greatest(F.size("_named"), F.lit(1))), lambda s: s["label"].isNotNull())
-    out = out.withColumn("_late", F.array_distinct(late)).withColumn("_groups", F.transform("_groups", lambda g, i: let(
-        F.get(F.col("_late"), i)["label"],
-        lambda label: F.when(label.isNull(), g).otherwise(rename_placeholder(g, label)),
-    )))
-    out = out.withColumn("_groups", F.transform("_groups", lambda g: name_keys(g, al)))
+    late = F.filter(F.slice("_named", F.size(raw_groups) + 1, F.greatest(F.size("_named"), F.lit(1))), lambda s: s["label"].isNotNull())
+    out = out.withColumns({"_first": renamed(F.col("_groups"), F.col("_named")), "_late": F.array_distinct(late)})
+    more = F.when(F.contains(F.col("_rest"), F.lit("=")), F.array(group_pairs(F.col("_rest"), al))).otherwise(F.array().cast(f"array<{PAIRS}>"))
+    out = out.withColumn("_all", F.concat("_first", more))
+    out = out.withColumn("_done", renamed(F.col("_all"), F.col("_late"), lambda g: name_keys(g, al)))
     # no group at all: a column mentioned by the interpretation, or by the question when that is empty
     source = F.when(F.col(text) == "", F.col(question)).otherwise(F.col(text)) if question in df.columns else F.col(text)
     fallback = let(
         F.when(source == "", F.lit("")).otherwise(al.substring(source)),
         lambda c: F.when(c == "", F.array().cast(f"array<{PAIRS}>")).otherwise(F.array(F.array(_pair(c, F.lit(""))))),
     )
-    plain = F.filter("_named", lambda s: s["label"].isNull())
+    plain = F.transform(F.filter("_named", lambda s: s["label"].isNull()), lambda s: s["a"])
     named = F.transform(F.filter("_named", lambda s: s["label"].isNotNull()), lambda s: s["a"])
-    return (
-        out.withColumn("groups", F.when(F.size("_groups") == 0, fallback).otherwise(F.col("_groups")))
-        .withColumn("actions", F.array_sort(F.array_except(F.transform(plain, lambda s: s["a"]), named)))
-        .drop("_named", "_groups", "_rest", "_late", "raw_actions", "raw_groups")
+    return out.select(
+        *df.columns,
+        F.when(F.size("_done") == 0, fallback).otherwise(F.col("_done")).alias("groups"),
+        F.array_sort(F.array_except(plain, named)).alias("actions"),
     )
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whyframe.functions.text import spread
+
 # Fixed value: grammar of one condition, all bracket forms.
 CONDITION = r"([\p{L}\p{N}_.]+) = ([<(])([^,]+), ([^>)]+)([>)])"
 
@@ -36,9 +38,8 @@ def rule_length(rule: Column) -> Column:
 def rule_conditions(df: DataFrame, rule: str = "rule", strict: bool = True) -> DataFrame:
     """One row per condition; ``strict=False`` keeps only intervals opening with ``<``, as the scored outputs do."""
     found = F.regexp_extract_all(F.col(rule), F.lit(CONDITION), F.lit(0))
-    out = df.select(*df.columns, F.posexplode(found).alias("cond_idx", "_c"))
-    out = out.select(
-        *df.columns, F.col("cond_idx").cast("long").alias("cond_idx"),
+    out = spread(df, df.columns, found, "_c", "cond_idx").select(
+        *df.columns, "cond_idx",
         F.regexp_extract("_c", CONDITION, 1).alias("feature"),
         _bound(F.regexp_extract("_c", CONDITION, 3)).alias("lo"), (F.regexp_extract("_c", CONDITION, 2) == "<").alias("lo_incl"),
         _bound(F.regexp_extract("_c", CONDITION, 4)).alias("hi"), (F.regexp_extract("_c", CONDITION, 5) == ">").alias("hi_incl"),
@@ -95,7 +96,7 @@ def rule_fidelity(rules: DataFrame, rows: DataFrame, rule_id: str, rule: str, pr
                      F.count_if(hit & (F.col(prediction).cast("string") == F.lit(r["label"]))).alias(f"a{i}")]
         one = rows.agg(*aggs)
         return one.select(F.inline(F.array(*[F.struct(
-            F.lit(r[rule_id]).alias(rule_id), F.col(f"c{i}").alias("covered"), F.col(f"a{i}").alias("agreeing"),
+            F.lit(r[rule_id]).cast(rules.schema[rule_id].dataType).alias(rule_id), F.col(f"c{i}").alias("covered"), F.col(f"a{i}").alias("agreeing"),
             F.when(F.col("n") > 0, F.col(f"a{i}") / F.col("n")).otherwise(F.lit(0.0)).alias("fidelity"))
             for i, r in enumerate(part)])))
 
