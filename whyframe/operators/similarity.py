@@ -38,10 +38,16 @@ def tfidf_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return df.select(key).join(sums, key, "left").select(key, F.coalesce(cos, F.lit(0.0)).alias("cosine"))
 
 
-def levenshtein_similarity(a: Column, b: Column) -> Column:
-    """1 - distance / longer length; null when both are empty."""
+def levenshtein_similarity(a: Column, b: Column, distance: Column | None = None) -> Column:
+    """1 - distance / longer length; null when both are empty. A distance already at hand is not computed again."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer)
+    return F.when(longer > 0, 1 - (F.levenshtein(a, b) if distance is None else distance) / longer)
+
+
+def levenshtein_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Add ``distance`` and ``similarity`` of two text columns, measuring each pair once."""
+    measured = df.withColumn("distance", F.levenshtein(a, b).cast("long"))
+    return measured.withColumn("similarity", levenshtein_similarity(F.col(a), F.col(b), F.col("distance")))
 
 
 def _jaro_winkler(s: str, t: str) -> float:

@@ -33,9 +33,8 @@ def tfidf_pair_cosine(t):
       round(1 - levenshtein(asked, answered) / greatest(length(asked), length(answered)), 6) AS similarity
     FROM (SELECT pair_id, {ASCII.format(c='asked')} AS asked, {ASCII.format(c='answered')} AS answered FROM {PAIRS_SQL})""")
 def levenshtein_pairs(t):
-    a, b = F.col("asked"), F.col("answered")
     pairs = turn_pairs(t).select("pair_id", ascii_only("asked"), ascii_only("answered"))
-    return pairs.select("pair_id", F.levenshtein(a, b).cast("long").alias("distance"), F.round(sim.levenshtein_similarity(a, b), 6).alias("similarity"))
+    return sim.levenshtein_pairs(pairs, "asked", "answered").select("pair_id", "distance", F.round("similarity", 6).alias("similarity"))
 
 
 @query("jaro_winkler_pairs", """
