@@ -24,7 +24,7 @@ SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthles
 
 # 1, l and i are drawn alike, so all three fold to i, in terms and in texts.
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | DIGITS | {"l": "i"}).items()}
-_ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_ZERO_WIDTH = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _ASCII = bytes((ord(chr(c).lower().translate(_FOLD)) if chr(c).isalnum() or chr(c) in "@$" else 32) for c in range(128)) + bytes(range(128, 256))
 PREFIXES = range(4, 11)
 
