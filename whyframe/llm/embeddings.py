@@ -14,7 +14,8 @@ from whyframe.llm.common import components, scratch
 BLOCK_DIMS = 8
 CELLS = 64  # a block's grid has at most this many cells a side, whatever the data
 CHUNK = 8192  # vectors of one side of a task
-TILE = 1024
+TILE = 512
+PAIRS = 10_000  # candidates verified at once
 
 
 @dataclass(frozen=True)
@@ -116,8 +117,8 @@ def _linked(table: pa.Table, blocks: Blocks) -> pa.Table:
             x, y = p[x], q[y]
             once = guest[y] | (node[x] < node[y])
             x, y = x[once], y[once]
-            for s in range(0, len(x), 100_000):
-                u, v = x[s:s + 100_000], y[s:s + 100_000]
+            for s in range(0, len(x), PAIRS):
+                u, v = x[s:s + PAIRS], y[s:s + PAIRS]
                 gap = np.add.reduceat((turned[u] - turned[v]) ** 2, blocks.edges[:-1], axis=1) <= blocks.budgets
                 mine = gap[:, b] & ~gap[:, :b].any(axis=1)  # a pair belongs to the first block that admits it
                 u, v = u[mine], v[mine]
