@@ -82,9 +82,9 @@ def test_counterfactuals(spark, cases):
 
 def test_query_set(spark, cases):
     _, df = cases
-    assert cf.query_set(df, None, "case_id").count() == 5
+    assert cf.query_set(df, None, "case_id", n=5).count() == 5 and cf.query_set(df, None, "case_id").count() == df.count()
     assert cf.query_set(df, df.limit(7), "case_id").count() == 7
-    assert cf.query_set(df, df, "case_id").count() == 5
+    assert cf.query_set(df, df, "case_id", n=5).count() == 5
 
 
 def test_prototypes(spark, cases):

@@ -83,10 +83,9 @@ def changes(queries: DataFrame, cfs: DataFrame, id_col: str, outcome: str | None
     return q.join(c, F.col(f"q.{id_col}") == F.col(f"c.{id_col}")).select(F.col(f"q.{id_col}"), *cols)
 
 
-def query_set(cases: DataFrame, passed: DataFrame | None, id_col: str, seed: int = 9, small: int = 10, n: int = 5) -> DataFrame:
-    """Cases to explain: all of a small subset, else ``n`` sampled ones."""
+def query_set(cases: DataFrame, passed: DataFrame | None, id_col: str, seed: int = 9, n: int | None = None) -> DataFrame:
+    """Cases to explain: those passed on, else the whole table; ``n`` asks for a seeded sample of that size."""
     from whyframe.operators.frames import seeded_sample
 
-    if passed is None:
-        return seeded_sample(cases, id_col, n, seed)
-    return passed if passed.limit(small + 1).count() <= small else seeded_sample(passed, id_col, n, seed)
+    pool = cases if passed is None else passed
+    return pool if n is None else seeded_sample(pool, id_col, n, seed)

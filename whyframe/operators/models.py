@@ -151,8 +151,15 @@ def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int
 
 
 def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.text(f"{path}/metadata")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def best_model_flow(df: DataFrame, y: str, id_col: str, which: list[int] | None = None, path: str | None = None):

@@ -50,10 +50,7 @@ def _greedy(x, m: int):
     while len(chosen) < min(m, len(x)):
         gain = mu - (x @ x[chosen].T) @ w if chosen else mu.copy()
         gain[chosen] = -np.inf
-        pick = int(np.argmax(gain))
-        if gain[pick] <= 1e-10 * float(np.abs(mu).max()):
-            break
-        chosen.append(pick)
+        chosen.append(int(np.argmax(gain)))
         xs = x[chosen]
         w = nonneg_weights(xs @ xs.T, mu[chosen])
     return chosen, w
@@ -77,7 +74,10 @@ def prototype_gain(df: DataFrame, id_col: str, features: list[str]) -> DataFrame
 
 
 def prototypes(df: DataFrame, id_col: str, features: list[str], m: int = 10, drop_first: bool = False) -> DataFrame:
-    """``(id, weight)``: at most ``m`` prototypes of the whole table, weights summing to one (2 decimals)."""
+    """``(id, weight)``: the ``m`` prototypes of the whole table (all rows of a smaller one), weights summing to one (2 decimals).
+
+    A row that adds nothing is still chosen, with weight 0.
+    """
     import numpy as np
 
     features = features[1:] if drop_first else features
@@ -92,24 +92,24 @@ def prototypes(df: DataFrame, id_col: str, features: list[str], m: int = 10, dro
         u = mean - (w @ rows if ids else 0.0)
         rest = data.filter(~F.col(id_col).isin(ids)) if ids else data
         best = rest.agg(F.max(F.struct(_dot(cols, u).alias("g"), (-F.col(id_col)).alias("neg"), F.array(*cols).alias("x"))).alias("b")).first()["b"]
-        if best is None or best["g"] <= 0:
+        if best is None:
             break
         ids.append(-best["neg"])
         rows = np.vstack([rows, best["x"]])
         w = nonneg_weights(rows @ rows.T, rows @ mean)
-    total = w.sum() if len(w) else 1.0
+    total = w.sum() if w.sum() > 0 else 1.0
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, pick long, weight double"
     return spark.createDataFrame([(i, p, round(float(v / total), 2)) for p, (i, v) in enumerate(zip(ids, w))], schema)
 
 
-def group_prototypes(picks: DataFrame, keys: list[str], id_col: str, features: list[str], m: int = 10, small_m: int = 5) -> DataFrame:
-    """Prototypes of each selected subset (subsets hold at most the ``k`` nearest cases)."""
+def group_prototypes(picks: DataFrame, keys: list[str], id_col: str, features: list[str], m: int = 5) -> DataFrame:
+    """``m`` prototypes of each selected subset (subsets hold at most the ``k`` nearest cases); all rows of a smaller one."""
     def pick(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(id_col)
         x = pdf[features].astype(float).fillna(0.0).to_numpy()
-        chosen, w = _greedy(x, small_m if len(x) <= 10 else m)
+        chosen, w = _greedy(x, m)
         total = w.sum() if len(w) and w.sum() > 0 else 1.0
         out = {k: [pdf[k].iloc[0]] * len(chosen) for k in keys}
         out |= {id_col: pdf[id_col].to_numpy()[chosen], "weight": [round(float(v / total), 2) for v in w]}

@@ -7,6 +7,8 @@ over the table with conditional counts; rules and rows are never paired.
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,7 @@ CONDITION = r"([\p{L}\p{N}_.]+) = ([<(])([^,]+), ([^>)]+)([>)])"
 
 def rule_text(conditions: list[tuple[str, float, float]], label: str) -> str:
     def num(v: float) -> str:
-        return "-inf" if v == float("-inf") else "inf" if v == float("inf") else f"{v:.2f}"
+        return "-inf" if v == float("-inf") else "inf" if v == float("inf") else repr(float(v))
 
     parts = [f"{f} = {'(' if lo == float('-inf') else '<'}{num(lo)}, {num(hi)})" for f, lo, hi in conditions]
     return f"IF {' AND '.join(parts)} THEN label = {{{label}}}"
@@ -125,9 +127,10 @@ def cut_scores(df: DataFrame, features: list[str], y: str, bins: int = 16) -> Da
     base = df.select(F.col(y).cast("long").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_r", spans)
     long = base.select("y", F.inline(F.array(*[F.struct(
         F.lit(f).alias("feature"), F.col(f"_r.lo_{f}").alias("lo"), F.col(f"_r.hi_{f}").alias("hi"), F.col(f).alias("x"))
-        for f in features]))).filter("x is not null")
+        for f in features]))).filter("x is not null and hi > lo")
     width = (F.col("hi") - F.col("lo")) / bins
-    b = F.least(F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), width), F.lit(0.0))), F.lit(bins - 1)).cast("long")
+    # edges at or below x: a cut below an edge counts exactly the rows with x < edge, as its printed rule does
+    b = reduce(lambda a, c: a + c, [(F.col("x") >= F.col("lo") + F.lit(float(k + 1)) * width).cast("long") for k in range(bins)])
     hist = long.groupBy("feature", "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     w = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("feature")
@@ -154,17 +157,18 @@ def best_cut(scores: DataFrame, min_coverage: float = 0.05) -> DataFrame:
     return ok.groupBy("label").agg(top.alias("t")).select("label", "t.*")
 
 
-def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int = 5, max_conditions: int = 2, bins: int = 16,
+def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None = None, max_conditions: int = 2, bins: int = 16,
                min_coverage: float = 0.02) -> DataFrame:
-    """Sequential covering: take the most precise rule, drop the rows it covers, repeat.
+    """Sequential covering: take the most precise rule, drop the rows it covers, repeat while a rule reaches ``min_coverage``.
 
     Each step is one histogram pass over the rows still uncovered; only the
-    chosen cut (one row) reaches the driver.
+    chosen cut (one row) reaches the driver. ``covered`` counts the rows that were still open.
     """
     spark = df.sparkSession
     open_rows = F.lit(True)
     out = []
-    for no in range(max_rules):
+    no = 0
+    while max_rules is None or no < max_rules:
         conds: list[tuple[str, float, float]] = []
         inside, label, last = open_rows, None, None
         for _ in range(max_conditions):
@@ -184,7 +188,8 @@ def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int = 5, m
             break
         out.append((no, rule_text(conds, str(label)), int(last["covered"]), float(last["precision"])))
         hit = reduce(lambda a, b: a & b, [(F.col(f) >= lo) & (F.col(f) < hi) for f, lo, hi in conds])
-        open_rows = open_rows & ~hit
+        open_rows = open_rows & ~F.coalesce(hit, F.lit(False))
+        no += 1
     return spark.createDataFrame(out, "rule_id long, rule string, covered long, precision double")
 
 
@@ -197,18 +202,17 @@ def surrogate_rules(df: DataFrame, features: list[str], prediction: str, depth:
     asm = VectorAssembler(inputCols=features, outputCol="features")
     tree = DecisionTreeClassifier(labelCol=prediction, maxDepth=depth, seed=30)
     model = Pipeline(stages=[asm, tree]).fit(df.withColumn(prediction, F.col(prediction).cast("double"))).stages[1]
-    out = []
-
-    def walk(node, box: dict[str, tuple[float, float]]):
-        if node.getClass().getSimpleName() == "LeafNode":
-            conds = [(f, lo, hi) for f, (lo, hi) in box.items()]
-            if conds:
-                out.append((len(out), rule_text(conds, str(int(node.prediction())))))
-            return
-        f, cut = features[node.split().featureIndex()], float(node.split().threshold())
-        lo, hi = box.get(f, (float("-inf"), float("inf")))
-        walk(node.leftChild(), {**box, f: (lo, min(hi, cut))})
-        walk(node.rightChild(), {**box, f: (max(lo, cut), hi)})
-
-    walk(model._call_java("rootNode"), {})
+    out, path = [], []
+    for line in model.toDebugString.splitlines():
+        depth = len(line) - len(line.lstrip())
+        test = re.match(r"(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line.strip())
+        if test:
+            path = [p for p in path if p[0] < depth] + [(depth, features[int(test[1])], test[2], float(test[3]))]
+        elif line.strip().startswith("Predict:") and path:
+            box: dict[str, tuple[float, float]] = {}
+            for _, f, op, cut in path:
+                lo, hi = box.get(f, (-math.inf, math.inf))
+                edge = math.nextafter(cut, math.inf)  # x <= cut is x < edge
+                box[f] = (lo, min(hi, edge)) if op == "<=" else (max(lo, edge), hi)
+            out.append((len(out), rule_text([(f, lo, hi) for f, (lo, hi) in box.items()], str(int(float(line.split()[-1]))))))
     return df.sparkSession.createDataFrame(out, "rule_id long, rule string")

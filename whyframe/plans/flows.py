@@ -12,7 +12,7 @@ from whyframe.operators import interpretations as ip
 from whyframe.operators import routing
 from whyframe.operators.counterfactuals import counterfactuals
 from whyframe.operators.metrics import diversity, fitted_non_representativeness
-from whyframe.operators.models import LogisticScore
+from whyframe.operators.models import LogisticScore, standard_scale
 from whyframe.operators.nearest import nearest_cases
 from whyframe.operators.prompts import explanation_prompt, subset_prompt
 from whyframe.operators.prototypes import group_prototypes
@@ -117,7 +117,8 @@ def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[st
     of = {name: rows.filter(F.col("explainer") == name) for name in implemented}
     feats = score.features
 
-    protos = group_prototypes(of["run_protodash"], keys, id_col, feats).checkpoint()
+    scaled = standard_scale(cases.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]), feats)
+    protos = group_prototypes(of["run_protodash"].select(*keys, id_col).join(scaled, id_col), keys, id_col, feats).checkpoint()
     proto_rows = protos.join(cases, id_col)
     vec = F.array(*[F.col(f).cast("double") for f in [*feats, "weight"]])
     proto_div = diversity(proto_rows, keys, id_col, vec, max_group=k)
