@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 SMALL_ROWS = 1000
 
 
+_shipped: dict[str, str] = {}
+
+
 def is_categorical(field: T.StructField) -> bool:
     return isinstance(field.dataType, (T.StringType, T.BooleanType))
 
@@ -40,6 +43,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to Python workers that can't import it: an archive of its sources, once per application."""
+    import os
+    import shutil
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    on_path = any(os.path.realpath(p) == os.path.realpath(home) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
+    sc = spark.sparkContext
+    if on_path or "site-packages" in home or _shipped.get("app") == sc.applicationId:
+        return
+    folder = tempfile.mkdtemp(prefix="whyframe-zip-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "whyframe"), "zip", home, "whyframe"))
+    _shipped["app"] = sc.applicationId
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -114,7 +114,7 @@ def rule_rows(t):
     WITH d AS (SELECT l_quantity, l_extendedprice, l_tax, CASE WHEN {LINE_SCORE.sql()} >= 0.5 THEN 1 ELSE 0 END AS y FROM lineitem),
     l AS (SELECT 'l_quantity' AS feature, l_quantity AS x, y FROM d UNION ALL SELECT 'l_extendedprice', l_extendedprice, y FROM d UNION ALL SELECT 'l_tax', l_tax, y FROM d),
     s AS (SELECT feature, min(x) AS lo, max(x) AS hi, count(*) AS n FROM l GROUP BY 1),
-    h AS (SELECT feature, lo, (hi - lo) / 16 AS width, n, CAST(len(list_filter(range(16), k -> x >= lo + (k + 1)::DOUBLE * ((hi - lo) / 16))) AS BIGINT) AS bin, y FROM l JOIN s USING (feature)),
+    h AS (SELECT feature, lo, (hi - lo) / 16 AS width, n, CAST(len(list_filter(range(16), lambda k: x >= lo + (k + 1)::DOUBLE * ((hi - lo) / 16))) AS BIGINT) AS bin, y FROM l JOIN s USING (feature)),
     e AS (SELECT feature, lo, width, n, b AS bin FROM (SELECT DISTINCT feature, lo, width, n FROM h), range(17) r(b)),
     c AS (SELECT e.feature, e.lo + (e.bin + 1) * e.width AS edge, e.n, side, label, count(*) FILTER (CASE side WHEN 'below' THEN h.bin <= e.bin ELSE h.bin > e.bin END) AS covered,
             count(*) FILTER (y = label AND CASE side WHEN 'below' THEN h.bin <= e.bin ELSE h.bin > e.bin END) AS agreeing
