@@ -317,7 +317,7 @@ def kn_log_probability(counts, u, w, width):
 def test_kneser_ney(spark, docs, empty):
     from pyspark.sql import functions as F
 
-    from whyframe.llm.kneser_ney import log_probability
+    from whyframe.llm.kneser_ney import log_probability, log_table
 
     rnd = random.Random(4)
     counts = dict(collections.Counter((min(9, int(rnd.expovariate(0.4))), min(9, int(rnd.expovariate(0.4)))) for _ in range(120)))
@@ -325,6 +325,8 @@ def test_kneser_ney(spark, docs, empty):
     asked = spark.range(12).select(F.col("id").cast("int").alias("u")).crossJoin(spark.range(12).select(F.col("id").cast("int").alias("w")))
     for r in log_probability(asked, held, 12).collect():
         assert r.lp == pytest.approx(kn_log_probability(counts, r.u, r.w, 12))
+    whole = log_table(held, 12)
+    assert all(whole[u, w] == pytest.approx(kn_log_probability(counts, u, w, 12), abs=1e-5) for u in range(12) for w in range(12))
     trusted = docs.where("doc_id < 25").select("doc_id")
     got = quality_by_perplexity(docs.unionByName(docs.where("doc_id = 3")), trusted).collect()
     assert len(got) == len(texts()) + 1 and [r.n_tokens for r in got if r.doc_id == len(texts()) - 1] == [30_000]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from whyframe.llm.common import scratch
 
-VOCABULARY = 4_096  # words with a number of their own; all others fall into classes by length and shape
+VOCABULARY = 3_000  # words with a number of their own; all others fall into classes by length and shape
 LONGEST = 48
 SMALL_SIDE = 2_000_000  # labels of one long and one flag sent to every task at most (32 MB); more are joined by a shuffle
 START, END = 0, 1
@@ -29,11 +29,11 @@ def _words(text: bytes) -> list[bytes]:
 
 
 def _flagged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``(id, h, lang, text, trusted)``; ``trusted`` has the ids of trusted documents."""
+    """``(id, lang, text, trusted)``; ``trusted`` has the ids of trusted documents."""
     good = trusted.select(F.col(id_col).alias("_id"), F.lit(True).alias("trusted")).dropDuplicates(["_id"])
     good = F.broadcast(good) if trusted.count() <= SMALL_SIDE else good
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.join(good, rows["id"] == good["_id"], "left").select("id", F.xxhash64("text").alias("h"), "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return rows.join(good, rows["id"] == good["_id"], "left").select("id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
 def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
@@ -58,48 +58,41 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
     return {bytes(r[0]): CLASSES + i for i, r in enumerate(top.collect())}
 
 
+def _numbers(known: dict[bytes, int]):
+    """Function from a text to its word numbers between start and end; classes of other words are remembered, up to a bound."""
+    other: dict[bytes, int] = {}
+
+    def of(text: bytes) -> np.ndarray:
+        ids = [START]
+        for w in _words(text):
+            k = known.get(w)
+            if k is None:
+                k = other.get(w)
+                if k is None:
+                    if len(other) > 300_000:
+                        other.clear()
+                    k = other[w] = _class(w.decode("utf-8", "replace"))
+            ids.append(k)
+        ids.append(END)
+        return np.array(ids, np.int64)
+
+    return of
+
+
 def bigrams(rows: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """``(id, h, lang, trusted, u, w, n)``: how often word number ``w`` follows ``u`` in each text, between start and end."""
+    """``(u, w, c)``: how often word number ``w`` follows ``u`` in all texts, added up by batch before the shuffle."""
     sent = rows.sparkSession.sparkContext.broadcast(known)
     width = CLASSES + len(known)
 
     def pairs(batches):
-        number, other = sent.value, {}
+        number = _numbers(sent.value)
         for b in batches:
-            at, codes, counts = [], [], []
-
-            def out(b=b, at=at, codes=codes, counts=counts):
-                code = np.concatenate(codes)
-                take = pa.array(np.repeat(at, [len(c) for c in codes]))
-                cols = [b.column(c).take(take) for c in ("id", "h", "lang", "trusted")]
-                return pa.RecordBatch.from_arrays([*cols, pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(np.concatenate(counts))],
-                                                  ["id", "h", "lang", "trusted", "u", "w", "n"])
-
-            held = 0
-            for i, text in enumerate(b.column("text").cast(pa.binary())):
-                ids = [START]
-                for w in _words(text.as_py()):
-                    k = number.get(w)
-                    if k is None:
-                        k = other.get(w)
-                        if k is None:
-                            if len(other) > 300_000:
-                                other.clear()
-                            k = other[w] = _class(w.decode("utf-8", "replace"))
-                    ids.append(k)
-                ids.append(END)
-                seq = np.array(ids, np.int64)
-                code, n = np.unique(seq[:-1] * width + seq[1:], return_counts=True)
-                at.append(i), codes.append(code), counts.append(n.astype(np.int64))
-                held += len(code)
-                if held > 500_000:
-                    yield out()
-                    at.clear(), codes.clear(), counts.clear()
-                    held = 0
+            codes = [seq[:-1] * width + seq[1:] for seq in (number(t.as_py()) for t in b.column("text").cast(pa.binary()))]
             if codes:
-                yield out()
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n.astype(np.int64))], ["u", "w", "c"])
 
-    return rows.mapInArrow(pairs, f"id {dict(rows.dtypes)['id']}, h long, lang string, trusted boolean, u int, w int, n long")
+    return rows.select("text").mapInArrow(pairs, "u int, w int, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 def log_probability(grams: DataFrame, counts: DataFrame, width: int) -> DataFrame:
@@ -123,15 +116,46 @@ def log_probability(grams: DataFrame, counts: DataFrame, width: int) -> DataFram
     return both.withColumn("lp", F.log(p))
 
 
+def log_table(counts: DataFrame, width: int) -> np.ndarray:
+    """Log probability of every word after every word, ``width`` by ``width`` (37 MB at the default vocabulary, whatever the corpus).
+
+    Seen pairs come from the count join; an unseen one has what the context's discounts left times the word's lower-order probability.
+    """
+    seen = log_probability(counts.select("u", "w"), counts, width).select("u", "w", "lp", "c", "mass", "cu", "before").toArrow()
+    u, w, lp, mass, cu, before = (seen.column(c).to_numpy() for c in ("u", "w", "lp", "mass", "cu", "before"))
+    left, lower = np.ones(width), np.zeros(width)
+    left[u] = mass / cu
+    lower[w] = np.maximum(before - 0.75, 0)
+    lower = (lower + 0.75) / (len(u) + 0.75) if len(u) else np.full(width, 1.0 / width)
+    out = (np.log(left).astype(np.float32)[:, None] + np.log(lower).astype(np.float32)[None, :])
+    out[u, w] = lp
+    return out
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id, lang, n_tokens, perplexity, trusted)`` of every row; the end of a text is scored too, so an empty text has a perplexity."""
+    """``(id, lang, n_tokens, perplexity, trusted)`` of every row; the end of a text is scored too, so an empty text has a perplexity.
+
+    Counts are gathered and joined in shards; as the vocabulary is bounded, so is the table of all pairs, which then goes to the texts:
+    no word of a document is shuffled to be scored.
+    """
     rows = _flagged(docs, trusted, id_col, text_col, lang_col)
     known = vocabulary(rows, size)
-    counts = scratch(bigrams(rows.where("trusted"), known).groupBy("u", "w").agg(F.sum("n").alias("c")), "bigrams")
-    scored = log_probability(bigrams(rows, known), counts, CLASSES + len(known))
-    sums = scored.groupBy("id", "h", "lang", "trusted").agg(F.sum(F.col("n") * F.col("lp")).alias("lp"), F.sum("n").alias("n"), F.sum(F.when(F.col("u") == START, F.col("n")).otherwise(0)).alias("k"))
-    per = sums.select("id", "lang", F.expr("n div k - 1").alias("n_tokens"), F.exp(-F.col("lp") / F.col("n")).alias("perplexity"), "trusted", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("_"))
-    return per.drop("_")
+    counts = scratch(bigrams(rows.where("trusted"), known), "bigrams")
+    context = rows.sparkSession.sparkContext
+    sent, table = context.broadcast(known), context.broadcast(log_table(counts, CLASSES + len(known)))
+
+    def score(batches):
+        number, lp = _numbers(sent.value), table.value
+        for b in batches:
+            n, ppl = [], []
+            for text in b.column("text").cast(pa.binary()):
+                seq = number(text.as_py())
+                n.append(len(seq) - 2)
+                ppl.append(float(np.exp(-lp[seq[:-1], seq[1:]].mean(dtype=np.float64))))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(n, pa.int64()), pa.array(ppl, pa.float64()), b.column("trusted")],
+                                             ["id", "lang", "n_tokens", "perplexity", "trusted"])
+
+    return rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, lang string, n_tokens long, perplexity double, trusted boolean")
 
 
 def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin: float = 1.1, size: int = VOCABULARY,
