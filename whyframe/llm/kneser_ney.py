@@ -14,6 +14,7 @@ from whyframe.llm.common import scratch
 VOCABULARY = 3_000  # words with a number of their own; all others fall into classes by length and shape
 LONGEST = 48
 SMALL_SIDE = 2_000_000  # labels of one long and one flag sent to every task at most (32 MB); more are joined by a shuffle
+LANGUAGES = 10_000  # thresholds sent to every task at most; more are joined by a shuffle
 START, END = 0, 1
 CLASSES = 2 + 3 * 16  # start, end, and other words by shape (letters, with digits, with signs) and length up to 15
 
@@ -170,6 +171,7 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, quantile: float =
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
     good = per.where("trusted")
     overall = good.agg(limit).first()[0]
-    cuts = good.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_cut"))
+    cuts = scratch(good.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_cut")), "language-cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts
     both = per.join(cuts, per["lang"] == cuts["_lang"], "left").withColumn("threshold", F.coalesce("_cut", F.lit(overall).cast("double")))
     return both.select(F.col("id").alias(id_col), "lang", "n_tokens", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
