@@ -8,12 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest number of rows an operator may bring to the driver as plan constants
-# (model coefficients, mined rules, explained instances). Bigger inputs take
-# another way in every operator that uses it.
-SMALL_ROWS = 1000
-
-
 _shipped: dict[str, str] = {}
 
 

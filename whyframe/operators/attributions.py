@@ -1,11 +1,9 @@
 """Shapley attributions of a scoring model.
 
-Two exact layouts, neither of which pairs instances with background rows in a join:
+Two exact layouts, neither of which makes a row of a pair of instance and background row:
 
-* few explained instances, any background: the instances travel with the tasks and
-  all coalition values are averages from one pass over the background;
-* any number of explained rows, few background rows: the background is the
-  constant and the attribution is a projection without shuffle.
+* any explained instances, any background: blocks of one meet chunks of the other in cells, which give sums per instance;
+* a background of constants: the attribution is a projection without shuffle.
 
 Wide models use sampled coalitions and a weighted least-squares fit.
 """
@@ -13,14 +11,16 @@ Wide models use sampled coalitions and a weighted least-squares fit.
 from __future__ import annotations
 
 from functools import reduce
-from math import comb, factorial
+from math import ceil, comb, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whyframe.core import SMALL_ROWS
 from whyframe.operators.models import LogisticScore
 
+BLOCK = 256  # instances of a cell
+CHUNK = 8192  # background rows of a cell
+
 
 def _sum(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
@@ -37,48 +37,55 @@ def _phi(values: list[Column], i: int, d: int) -> Column:
     ])
 
 
-def small_rows(df: DataFrame, what: str) -> list:
-    rows = df.limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        raise ValueError(f"{what}: more than {SMALL_ROWS} rows; use the layout that keeps them distributed")
-    return rows
+def _coalition_means(background: DataFrame, instances: DataFrame, id_col: str, cols: list[str], n_masks: int, totals) -> DataFrame:
+    """``(id, mask, v)``: mean over the background of each instance's coalition values.
 
+    Every block of instances meets every chunk of the background in one cell, where ``totals(left, right)`` gives the weighted sums
+    (instances x masks) as a matrix; only those are shuffled. Equal background rows are one row with their count ``n``, so copies
+    don't fill a chunk. The background is sent once per ``BLOCK`` instances, an instance once per ``CHUNK`` background rows.
+    """
+    whole = background.count()
+    ni, nb = max(1, ceil(instances.count() / BLOCK)), max(1, ceil(whole / CHUNK))
 
-def shapley(background: DataFrame, instances: DataFrame, id_col: str, score: LogisticScore) -> DataFrame:
-    """``(id, feature, phi)`` for a few instances against the whole background table.
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    Workers turn each Arrow batch of the background into sums per (instance,
-    coalition) with numpy; only those ``instances x 2^d`` sums per partition
-    are shuffled.
-    """
+    def part(n: int, *keys: str) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+    own = instances.select(F.col(id_col).alias("id"), *cols)
+    left = own.withColumn("ib", part(ni, "id")).withColumn("bc", every(nb))
+    rows = background.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    right = rows.withColumn("bc", part(nb, *cols)).withColumn("ib", every(ni))
+
+    def cell(a, b):
+        import numpy as np
+        import pandas as pd
+
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a["id"][:0], "mask": np.zeros(0, np.int32), "s": np.zeros(0)})
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), n_masks), "mask": np.tile(np.arange(n_masks, dtype=np.int32), len(a)), "s": totals(a, b).ravel()})
+
+    kind = own.schema["id"].dataType.simpleString()
+    sums = left.groupBy("ib", "bc").cogroup(right.groupBy("ib", "bc")).applyInPandas(cell, f"id {kind}, mask int, s double")
+    return sums.groupBy("id", "mask").agg((F.sum("s") / F.lit(float(whole))).alias("v"))
+
+
+def shapley(background: DataFrame, instances: DataFrame, id_col: str, score: LogisticScore) -> DataFrame:
+    """``(id, feature, phi)`` of the instances against the whole background table, both of any size."""
     import numpy as np
 
     feats = score.features
     d = len(feats)
-    rows = small_rows(instances.select(id_col, *feats), "explained instances")
-    if not rows:
-        return instances.sparkSession.createDataFrame([], f"{id_col} {instances.schema[id_col].dataType.simpleString()}, feature string, phi double")
-    x = np.array([[float(r[f]) for f in feats] for r in rows])
-    n, size = len(rows), 1 << d
+    size = 1 << d
     on = np.array([[bool(s >> i & 1) for i in range(d)] for s in range(size)])
 
-    def partial(batches):
-        import pandas as pd
+    def totals(a, b):
+        x, y, n = a[feats].to_numpy(dtype=float), b[feats].to_numpy(dtype=float), b["n"].to_numpy(dtype=float)
+        return np.array([[score.numpy(np.where(on[s], row, y)) @ n for s in range(size)] for row in x])
+
+    sums = _coalition_means(background, instances, id_col, feats, size, totals)
 
-        acc, cnt = np.zeros((n, size)), 0
-        for pdf in batches:
-            b = pdf[feats].to_numpy(dtype=float)
-            cnt += len(b)
-            for s in range(size):
-                for r in range(n):
-                    acc[r, s] += score.numpy(np.where(on[s], x[r], b)).sum()
-        if cnt:
-            yield pd.DataFrame({"row": np.repeat(np.arange(n), size), "mask": np.tile(np.arange(size), n), "s": acc.ravel(), "c": cnt})
-
-    sums = (
-        background.select(*feats).mapInPandas(partial, "row int, mask int, s double, c long")
-        .groupBy("row", "mask").agg((F.sum("s") / F.sum("c")).alias("v"))
-    )
     # each coalition value adds to or subtracts from every feature with its weight
     def share(s: int, i: int) -> float:
         without = s & ~(1 << i)
@@ -86,22 +93,15 @@ def shapley(background: DataFrame, instances: DataFrame, id_col: str, score: Log
         return w if s >> i & 1 else -w
 
     table = F.array(*[F.array(*[F.lit(share(s, i)) for i in range(d)]) for s in range(size)])
-    id_type = instances.schema[id_col].dataType
-    ids = F.array(*[F.lit(r[id_col]).cast(id_type) for r in rows])
     shares = F.get(table, F.col("mask"))
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), (shares[i] * F.col("v")).alias("part")) for i, f in enumerate(feats)])
-    return (
-        sums.select(F.get(ids, F.col("row")).alias(id_col), F.inline(cells))
-        .groupBy(id_col, "feature").agg(F.sum("part").alias("phi"))
-    )
+    return sums.select(F.col("id").alias(id_col), F.inline(cells)).groupBy(id_col, "feature").agg(F.sum("part").alias("phi"))
 
 
 def shapley_rows(cases: DataFrame, background: list[dict], score: LogisticScore) -> dict[str, Column]:
-    """Attribution columns per feature for every row of ``cases`` against a few background rows."""
+    """Attribution columns per feature for every row of ``cases`` against background rows written into the plan as constants."""
     feats = score.features
     d = len(feats)
-    if len(background) > SMALL_ROWS:
-        raise ValueError("background too large for constants; use shapley()")
     values = [
         _sum([score.column({f: F.col(f) if s >> i & 1 else F.lit(float(b[f])) for i, f in enumerate(feats)}) for b in background])
         / float(len(background))
@@ -117,23 +117,19 @@ def rank_importance(phis: DataFrame) -> DataFrame:
 
 
 def kernel_shap(background: DataFrame, vector: str, instances: DataFrame, id_col: str, weights: list[float], bias: float,
-                coalitions: int = 512, seed: int = 0) -> DataFrame:
-    """Sampled-coalition attributions ``(id, feature_idx, phi)`` for vector models of any width.
+                coalitions: int | None = 512, seed: int = 0) -> DataFrame:
+    """Coalition attributions ``(id, feature_idx, phi)`` of any number of instances for vector models.
 
-    Workers turn each Arrow batch of the background into sums per (instance,
-    coalition) with numpy; only those sums are shuffled. The small
-    least-squares fit runs once per instance.
+    ``coalitions`` is how many are drawn (with their complements); None takes all of a narrow model, with their kernel weights. The
+    small least-squares fit runs once per instance.
     """
     import numpy as np
 
-    rows = small_rows(instances.select(id_col, vector), "explained instances")
-    ids = [r[id_col] for r in rows]
-    x = np.array([r[vector] for r in rows], dtype=float)
-    n, d = x.shape
     w = np.asarray(weights, dtype=float)
+    d = len(w)
     sizes = np.arange(1, d)
     odds = (d - 1) / (sizes * (d - sizes))
-    if d <= 16 and (1 << d) - 2 <= coalitions:  # few enough to take them all, with their kernel weights
+    if coalitions is None:
         inner = np.array([[bool(s >> i & 1) for i in range(d)] for s in range(1, (1 << d) - 1)])
         size = inner.sum(axis=1)
         weight = odds[size - 1] / np.array([comb(d, int(z)) for z in size])
@@ -146,28 +142,14 @@ def kernel_shap(background: DataFrame, vector: str, instances: DataFrame, id_col
                 inner[c + 1] = ~inner[c]
         weight = np.ones(coalitions)
     masks = np.vstack([np.zeros((1, d), dtype=bool), np.ones((1, d), dtype=bool), inner])
-    fixed = (x * w) @ masks.T  # instance part of the logit per coalition
 
-    def partial(batches):
-        import pandas as pd
+    def totals(a, b):
+        fixed = (np.vstack(a[vector].to_numpy()).astype(float) * w) @ masks.T  # instance part of the logit per coalition
+        open_part = (np.vstack(b[vector].to_numpy()).astype(float) * w) @ (~masks).T
+        n = b["n"].to_numpy(dtype=float)
+        return np.array([n @ (1 / (1 + np.exp(-(open_part + row + bias)))) for row in fixed])
 
-        acc = np.zeros((n, len(masks)))
-        cnt = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            open_part = (np.vstack(pdf[vector].to_numpy()).astype(float) * w) @ (~masks).T
-            for i in range(n):
-                acc[i] += (1 / (1 + np.exp(-(open_part + fixed[i] + bias)))).sum(axis=0)
-            cnt += len(pdf)
-        if cnt:
-            yield pd.DataFrame({"row": np.repeat(np.arange(n), len(masks)), "mask": np.tile(np.arange(len(masks)), n),
-                                "s": acc.ravel(), "c": cnt})
-
-    sums = (
-        background.select(vector).mapInPandas(partial, "row long, mask long, s double, c long")
-        .groupBy("row", "mask").agg((F.sum("s") / F.sum("c")).alias("v"))
-    )
+    sums = _coalition_means(background, instances, id_col, [vector], len(masks), totals)
 
     def solve(pdf):
         import pandas as pd
@@ -178,7 +160,7 @@ def kernel_shap(background: DataFrame, vector: str, instances: DataFrame, id_col
         root = np.sqrt(weight)
         phi, *_ = np.linalg.lstsq((z[:, :-1] - z[:, -1:]) * root[:, None], y * root, rcond=None)
         phi = np.append(phi, v[1] - v[0] - phi.sum())
-        return pd.DataFrame({id_col: ids[int(pdf["row"].iloc[0])], "feature_idx": np.arange(d), "phi": phi})
+        return pd.DataFrame({id_col: [pdf["id"].iloc[0]] * d, "feature_idx": np.arange(d), "phi": phi})
 
     id_type = instances.schema[id_col].dataType.simpleString()
-    return sums.groupBy("row").applyInPandas(solve, f"{id_col} {id_type}, feature_idx long, phi double")
+    return sums.groupBy("id").applyInPandas(solve, f"{id_col} {id_type}, feature_idx long, phi double")

@@ -61,9 +61,9 @@ def rank_importance(t):
 
 @query("kernel_shap")
 def kernel_shap(t):
-    """Sampled-coalition attributions of a 64-wide vector model for five cases against all vectors."""
+    """Sampled-coalition attributions of a 64-wide vector model for ten cases against all vectors."""
     weights = [((7 * i) % 11 - 5) / 2.0 for i in range(64)]
-    return at.kernel_shap(t.embeddings, "embedding", seeded_sample(t.embeddings, "vec_id", 5, 2), "vec_id", weights, 0.1)
+    return at.kernel_shap(t.embeddings, "embedding", seeded_sample(t.embeddings, "vec_id", 10, 2), "vec_id", weights, 0.1)
 
 
 def parts(t):
