@@ -10,13 +10,15 @@ from whyframe.functions import text as tx
 from whyframe.operators import frames as fr
 from whyframe.operators import interpretations as ip
 from whyframe.operators import routing
+from whyframe.operators.attributions import shapley
 from whyframe.operators.counterfactuals import counterfactuals
-from whyframe.operators.metrics import diversity, fitted_non_representativeness
+from whyframe.operators.frames import seeded_sample
+from whyframe.operators.metrics import diversity, faithfulness, fitted_non_representativeness, monotonicity
 from whyframe.operators.models import LogisticScore, standard_scale
-from whyframe.operators.nearest import nearest_cases
+from whyframe.operators.nearest import nearest_cases, whole_table_groups
 from whyframe.operators.prompts import explanation_prompt, subset_prompt
-from whyframe.operators.prototypes import group_prototypes
-from whyframe.operators.rules import rule_length, rule_text
+from whyframe.operators.prototypes import clean, group_prototypes, prototypes
+from whyframe.operators.rules import best_cut, cut_scores, rule_length, rule_text
 from whyframe.operators.schema_match import AliasTable
 from whyframe.operators.scoring import scorecard
 
@@ -47,14 +49,13 @@ def _long(df: DataFrame, keys: list[str], explainer: str, metrics: dict[str, Col
     return df.select(*keys, F.lit(explainer).alias("explainer"), F.inline(rows)).filter("value is not null")
 
 
-def group_attributions(picks: DataFrame, keys: list[str], score: LogisticScore) -> DataFrame:
-    """Exact mean absolute attribution per feature within each selected subset (at most ``k`` cases)."""
+def case_attributions(picks: DataFrame, keys: list[str], id_col: str, score: LogisticScore) -> DataFrame:
+    """``(keys, id, features, phi_<feature>)``: exact attributions of each case within its selected subset (at most ``k`` cases)."""
     feats = score.features
     d = len(feats)
 
     def run(pdf):
         import numpy as np
-        import pandas as pd
 
         from whyframe.operators.attributions import coalition_weight
 
@@ -64,11 +65,27 @@ def group_attributions(picks: DataFrame, keys: list[str], score: LogisticScore)
             on = np.array([bool(s >> i & 1) for i in range(d)])
             mixed = np.where(on, x[:, None, :], x[None, :, :])
             v.append(score.numpy(mixed).mean(axis=1))
-        phi = [sum(coalition_weight(s.bit_count(), d) * (v[s | 1 << i] - v[s]) for s in range(1 << d) if not s >> i & 1) for i in range(d)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * d for k in keys}, "feature": feats, "importance": [float(np.abs(p).mean()) for p in phi]})
+        out = pdf[[*keys, id_col]].copy()
+        for i, f in enumerate(feats):
+            out[f] = x[:, i]
+            out[f"phi_{f}"] = sum(coalition_weight(s.bit_count(), d) * (v[s | 1 << i] - v[s]) for s in range(1 << d) if not s >> i & 1)
+        return out
+
+    fields = [f"{c} {picks.schema[c].dataType.simpleString()}" for c in [*keys, id_col]] + [f"{f} double, phi_{f} double" for f in feats]
+    return picks.select(*keys, id_col, *feats).groupBy(*keys).applyInPandas(run, ", ".join(fields))
 
-    fields = ", ".join(f"{c} {picks.schema[c].dataType.simpleString()}" for c in keys)
-    return picks.select(*keys, *feats).groupBy(*keys).applyInPandas(run, fields + ", feature string, importance double")
+
+def attribution_report(explained: DataFrame, keys: list[str], score: LogisticScore) -> tuple[DataFrame, DataFrame]:
+    """Mean absolute attribution ``(keys, feature, importance)`` and ``(keys, faithfulness, monotonicity)`` of explained cases.
+
+    The metrics take each case's attributions for its predicted class; cases without a faithfulness don't count in its mean.
+    """
+    feats = score.features
+    means = explained.groupBy(*keys).agg(*[F.avg(F.abs(f"phi_{f}")).alias(f) for f in feats])
+    importance = means.select(*keys, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance")) for f in feats])))
+    own = {f: F.when(score.column() >= 0.5, F.col(f"phi_{f}")).otherwise(-F.col(f"phi_{f}")) for f in feats}
+    scored = monotonicity(faithfulness(explained, score, own), score, own)
+    return importance, scored.groupBy(*keys).agg(F.avg("faithfulness").alias("faithfulness"), F.avg(F.col("monotone").cast("double")).alias("monotonicity"))
 
 
 def group_rules(picks: DataFrame, keys: list[str], score: LogisticScore) -> DataFrame:
@@ -99,56 +116,101 @@ def group_rules(picks: DataFrame, keys: list[str], score: LogisticScore) -> Data
     return picks.select(*keys, *feats).groupBy(*keys).applyInPandas(run, fields + ", rule string, fidelity double")
 
 
-def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[str], methods: DataFrame, implemented: list[str],
-             score: LogisticScore, label: str, types: list[str], k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Parse, route and explain all records at once.
-
-    Returns results ``(record_id, group_idx, explainer, item, content)`` and
-    evaluations ``(record_id, group_idx, explainer, metric, value)``. Each
-    explainer is one plan over all records routed to it.
-    """
-    keys = ["record_id", "group_idx"]
-    ensure_checkpoint_dir(cases.sparkSession)
-    parsed, _ = ip.usable(ip.parse_interpretations(records, columns), types)
-    routes = routing.route_explainer(parsed.select("record_id", "explanation_type"), methods, implemented).select("record_id", "explainer")
-    picks = nearest_cases(cases, ip.long_groups(parsed, ["record_id"]), k, id_col)
-    # every explainer reads the routed cases, so they are written once
-    rows = picks.join(cases, id_col).join(routes, "record_id").checkpoint()
-    of = {name: rows.filter(F.col("explainer") == name) for name in implemented}
+def _report(keys: list[str], id_col: str, cases: DataFrame, score: LogisticScore, label: str, most: int,
+            protos: DataFrame, flips: DataFrame, explained: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results and evaluations in long form from each explainer's output by ``keys``, at most ``most`` cases each."""
     feats = score.features
-
-    scaled = standard_scale(cases.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]), feats)
-    protos = group_prototypes(of["run_protodash"].select(*keys, id_col).join(scaled, id_col), keys, id_col, feats).checkpoint()
     proto_rows = protos.join(cases, id_col)
     vec = F.array(*[F.col(f).cast("double") for f in [*feats, "weight"]])
-    proto_div = diversity(proto_rows, keys, id_col, vec, max_group=k)
+    proto_div = diversity(proto_rows, keys, id_col, vec, max_group=most)
     proto_rep = fitted_non_representativeness(proto_rows, keys, id_col, feats, label)
 
-    flips = counterfactuals(of["run_dice"].select(id_col, *feats).distinct(), cases, id_col, score)
-    dice = of["run_dice"].select(*keys, id_col).join(flips, id_col)
-    dice_div = diversity(dice, keys, id_col, F.array(*[F.col(f"cf_{f}") for f in feats]), max_group=k)
-
-    shap = group_attributions(of["run_shap"], keys, score)
-    rules = group_rules(of["run_rulexai"], keys, score)
+    moved = {f: F.col(f"cf_{f}") for f in feats}
+    dice_div = diversity(flips, keys, id_col, F.array(*moved.values()), max_group=most)
+    flipped = flips.withColumn("flipped", (score.column(moved) >= 0.5).cast("int"))
+    dice_rep = fitted_non_representativeness(flipped, keys, id_col, [f"cf_{f}" for f in feats], "flipped")
+    importance, attributed = attribution_report(explained, keys, score)
 
     def item(df: DataFrame, explainer: str, name: Column, content: Column) -> DataFrame:
         return df.select(*keys, F.lit(explainer).alias("explainer"), name.cast("string").alias("item"), content.alias("content"))
 
     results = (
         item(protos, "run_protodash", F.col(id_col), F.format_string("weight %.2f", "weight"))
-        .unionByName(item(dice, "run_dice", F.col(id_col), F.concat_ws(", ", *[F.format_string(f"{f}=%.2f", f"cf_{f}") for f in feats])))
-        .unionByName(item(shap, "run_shap", F.col("feature"), F.format_string("%.6f", "importance")))
+        .unionByName(item(flips, "run_dice", F.col(id_col), F.concat_ws(", ", *[F.format_string(f"{f}=%.2f", f"cf_{f}") for f in feats])))
+        .unionByName(item(importance, "run_shap", F.col("feature"), F.format_string("%.6f", "importance")))
         .unionByName(item(rules, "run_rulexai", F.lit("rule"), F.col("rule")))
     )
     evaluations = (
         _long(proto_div, keys, "run_protodash", {"Diversity": F.col("diversity")})
         .unionByName(_long(proto_rep, keys, "run_protodash", {"Non representativeness": F.col("non_representativeness")}))
         .unionByName(_long(dice_div, keys, "run_dice", {"Diversity": F.col("diversity")}))
+        .unionByName(_long(dice_rep, keys, "run_dice", {"Non representativeness": F.col("non_representativeness")}))
+        .unionByName(_long(attributed, keys, "run_shap", {"Faithfulness": F.col("faithfulness"), "Monotonicity": F.col("monotonicity")}))
         .unionByName(_long(rules, keys, "run_rulexai", {"Average rule length": rule_length(F.col("rule")), "Fidelity": F.col("fidelity")}))
     )
     return results, evaluations
 
 
+def whole_table_report(cases: DataFrame, id_col: str, score: LogisticScore, label: str, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``_report`` of every explainer run once on the whole table, keyed by ``scope``.
+
+    ``m`` prototypes of all cases, the best single cut of all predictions, and attributions and counterfactuals of a seeded sample of
+    ``n_explained`` cases, attributed against all cases.
+    """
+    feats, keys = score.features, ["scope"]
+    scope = F.lit("table").alias("scope")
+    spark = cases.sparkSession
+    table = cases.select(id_col, *[c.alias(f) for f, c in zip(feats, clean(cases, feats), strict=True)])
+    protos = prototypes(standard_scale(table, feats), id_col, feats, m).select(scope, id_col, "weight")
+    sample = seeded_sample(table, id_col, n_explained, 9).checkpoint()
+    flips = counterfactuals(sample, cases, id_col, score).withColumn("scope", scope)
+    phis = shapley(table, sample, id_col, score).groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == f, F.col("phi"))).alias(f"phi_{f}") for f in feats])
+    cuts = best_cut(cut_scores(table.withColumn("y", (score.column() >= 0.5).cast("int")), feats, "y"))
+    top = cuts.orderBy(F.desc(F.round("precision", 9)), F.desc("covered"), "feature", "side", "edge").first()
+    found = []
+    if top:
+        span = (float("-inf"), top["edge"]) if top["side"] == "below" else (top["edge"], float("inf"))
+        found = [("table", rule_text([(top["feature"], *span)], str(top["label"])), top["precision"] * top["coverage"])]
+    rules = spark.createDataFrame(found, "scope string, rule string, fidelity double")
+    return _report(keys, id_col, cases, score, label, max(m, n_explained), protos, flips, sample.join(phis, id_col).withColumn("scope", scope), rules)
+
+
+def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[str], methods: DataFrame, implemented: list[str],
+             score: LogisticScore, label: str, types: list[str], k: int = 10, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Parse, route and explain all records at once.
+
+    Returns results ``(record_id, group_idx, explainer, item, content)`` and
+    evaluations ``(record_id, group_idx, explainer, metric, value)``. Each
+    explainer is one plan over all records routed to it. A group that no
+    feature narrows gets the results of the whole table, which are computed
+    once for all such groups.
+    """
+    keys = ["record_id", "group_idx"]
+    ensure_checkpoint_dir(cases.sparkSession)
+    parsed, _ = ip.usable(ip.parse_interpretations(records, columns), types)
+    routes = routing.route_explainer(parsed.select("record_id", "explanation_type"), methods, implemented).select("record_id", "explainer")
+    groups = ip.long_groups(parsed, ["record_id"])
+    picks = nearest_cases(cases, groups, k, id_col)
+    # every explainer reads the routed cases, so they are written once
+    rows = picks.join(cases, id_col).join(routes, "record_id").checkpoint()
+    of = {name: rows.filter(F.col("explainer") == name) for name in implemented}
+    feats = score.features
+
+    scaled = standard_scale(cases.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]), feats)
+    protos = group_prototypes(of["run_protodash"].select(*keys, id_col).join(scaled, id_col), keys, id_col, feats, m).checkpoint()
+    flips = counterfactuals(of["run_dice"].select(id_col, *feats).distinct(), cases, id_col, score)
+    dice = of["run_dice"].select(*keys, id_col).join(flips, id_col)
+    explained = case_attributions(of["run_shap"], keys, id_col, score)
+    parts = _report(keys, id_col, cases, score, label, k, protos, dice, explained, group_rules(of["run_rulexai"], keys, score))
+
+    whole = whole_table_groups(cases, groups, id_col).join(routes, "record_id").checkpoint()
+    if whole.isEmpty():
+        return parts
+    # at most m + n_explained + one row per feature and metric stand for the table, whatever its size
+    tables = whole_table_report(cases, id_col, score, label, m, n_explained)
+    return tuple(p.unionByName(whole.join(F.broadcast(t.drop("scope")), "explainer")) for p, t in zip(parts, tables, strict=True))
+
+
 def synthesize(assembled: DataFrame, result_cols: list[str], columns: list[str], outcome: str = "Outcome") -> DataFrame:
     """Prompts per kept (run, subset): subsets cut to the groups, equal results dropped, patient-only groups left out.
 
