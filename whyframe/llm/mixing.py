@@ -11,10 +11,12 @@ from whyframe.llm.common import scratch
 
 VOCABULARY = 20_000  # word weights sent to every task: at most this many words of at most 40 characters
 MAX_LABELLED = 20_000
+# ASCII white space and punctuation one by one, which the matcher looks up in a table.
+SEPARATORS = r"""[ \t\n\x0B\f\r!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+")
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
 
 
 def fit_domains(texts: DataFrame, domains: list[str], vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[float]]:
@@ -41,7 +43,8 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]], id_col: st
     """
     weights, prior = model
     n = len(prior)
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text_col).alias("h"), F.posexplode(_words(docs[text_col])).alias("pos", "w"))
+    # the hash first: beside the explode it would be taken of the whole text once per word
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), _words(docs[text_col]).alias("ws")).select("id", "h", F.posexplode("ws").alias("pos", "w"))
     found = rows.join(F.broadcast(weights), "w", "left")
     both = found.groupBy("id", "h").agg(F.count_if(F.expr("pos = 0")).alias("k"), F.count_if(F.expr("w <> ''")).alias("t"), F.count("ll").alias("known"),
                                         *[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(n)])
