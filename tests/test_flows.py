@@ -44,3 +44,20 @@ def test_printed_lines(spark):
     assert gen.startswith("Generate 20 questions for Data Explanation. ") and "q1\nq2" in gen and "range from Age 1 to 5" in gen
     rec = spark.range(1).select(pr.inference_prompt(F.lit("Do."), F.lit(" why ")), pr.inference_prompt(F.lit("Do."), F.lit("why"), F.lit("A"))).first()
     assert rec[0] == "### System:\nDo.\n\n### User:\nwhy\n\n### Response:\n\n\n" and "### Response:\nA\n" in rec[1]
+
+
+def test_delegate_runs_groups_nothing_narrows_on_the_table(spark):
+    from whyframe.plans.catalog.explainers import ORDER_SCORE
+    from whyframe.plans.catalog.shared import CASE_COLUMNS, IMPLEMENTED, METHODS, TYPES, cases, values
+    from whyframe.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    kinds = ["Case Based Explanation", "Contrastive Explanation", "Rationale Explanation"]
+    records = spark.createDataFrame([(i, "", "Explain(OrderStatus = F)", kind) for i, kind in enumerate(kinds)], "record_id long, question string, interpretation string, explanation_type string")
+    table = cases(t).withColumn("label", F.when(F.col("OrderStatus") == "F", 1).otherwise(0))
+    methods = values(t, METHODS, "explanation_type string, instance string, modality string")
+    res, ev = flows.delegate(records, table, "case_id", CASE_COLUMNS, methods, IMPLEMENTED, ORDER_SCORE, "label", TYPES)
+    per = {(r.record_id, r.explainer): r.n for r in res.groupBy("record_id", "explainer").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {k[0] for k in per} == {0, 1, 2}
+    assert per[(0, "run_protodash")] == 5 and per[(1, "run_shap")] == len(ORDER_SCORE.features) and per[(2, "run_rulexai")] == 1
+    assert {r.metric for r in ev.select("metric").distinct().collect()} >= {"Diversity", "Monotonicity", "Fidelity"}
