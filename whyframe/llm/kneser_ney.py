@@ -1,177 +1,288 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney bigram model trained on trusted text."""
+"""Quality by perplexity: an interpolated modified Kneser-Ney bigram model trained on trusted text.
+
+The vocabulary is open: every word the trusted texts hold ``min_count`` times counts for itself, so vocabulary, bigrams and model grow
+with the corpus. Rarer words fall into classes by length and shape. A word is a 64-bit number whose lowest six bits are its class.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whyframe.llm.common import scratch
+from whyframe.llm.common import crc_fold, scratch
 
-VOCABULARY = 3_000  # words with a number of their own; all others fall into classes by length and shape
-LONGEST = 48
-SMALL_SIDE = 2_000_000  # labels of one long and one flag sent to every task at most (32 MB); more are joined by a shuffle
-LANGUAGES = 10_000  # thresholds sent to every task at most; more are joined by a shuffle
+MIN_COUNT = 5
+FOLDS = 10  # one in ten trusted documents sets the thresholds, the others train the model
+SMALL_SIDE = 2_000_000  # word values sent to every task at most (24 bytes each, 48 MB); more are joined by a shuffle, with the same rows
 START, END = 0, 1
-CLASSES = 2 + 3 * 16  # start, end, and other words by shape (letters, with digits, with signs) and length up to 15
+SHAPES = 16
+CLASSES = 2 + 3 * SHAPES  # start, end, and rare words by shape (letters, with digits, with signs) and length up to 15
+MASK = 63
+TOKENS = 1_500_000  # words whose bigrams are added up before they leave a task
+DOCS = 1 << 16
 
 
-def _class(word: str) -> int:
-    core = word.strip(".,;:!?\"'()")
+def word_number(word: bytes) -> int:
+    """Signed 64-bit hash of a word with its class in the lowest six bits."""
+    text = word.decode("utf-8", "replace")
+    core = text.strip(".,;:!?\"'()")
     shape = 0 if core.isalpha() else 1 if core.isalnum() else 2
-    return 2 + 16 * shape + min(15, len(word))
+    code = (xxhash.xxh64_intdigest(word) & ~MASK) | (2 + SHAPES * shape + min(15, len(text)))
+    return code - (1 << 64) if code >> 63 else code
+
+
+class _Numbers(dict):
+    """Numbers of the words seen lately."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = code = word_number(word)
+        return code
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    def of(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _flagged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``(id, lang, text, trusted)``; ``trusted`` has the ids of trusted documents."""
-    good = trusted.select(F.col(id_col).alias("_id"), F.lit(True).alias("trusted")).dropDuplicates(["_id"])
-    good = F.broadcast(good) if trusted.count() <= SMALL_SIDE else good
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.join(good, rows["id"] == good["_id"], "left").select("id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
+    for b in batches:
+        for i, text in enumerate(b.column("text").cast(pa.binary())):
+            yield b, i, text.as_py()
 
 
-def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Numbers of the most frequent words of the trusted texts, after those of the classes."""
+def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """``(h)``: numbers of the words that ``texts (text)`` hold at least ``min_count`` times."""
 
     def count(batches):
-        seen: Counter = Counter()
+        numbers, held, size = _Numbers(), [], 0
 
         def flush():
-            got = [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], ["w", "n"])
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-        for b in batches:
-            for text in b.column("text").cast(pa.binary()):
-                seen.update(_words(text.as_py()))
-                if len(seen) > 400_000:
-                    yield flush()
-        yield flush()
-
-    top = rows.where("trusted").select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return {bytes(r[0]): CLASSES + i for i, r in enumerate(top.collect())}
-
-
-def _numbers(known: dict[bytes, int]):
-    """Function from a text to its word numbers between start and end; classes of other words are remembered, up to a bound."""
-    other: dict[bytes, int] = {}
-
-    def of(text: bytes) -> np.ndarray:
-        ids = [START]
-        for w in _words(text):
-            k = known.get(w)
-            if k is None:
-                k = other.get(w)
-                if k is None:
-                    if len(other) > 300_000:
-                        other.clear()
-                    k = other[w] = _class(w.decode("utf-8", "replace"))
-            ids.append(k)
-        ids.append(END)
-        return np.array(ids, np.int64)
-
-    return of
-
-
-def bigrams(rows: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """``(u, w, c)``: how often word number ``w`` follows ``u`` in all texts, added up by batch before the shuffle."""
-    sent = rows.sparkSession.sparkContext.broadcast(known)
-    width = CLASSES + len(known)
+        for _, _, text in _texts(batches):
+            held.append(numbers.of(text))
+            size += len(held[-1])
+            if size > 2 * TOKENS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    def pairs(batches):
-        number = _numbers(sent.value)
-        for b in batches:
-            codes = [seq[:-1] * width + seq[1:] for seq in (number(t.as_py()) for t in b.column("text").cast(pa.binary()))]
-            if codes:
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n.astype(np.int64))], ["u", "w", "c"])
+    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h")
 
-    return rows.select("text").mapInArrow(pairs, "u int, w int, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
+def _sequences(batches, known: np.ndarray | None):
+    """Texts as symbols between start and end; with ``known`` (sorted) rare words are already their classes."""
+    numbers = _Numbers()
+    for b, i, text in _texts(batches):
+        h = numbers.of(text)
+        if known is not None and len(h):
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            h = np.where(known[at] == h, h, h & MASK) if len(known) else h & MASK
+        yield b, i, np.concatenate(([START], h, [END]))
 
-def log_probability(grams: DataFrame, counts: DataFrame, width: int) -> DataFrame:
-    """``grams`` with ``lp``, the natural log of the smoothed probability of ``w`` after ``u``.
 
-    ``counts (u, w, c)``. Discounts for counts of one, two and more come from the counts of counts; what they take from a context goes
-    to the number of contexts a word continues, which falls back to the even distribution over ``width`` words. Tables by context and
-    by word have at most ``width`` rows and go to every task; bigram counts are joined by shuffle, sharded by their two words.
-    """
-    n1, n2, n3, n4, types = (x or 0 for x in counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)], F.count("*")).first())
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    d1, d2, d3 = (min(max(x, 0.05), cap) for x, cap in ((1 - 2 * y * n2 / max(n1, 1), 1.0), (2 - 3 * y * n3 / max(n2, 1), 2.0), (3 - 4 * y * n4 / max(n3, 1), 3.0)))
-    context = counts.groupBy("u").agg(F.sum("c").alias("cu"), (F.lit(d1) * F.count_if(F.expr("c = 1")) + F.lit(d2) * F.count_if(F.expr("c = 2")) + F.lit(d3) * F.count_if(F.expr("c >= 3"))).alias("mass"))
-    word = counts.groupBy("w").agg(F.count("*").alias("before"))
-    both = grams.join(counts, ["u", "w"], "left").join(F.broadcast(context), "u", "left").join(F.broadcast(word), "w", "left")
-    even = 1.0 / width
-    lower = (F.greatest(F.coalesce("before", F.lit(0)) - 0.75, F.lit(0.0)) + F.lit(0.75 * width * even)) / F.lit(float(types) + 0.75) if types else F.lit(even)
-    c = F.coalesce("c", F.lit(0))
-    cut = F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-    p = F.when(F.col("cu").isNull(), lower).otherwise((F.greatest(c - cut, F.lit(0.0)) + F.col("mass") * lower) / F.col("cu"))
-    return both.withColumn("lp", F.log(p))
+def _symbol(vocab: DataFrame, grams: DataFrame, c: str) -> DataFrame:
+    """Replace rare words of column ``c`` by their classes through a join."""
+    v = vocab.select(F.col("h").alias("_h"))
+    joined = grams.join(v, grams[c] == v["_h"], "left")
+    return joined.withColumn(c, F.when(F.col("_h").isNull(), F.col(c).bitwiseAND(F.lit(MASK))).otherwise(F.col(c))).drop("_h")
 
 
-def log_table(counts: DataFrame, width: int) -> np.ndarray:
-    """Log probability of every word after every word, ``width`` by ``width`` (37 MB at the default vocabulary, whatever the corpus).
+def bigrams(texts: DataFrame, vocab: DataFrame, small: np.ndarray | None) -> DataFrame:
+    """``(u, w, c)``: how often ``w`` follows ``u`` in all texts, added up within tasks before the shuffle.
 
-    Seen pairs come from the count join; an unseen one has what the context's discounts left times the word's lower-order probability.
+    ``small`` is the sorted vocabulary if it may go to every task; without it the vocabulary is joined.
     """
-    seen = log_probability(counts.select("u", "w"), counts, width).select("u", "w", "lp", "c", "mass", "cu", "before").toArrow()
-    u, w, lp, mass, cu, before = (seen.column(c).to_numpy() for c in ("u", "w", "lp", "mass", "cu", "before"))
-    left, lower = np.ones(width), np.zeros(width)
-    left[u] = mass / cu
-    lower[w] = np.maximum(before - 0.75, 0)
-    lower = (lower + 0.75) / (len(u) + 0.75) if len(u) else np.full(width, 1.0 / width)
-    out = (np.log(left).astype(np.float32)[:, None] + np.log(lower).astype(np.float32)[None, :])
-    out[u, w] = lp
-    return out
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id, lang, n_tokens, perplexity, trusted)`` of every row; the end of a text is scored too, so an empty text has a perplexity.
-
-    Counts are gathered and joined in shards; as the vocabulary is bounded, so is the table of all pairs, which then goes to the texts:
-    no word of a document is shuffled to be scored.
+    sent = None if small is None else texts.sparkSession.sparkContext.broadcast(small)
+
+    def pairs(batches):
+        us, ws, size = [], [], 0
+
+        def flush():
+            u, w = np.concatenate(us), np.concatenate(ws)
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+            c = np.diff(np.concatenate((first, [len(u)])))
+            return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(c.astype(np.int64))], ["u", "w", "c"])
+
+        for _, _, seq in _sequences(batches, sent and sent.value):
+            us.append(seq[:-1]), ws.append(seq[1:])
+            size += len(seq)
+            if size > TOKENS:
+                yield flush()
+                us, ws, size = [], [], 0
+        if us:
+            yield flush()
+
+    grams = texts.mapInArrow(pairs, "u long, w long, c long")
+    if small is None:
+        grams = _symbol(vocab, _symbol(vocab, grams, "u"), "w")
+    return grams.groupBy("u", "w").agg(F.sum("c").alias("c"))
+
+
+def fit(counts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Model of ``counts (u, w, c)``: ``values (h, a, b)``, ``gains (u, w, gain)`` and ``b`` of a symbol without a value.
+
+    The natural log of the probability of ``w`` after ``u`` is ``a(u) + b(w) + gain(u, w)``, where the gain is 0 for a pair not seen
+    and ``a`` is 0 for a context not seen. Discounts for counts of one, two and more come from the counts of counts; what they take
+    from a context goes to the number of contexts a word continues, which falls back to the even distribution over all symbols.
+    """
+    n1, n2, n3, n4, types = (x or 0 for x in counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)], F.count("*")).first())
+    width = vocab.count() + CLASSES
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    d1, d2, d3 = (min(max(x, 0.05), cap) for x, cap in ((1 - 2 * y * n2 / max(n1, 1), 1.0), (2 - 3 * y * n3 / max(n2, 1), 2.0), (3 - 4 * y * n4 / max(n3, 1), 3.0)))
+    cut = F.expr(f"case c when 1 then {d1!r}D when 2 then {d2!r}D else {d3!r}D end")
+    context = counts.groupBy(F.col("u").alias("h")).agg(F.log(F.sum(cut) / F.sum("c")).alias("a"), F.sum("c").alias("cu"))
+    word = counts.groupBy(F.col("w").alias("h")).agg(F.count("*").alias("before"))
+    even = 0.75 if types else 1.0
+    lower = (F.greatest(F.coalesce("before", F.lit(0)) - 0.75, F.lit(0.0)) + F.lit(even)) / F.lit(types + 0.75 if types else float(width))
+    values = scratch(context.join(word, "h", "full").select("h", F.coalesce("a", F.lit(0.0)).alias("a"), F.log(lower).alias("b"), "cu"), "word-values")
+    left, right = values.select(F.col("h").alias("u"), "a", "cu"), values.select(F.col("h").alias("w"), "b")
+    both = counts.join(left, "u").join(right, "w")
+    gain = F.log1p(F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("cu") / F.exp(F.col("a") + F.col("b")))
+    return values.select("h", "a", "b"), both.select("u", "w", gain.alias("gain")), float(np.log(0.75 / (types + 0.75)) if types else -np.log(width))
+
+
+def _requests(rows: DataFrame, known, values, unseen: float) -> DataFrame:
+    """Bigrams of the texts with the documents that hold them: ``(u, w, v, chunk, at, head)``.
+
+    ``at`` numbers documents within ``chunk`` (two bytes for each occurrence); a document's own row has ``head (id, lang, n)`` and in
+    ``v`` what its words score by themselves, if ``known`` and ``values`` are at hand. Chunks are numbered by task, so the texts' order
+    within a partition has to be the same when a task runs again, as it is for a table read from files.
     """
-    rows = _flagged(docs, trusted, id_col, text_col, lang_col)
-    known = vocabulary(rows, size)
-    counts = scratch(bigrams(rows.where("trusted"), known), "bigrams")
+    kind = dict(rows.dtypes)["id"]
     context = rows.sparkSession.sparkContext
-    sent, table = context.broadcast(known), context.broadcast(log_table(counts, CLASSES + len(known)))
+    sent = None if known is None else context.broadcast((known, *values))
+    schema = f"u long, w long, v double, chunk long, at binary, head struct<id: {kind}, lang: string, n: long>"
+    arrow = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("v", pa.float64()), ("chunk", pa.int64()), ("at", pa.binary())])
+
+    def run(batches):
+        task = TaskContext.get().partitionId() << 24
+        known, names, a, b = sent.value if sent else (None, None, None, None)
+        us, ws, docs, heads, size, chunk = [], [], [], [], 0, 0
+
+        def score(seq):
+            if names is None or not len(names):
+                return (len(seq) - 1) * unseen if names is not None else 0.0
+            at = np.minimum(np.searchsorted(names, seq), len(names) - 1)
+            hit = names[at] == seq
+            return float(np.where(hit, a[at], 0.0)[:-1].sum() + np.where(hit, b[at], unseen)[1:].sum())
 
-    def score(batches):
-        number, lp = _numbers(sent.value), table.value
+        def flush():
+            u, w, d = np.concatenate(us), np.concatenate(ws), np.repeat(np.arange(len(docs)), docs).astype("<u2")
+            order = np.lexsort((w, u))
+            u, w, d = u[order], w[order], d[order]
+            first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+            ends = np.concatenate((first, [len(u)])).astype(np.int32) * 2
+            at = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(d.tobytes())])
+            n = len(first)
+            grams = [pa.array(u[first]), pa.array(w[first]), pa.array(np.zeros(n)), pa.array(np.full(n, task | chunk)), at]
+            own = np.arange(len(heads))
+            # A document's own row has no bigram to look up: its key is spread by its place.
+            mine = [pa.array(np.full(len(own), -1)), pa.array(own + ((task | chunk) << 16)), pa.array([h[3] for h in heads], pa.float64()), pa.array(np.full(len(own), task | chunk)),
+                    pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * 2).astype(np.int32)), pa.py_buffer(own.astype("<u2").tobytes())])]
+            head_type = pa.struct([("id", id_type), ("lang", pa.string()), ("n", pa.int64())])
+            none = pa.nulls(n, head_type)
+            some = pa.array([{"id": h[0], "lang": h[1], "n": h[2]} for h in heads], head_type)
+            whole = pa.schema([*arrow, pa.field("head", head_type)])
+            yield pa.RecordBatch.from_arrays([*grams, none], schema=whole)
+            yield pa.RecordBatch.from_arrays([*mine, some], schema=whole)
+
+        for batch, i, seq in _sequences(batches, known):
+            id_type = batch.column("id").type
+            us.append(seq[:-1]), ws.append(seq[1:]), docs.append(len(seq) - 1)
+            heads.append((batch.column("id")[i].as_py(), batch.column("lang")[i].as_py(), len(seq) - 2, score(seq)))
+            size += len(seq)
+            if size > TOKENS or len(docs) == DOCS:
+                yield from flush()
+                us, ws, docs, heads, size, chunk = [], [], [], [], 0, chunk + 1
+        if docs:
+            yield from flush()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sums(rows: DataFrame, kind: str) -> DataFrame:
+    """``(k, s, seen, id, lang, n)``: what bigrams add to each document, added up by batch."""
+
+    def run(batches):
         for b in batches:
-            n, ppl = [], []
-            for text in b.column("text").cast(pa.binary()):
-                seq = number(text.as_py())
-                n.append(len(seq) - 2)
-                ppl.append(float(np.exp(-lp[seq[:-1], seq[1:]].mean(dtype=np.float64))))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(n, pa.int64()), pa.array(ppl, pa.float64()), b.column("trusted")],
-                                             ["id", "lang", "n_tokens", "perplexity", "trusted"])
-
-    return rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, lang string, n_tokens long, perplexity double, trusted boolean")
-
-
-def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin: float = 1.1, size: int = VOCABULARY,
-                          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+            chunk, v = b.column("chunk").to_numpy(), b.column("v").to_numpy()
+            at = b.column("at").cast(pa.binary())
+            size = np.diff(np.frombuffer(at.buffers()[1], np.int32)[at.offset:at.offset + len(at) + 1]) // 2 if len(at) else np.zeros(0, int)
+            docs = np.frombuffer(b"".join(at.to_pylist()), "<u2").astype(np.int64)
+            head = b.column("head")
+            own = head.is_valid().to_numpy(zero_copy_only=False)
+            k, place = np.unique((np.repeat(chunk, size) << 16) | docs, return_inverse=True)
+            s = np.bincount(place, np.repeat(v, size), len(k))
+            seen = np.bincount(place, np.repeat(~own, size), len(k)).astype(np.int64)
+            n = len(k)
+            names, lang, tokens = head.flatten()
+            mine = np.flatnonzero(own)
+            out = ["k", "s", "seen", "id", "lang", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(seen), pa.nulls(n, names.type), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], out)
+            keys = (chunk[mine] << 16) | np.array([int.from_bytes(at[int(i)].as_py(), "little") for i in mine], np.int64)
+            zero = np.zeros(len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(zero), pa.array(zero.astype(np.int64)), names.take(pa.array(mine)), lang.take(pa.array(mine)).cast(pa.string()), tokens.take(pa.array(mine))], out)
+
+    return rows.mapInArrow(run, f"k long, s double, seen long, id {kind}, lang string, n long")
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                 min_count: int = MIN_COUNT, small_side: int = SMALL_SIDE) -> DataFrame:
+    """``(id, lang, n_tokens, perplexity)`` of every row; the end of a text is scored too, so an empty text has a perplexity.
+
+    The model is trained on the documents whose ids ``trusted`` has. Counts are joined in shards: each task adds up the bigrams of its
+    texts, asks for the gain of each once, and the answers go back to the documents as sums. A frequent bigram is one row a chunk.
+    """
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    good = rows.join(trusted.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").select("text")
+    vocab = scratch(vocabulary(good, min_count), "vocabulary")
+    fits = vocab.count() <= small_side
+    known = np.sort(vocab.toArrow().column("h").to_numpy()) if fits else None
+    counts = scratch(bigrams(good, vocab, known), "bigrams")
+    values, gains, unseen = fit(counts, vocab)
+    gains = scratch(gains.select(F.xxhash64("u", "w").alias("g"), F.col("gain").cast("float")), "gains")
+    table = None
+    if fits:
+        sent = values.orderBy("h").toArrow()
+        table = [sent.column(c).to_numpy() for c in ("h", "a", "b")]
+    asked = _requests(rows, known, table, unseen)
+    if not fits:
+        asked = _symbol(vocab, _symbol(vocab, asked, "u"), "w")
+        left, right = values.select(F.col("h").alias("u"), "a"), values.select(F.col("h").alias("w"), "b")
+        asked = asked.join(left, "u", "left").join(right, "w", "left").withColumn("v", F.when(F.col("head").isNull(), F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(unseen))).otherwise(F.col("v")))
+    asked = asked.select(F.xxhash64("u", "w").alias("g"), "v", "chunk", "at", "head")
+    told = asked.join(gains, "g", "left").select((F.col("v") + F.coalesce(F.when(F.col("head").isNull(), F.col("gain")), F.lit(0.0))).alias("v"), "chunk", "at", "head")
+    per = _sums(told, dict(rows.dtypes)["id"]).groupBy("k").agg(F.sum("s").alias("s"), F.sum("seen").alias("seen"), F.max("id").alias("id"), F.max("lang").alias("lang"), F.max("n").alias("n"))
+    whole = F.when(F.col("seen") == F.col("n") + 1, F.exp(-F.col("s") / F.col("seen"))).otherwise(F.raise_error(F.lit("texts changed their order between runs of a task")))
+    return per.select("id", "lang", F.col("n").alias("n_tokens"), whole.cast("double").alias("perplexity"))
+
+
+def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, margin: float = 1.1, min_count: int = MIN_COUNT, folds: int = FOLDS,
+                          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", small_side: int = SMALL_SIDE) -> DataFrame:
     """``(id_col, lang, n_tokens, perplexity, threshold, kept)`` of every row.
 
-    A document stays if its perplexity is at most ``margin`` times the ``quantile`` of the trusted documents of its language; a language
-    without trusted documents takes that of all. Without any trusted text nothing can be judged and all stays (threshold null).
-    Null texts are empty, a null language is a language of its own, repeated rows are scored alike.
+    Of the trusted documents, one in ``folds`` (by a hash of its id) isn't trained on but sets the thresholds. A document stays if its
+    perplexity is at most ``margin`` times the ``quantile`` of those of its language; a language without any takes that of all, and
+    without any at all nothing can be judged and all stays (threshold null). Null texts are empty, a null language is a language of
+    its own, repeated rows are scored alike.
     """
-    per = scratch(perplexities(docs, trusted, size, id_col, text_col, lang_col), "perplexities")
+    good = trusted.select(F.col(id_col)).distinct()
+    per = scratch(perplexities(docs, good.where(crc_fold(F.col(id_col), folds) != 0), id_col, text_col, lang_col, min_count, small_side), "perplexities")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * margin
-    good = per.where("trusted")
-    overall = good.agg(limit).first()[0]
-    cuts = scratch(good.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_cut")), "language-cuts")
-    cuts = F.broadcast(cuts) if cuts.count() <= LANGUAGES else cuts
+    judges = per.join(good.where(crc_fold(F.col(id_col), folds) == 0).select(F.col(id_col).alias("id")), "id", "left_semi")
+    cuts = scratch(judges.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_cut")), "language-cuts")
+    overall = judges.agg(limit).first()[0]
     both = per.join(cuts, per["lang"] == cuts["_lang"], "left").withColumn("threshold", F.coalesce("_cut", F.lit(overall).cast("double")))
     return both.select(F.col("id").alias(id_col), "lang", "n_tokens", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
