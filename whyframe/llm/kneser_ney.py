@@ -24,7 +24,7 @@ START, END = 0, 1
 SHAPES = 16
 CLASSES = 2 + 3 * SHAPES  # start, end, and rare words by shape (letters, with digits, with signs) and length up to 15
 MASK = 63
-TOKENS = 1_500_000  # words whose bigrams are added up before they leave a task
+TOKENS = 3_000_000  # words whose bigrams are added up before they leave a task
 DOCS = 1 << 16
 
 
@@ -57,6 +57,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield b, i, text.as_py()
 
 
+def _together(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Order in which equal pairs stand side by side; two pairs that share a mixed key may cut a run in two, which adds up later."""
+    return np.argsort(u * np.int64(0x1E3779B97F4A7C15) + w)
+
+
 def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """``(h)``: numbers of the words that ``texts (text)`` hold at least ``min_count`` times."""
 
@@ -70,7 +75,7 @@ def vocabulary(texts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         for _, _, text in _texts(batches):
             held.append(numbers.of(text))
             size += len(held[-1])
-            if size > 2 * TOKENS:
+            if size > TOKENS:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -109,7 +114,7 @@ def bigrams(texts: DataFrame, vocab: DataFrame, small: np.ndarray | None) -> Dat
 
         def flush():
             u, w = np.concatenate(us), np.concatenate(ws)
-            order = np.lexsort((w, u))
+            order = _together(u, w)
             u, w = u[order], w[order]
             first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
             c = np.diff(np.concatenate((first, [len(u)])))
@@ -130,7 +135,7 @@ def bigrams(texts: DataFrame, vocab: DataFrame, small: np.ndarray | None) -> Dat
     return grams.groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+def fit(counts: DataFrame, vocab: DataFrame, small_side: int = SMALL_SIDE) -> tuple[DataFrame, DataFrame, float]:
     """Model of ``counts (u, w, c)``: ``values (h, a, b)``, ``gains (u, w, gain)`` and ``b`` of a symbol without a value.
 
     The natural log of the probability of ``w`` after ``u`` is ``a(u) + b(w) + gain(u, w)``, where the gain is 0 for a pair not seen
@@ -147,7 +152,8 @@ def fit(counts: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame, floa
     even = 0.75 if types else 1.0
     lower = (F.greatest(F.coalesce("before", F.lit(0)) - 0.75, F.lit(0.0)) + F.lit(even)) / F.lit(types + 0.75 if types else float(width))
     values = scratch(context.join(word, "h", "full").select("h", F.coalesce("a", F.lit(0.0)).alias("a"), F.log(lower).alias("b"), "cu"), "word-values")
-    left, right = values.select(F.col("h").alias("u"), "a", "cu"), values.select(F.col("h").alias("w"), "b")
+    side = F.broadcast(values) if width <= small_side else values
+    left, right = side.select(F.col("h").alias("u"), "a", "cu"), side.select(F.col("h").alias("w"), "b")
     both = counts.join(left, "u").join(right, "w")
     gain = F.log1p(F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("cu") / F.exp(F.col("a") + F.col("b")))
     return values.select("h", "a", "b"), both.select("u", "w", gain.alias("gain")), float(np.log(0.75 / (types + 0.75)) if types else -np.log(width))
@@ -180,7 +186,7 @@ def _requests(rows: DataFrame, known, values, unseen: float) -> DataFrame:
 
         def flush():
             u, w, d = np.concatenate(us), np.concatenate(ws), np.repeat(np.arange(len(docs)), docs).astype("<u2")
-            order = np.lexsort((w, u))
+            order = _together(u, w)
             u, w, d = u[order], w[order], d[order]
             first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
             ends = np.concatenate((first, [len(u)])).astype(np.int32) * 2
@@ -251,8 +257,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     fits = vocab.count() <= small_side
     known = np.sort(vocab.toArrow().column("h").to_numpy()) if fits else None
     counts = scratch(bigrams(good, vocab, known), "bigrams")
-    values, gains, unseen = fit(counts, vocab)
-    gains = scratch(gains.select(F.xxhash64("u", "w").alias("g"), F.col("gain").cast("float")), "gains")
+    values, gains, unseen = fit(counts, vocab, small_side)
+    gains = gains.select(F.xxhash64("u", "w").alias("g"), F.col("gain").cast("float"))
     table = None
     if fits:
         sent = values.orderBy("h").toArrow()
