@@ -19,7 +19,7 @@ from whyframe.llm.common import crc_fold, scratch
 
 MIN_COUNT = 5
 FOLDS = 10  # one in ten trusted documents sets the thresholds, the others train the model
-SMALL_SIDE = 2_000_000  # word values sent to every task at most (24 bytes each, 48 MB); more are joined by a shuffle, with the same rows
+SMALL_SIDE = 2_000_000  # word values (24 bytes each, 48 MB) and trusted ids sent to every task at most; more are joined by a shuffle, with the same rows
 START, END = 0, 1
 SHAPES = 16
 CLASSES = 2 + 3 * SHAPES  # start, end, and rare words by shape (letters, with digits, with signs) and length up to 15
@@ -252,7 +252,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     texts, asks for the gain of each once, and the answers go back to the documents as sums. A frequent bigram is one row a chunk.
     """
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    good = rows.join(trusted.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").select("text")
+    ids = trusted.select(F.col(id_col).alias("id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= small_side else ids
+    good = rows.join(ids, "id", "left_semi").select("text")
     vocab = scratch(vocabulary(good, min_count), "vocabulary")
     fits = vocab.count() <= small_side
     known = np.sort(vocab.toArrow().column("h").to_numpy()) if fits else None
