@@ -57,11 +57,16 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def mix(c: Column, seed: int) -> Column:
-    """Arithmetic hash of an integer id into 0..10006, the same in every SQL engine."""
-    return F.pmod(F.pmod(c.cast("long"), F.lit(1000003)) * 7919 + F.lit(seed), F.lit(10007))
+    """Arithmetic hash of an integer id into ``0..MIX_RANGE - 1``, the same in every SQL engine.
 
+    Two residues by different moduli, so that ids agree in both only about once in 10^15.
+    """
+    high = F.pmod(F.pmod(c.cast("long"), F.lit(1000003)) * 7919 + F.lit(seed), F.lit(10007))
+    low = F.pmod(F.pmod(c.cast("long"), F.lit(998244353)) * 48271 + F.lit(seed), F.lit(10009))
+    return high * 10009 + low
 
-MIX_RANGE = 10007
+
+MIX_RANGE = 10007 * 10009
 
 
 def unpivot_numeric(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whyframe.core import mix
+from whyframe.core import MIX_RANGE, mix
 from whyframe.functions.text import let
 from whyframe.operators.ranking import hash_rank
 
@@ -102,7 +102,7 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 
 def seeded_sample_repl(df: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     """``k`` draws with replacement, each by its own hash: one aggregate of ``k`` running minima."""
-    draws = df.agg(*[F.min(F.struct(mix(F.pmod(F.col(id_col).cast("long"), F.lit(1000003)) * (j + 1), seed + j), F.col(id_col).alias("id"))).alias(f"d{j}")
+    draws = df.agg(*[F.min(F.struct(mix(F.pmod(F.col(id_col).cast("long"), F.lit(1000000007)) * (j + 1), seed + j), F.col(id_col).alias("id"))).alias(f"d{j}")
                      for j in range(k)])
     return draws.select(F.posexplode(F.array(*[F.col(f"d{j}.id") for j in range(k)])).alias("draw", id_col)).select(
         F.col("draw").cast("long").alias("draw"), id_col)
@@ -115,7 +115,7 @@ def batches(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
 
 def hash_split(df: DataFrame, id_col: str, fraction: float, seed: int) -> DataFrame:
     """Add ``part`` = test for about ``fraction`` of the rows, else train."""
-    cut = int(round(fraction * 10007))
+    cut = int(round(fraction * MIX_RANGE))
     return df.withColumn("part", F.when(mix(F.col(id_col), seed) < cut, "test").otherwise("train"))
 
 

@@ -82,7 +82,7 @@ def feature_stages(df: DataFrame, y: str, ignore: list[str] | None = None):
     return stages + [VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def candidates(y: str, trees: int = 20, seed: int = 30) -> dict[int, tuple[str, object]]:
+def candidates(y: str, trees: int = 100, seed: int = 30) -> dict[int, tuple[str, object]]:
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 
     return {
@@ -92,7 +92,7 @@ def candidates(y: str, trees: int = 20, seed: int = 30) -> dict[int, tuple[str,
     }
 
 
-def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = None, trees: int = 20,
+def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = None, trees: int = 100,
                test_fraction: float = 0.3, seed: int = 7):
     """Fit the chosen models on the train part; returns their fitted pipelines and a report frame."""
     from functools import reduce
@@ -117,7 +117,7 @@ def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = Non
     return fitted, report
 
 
-def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int] | None = None, trees: int = 20,
+def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int] | None = None, trees: int = 100,
                 seed: int = 7, parallelism: int = 4) -> DataFrame:
     """Stratified k-fold accuracy: ``(model_no, mean_score, std_score)``.
 

@@ -47,14 +47,14 @@ def fit_models(t):
 
 @query("cv_accuracy")
 def cv_accuracy(t):
-    return ml.cv_accuracy(customer_cases(t), "outcome", "c_custkey", k=5, which=[1, 2])
+    return ml.cv_accuracy(customer_cases(t), "outcome", "c_custkey")
 
 
 @query("best_model_flow")
 def best_model_flow(t):
     """The best of the candidates, refitted on all rows and applied to them."""
     data = customer_cases(t)
-    model, _ = ml.best_model_flow(data, "outcome", "c_custkey", which=[1, 2])
+    model, _ = ml.best_model_flow(data, "outcome", "c_custkey")
     return model.transform(data).select("c_custkey", "outcome", "prediction")
 
 

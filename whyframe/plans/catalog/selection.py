@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from whyframe.core import MIX_RANGE
 from whyframe.operators import frames as fr
 from whyframe.operators.interpretations import long_groups, parse_interpretations, usable
 from whyframe.operators.nearest import nearest_cases as pick_nearest, nearest_unlike, whole_table_groups
@@ -99,8 +100,8 @@ def outcome_counts(t):
     return fr.outcome_counts(t.labels, "quality")
 
 
-def mix_sql(col: str, seed: int) -> str:
-    return f"((({col} % 1000003) * 7919 + {seed}) % 10007)"
+def mix_sql(col: str, seed: int | str) -> str:
+    return f"(((({col}) % 1000003) * 7919 + {seed}) % 10007 * 10009 + ((({col}) % 998244353) * 48271 + {seed}) % 10009)"
 
 
 @query("seeded_sample", f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {mix_sql('o_orderkey', 5)}, o_orderkey LIMIT 15")
@@ -110,7 +111,7 @@ def seeded_sample(t):
 
 @query("seeded_sample_repl", f"""
     SELECT draw, o_orderkey FROM (SELECT j AS draw, o_orderkey, row_number() OVER (
-      PARTITION BY j ORDER BY ((o_orderkey % 1000003) * (j + 1) % 1000003 * 7919 + 3 + j) % 10007, o_orderkey) AS rn FROM orders, range(10) r(j)) WHERE rn = 1""")
+      PARTITION BY j ORDER BY {mix_sql('(o_orderkey % 1000000007) * (j + 1)', '3 + j')}, o_orderkey) AS rn FROM orders, range(10) r(j)) WHERE rn = 1""")
 def seeded_sample_repl(t):
     return fr.seeded_sample_repl(t.orders.select("o_orderkey"), "o_orderkey", 10, 3)
 
@@ -121,13 +122,13 @@ def batch_assign(t):
     return fr.batches(t.orders.select("o_orderkey"), "o_orderkey", 2, 9)
 
 
-@query("hash_split", f"SELECT o_orderkey, CASE WHEN {mix_sql('o_orderkey', 7)} < 3002 THEN 'test' ELSE 'train' END AS part FROM orders")
+@query("hash_split", f"SELECT o_orderkey, CASE WHEN {mix_sql('o_orderkey', 7)} < {round(0.3 * MIX_RANGE)} THEN 'test' ELSE 'train' END AS part FROM orders")
 def hash_split(t):
     return fr.hash_split(t.orders.select("o_orderkey"), "o_orderkey", 0.3, 7)
 
 
 @query("corpus_split", f"""
-    SELECT part, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, CASE WHEN {mix_sql('doc_id', 1)} < 2001 THEN 'test' ELSE 'train' END AS part FROM documents) GROUP BY part""")
+    SELECT part, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, CASE WHEN {mix_sql('doc_id', 1)} < {round(0.2 * MIX_RANGE)} THEN 'test' ELSE 'train' END AS part FROM documents) GROUP BY part""")
 def corpus_split(t):
     return fr.hash_split(t.documents.select("doc_id"), "doc_id", 0.2, 1).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
