@@ -6,12 +6,10 @@ from whyframe.operators import similarity as sim
 from whyframe.plans.catalog.shared import PAIRS_SQL, turn_pairs
 from whyframe.plans.registry import query
 
-# edit distances of the SQL engine count bytes, so both sides get plain ASCII texts
-ASCII = "regexp_replace({c}, '[^\\x00-\\x7F]', '?', 'g')"
-
-
-def ascii_only(name):
-    return F.regexp_replace(name, r"[^\x00-\x7F]", "?").alias(name)
+# The SQL engine's edit distances count bytes: its side gives each accented letter a control character of its own, one to one.
+LETTERS = "ÀÁÂÄÇÈÉÊÍÑÓÖÜßàáâäçèéêíñóöúü"
+CODES = "".join(chr(i) for i in range(1, 32) if chr(i) not in "\t\n\r")[:len(LETTERS)]
+BYTEWISE = f"translate({{c}}, '{LETTERS}', '{CODES}')"
 
 
 TOK = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
@@ -31,9 +29,9 @@ def tfidf_pair_cosine(t):
 @query("levenshtein_pairs", f"""
     SELECT pair_id, CAST(levenshtein(asked, answered) AS BIGINT) AS distance,
       round(1 - levenshtein(asked, answered) / greatest(length(asked), length(answered)), 6) AS similarity
-    FROM (SELECT pair_id, {ASCII.format(c='asked')} AS asked, {ASCII.format(c='answered')} AS answered FROM {PAIRS_SQL})""")
+    FROM (SELECT pair_id, {BYTEWISE.format(c='asked')} AS asked, {BYTEWISE.format(c='answered')} AS answered FROM {PAIRS_SQL})""")
 def levenshtein_pairs(t):
-    pairs = turn_pairs(t).select("pair_id", ascii_only("asked"), ascii_only("answered"))
+    pairs = turn_pairs(t).select("pair_id", "asked", "answered")
     return sim.levenshtein_pairs(pairs, "asked", "answered").select("pair_id", "distance", F.round("similarity", 6).alias("similarity"))
 
 
@@ -47,8 +45,8 @@ def jaro_winkler_pairs(t):
 
 
 @query("similar_questions", f"""
-    WITH q AS (SELECT conv_id * 100000 + turn AS qid, {ASCII.format(c='text')} AS text FROM conversations WHERE role = 'user'),
-    ps AS (SELECT item_id, {ASCII.format(c='text')} AS text FROM benchmark),
+    WITH q AS (SELECT conv_id * 100000 + turn AS qid, text FROM conversations WHERE role = 'user'),
+    ps AS (SELECT item_id, text FROM benchmark),
     qt AS (SELECT qid, t, count(*) AS c FROM (SELECT qid, unnest({TOK.format(c='text')}) AS t FROM q) GROUP BY ALL),
     bt AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({TOK.format(c='text')}) AS t FROM ps) GROUP BY ALL),
     qn AS (SELECT qid, sum(c * c)::DOUBLE AS n FROM qt GROUP BY 1), bn AS (SELECT item_id, sum(c * c)::DOUBLE AS n FROM bt GROUP BY 1),
@@ -58,10 +56,10 @@ def jaro_winkler_pairs(t):
     sc AS (SELECT *, CASE WHEN na > 0 AND nb > 0 THEN d / sqrt((k * na - (k - 1) * a2) * (k * nb - (k - 1) * b2)) ELSE 0 END AS cos
            FROM (SELECT *, power(ln(1.5::DOUBLE) + 1, 2) AS k FROM al)),
     rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 9) DESC, item_id) AS rank FROM sc)
-    SELECT qid, rank, item_id AS pid, round(cos, 6) AS cosine, CAST(levenshtein(bx, qx) AS BIGINT) AS levenshtein,
-      round(jaro_winkler_similarity(bx, qx), 6) AS jaro_winkler FROM rk WHERE rank <= 5""")
+    SELECT qid, rank, item_id AS pid, round(cos, 6) AS cosine, CAST(levenshtein({BYTEWISE.format(c='bx')}, {BYTEWISE.format(c='qx')}) AS BIGINT) AS levenshtein,
+      round(jaro_winkler_similarity({BYTEWISE.format(c='bx')}, {BYTEWISE.format(c='qx')}), 6) AS jaro_winkler FROM rk WHERE rank <= 5""")
 def similar_questions(t):
     """The five closest known questions for every user turn, with all three measures."""
-    q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"), ascii_only("text"))
-    out = sim.rank_similar(q, t.benchmark.select("item_id", ascii_only("text")), "qid", "text", "item_id", "text")
+    q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"), "text")
+    out = sim.rank_similar(q, t.benchmark.select("item_id", "text"), "qid", "text", "item_id", "text")
     return out.withColumns({c: F.round(c, 6) for c in ("cosine", "jaro_winkler")})
