@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,32 +57,66 @@ def posteriors(docs: DataFrame, model: tuple[DataFrame, list[float]], id_col: st
     return both.select("id", "h", "k", F.expr("t div k").alias("tokens"), F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def rates(members: DataFrame, targets: list[float], least: float = 0.0, pull: float = 0.02, most_steps: int = 100, tolerance: float = 1e-5) -> tuple[DataFrame, list[float], list[float]]:
-    """``rate >= least`` of each document so that expected domain tokens come near their targets; with the shares before and after.
+def rates(members: DataFrame, targets: list[float], least: float = 0.0, tolerance: float = 1e-6) -> tuple[DataFrame, list[float], list[float]]:
+    """``rate >= least`` of each document so that expected domain tokens meet their targets; with the shares before and after.
 
-    Least squares 1/2 sum_d (sum_i r_i w_i p_id - T_d)^2 / T_d + pull/2 sum_i w_i (r_i - 1)^2, where w_i is the document's share of all
-    tokens, by projected gradient. In the norm weighted by w the gradient of r_i is sum_d p_id residual_d / T_d + pull (r_i - 1), so a
-    rate depends on nothing but the document's posterior and the residuals so far: a step moves as many numbers as there are domains.
-    As posteriors sum to one, the largest eigenvalue is at most max_d S_d / T_d for the shares S at rate one, which sets the step.
+    Of all rates that meet them the nearest to 1 in sum_i w_i (r_i - 1)^2, where w_i is the document's share of all tokens. With one
+    multiplier a domain they are r_i = max(least, 1 + sum_d m_d p_id), so the multipliers are the only unknowns: the dual is convex and
+    is solved by Newton steps with backtracking, one aggregate over the table each. Where targets can't be met exactly the dual has no
+    bound; it therefore gets pull / 2 sum_d T_d m_d^2, the dual of least squares over T_d, and the pull is lowered until the shares
+    are within ``tolerance`` of the targets or come no nearer.
     """
     n = len(targets)
     weight = (F.col("tokens") * F.col("k")).cast("double")
     total = members.agg(F.sum(weight)).first()[0] or 1.0
-    scale = [max(t, 1e-3) for t in targets]
-    state = members.withColumn("w", weight / F.lit(total)).withColumn("rate", F.lit(1.0))
-    share, start, last, step = [0.0] * n, [0.0] * n, None, 0.0
-    for k in range(most_steps):
-        share = [x or 0.0 for x in state.agg(*[F.sum(F.col("rate") * F.col("w") * F.col("p")[i]) for i in range(n)]).first()]
-        if not k:
-            start, step = share, 1.0 / (max([x / s for x, s in zip(share, scale, strict=True)] + [1.0]) + pull)
-        if last and max(abs(a - b) for a, b in zip(share, last, strict=True)) < tolerance:
+    goal, scale = np.array(targets, float), np.array([max(t, 1e-3) for t in targets])
+    state = members.withColumn("w", weight / F.lit(total))
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def raw(m) -> Column:
+        return sum((F.col("p")[i] * F.lit(float(m[i])) for i in range(n)), F.lit(1.0))
+
+    def measure(m) -> tuple[float, np.ndarray, np.ndarray]:
+        u, low = raw(m), F.lit(float(least))
+        held = state.select("w", "p", u.alias("u"))
+        r = F.greatest(low, F.col("u"))
+        free = F.when(F.col("u") > low, F.col("w")).otherwise(0.0)
+        value = F.when(F.col("u") > low, F.col("u") * F.col("u") / 2).otherwise(low * F.col("u") - low * low / 2)
+        row = held.agg(F.sum(F.col("w") * value), *[F.sum(r * F.col("w") * F.col("p")[i]) for i in range(n)],
+                       *[F.sum(free * F.col("p")[i] * F.col("p")[j]) for i, j in upper]).first()
+        row = [x or 0.0 for x in row]
+        curve = np.zeros((n, n))
+        for (i, j), x in zip(upper, row[1 + n:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return row[0], np.array(row[1:1 + n]), curve
+
+    m = np.zeros(n)
+    now = measure(m)
+    start, miss = now[1], math.inf
+    for power in range(2, 13):
+        pull = 10.0 ** -power
+        while True:
+            value, share, curve = now
+            slope = share - goal + pull * scale * m
+            if np.abs(slope).max() <= tolerance * scale.min() / 10:
+                break
+            step = -np.linalg.solve(curve + np.diag(pull * scale), slope)
+            here, t = value - m @ goal + pull / 2 * (scale * m * m).sum(), 1.0
+            while t > 1e-6:
+                ahead = m + t * step
+                then = measure(ahead)
+                there = then[0] - ahead @ goal + pull / 2 * (scale * ahead * ahead).sum()
+                if there <= here + 1e-4 * t * (slope @ step):
+                    break
+                t /= 2
+            else:
+                break  # no descent left at double precision
+            m, now = ahead, then
+        before, miss = miss, float((np.abs(now[1] - goal) / scale).max())
+        if miss <= tolerance or miss > 0.9 * before:
             break
-        last = share
-        inner = sum((F.col("p")[i] * F.lit((share[i] - targets[i]) / scale[i]) for i in range(n)), F.lit(0.0))
-        state = state.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - F.lit(step) * (inner + F.lit(pull) * (F.col("rate") - 1.0))))
-        if k % 8 == 7:
-            state = scratch(state, "rates")
-    return state.drop("w"), start, share
+    rated = state.withColumn("rate", F.greatest(F.lit(float(least)), raw(m)))
+    return rated.drop("w"), start.tolist(), now[1].tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, max_labelled: int = MAX_LABELLED,
@@ -102,7 +138,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least:
         now = members.agg(F.sum(weight), *[F.sum(weight * F.col("p")[i]) for i in range(len(want))]).first()
         raise_by = max(((now[i + 1] or 0.0) / (now[0] or 1.0) / t for i, t in enumerate(want) if t), default=1.0)
         want = [t * max(raise_by, 1.0) for t in want]
-    return scratch(rates(members, want, least)[0], "rates")
+    rated, _, share = rates(members, want, least)
+    for d, reached, t in zip(domains, share, want, strict=True):
+        if abs(reached - t) > 0.01 * t:
+            logging.getLogger(__name__).warning("domain %s reaches a share of %.4g of its target %.4g", d, reached, t)
+    return scratch(rated, "rates")
 
 
 def repeated(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
