@@ -2,7 +2,8 @@
 
 Exact for tokenizers that drop white space and never merge across it. Two steps lessen the number of distinct terms: A-Z are
 lower-cased when the tokenizer lower-cases anyway (not in texts with combining marks, where lower-casing before composition could
-differ), and a comma or full stop between an ASCII letter and white space is cut off.
+differ), and a comma or full stop between an ASCII letter and white space is cut off. Texts with ``<|`` take neither
+step: special tokens are matched before lower-casing.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def tokenizer(path: str):
 
 
 def terms(text: bytes) -> list[bytes]:
-    if b"\xcc" not in text and b"\xcd" not in text:
+    if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
         text = TAIL.sub(rb" \1", text.lower())
     return text.split()
 
@@ -39,8 +40,9 @@ def encode_terms(path: str, batch: list[bytes]) -> list[list[int]]:
     odd = len(mark) != 1
     for i in range(0, len(words), BATCH):
         part = words[i:i + BATCH]
-        cut: list[list[int]] = [[]]
+        cut: list[list[int]] = []
         if not odd and not any(SEPARATOR in w or "<|" in w for w in part):
+            cut.append([])
             for x in tok.encode(f" {SEPARATOR} ".join(part), add_special_tokens=False).ids:
                 if x == mark[0]:
                     cut.append([])
