@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,15 +25,26 @@ SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthles
 
 # 1, l and i are drawn alike, so all three fold to i, in terms and in texts.
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | DIGITS | {"l": "i"}).items()}
+
+
+class _Unicode(dict):
+    """``_FOLD``, with blanks for code points above ASCII that are neither letters, digits nor combining marks."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c if c < 128 or chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" else 32
+        return self[c]
+
+
+_FOLD_ALL = _Unicode(_FOLD)
 _ZERO_WIDTH = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _ASCII = bytes((ord(chr(c).lower().translate(_FOLD)) if chr(c).isalnum() or chr(c) in "@$" else 32) for c in range(128)) + bytes(range(128, 256))
 PREFIXES = range(4, 11)
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digits as letters, ASCII punctuation and white space as blanks."""
+    """Lower case, look-alikes and digits as letters, all punctuation, signs and white space as blanks."""
     if not text.isascii():
-        text = text.translate(_ZERO_WIDTH).lower().translate(_FOLD)
+        text = text.translate(_ZERO_WIDTH).lower().translate(_FOLD_ALL)
     return text.encode("utf-8", "replace").translate(_ASCII).decode()
 
 
