@@ -114,12 +114,46 @@ def rule_fidelity(rules: DataFrame, rows: DataFrame, rule_id: str, rule: str, pr
     return reduce(DataFrame.unionByName, slices)
 
 
-def cut_scores(df: DataFrame, features: list[str], y: str, bins: int = 16) -> DataFrame:
+def _value_runs(df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """``(feature, edge, nl, pl, n, p)`` with every distinct value but the smallest as edge: rows and label sum below it and of the feature.
+
+    Values are ordered in ranges; running sums within a range are raised by the sums of the ranges before it (one row a range and feature).
+    """
+    from pyspark.sql import Window
+
+    base = df.select(F.col(y).cast("long").alias("y"), *[F.col(f).cast("double").alias(f) for f in features])
+    long = base.select("y", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features]))).filter("x is not null")
+    values = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    values = values.repartitionByRange("feature", "x").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = values.groupBy("feature", "part").agg(F.sum("n").alias("n"), F.sum("pos").alias("p"))
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("feature")
+    parts = parts.select("feature", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"),
+                         F.sum("n").over(whole).alias("nn"), F.sum("p").over(whole).alias("pp"))
+    inside = Window.partitionBy("feature", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    run = values.select("feature", "part", F.col("x").alias("edge"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("nl"), F.coalesce(F.sum("pos").over(inside), F.lit(0)).alias("pl"))
+    return run.join(parts, ["feature", "part"]).select(
+        "feature", "edge", (F.col("nl") + F.col("n0")).alias("nl"), (F.col("pl") + F.col("p0")).alias("pl"), F.col("nn").alias("n"), F.col("pp").alias("p")).filter("nl > 0")
+
+
+def cut_scores(df: DataFrame, features: list[str], y: str, bins: int | None = None) -> DataFrame:
     """Coverage and precision of every one-sided cut ``f < edge`` / ``f >= edge`` for both labels.
 
-    Rows are counted per (feature, bin, label) with map-side combine; the cuts
-    are running sums over that table of ``features x bins`` rows.
+    Edges are the distinct values; rows are counted per (feature, value) and the cuts are running sums. With ``bins`` only that many
+    equal-width edges are tried, which misses the cuts of skewed features.
     """
+    run = _value_runs(df, features, y) if bins is None else _grid_runs(df, features, y, bins)
+    sides = run.select("feature", "edge", "n", F.inline(F.array(
+        *[F.struct(F.lit(side).alias("side"), F.lit(lab).cast("long").alias("label"), cov.alias("covered"), ok.alias("agreeing"))
+          for side, cov, pos in (("below", F.col("nl"), F.col("pl")), ("above", F.col("n") - F.col("nl"), F.col("p") - F.col("pl")))
+          for lab, ok in ((1, pos), (0, cov - pos))])))
+    return sides.filter("covered > 0").select(
+        "feature", "side", "edge", "label", "covered", "agreeing",
+        (F.col("agreeing") / F.col("covered")).alias("precision"), (F.col("covered") / F.col("n")).alias("coverage"))
+
+
+def _grid_runs(df: DataFrame, features: list[str], y: str, bins: int) -> DataFrame:
+    """As ``_value_runs`` with ``bins`` equal-width edges between smallest and largest value."""
     from pyspark.sql import Window
 
     spans = df.agg(F.struct(*[a for f in features for a in (
@@ -134,18 +168,11 @@ def cut_scores(df: DataFrame, features: list[str], y: str, bins: int = 16) -> Da
     hist = long.groupBy("feature", "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     w = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("feature")
-    run = hist.select(
-        "feature", (F.col("lo") + (F.col("bin") + 1) * width).alias("edge"), "bin",
+    return hist.select(
+        "feature", (F.col("lo") + (F.col("bin") + 1) * width).alias("edge"),
         F.sum("n").over(w).alias("nl"), F.sum("pos").over(w).alias("pl"),
         F.sum("n").over(whole).alias("n"), F.sum("pos").over(whole).alias("p"),
     )
-    sides = run.select("feature", "edge", "n", F.inline(F.array(
-        *[F.struct(F.lit(side).alias("side"), F.lit(lab).cast("long").alias("label"), cov.alias("covered"), ok.alias("agreeing"))
-          for side, cov, pos in (("below", F.col("nl"), F.col("pl")), ("above", F.col("n") - F.col("nl"), F.col("p") - F.col("pl")))
-          for lab, ok in ((1, pos), (0, cov - pos))])))
-    return sides.filter("covered > 0").select(
-        "feature", "side", "edge", "label", "covered", "agreeing",
-        (F.col("agreeing") / F.col("covered")).alias("precision"), (F.col("covered") / F.col("n")).alias("coverage"))
 
 
 def best_cut(scores: DataFrame, min_coverage: float = 0.05) -> DataFrame:
@@ -157,11 +184,11 @@ def best_cut(scores: DataFrame, min_coverage: float = 0.05) -> DataFrame:
     return ok.groupBy("label").agg(top.alias("t")).select("label", "t.*")
 
 
-def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None = None, max_conditions: int = 2, bins: int = 16,
+def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None = None, max_conditions: int = 2, bins: int | None = None,
                min_coverage: float = 0.02) -> DataFrame:
     """Sequential covering: take the most precise rule, drop the rows it covers, repeat while a rule reaches ``min_coverage``.
 
-    Each step is one histogram pass over the rows still uncovered; only the
+    Each step is one pass over the rows still uncovered; only the
     chosen cut (one row) reaches the driver. ``covered`` counts the rows that were still open.
     """
     spark = df.sparkSession
