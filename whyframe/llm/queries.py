@@ -13,14 +13,18 @@ from whyframe.llm.kneser_ney import quality_by_perplexity
 from whyframe.llm.line_dedup import LineIndex
 from whyframe.llm.mixing import mix
 from whyframe.llm.packing import pack
+from whyframe.llm.prefix_trie import prefix_trie
 from whyframe.llm.quality_rules import quality_rules
+from whyframe.llm.sharding import shard_documents
 from whyframe.llm.simhash import simhash_components
+from whyframe.llm.spelling import spelling_variants
 from whyframe.llm.token_counts import token_counts
 from whyframe.llm.toxicity import fit_lexicon, score_documents
 from whyframe.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 MOST_TOKENS = 2048
+SHARDS = 8
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -89,6 +93,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(_table(spark, folder, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed, _ = shard_documents(_table(spark, folder, "documents"), SHARDS)
+    return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("position").cast("long").alias("slot"),
+                         F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_near_vectors, op3_perplexity, op4_token_counts, op5_quality_rules, op6_pack,
-                                                     op7_line_dedup, op8_url_filter, op9_simhash, op10_toxicity)}
+                                                     op7_line_dedup, op8_url_filter, op9_simhash, op10_toxicity, op11_prefix_trie, op12_sharding,
+                                                     op13_spelling_variants)}
 ORACLES: dict[str, str] = {}
