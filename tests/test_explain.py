@@ -119,7 +119,7 @@ def test_rules(spark):
     assert got == {1: (2, 1, 0.25), 2: (3, 2, 0.5)}
     loose = {r.rule_id: (r.covered, r.agreeing) for r in rl.rule_fidelity(rules, rows, "rule_id", "rule", "y", strict=False).collect()}
     assert loose == {1: (2, 1), 2: (2, 2)}
-    sliced = {r.rule_id: (r.covered, r.agreeing, r.fidelity) for r in rl.rule_fidelity(rules, rows, "rule_id", "rule", "y", per_pass=1).collect()}
+    sliced = {r.rule_id: (r.covered, r.agreeing, r.fidelity) for r in rl.rule_fidelity(rules, rows, "rule_id", "rule", "y", per_block=1).collect()}
     assert sliced == got
 
 

@@ -1,8 +1,8 @@
 """Interval rules ``IF f = <lo, hi) AND … THEN label = {c}``: mining, parsing and scoring.
 
-A rule set is as large as a model, so its bounds and labels enter the plan as
-constants (in slices when there are many) and every slice is scored in one pass
-over the table with conditional counts; rules and rows are never paired.
+Rules of any number are scored through an index of their bounds, with a bit per
+rule and interval; mining sorts the values of each feature once. Rules and rows
+are never paired.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whyframe.core import ensure_checkpoint_dir
 from whyframe.functions.text import spread
 
 # Fixed value: grammar of one condition, all bracket forms.
@@ -59,59 +60,118 @@ def average_rule_length(rules: DataFrame, rule: str = "rule", by: list[str] | No
     return rules.groupBy(*(by or [])).agg(F.coalesce(F.avg(rule_length(F.col(rule))), F.lit(0.0)).alias("average_rule_length"))
 
 
-def _covers(conds: list, strict: bool) -> Column:
-    tests = []
-    for c in conds:
-        x = F.col(c["feature"]).cast("double")
-        if strict:
-            low = x >= c["lo"] if c["lo_incl"] else x > c["lo"]
-            high = x <= c["hi"] if c["hi_incl"] else x < c["hi"]
-        else:
-            low, high = x > c["lo"], x < c["hi"]
-        tests.append(low & high)
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+RULES_PER_BLOCK = 1024
+BLOCKS_PER_PASS = 32  # so at most 32,768 rules travel to the tasks at once
+
+
+def _box_index(rules, strict: bool) -> bytes:
+    """Index of one block of rules ``(label, conds)``.
+
+    Per feature the ordered bounds, which cut the line into intervals and points, and for each of them one bit a rule: whether the rule
+    allows it. The last row of a feature's bits stands for a missing value, which only rules without a condition on it allow.
+    """
+    import pickle
+
+    import numpy as np
+
+    conds = [(i, c["feature"], c["lo"], c["lo_incl"], c["hi"], c["hi_incl"]) for i, cs in enumerate(rules["conds"]) for c in (cs if cs is not None else [])]
+    boxes = {}
+    for feature in sorted({c[1] for c in conds}):
+        mine = [c for c in conds if c[1] == feature]
+        bounds = np.unique([v for c in mine for v in (c[2], c[4]) if v is not None and not np.isnan(v)])
+        allowed = np.ones((2 * len(bounds) + 2, len(rules)), bool)
+        for i, _, lo, lo_incl, hi, hi_incl in mine:
+            # place 2k + 1 is the bound k, place 2k the interval before it
+            ok = np.zeros(2 * len(bounds) + 1, bool)
+            if not any(v is None or np.isnan(v) for v in (lo, hi)):  # a bound that is no number allows nothing
+                first = 2 * int(np.searchsorted(bounds, lo)) + (1 if strict and lo_incl else 2)
+                last = 2 * int(np.searchsorted(bounds, hi)) + (1 if strict and hi_incl else 0)
+                ok[first:last + 1] = True
+            allowed[:-1, i] &= ok
+            allowed[-1, i] = False
+        boxes[feature] = bounds, np.packbits(allowed, axis=1)
+    return pickle.dumps((boxes, [None if x is None else str(x) for x in rules["label"]]))
+
+
+def _score_batch(boxes, labels, columns, said, counts) -> None:
+    """Add to ``counts`` (covered, agreeing) per rule of a block, for one batch of rows."""
+    import numpy as np
+
+    rows = len(said)
+    hit = np.full((rows, (len(labels) + 7) // 8), 255, np.uint8)
+    for feature, (bounds, bits) in boxes.items():
+        x = columns[feature]
+        at = np.searchsorted(bounds, x)
+        if len(bounds):
+            at = 2 * at + (bounds[np.minimum(at, len(bounds) - 1)] == x)
+        hit &= bits[np.where(np.isnan(x), len(bits) - 1, at)]
+    for value in set(said):
+        covered = np.unpackbits(hit[said == value], axis=1, count=len(labels)).sum(axis=0, dtype=np.int64)
+        counts[0] += covered
+        counts[1] += np.where([x == value for x in labels], covered, 0)
 
 
 def rule_fidelity(rules: DataFrame, rows: DataFrame, rule_id: str, rule: str, prediction: str, strict: bool = True,
-                  per_pass: int = 100) -> DataFrame:
+                  per_block: int = RULES_PER_BLOCK) -> DataFrame:
     """``(rule_id, covered, agreeing, fidelity)``: share of all rows a rule covers with its own label.
 
-    ``strict=False`` uses open bounds and ignores half-open-below intervals.
-    Rules are read in slices of ``per_pass``; each slice is one pass of
-    conditional counts over the rows, so a rule set of any size is scored whole.
+    ``strict=False`` uses open bounds and ignores half-open-below intervals. A row without a value (null or NaN) meets no condition on it.
+    Rules are dealt into blocks, each with an index of its boxes; the rows are read once for ``BLOCKS_PER_PASS`` blocks, every batch is
+    looked up in all of them, and only counts per rule leave a task. Rules and rows are never paired.
     """
+    import pickle
+
+    spark = rows.sparkSession
     parsed = rule_conditions(rules.select(rule_id, rule), rule, strict)
-    conds = F.collect_list(F.struct("cond_idx", "feature", "lo", "lo_incl", "hi", "hi_incl"))
-    per_rule = (
-        rules.select(F.col(rule_id), rule_label(F.col(rule)).alias("label"))
-        .join(parsed.groupBy(rule_id).agg(F.array_sort(conds).alias("conds")), rule_id, "left")
-        .orderBy(rule_id)
-    )
-    slices: list[DataFrame] = []
-    batch: list = []
-
-    def score(part: list) -> DataFrame:
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, r in enumerate(part):
-            hit = _covers(r["conds"] or [], strict)
-            aggs += [F.count_if(hit).alias(f"c{i}"),
-                     F.count_if(hit & (F.col(prediction).cast("string") == F.lit(r["label"]))).alias(f"a{i}")]
-        one = rows.agg(*aggs)
-        return one.select(F.inline(F.array(*[F.struct(
-            F.lit(r[rule_id]).cast(rules.schema[rule_id].dataType).alias(rule_id), F.col(f"c{i}").alias("covered"), F.col(f"a{i}").alias("agreeing"),
-            F.when(F.col("n") > 0, F.col(f"a{i}") / F.col("n")).otherwise(F.lit(0.0)).alias("fidelity"))
-            for i, r in enumerate(part)])))
-
-    for r in per_rule.toLocalIterator():
-        batch.append(r)
-        if len(batch) == per_pass:
-            slices.append(score(batch))
-            batch = []
-    if batch:
-        slices.append(score(batch))
-    if not slices:
-        return rows.sparkSession.createDataFrame([], f"{rule_id} {rules.schema[rule_id].dataType.simpleString()}, covered long, agreeing long, fidelity double")
-    return reduce(DataFrame.unionByName, slices)
+    conds = F.array_sort(F.collect_list(F.struct("cond_idx", "feature", "lo", "lo_incl", "hi", "hi_incl"))).alias("conds")
+    per_rule = rules.select(F.col(rule_id).alias("id"), rule_label(F.col(rule)).alias("label")).join(
+        parsed.groupBy(F.col(rule_id).alias("id")).agg(conds), "id", "left")
+    total = rules.count()
+    blocks = max(1, -(-total // per_block))
+    kind = rules.schema[rule_id].dataType.simpleString()
+
+    def index(pdf):
+        import pandas as pd
+
+        pdf = pdf.reset_index(drop=True)
+        return pd.DataFrame({"block": pdf["block"][:1], "ids": [pdf["id"].tolist()], "box": [_box_index(pdf, strict)]})
+
+    ensure_checkpoint_dir(spark)
+    indexed = per_rule.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(
+        index, f"block long, ids array<{kind}>, box binary").checkpoint()
+    features = sorted(r[0] for r in parsed.select("feature").distinct().collect())  # columns of the table
+    narrow = rows.select(F.col(prediction).cast("string").alias("_said"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    kept = "block long, place int, covered long, agreeing long"
+    found = []
+    for low in range(0, blocks, BLOCKS_PER_PASS):
+        part = indexed.where((F.col("block") >= low) & (F.col("block") < low + BLOCKS_PER_PASS)).select("block", "box")
+        sent = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in part.collect()})
+
+        def score(batches, sent=sent):
+            import numpy as np
+            import pyarrow as pa
+
+            boxes = {b: pickle.loads(x) for b, x in sent.value.items()}
+            counts = {b: np.zeros((2, len(labels)), np.int64) for b, (_, labels) in boxes.items()}
+            seen = 0
+            for batch in batches:
+                seen += batch.num_rows
+                said = np.array(batch.column("_said").to_pylist(), object)
+                columns = {f: batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features}
+                for b, (box, labels) in boxes.items():
+                    _score_batch(box, labels, columns, said, counts[b])
+            for b, (covered, agreeing) in counts.items():
+                n = len(covered)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b)), pa.array(np.arange(n), pa.int32()), pa.array(covered), pa.array(agreeing)], ["block", "place", "covered", "agreeing"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0], pa.int32()), pa.array([seen]), pa.array([0])], ["block", "place", "covered", "agreeing"])
+
+        found.append(narrow.mapInArrow(score, kept))
+    sums = reduce(DataFrame.unionByName, found).groupBy("block", "place").agg(F.sum("covered").alias("covered"), F.sum("agreeing").alias("agreeing")).checkpoint()
+    n = (sums.where("block = -1").agg(F.sum("covered")).first()[0] or 0) // max(1, len(found))
+    named = indexed.select("block", F.posexplode("ids").alias("place", rule_id))
+    return named.join(sums, ["block", "place"], "left").select(
+        rule_id, F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("agreeing", F.lit(0)).alias("agreeing"),
+        (F.coalesce(F.col("agreeing") / F.lit(n), F.lit(0.0)) if n else F.lit(0.0)).alias("fidelity"))
 
 
 def _value_runs(df: DataFrame, features: list[str], y: str) -> DataFrame:
@@ -136,14 +196,13 @@ def _value_runs(df: DataFrame, features: list[str], y: str) -> DataFrame:
         "feature", "edge", (F.col("nl") + F.col("n0")).alias("nl"), (F.col("pl") + F.col("p0")).alias("pl"), F.col("nn").alias("n"), F.col("pp").alias("p")).filter("nl > 0")
 
 
-def cut_scores(df: DataFrame, features: list[str], y: str, bins: int | None = None) -> DataFrame:
+def cut_scores(df: DataFrame, features: list[str], y: str) -> DataFrame:
     """Coverage and precision of every one-sided cut ``f < edge`` / ``f >= edge`` for both labels.
 
-    Edges are the distinct values; rows are counted per (feature, value) and the cuts are running sums. With ``bins`` only that many
-    equal-width edges are tried, which misses the cuts of skewed features.
+    Edges are the distinct values; rows are counted per (feature, value) and the cuts are running sums.
     """
-    run = _value_runs(df, features, y) if bins is None else _grid_runs(df, features, y, bins)
-    sides = run.select("feature", "edge", "n", F.inline(F.array(
+    ensure_checkpoint_dir(df.sparkSession)
+    sides = _value_runs(df, features, y).select("feature", "edge", "n", F.inline(F.array(
         *[F.struct(F.lit(side).alias("side"), F.lit(lab).cast("long").alias("label"), cov.alias("covered"), ok.alias("agreeing"))
           for side, cov, pos in (("below", F.col("nl"), F.col("pl")), ("above", F.col("n") - F.col("nl"), F.col("p") - F.col("pl")))
           for lab, ok in ((1, pos), (0, cov - pos))])))
@@ -152,29 +211,6 @@ def cut_scores(df: DataFrame, features: list[str], y: str, bins: int | None = No
         (F.col("agreeing") / F.col("covered")).alias("precision"), (F.col("covered") / F.col("n")).alias("coverage"))
 
 
-def _grid_runs(df: DataFrame, features: list[str], y: str, bins: int) -> DataFrame:
-    """As ``_value_runs`` with ``bins`` equal-width edges between smallest and largest value."""
-    from pyspark.sql import Window
-
-    spans = df.agg(F.struct(*[a for f in features for a in (
-        F.min(f).cast("double").alias(f"lo_{f}"), F.max(f).cast("double").alias(f"hi_{f}"))]).alias("r")).scalar()
-    base = df.select(F.col(y).cast("long").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_r", spans)
-    long = base.select("y", F.inline(F.array(*[F.struct(
-        F.lit(f).alias("feature"), F.col(f"_r.lo_{f}").alias("lo"), F.col(f"_r.hi_{f}").alias("hi"), F.col(f).alias("x"))
-        for f in features]))).filter("x is not null and hi > lo")
-    width = (F.col("hi") - F.col("lo")) / bins
-    # edges at or below x: a cut below an edge counts exactly the rows with x < edge, as its printed rule does
-    b = reduce(lambda a, c: a + c, [(F.col("x") >= F.col("lo") + F.lit(float(k + 1)) * width).cast("long") for k in range(bins)])
-    hist = long.groupBy("feature", "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    w = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    return hist.select(
-        "feature", (F.col("lo") + (F.col("bin") + 1) * width).alias("edge"),
-        F.sum("n").over(w).alias("nl"), F.sum("pos").over(w).alias("pl"),
-        F.sum("n").over(whole).alias("n"), F.sum("pos").over(whole).alias("p"),
-    )
-
-
 def best_cut(scores: DataFrame, min_coverage: float = 0.05) -> DataFrame:
     """Best cut per label: precision, then coverage, then feature, side and edge."""
     key = F.struct(F.round(F.col("precision"), 9).alias("a"), F.col("covered").alias("b"), F.col("feature").alias("c"), F.col("side").alias("d"),
@@ -184,40 +220,153 @@ def best_cut(scores: DataFrame, min_coverage: float = 0.05) -> DataFrame:
     return ok.groupBy("label").agg(top.alias("t")).select("label", "t.*")
 
 
-def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None = None, max_conditions: int = 2, bins: int | None = None,
-               min_coverage: float = 0.02) -> DataFrame:
-    """Sequential covering: take the most precise rule, drop the rows it covers, repeat while a rule reaches ``min_coverage``.
+class CutTables:
+    """Per feature the rows in the order of its values, sorted and written once; every later question is one pass without a shuffle.
+
+    A row carries all features, so the rows a rule set has covered and those inside a condition are told apart where they lie. Counts
+    below a value are the counts of the partitions before (one small row a partition and feature) and a running sum within.
+    """
 
-    Each step is one pass over the rows still uncovered; only the
-    chosen cut (one row) reaches the driver. ``covered`` counts the rows that were still open.
+    def __init__(self, df: DataFrame, features: list[str], y: str):
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        self.features = features
+        self.rows = df.count()
+        base = df.select(F.col(y).cast("int").alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+        long = base.select("y", "v", F.posexplode("v").alias("feature", "x")).filter("x is not null and not isnan(x)")
+        # an order of label and other values spreads one very common value over several partitions
+        keys = ["feature", "x", "y", *[F.col("v")[i] for i in range(len(features))]]
+        # a checkpoint keeps partitions and their order
+        self.table = long.repartitionByRange(*keys).sortWithinPartitions("feature", "x").checkpoint().withColumn("part", F.spark_partition_id())
+
+    def _runs(self, closed: list[list[tuple[str, float, float]]], inside: list[tuple[str, float, float]]):
+        """``(part, feature, x, n, p)`` of a task's rows: rows and label sum of each distinct value, of rows in ``inside`` and in none of ``closed``."""
+        features = self.features
+
+        def holds(v, conds):
+            import numpy as np
+
+            ok = np.ones(len(v), bool)
+            for f, lo, hi in conds:
+                x = v[:, features.index(f)]
+                ok &= (x >= lo) & (x < hi)
+            return ok
+
+        def runs(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            part, cols = None, []
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                part = b.column("part")[0].as_py()
+                v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, len(features))
+                ok = holds(v, inside)
+                for rule in closed:
+                    ok &= ~holds(v, rule)
+                feature, x, y = (b.column(c).to_numpy(zero_copy_only=False)[ok] for c in ("feature", "x", "y"))
+                if len(x):
+                    first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))
+                    cols.append((feature[first], x[first], np.diff(np.append(first, len(x))), np.add.reduceat(y.astype(np.int64), first)))
+            if part is None or not cols:
+                return part, None
+            feature, x, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
+            first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))  # a value may end one batch and begin the next
+            return part, (feature[first], x[first], np.add.reduceat(n, first), np.add.reduceat(p, first))
+
+        return runs
+
+    def best(self, closed: list, inside: list, label: int | None, least: float):
+        """``(label, feature, side, edge, covered, precision)`` of the best cut that covers ``least`` rows; None without one.
+
+        By precision, then coverage, then the later feature and side, then the smaller edge; of both labels alike the smaller.
+        """
+        runs = self._runs(closed, inside)
+
+        def sums(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            part, got = runs(batches)
+            if got is not None:
+                feature, x, n, p = got
+                kinds = np.unique(feature)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array([int(n[feature == k].sum()) for k in kinds]),
+                     pa.array([int(p[feature == k].sum()) for k in kinds]), pa.array([float(x[feature == k][-1]) for k in kinds])], ["part", "feature", "n", "p", "top"])
+
+        parts = sorted(tuple(r) for r in self.table.mapInArrow(sums, "part int, feature int, n long, p long, top double").collect())
+        before: dict[tuple[int, int], tuple] = {}
+        whole: dict[int, list] = {}
+        for part, k, n, p, top in parts:
+            n0, p0, last = whole.get(k, [0, 0, None])
+            before[part, k] = n0, p0, last
+            whole[k] = [n0 + n, p0 + p, top]
+        # a value that many rows share may lie in several partitions: its cut is counted in the first of them
+        features = self.features
+
+        def cuts(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            part, got = runs(batches)
+            out = []
+            if got is not None:
+                feature, x, n, p = got
+                for k in np.unique(feature):
+                    mine = feature == k
+                    n0, p0, last = before[part, int(k)]
+                    nn, pp, _ = whole[int(k)]
+                    nl = n0 + np.cumsum(n[mine]) - n[mine]
+                    pl = p0 + np.cumsum(p[mine]) - p[mine]
+                    edge = x[mine]
+                    real = (nl > 0) & ~((np.arange(len(edge)) == 0) & (last is not None and edge[0] == last))
+                    for side, covered, pos in (("above", nn - nl, pp - pl), ("below", nl, pl)):
+                        for lab, ok in ((0, covered - pos), (1, pos)):
+                            at = np.flatnonzero(real & (covered >= max(least, 1)) & (label is None or lab == label))
+                            if len(at):
+                                precision = ok[at] / covered[at]
+                                i = at[np.lexsort((edge[at], -covered[at], -np.round(precision, 9)))[0]]
+                                out.append((lab, int(k), side, float(edge[i]), int(covered[i]), int(ok[i])))
+            if out:
+                kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["label", "feature", "side", "edge", "covered", "agreeing"])
+
+        found = self.table.mapInArrow(cuts, "label int, feature int, side string, edge double, covered long, agreeing long").collect()
+        if not found:
+            return None
+        top = max(found, key=lambda r: (round(r.agreeing / r.covered, 9), r.covered, -r.label, features[r.feature], r.side, -r.edge))
+        return top.label, features[top.feature], top.side, top.edge, top.covered, top.agreeing / top.covered
+
+
+def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None = None, max_conditions: int = 2, min_coverage: float = 0.02) -> DataFrame:
+    """Sequential covering: take the most precise rule, set the rows it covers aside, repeat while a rule covers ``min_coverage`` of the whole table.
+
+    So there are at most ``1 / min_coverage`` rules. Each condition costs two passes over sorted tables and no shuffle; one candidate a
+    task, label and feature reaches the driver. ``covered`` counts the rows that were still open.
     """
-    spark = df.sparkSession
-    open_rows = F.lit(True)
+    tables = CutTables(df, features, y)
+    least = min_coverage * tables.rows
+    closed: list[list[tuple[str, float, float]]] = []
     out = []
-    no = 0
-    while max_rules is None or no < max_rules:
+    while max_rules is None or len(out) < max_rules:
         conds: list[tuple[str, float, float]] = []
-        inside, label, last = open_rows, None, None
+        label, last = None, None
         for _ in range(max_conditions):
-            scores = cut_scores(df.filter(inside), features, y, bins)
-            if label is not None:
-                scores = scores.filter(F.col("label") == label)
-            best = best_cut(scores, min_coverage).orderBy(F.desc("precision"), F.desc("covered"), "label").first()
-            if best is None or (last is not None and best["precision"] <= last["precision"]):
+            best = tables.best(closed, conds, label, least)
+            if best is None or (last is not None and best[5] <= last[5]):
                 break
-            label, last = best["label"], best
-            lo, hi = (float("-inf"), best["edge"]) if best["side"] == "below" else (best["edge"], float("inf"))
-            conds.append((best["feature"], lo, hi))
-            inside = inside & (F.col(best["feature"]) >= lo) & (F.col(best["feature"]) < hi)
-            if best["precision"] == 1.0:
+            last = best
+            label, feature, side, edge = best[:4]
+            conds.append((feature, float("-inf"), edge) if side == "below" else (feature, edge, float("inf")))
+            if best[5] == 1.0:
                 break
-        if not conds:
+        if last is None:
             break
-        out.append((no, rule_text(conds, str(label)), int(last["covered"]), float(last["precision"])))
-        hit = reduce(lambda a, b: a & b, [(F.col(f) >= lo) & (F.col(f) < hi) for f, lo, hi in conds])
-        open_rows = open_rows & ~F.coalesce(hit, F.lit(False))
-        no += 1
-    return spark.createDataFrame(out, "rule_id long, rule string, covered long, precision double")
+        out.append((len(out), rule_text(conds, str(label)), last[4], last[5]))
+        closed.append(conds)
+    return df.sparkSession.createDataFrame(out, "rule_id long, rule string, covered long, precision double")
 
 
 def surrogate_rules(df: DataFrame, features: list[str], prediction: str, depth: int = 3) -> DataFrame:

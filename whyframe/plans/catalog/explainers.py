@@ -110,33 +110,72 @@ def rule_rows(t):
     return t.lineitem.select("l_quantity", "l_extendedprice", "l_tax", F.when(LINE_SCORE.column() >= 0.5, 1).otherwise(0).alias("y"))
 
 
+RULE_FEATS = ["l_quantity", "l_extendedprice", "l_tax"]
+RULE_ROWS = f"SELECT l_quantity, l_extendedprice, l_tax, CASE WHEN {LINE_SCORE.sql()} >= 0.5 THEN 1 ELSE 0 END AS y FROM lineitem"
+
+
+def cuts_sql(rows: str) -> str:
+    """Every one-sided cut at a distinct value, with its counts by running sums: ``(feature, edge, nn, side, label, covered, agreeing)``."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, y FROM {rows}" for f in RULE_FEATS)
+    return f"""SELECT feature, edge, nn, side, label, CASE side WHEN 'below' THEN nl ELSE nn - nl END AS covered,
+        CASE WHEN label = 1 THEN CASE side WHEN 'below' THEN pl ELSE pp - pl END ELSE CASE side WHEN 'below' THEN nl - pl ELSE nn - nl - pp + pl END END AS agreeing
+      FROM (SELECT feature, x AS edge, CAST(sum(n) OVER w - n AS BIGINT) AS nl, CAST(sum(p) OVER w - p AS BIGINT) AS pl,
+              CAST(sum(n) OVER (PARTITION BY feature) AS BIGINT) AS nn, CAST(sum(p) OVER (PARTITION BY feature) AS BIGINT) AS pp
+            FROM (SELECT feature, x, count(*) AS n, sum(y) AS p FROM ({long}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY x)),
+        (VALUES ('below'), ('above')) sd(side), (VALUES (0), (1)) lb(label) WHERE nl > 0"""
+
+
 @query("rule_mine_single", f"""
-    WITH d AS (SELECT l_quantity, l_extendedprice, l_tax, CASE WHEN {LINE_SCORE.sql()} >= 0.5 THEN 1 ELSE 0 END AS y FROM lineitem),
-    l AS (SELECT 'l_quantity' AS feature, l_quantity AS x, y FROM d UNION ALL SELECT 'l_extendedprice', l_extendedprice, y FROM d UNION ALL SELECT 'l_tax', l_tax, y FROM d),
-    s AS (SELECT feature, min(x) AS lo, max(x) AS hi, count(*) AS n FROM l GROUP BY 1),
-    h AS (SELECT feature, lo, (hi - lo) / 16 AS width, n, CAST(len(list_filter(range(16), lambda k: x >= lo + (k + 1)::DOUBLE * ((hi - lo) / 16))) AS BIGINT) AS bin, y FROM l JOIN s USING (feature)),
-    e AS (SELECT feature, lo, width, n, b AS bin FROM (SELECT DISTINCT feature, lo, width, n FROM h), range(17) r(b)),
-    c AS (SELECT e.feature, e.lo + (e.bin + 1) * e.width AS edge, e.n, side, label, count(*) FILTER (CASE side WHEN 'below' THEN h.bin <= e.bin ELSE h.bin > e.bin END) AS covered,
-            count(*) FILTER (y = label AND CASE side WHEN 'below' THEN h.bin <= e.bin ELSE h.bin > e.bin END) AS agreeing
-          FROM e JOIN h USING (feature), (VALUES ('below'), ('above')) sd(side), (VALUES (0), (1)) lb(label)
-          WHERE e.bin IN (SELECT bin FROM h h2 WHERE h2.feature = e.feature) GROUP BY ALL)
-    SELECT CAST(label AS BIGINT) AS label, feature, side, round(edge, 3) AS edge, covered, agreeing, round(agreeing / covered, 6) AS precision FROM c WHERE covered > 0 AND covered / n >= 0.05
+    WITH d AS ({RULE_ROWS}), c AS ({cuts_sql('d')})
+    SELECT CAST(label AS BIGINT) AS label, feature, side, edge, covered, agreeing, round(agreeing / covered, 6) AS precision FROM c WHERE covered > 0 AND covered / nn >= 0.05
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(agreeing / covered, 9) DESC, covered DESC, feature DESC, side DESC, edge) = 1""")
 def rule_mine_single(t):
-    """Best one-sided cut per label on the 16 equal-width edges of the SQL; ``cut_scores`` tries every value without ``bins``."""
-    best = rl.best_cut(rl.cut_scores(rule_rows(t), ["l_quantity", "l_extendedprice", "l_tax"], "y", bins=16))
-    return best.select("label", "feature", "side", F.round("edge", 3).alias("edge"), "covered", "agreeing", F.round("precision", 6).alias("precision"))
+    """Best one-sided cut per label over the distinct values of all features."""
+    best = rl.best_cut(rl.cut_scores(rule_rows(t), RULE_FEATS, "y"))
+    return best.select("label", "feature", "side", "edge", "covered", "agreeing", F.round("precision", 6).alias("precision"))
+
+
+def covering_sql(share: float) -> str:
+    """Sequential covering step by step: each rule covers ``share`` of the table, so the steps are counted beforehand."""
+    def within(cut: str) -> str:
+        value = " ".join(f"WHEN '{f}' THEN d.{f}" for f in RULE_FEATS)
+        return f"((CASE {cut}.feature {value} END < {cut}.edge) = ({cut}.side = 'below'))"
+
+    order = "ORDER BY round(agreeing / covered, 9) DESC, covered DESC, label, feature DESC, side DESC, edge LIMIT 1"
+    steps = [f"o0 AS MATERIALIZED ({RULE_ROWS})", f"t AS MATERIALIZED (SELECT {share} * count(*) AS least FROM o0)"]
+    out = []
+    for k in range(int(1 / share)):
+        first, second = f"a{k}", f"b{k}"
+        steps += [
+            f"{first} AS MATERIALIZED (SELECT * FROM ({cuts_sql(f'o{k}')}) WHERE covered >= greatest((SELECT least FROM t), 1) {order})",
+            f"i{k} AS MATERIALIZED (SELECT d.* FROM o{k} d, {first} WHERE agreeing < covered AND {within(first)})",
+            f"{second} AS MATERIALIZED (SELECT c.* FROM ({cuts_sql(f'i{k}')}) c JOIN {first} a ON a.label = c.label "
+            f"WHERE c.covered >= greatest((SELECT least FROM t), 1) AND c.agreeing / c.covered > a.agreeing / a.covered {order.replace('agreeing', 'c.agreeing').replace('covered', 'c.covered').replace('label', 'c.label').replace('feature', 'c.feature').replace('side', 'c.side').replace(', edge', ', c.edge')})",
+            f"o{k + 1} AS MATERIALIZED (SELECT d.* FROM o{k} d LEFT JOIN {first} ON true LEFT JOIN {second} ON true "
+            f"WHERE NOT coalesce({within(first)} AND coalesce({within(second)}, true), false))"]
+        conds = " UNION ALL ".join(
+            f"SELECT {k} AS rule_id, {i} AS cond_idx, c.feature, CASE c.side WHEN 'above' THEN c.edge END AS lo, CASE c.side WHEN 'below' THEN c.edge END AS hi, "
+            f"c.label, coalesce(b.covered, a.covered) AS covered, coalesce(b.agreeing / b.covered, a.agreeing / a.covered) AS precision FROM {cut} c, {first} a LEFT JOIN {second} b ON true"
+            for i, cut in enumerate((first, second)))
+        out.append(conds)
+    return ("WITH " + ", ".join(steps) + " SELECT CAST(rule_id AS BIGINT) AS rule_id, CAST(cond_idx AS BIGINT) AS cond_idx, feature, lo, hi, CAST(label AS VARCHAR) AS label, covered, "
+            "round(precision, 6) AS precision FROM (" + " UNION ALL ".join(out) + ")")
+
+
+@query("rules_covering", covering_sql(0.05))
+def rules_covering(t):
+    """Sequential covering of the model's predictions, each rule's text taken apart into its conditions."""
+    found = rl.rule_conditions(rl.mine_rules(rule_rows(t), RULE_FEATS, "y", min_coverage=0.05))
 
+    def finite(c):
+        return F.when(F.abs(c) != float("inf"), F.col(c)).alias(c)
 
-@query("rules_covering")
-def rules_covering(t):
-    """Sequential covering of the model's predictions."""
-    return rl.mine_rules(rule_rows(t), ["l_quantity", "l_extendedprice", "l_tax"], "y", min_coverage=0.05)
+    return found.select("rule_id", F.col("cond_idx").cast("long").alias("cond_idx"), "feature", finite("lo"), finite("hi"), "label", "covered", F.round("precision", 6).alias("precision"))
 
 
 @query("rules_surrogate_tree")
 def rules_surrogate_tree(t):
-    return rl.surrogate_rules(rule_rows(t), ["l_quantity", "l_extendedprice", "l_tax"], "y")
+    return rl.surrogate_rules(rule_rows(t), RULE_FEATS, "y")
 
 
 def vectors(t):
