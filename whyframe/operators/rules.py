@@ -232,57 +232,47 @@ class CutTables:
         ensure_checkpoint_dir(spark)
         self.features = features
         self.rows = df.count()
-        base = df.select(F.col(y).cast("int").alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-        long = base.select("y", "v", F.posexplode("v").alias("feature", "x")).filter("x is not null and not isnan(x)")
+        self.own = [f"f{i}" for i in range(len(features))]
+        base = df.select(F.col(y).cast("int").alias("y"), *[F.col(f).cast("double").alias(own) for f, own in zip(features, self.own, strict=True)])
+        long = base.select("*", F.posexplode(F.array(*self.own)).alias("feature", "x")).filter("x is not null and not isnan(x)")
         # an order of label and other values spreads one very common value over several partitions
-        keys = ["feature", "x", "y", *[F.col("v")[i] for i in range(len(features))]]
+        keys = ["feature", "x", "y", *self.own]
         # a checkpoint keeps partitions and their order
         self.table = long.repartitionByRange(*keys).sortWithinPartitions("feature", "x").checkpoint().withColumn("part", F.spark_partition_id())
 
-    def _runs(self, closed: list[list[tuple[str, float, float]]], inside: list[tuple[str, float, float]]):
-        """``(part, feature, x, n, p)`` of a task's rows: rows and label sum of each distinct value, of rows in ``inside`` and in none of ``closed``."""
-        features = self.features
+    def _open(self, closed: list[list[tuple[str, float, float]]], inside: list[tuple[str, float, float]]) -> DataFrame:
+        """The rows within ``inside`` and within none of ``closed``, where they lie."""
 
-        def holds(v, conds):
-            import numpy as np
+        def holds(conds):
+            tests = [(F.col(self.own[self.features.index(f)]) >= lo) & (F.col(self.own[self.features.index(f)]) < hi) for f, lo, hi in conds]
+            return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
-            ok = np.ones(len(v), bool)
-            for f, lo, hi in conds:
-                x = v[:, features.index(f)]
-                ok &= (x >= lo) & (x < hi)
-            return ok
+        return self.table.filter(reduce(lambda a, rule: a & ~holds(rule), closed, holds(inside))).select("part", "feature", "x", "y")
 
-        def runs(batches):
-            import numpy as np
-            import pyarrow as pa
+    @staticmethod
+    def _runs(batches):
+        """Of a task's rows ``part`` and ``(feature, x, n, p)``: rows and label sum of each distinct value."""
+        import numpy as np
 
-            part, cols = None, []
-            for b in batches:
-                if not b.num_rows:
-                    continue
+        part, cols = None, []
+        for b in batches:
+            if b.num_rows:
                 part = b.column("part")[0].as_py()
-                v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, len(features))
-                ok = holds(v, inside)
-                for rule in closed:
-                    ok &= ~holds(v, rule)
-                feature, x, y = (b.column(c).to_numpy(zero_copy_only=False)[ok] for c in ("feature", "x", "y"))
-                if len(x):
-                    first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))
-                    cols.append((feature[first], x[first], np.diff(np.append(first, len(x))), np.add.reduceat(y.astype(np.int64), first)))
-            if part is None or not cols:
-                return part, None
-            feature, x, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
-            first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))  # a value may end one batch and begin the next
-            return part, (feature[first], x[first], np.add.reduceat(n, first), np.add.reduceat(p, first))
-
-        return runs
+                feature, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("feature", "x", "y"))
+                first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))
+                cols.append((feature[first], x[first], np.diff(np.append(first, len(x))), np.add.reduceat(y.astype(np.int64), first)))
+        if part is None:
+            return None, None
+        feature, x, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
+        first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))  # a value may end one batch and begin the next
+        return part, (feature[first], x[first], np.add.reduceat(n, first), np.add.reduceat(p, first))
 
     def best(self, closed: list, inside: list, label: int | None, least: float):
         """``(label, feature, side, edge, covered, precision)`` of the best cut that covers ``least`` rows; None without one.
 
         By precision, then coverage, then the later feature and side, then the smaller edge; of both labels alike the smaller.
         """
-        runs = self._runs(closed, inside)
+        table, runs = self._open(closed, inside), self._runs
 
         def sums(batches):
             import numpy as np
@@ -296,7 +286,7 @@ class CutTables:
                     [pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array([int(n[feature == k].sum()) for k in kinds]),
                      pa.array([int(p[feature == k].sum()) for k in kinds]), pa.array([float(x[feature == k][-1]) for k in kinds])], ["part", "feature", "n", "p", "top"])
 
-        parts = sorted(tuple(r) for r in self.table.mapInArrow(sums, "part int, feature int, n long, p long, top double").collect())
+        parts = sorted(tuple(r) for r in table.mapInArrow(sums, "part int, feature int, n long, p long, top double").collect())
         before: dict[tuple[int, int], tuple] = {}
         whole: dict[int, list] = {}
         for part, k, n, p, top in parts:
@@ -333,7 +323,7 @@ class CutTables:
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["label", "feature", "side", "edge", "covered", "agreeing"])
 
-        found = self.table.mapInArrow(cuts, "label int, feature int, side string, edge double, covered long, agreeing long").collect()
+        found = table.mapInArrow(cuts, "label int, feature int, side string, edge double, covered long, agreeing long").collect()
         if not found:
             return None
         top = max(found, key=lambda r: (round(r.agreeing / r.covered, 9), r.covered, -r.label, features[r.feature], r.side, -r.edge))
