@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whyframe.core import ensure_checkpoint_dir
 from whyframe.operators.frames import hash_split, stratified_folds
 from whyframe.operators.scoring import cv_summary, model_report
 
@@ -58,19 +59,26 @@ def one_hot(df: DataFrame, col: str, categories: list[str]) -> DataFrame:
     return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("long"), F.lit(0)) for v in categories})
 
 
-def feature_stages(df: DataFrame, y: str, ignore: list[str] | None = None):
-    """Pipeline stages: impute and scale numerics, one-hot categoricals, assemble."""
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-
+def feature_columns(df: DataFrame, y: str, ignore: list[str] | None = None) -> tuple[list[str], list[str]]:
+    """The numeric and the categorical columns that models learn from."""
     from whyframe.core import categorical_columns, numeric_columns
 
     skip = set(ignore or []) | {y, "fold", "part"}
-    nums = [c for c in numeric_columns(df) if c not in skip]
-    cats = [c for c in categorical_columns(df) if c not in skip]
+    return [c for c in numeric_columns(df) if c not in skip], [c for c in categorical_columns(df) if c not in skip]
+
+
+def feature_stages(df: DataFrame, y: str, ignore: list[str] | None = None):
+    """Pipeline stages: impute and scale numerics (by the population deviation of the ``df`` rows), one-hot categoricals, assemble."""
+    from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.linalg import Vectors
+
+    nums, cats = feature_columns(df, y, ignore)
+    n = df.count()  # the scaler divides by the sample deviation
     stages = [
         Imputer(inputCols=nums, outputCols=[f"{c}_f" for c in nums]),
         VectorAssembler(inputCols=[f"{c}_f" for c in nums], outputCol="_num"),
-        StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True),
+        StandardScaler(inputCol="_num", outputCol="_sample", withMean=True),
+        ElementwiseProduct(scalingVec=Vectors.dense([(n / (n - 1)) ** 0.5 if n > 1 else 1.0] * len(nums)), inputCol="_sample", outputCol="_scaled"),
     ]
     parts = ["_scaled"]
     if cats:
@@ -101,7 +109,7 @@ def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = Non
 
     split = hash_split(df, id_col, test_fraction, seed).persist()
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
-    prep = Pipeline(stages=feature_stages(df, y, [id_col])).fit(train)
+    prep = Pipeline(stages=feature_stages(train, y, [id_col])).fit(train)
     train_x = prep.transform(train).select("features", y).persist()
     test_x = prep.transform(test).select("features", y)
     fitted, scored = {}, []
@@ -113,7 +121,10 @@ def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = Non
         scored.append(model.transform(test_x).select(
             F.lit(no).cast("long").alias("model_no"), F.col(y).cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred")))
     n_train = train_x.count()
-    report = model_report(reduce(DataFrame.unionByName, scored), "truth", "pred", "model_no", F.lit(n_train).cast("long"))
+    ensure_checkpoint_dir(df.sparkSession)
+    report = model_report(reduce(DataFrame.unionByName, scored), "truth", "pred", "model_no", F.lit(n_train).cast("long")).checkpoint()
+    train_x.unpersist()
+    split.unpersist()
     return fitted, report
 
 
@@ -133,7 +144,7 @@ def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int
 
     def run(f: int) -> list[DataFrame]:
         train = folds.filter(F.col("fold") != f)
-        prep = Pipeline(stages=feature_stages(df, y, [id_col])).fit(train)
+        prep = Pipeline(stages=feature_stages(train, y, [id_col])).fit(train)
         train_x = prep.transform(train).select("features", y).persist()
         test_x = prep.transform(folds.filter(F.col("fold") == f)).select("features", y)
         out = [
@@ -147,7 +158,10 @@ def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int
     with ThreadPool(parallelism) as pool:  # folds are independent Spark jobs
         scored = [s for part in pool.map(run, range(k)) for s in part]
     per_fold = reduce(DataFrame.unionByName, scored).groupBy("model_no", "fold").agg(F.avg("hit").alias("accuracy"))
-    return cv_summary(per_fold, "model_no", "accuracy")
+    ensure_checkpoint_dir(df.sparkSession)
+    summary = cv_summary(per_fold, "model_no", "accuracy").checkpoint()
+    folds.unpersist()
+    return summary
 
 
 def _exists(spark, path: str) -> bool:
@@ -171,7 +185,6 @@ def best_model_flow(df: DataFrame, y: str, id_col: str, which: list[int] | None
     if path is not None and _exists(df.sparkSession, path):
         return PipelineModel.load(path), None
     _, report = fit_models(df, y, id_col, which)
-    report = report.persist()
     no = int(best_model(report.withColumn("all", F.lit(1)), ["all"]).first()["best_model"])
     final = Pipeline(stages=feature_stages(df, y, [id_col]) + [candidates(y)[no][1]]).fit(df)
     if path is not None:

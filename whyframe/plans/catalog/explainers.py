@@ -1,15 +1,19 @@
 """Prototypes, attributions, counterfactuals, rules and the batched run of all of them."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from whyframe.operators import attributions as at
 from whyframe.operators import counterfactuals as cf
 from whyframe.operators import prototypes as pt
 from whyframe.operators import rules as rl
+from whyframe.operators import models as ml
 from whyframe.operators.frames import seeded_sample
 from whyframe.operators.models import LogisticScore
+from whyframe.operators.trees import TreeScore, plain_tree, tree_attributions
+from whyframe.operators.trees import tree_score as fitted_score
 from whyframe.plans import flows
-from whyframe.plans.catalog.models import LINE_SCORE
+from whyframe.plans.catalog.models import LINE_SCORE, customer_cases
 from whyframe.plans.catalog.selection import mix_sql
 from whyframe.plans.catalog.shared import CASE_COLUMNS, IMPLEMENTED, KIND, METHODS, TYPES, cases, interpretations, values
 from whyframe.plans.registry import query
@@ -59,6 +63,68 @@ def rank_importance(t):
     return out.select("feature", F.round(F.col("importance")[0], 6).alias("class_0"), F.round(F.col("importance")[1], 6).alias("class_1"))
 
 
+# A declared tree model: (feature, cut, left, right), left where the value is at most the cut; numbers are probabilities of class 1.
+LINE_FOREST = TreeScore(tuple(FEATS), tuple(plain_tree(FEATS, spec) for spec in (
+    ("l_quantity", 25.0, ("l_discount", 0.05, 0.35, 0.1), ("l_tax", 0.04, 0.55, ("l_quantity", 40.0, 0.7, 0.95))),
+    ("l_extendedprice", 30000.0, ("l_tax", 0.02, 0.2, 0.4), ("l_discount", 0.07, ("l_extendedprice", 60000.0, 0.6, 0.9), 0.3)),
+    ("l_tax", 0.05, ("l_quantity", 10.0, 0.15, ("l_discount", 0.02, 0.65, 0.45)), 0.8))), (0.0,) * len(FEATS))
+
+
+@query("tree_score", f"""
+    SELECT l_linenumber, count(*) AS n, round(avg(p), 6) AS mean_score, count(*) FILTER (p >= 0.5) AS n_positive FROM (SELECT l_linenumber, {LINE_FOREST.sql()} AS p FROM lineitem) GROUP BY 1""")
+def tree_score(t):
+    """Scores of a declared tree ensemble over all line items."""
+    p = t.lineitem.select("l_linenumber", LINE_FOREST.column().alias("p"))
+    return p.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_score"), F.count_if(F.col("p") >= 0.5).alias("n_positive"))
+
+
+def tree_shap_sql() -> str:
+    """Attributions along the trees by listing all coalitions: an unknown feature's steps weigh as the rows that went each way."""
+    d = len(FEATS)
+    covers, values = [], []
+    for t, tree in enumerate(LINE_FOREST.trees):
+        reached: dict[int, list[str]] = {0: []}
+        for node in range(len(tree.feature)):  # preorder: a node comes before its children
+            covers.append(f"count(*) FILTER ({' AND '.join(reached[node]) or 'true'})::DOUBLE AS c{t}_{node}")
+            if tree.feature[node] >= 0:
+                test = LINE_FOREST.test_sql(tree, node)
+                reached |= {tree.left[node]: [*reached[node], test], tree.right[node]: [*reached[node], f"NOT ({test})"]}
+    for mask in range(1 << d):
+        terms = []
+        for t, tree in enumerate(LINE_FOREST.trees):
+            for leaf, steps in tree.paths():
+                parts = [f"{tree.value[leaf]!r}::DOUBLE"]
+                for node, left in steps:
+                    test, child = LINE_FOREST.test_sql(tree, node), tree.left[node] if left else tree.right[node]
+                    parts.append(f"CASE WHEN {'' if left else 'NOT '}({test}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if mask >> tree.feature[node] & 1
+                                 else f"CASE WHEN c{t}_{node} > 0 THEN c{t}_{child} / c{t}_{node} ELSE 0.5::DOUBLE END")
+                terms.append(" * ".join(f"({p})" for p in parts))
+        values.append(f"({' + '.join(terms)}) / {len(LINE_FOREST.trees)} AS v{mask}")
+    phis = " UNION ALL ".join(
+        f"SELECT case_id, '{f}' AS feature, " + " + ".join(f"(v{s | 1 << i} - v{s}) * {at.coalition_weight(s.bit_count(), d)!r}::DOUBLE" for s in range(1 << d) if not s >> i & 1)
+        + " AS phi FROM v" for i, f in enumerate(FEATS))
+    return f"WITH c AS (SELECT {', '.join(covers)} FROM lineitem), v AS (SELECT case_id, {', '.join(values)} FROM {PART_MEANS}, c), phi AS ({phis})"
+
+
+@query("tree_shap", tree_shap_sql() + " SELECT case_id, feature, round(phi, 6) AS phi FROM phi")
+def tree_shap(t):
+    """Attributions of every part's mean line item along the trees, whose covers all line items give."""
+    phis = tree_attributions(part_means(t), "case_id", LINE_FOREST.with_covers(t.lineitem))
+    return phis.withColumn("phi", F.round("phi", 6))
+
+
+@query("fitted_forest_shap", "SELECT c_custkey, true AS same_score, true AS adds_up FROM customer")
+def fitted_forest_shap(t):
+    """The best fitted tree model explained: per customer whether the flat trees score as the model does and the attributions add up."""
+    data = customer_cases(t)
+    model, _ = ml.best_model_flow(data, "outcome", "c_custkey", which=[2, 3])
+    score = fitted_score(model, *ml.feature_columns(data, "outcome", ["c_custkey"]))
+    told = score.encoded(model.transform(data)).withColumns({"own": score.column(), "told": vector_to_array("probability")[1]})
+    sums = tree_attributions(told, "c_custkey", score).groupBy("c_custkey").agg(F.sum("phi").alias("phi"))
+    return told.join(sums, "c_custkey").select("c_custkey", (F.abs(F.col("own") - F.col("told")) < 1e-9).alias("same_score"),
+                                               (F.abs(F.col("phi") + score.base() - F.col("own")) < 1e-9).alias("adds_up"))
+
+
 @query("kernel_shap")
 def kernel_shap(t):
     """Sampled-coalition attributions of a 64-wide vector model for ten cases against all vectors."""

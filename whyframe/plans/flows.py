@@ -21,6 +21,9 @@ from whyframe.operators.prototypes import clean, group_prototypes, prototypes
 from whyframe.operators.rules import best_cut, cut_scores, rule_length, rule_text
 from whyframe.operators.schema_match import AliasTable
 from whyframe.operators.scoring import scorecard
+from whyframe.operators.trees import TreeScore, tree_attributions
+
+Score = LogisticScore | TreeScore
 
 # Fields of a generated answer.
 ANSWER_FIELDS = {"explanation_type": "Explanation type", "interpretation": "Machine interpretation", "action": "Action", "target": "Target variable"}
@@ -49,9 +52,17 @@ def _long(df: DataFrame, keys: list[str], explainer: str, metrics: dict[str, Col
     return df.select(*keys, F.lit(explainer).alias("explainer"), F.inline(rows)).filter("value is not null")
 
 
-def case_attributions(picks: DataFrame, keys: list[str], id_col: str, score: LogisticScore) -> DataFrame:
-    """``(keys, id, features, phi_<feature>)``: exact attributions of each case within its selected subset (at most ``k`` cases)."""
+def wide_attributions(phis: DataFrame, id_col: str, feats: list[str]) -> DataFrame:
+    """``(id_col, phi_<feature>)`` from rows per feature."""
+    return phis.groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == f, F.col("phi"))).alias(f"phi_{f}") for f in feats])
+
+
+def case_attributions(picks: DataFrame, keys: list[str], id_col: str, score: Score) -> DataFrame:
+    """``(keys, id, features, phi_<feature>)``: exact attributions of each case, along the trees of a tree model, within its subset (at most ``k`` cases) otherwise."""
     feats = score.features
+    if isinstance(score, TreeScore):
+        found = wide_attributions(tree_attributions(picks.select(id_col, *feats).distinct(), id_col, score), id_col, feats)
+        return picks.select(*keys, id_col, *[F.col(f).cast("double").alias(f) for f in feats]).join(found, id_col)
     d = len(feats)
 
     def run(pdf):
@@ -75,7 +86,7 @@ def case_attributions(picks: DataFrame, keys: list[str], id_col: str, score: Log
     return picks.select(*keys, id_col, *feats).groupBy(*keys).applyInPandas(run, ", ".join(fields))
 
 
-def attribution_report(explained: DataFrame, keys: list[str], score: LogisticScore) -> tuple[DataFrame, DataFrame]:
+def attribution_report(explained: DataFrame, keys: list[str], score: Score) -> tuple[DataFrame, DataFrame]:
     """Mean absolute attribution ``(keys, feature, importance)`` and ``(keys, faithfulness, monotonicity)`` of explained cases.
 
     The metrics take each case's attributions for its predicted class; cases without a faithfulness don't count in its mean.
@@ -88,7 +99,7 @@ def attribution_report(explained: DataFrame, keys: list[str], score: LogisticSco
     return importance, scored.groupBy(*keys).agg(F.avg("faithfulness").alias("faithfulness"), F.avg(F.col("monotone").cast("double")).alias("monotonicity"))
 
 
-def group_rules(picks: DataFrame, keys: list[str], score: LogisticScore) -> DataFrame:
+def group_rules(picks: DataFrame, keys: list[str], score: Score) -> DataFrame:
     """Best single cut explaining the model's predictions within each selected subset (at most ``k`` cases)."""
     feats = score.features
 
@@ -116,7 +127,7 @@ def group_rules(picks: DataFrame, keys: list[str], score: LogisticScore) -> Data
     return picks.select(*keys, *feats).groupBy(*keys).applyInPandas(run, fields + ", rule string, fidelity double")
 
 
-def _report(keys: list[str], id_col: str, cases: DataFrame, score: LogisticScore, label: str, most: int,
+def _report(keys: list[str], id_col: str, cases: DataFrame, score: Score, label: str, most: int,
             protos: DataFrame, flips: DataFrame, explained: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results and evaluations in long form from each explainer's output by ``keys``, at most ``most`` cases each."""
     feats = score.features
@@ -151,7 +162,7 @@ def _report(keys: list[str], id_col: str, cases: DataFrame, score: LogisticScore
     return results, evaluations
 
 
-def whole_table_report(cases: DataFrame, id_col: str, score: LogisticScore, label: str, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
+def whole_table_report(cases: DataFrame, id_col: str, score: Score, label: str, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
     """``_report`` of every explainer run once on the whole table, keyed by ``scope``.
 
     ``m`` prototypes of all cases, the best single cut of all predictions, and attributions and counterfactuals of a seeded sample of
@@ -164,7 +175,8 @@ def whole_table_report(cases: DataFrame, id_col: str, score: LogisticScore, labe
     protos = prototypes(standard_scale(table, feats), id_col, feats, m).select(scope, id_col, "weight")
     sample = seeded_sample(table, id_col, n_explained, 9).checkpoint()
     flips = counterfactuals(sample, cases, id_col, score).withColumn("scope", scope)
-    phis = shapley(table, sample, id_col, score).groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == f, F.col("phi"))).alias(f"phi_{f}") for f in feats])
+    found = tree_attributions(sample, id_col, score) if isinstance(score, TreeScore) else shapley(table, sample, id_col, score)
+    phis = wide_attributions(found, id_col, feats)
     cuts = best_cut(cut_scores(table.withColumn("y", (score.column() >= 0.5).cast("int")), feats, "y"))
     top = cuts.orderBy(F.desc(F.round("precision", 9)), F.desc("covered"), "feature", "side", "edge").first()
     found = []
@@ -176,7 +188,7 @@ def whole_table_report(cases: DataFrame, id_col: str, score: LogisticScore, labe
 
 
 def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[str], methods: DataFrame, implemented: list[str],
-             score: LogisticScore, label: str, types: list[str], k: int = 10, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
+             score: Score, label: str, types: list[str], k: int = 10, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
     """Parse, route and explain all records at once.
 
     Returns results ``(record_id, group_idx, explainer, item, content)`` and
