@@ -55,23 +55,25 @@ def test_jaro_winkler_random(spark):
             assert g == pytest.approx(w, abs=1e-9), (a, b)
 
 
-def test_rank_similar_blocks_agree(spark):
-    """Small blocks on both sides give the same ranking as one block."""
+@pytest.mark.parametrize("how", [{}, {"first": 1, "list_rows": 3}, {"first": 3, "list_rows": 10}])
+def test_rank_similar_is_the_whole_ranking(spark, how):
+    """Rare and very common tokens, texts without any, equal scores: as by scoring every pair."""
     import random
 
     rng = random.Random(4)
-    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"])
-    q = spark.createDataFrame([(i, " ".join(word() for _ in range(6))) for i in range(60)], "id long, t string")
-    p = spark.createDataFrame([(i, " ".join(word() for _ in range(5))) for i in range(40)], "id long, t string")
-    a = {(r.qid, r.rank): (r.pid, round(r.cosine, 9)) for r in sim.rank_similar(q, p, "id", "t", "id", "t", 4).collect()}
-    b = {(r.qid, r.rank): (r.pid, round(r.cosine, 9)) for r in sim.rank_similar(q, p, "id", "t", "id", "t", 4, q_block=7, p_block=5).collect()}
-    assert a == b and len(a) == 240
+    words = ["alpha"] * 30 + ["beta"] * 12 + ["gamma"] * 6 + ["delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(100)]
+    q = spark.createDataFrame([*enumerate(texts[:60]), (60, ""), (61, None), (62, "unheard words")], "id long, t string")
+    p = spark.createDataFrame([*enumerate(texts[50:]), (50, ""), (51, None)], "id long, t string")
+    a = {(r.qid, r.rank): (r.pid, round(r.cosine, 9)) for r in sim.rank_similar(q, p, "id", "t", "id", "t", 4, **how).collect()}
     pairs = q.withColumnsRenamed({"id": "qid", "t": "a"}).crossJoin(p.withColumnsRenamed({"id": "pid", "t": "b"})).withColumn("k", F.col("qid") * 1000 + F.col("pid"))
     cos = {r.k: round(r.cosine, 9) for r in sim.tfidf_pairs(pairs, "k", "a", "b").collect()}
-    for (qid, rank), (pid, c) in a.items():
-        assert cos[qid * 1000 + pid] == c
-        want = sorted(range(40), key=lambda i: (-cos[qid * 1000 + i], i))[rank - 1]
-        assert want == pid
+    want = {}
+    for i in range(63):
+        top = sorted(range(52), key=lambda j: (-(cos[i * 1000 + j] or 0), j))[:4]
+        want |= {(i, r + 1): (j, cos[i * 1000 + j] or 0) for r, j in enumerate(top)}
+    assert a == want
+
 
 
 def test_classification_report(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whyframe.core import shuffle_width
+from whyframe.core import ensure_checkpoint_dir, shuffle_width
 from whyframe.functions.text import spread, tokens
 
 # Smooth idf over two texts: 1 for a shared token, this for a token of one text only.
@@ -103,80 +103,77 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return jw(a, b)
 
 
+def _dealt(asked: DataFrame, postings: DataFrame, total: int, list_rows: int) -> DataFrame:
+    """``asked (qid, tok)`` met with ``postings (tok, pid)``. A token in very many prototypes has its list cut into parts, each of which every question asks."""
+    least = max(list_rows, total // 10_000)
+    busy = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > least)
+    busy = F.broadcast(busy.select("tok", F.ceil(F.col("c") / least).cast("int").alias("ways")))  # at most 10,000 tokens
+    lists = postings.join(busy, "tok", "left").withColumn("way", F.pmod(F.xxhash64("pid"), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
+    asks = asked.join(busy, "tok", "left").withColumn("way", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+    return asks.join(lists, ["tok", "way"]).select("qid", "pid").distinct()
+
+
 def rank_similar(
     questions: DataFrame, prototypes: DataFrame, qid: str, qtext: str, pid: str, ptext: str,
-    n: int = 5, q_block: int = 512, p_block: int = 512,
+    n: int = 5, first: int = 8, list_rows: int = 1000,
 ) -> DataFrame:
-    """The ``n`` prototypes closest to each question by pair cosine (ties by prototype id).
+    """The ``n`` prototypes closest to each question by pair cosine (ties by prototype id), ids being unique on both sides.
 
-    Both sides are hashed into blocks of bounded size; a task scores one block
-    against one block with numpy and keeps ``n`` per question, so pairs are
-    never materialised and neither side needs to fit in one place.
+    Prototypes are listed under their tokens. A question first asks the lists of its rarest tokens, enough of them for ``first * n``
+    entries, which gives its ``n``-th best score so far. A prototype that shares none of some tokens can't score more than the rest of the
+    question would against its own copy, so only the tokens whose rest could still reach that score are asked as well. Common tokens
+    are thus mostly not asked at all. Questions with fewer than ``n`` prototypes in common get the lowest ids at zero.
     """
+    spark = questions.sparkSession
+    ensure_checkpoint_dir(spark)
     q = questions.select(F.col(qid).alias("qid"), F.col(qtext).alias("qtext"))
     p = prototypes.select(F.col(pid).alias("pid"), F.col(ptext).alias("ptext"))
-    nq = F.ceil(q.select(F.count(F.lit(1)).alias("c")).scalar() / q_block)
-    np_ = F.ceil(p.select(F.count(F.lit(1)).alias("c")).scalar() / p_block)
-
-    def blocks(df: DataFrame, own: str, parts: Column) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.greatest(parts, F.lit(1))))
-
-    qb = blocks(q, "qb", nq).withColumn("pb", F.explode(F.sequence(F.lit(0), F.greatest(np_, F.lit(1)) - 1)))
-    pb = blocks(p, "pb", np_).withColumn("qb", F.explode(F.sequence(F.lit(0), F.greatest(nq, F.lit(1)) - 1)))
-    qb = qb.select("qid", tokens(F.col("qtext")).alias("toks"), "qb", "pb")
-    pb = pb.select("pid", tokens(F.col("ptext")).alias("toks"), "qb", "pb")
-    lone = LONE_IDF
-
-    def score(left, right):
-        import numpy as np
-
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "pid": [], "cosine": []})
-        right = right.sort_values("pid", kind="stable")
-        vocab: dict[str, int] = {}
-        protos = []
-        for toks in right["toks"]:
-            ids = np.array([vocab.setdefault(t, len(vocab)) for t in toks], dtype=np.int64)
-            protos.append(np.unique(ids, return_counts=True) if len(ids) else (ids, ids))
-        owner, tok, tf, norms = [], [], [], []
-        for i, toks in enumerate(left["toks"]):
-            uniq, cnt = np.unique(np.asarray(toks, dtype=object).astype(str), return_counts=True) if len(toks) else ((), np.zeros(0))
-            norms.append(float((cnt * cnt).sum()))
-            for u, c in zip(uniq, cnt):
-                j = vocab.get(u)
-                if j is not None:
-                    owner.append(i), tok.append(j), tf.append(float(c))
-        owner, tok, tf = np.array(owner, dtype=np.int64), np.array(tok, dtype=np.int64), np.array(tf)
-        norms, rows = np.array(norms), len(left)
-        table = np.empty((rows, len(right)))
-        for j, (ids, cnt) in enumerate(protos):
-            w = np.zeros(len(vocab) + 1)
-            w[ids] = cnt
-            hit = w[tok] if len(tok) else np.zeros(0)
-            shared = hit > 0
-            dot = np.bincount(owner, tf * hit, rows) if len(owner) else np.zeros(rows)
-            a2 = np.bincount(owner[shared], tf[shared] ** 2, rows) if len(owner) else np.zeros(rows)
-            b2 = np.bincount(owner[shared], hit[shared] ** 2, rows) if len(owner) else np.zeros(rows)
-            full_b = float((np.asarray(cnt, dtype=float) ** 2).sum())
-            na = lone ** 2 * norms - (lone ** 2 - 1) * a2
-            nb = lone ** 2 * full_b - (lone ** 2 - 1) * b2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                table[:, j] = np.where((na > 0) & (nb > 0), dot / np.sqrt(na * nb), 0.0)
-        top = np.argsort(-np.round(table, 9), axis=1, kind="stable")[:, :n]
-        k = top.shape[1]
-        return pd.DataFrame({
-            "qid": np.repeat(left["qid"].to_numpy(), k),
-            "pid": right["pid"].to_numpy()[top.ravel()],
-            "cosine": np.take_along_axis(table, top, axis=1).ravel(),
-        })
-
-    schema = f"qid {q.schema['qid'].dataType.simpleString()}, pid {p.schema['pid'].dataType.simpleString()}, cosine double"
-    best = qb.groupBy("qb", "pb").cogroup(pb.groupBy("qb", "pb")).applyInPandas(score, schema)
-    # at most n rows per question and prototype block
+    ptok = spread(p, ["pid"], tokens(F.col("ptext")), "tok").groupBy("pid", "tok").agg(F.count(F.lit(1)).cast("double").alias("tb")).checkpoint()
+    counts = ptok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    total = ptok.count()
+    # a token that very many questions hold isn't joined in one task
+    qraw = spread(q, ["qid"], tokens(F.col("qtext")), "tok").groupBy("qid", "tok").agg(F.count(F.lit(1)).cast("double").alias("ta"))
+    common = F.broadcast(counts.filter(F.col("df") > max(list_rows, total // 10_000)))
+    known = qraw.join(common.select("tok"), "tok", "left_anti").join(counts, "tok", "left").unionByName(qraw.join(common, "tok"))
+    own = Window.partitionBy("qid")
+    rare = own.orderBy(F.col("df").asc_nulls_first(), "tok")
+    # rest: squares of this and all commoner tokens; listed: entries of the rarer ones
+    qtok = known.select(
+        "qid", "tok", "ta", "df", F.sum(F.col("ta") * F.col("ta")).over(own).alias("norm"),
+        F.sum(F.col("ta") * F.col("ta")).over(rare.rowsBetween(0, Window.unboundedFollowing)).alias("rest"),
+        F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("listed"),
+    ).filter("df is not null").checkpoint()
+    lone = F.lit(LONE_IDF ** 2)
+
+    pnorm = ptok.groupBy("pid").agg(F.sum(F.col("tb") * F.col("tb")).alias("pn"))
+    qnorm = qtok.groupBy("qid").agg(F.first("norm").alias("qn"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        shared = pairs.join(qtok.select("qid", "tok", "ta"), "qid").join(ptok, ["pid", "tok"])
+        sums = shared.groupBy("qid", "pid").agg(F.sum(F.col("ta") * F.col("tb")).alias("dot"), F.sum(F.col("ta") * F.col("ta")).alias("a2"), F.sum(F.col("tb") * F.col("tb")).alias("b2"))
+        na, nb = lone * F.col("qn") - (lone - 1) * F.col("a2"), lone * F.col("pn") - (lone - 1) * F.col("b2")
+        return sums.join(qnorm, "qid").join(pnorm, "pid").select("qid", "pid", (F.col("dot") / F.sqrt(na * nb)).alias("cosine"))
+
     order = Window.partitionBy("qid").orderBy(F.round("cosine", 9).desc(), "pid")
-    ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+
+    def best(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+
+    early = F.col("listed") < first * n
+    tried = _dealt(qtok.filter(early).select("qid", "tok"), ptok.select("tok", "pid"), total, list_rows).checkpoint()
+    found = scored(tried).checkpoint()
+    reached = best(found).filter(F.col("rank") == n).select("qid", F.col("cosine").alias("reached"))
+    most = F.sqrt(F.col("rest") / (lone * F.col("norm") - (lone - 1) * F.col("rest")))
+    more = qtok.filter(~early).join(reached, "qid", "left").filter(most >= F.coalesce("reached", F.lit(0.0)) - 2e-9).select("qid", "tok")
+    later = _dealt(more, ptok.select("tok", "pid"), total, list_rows).join(tried, ["qid", "pid"], "left_anti")
+    top = best(found.unionByName(scored(later))).drop("rank").checkpoint()
+    # 2n lowest ids hold n that a question with fewer matches doesn't have yet
+    short = q.select("qid").join(top.groupBy("qid").agg(F.count(F.lit(1)).alias("have")), "qid", "left").filter(F.coalesce("have", F.lit(0)) < n).select("qid")
+    lowest = p.select("pid").orderBy("pid").limit(2 * n).agg(F.collect_list("pid").alias("pids"))
+    zero = short.withColumn("pids", lowest.scalar()).select("qid", F.explode("pids").alias("pid")).join(top, ["qid", "pid"], "left_anti").withColumn("cosine", F.lit(0.0))
+    ranked = best(top.unionByName(zero))
     # few rows but costly per row: fix the number of tasks instead of letting them merge
-    shown = ranked.join(q, "qid").join(p, "pid").repartition(shuffle_width(q.sparkSession), "qid", "pid")
+    shown = ranked.join(q, "qid").join(p, "pid").repartition(shuffle_width(spark), "qid", "pid")
     return (
         shown.select("qid", "rank", "pid", "cosine",
                 F.levenshtein("ptext", "qtext").cast("long").alias("levenshtein"),
