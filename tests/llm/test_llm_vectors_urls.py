@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from whyframe.llm.embeddings import Blocks, near_vectors
+from whyframe.llm.embeddings import Blocks, _join_roots, near_vectors
 from whyframe.llm.queries import URL_RULES
 from whyframe.llm.urls import ORDER, SYMBOLS, judge_urls, log_ratios, parts, rule_for
 
@@ -54,6 +54,40 @@ def test_near_vectors(spark, dims, width, chunk):
     assert all(r.kept == (r.vec_id == r.component_id) for r in near_vectors(df, 0.95).collect())
 
 
+def test_vectors_of_several_dimensions_and_of_any_size(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, v) for i, v in vectors(12) if v]
+    rows += [(2000 + i, [float(x) for x in rnd.normal(size=3)]) for i in range(40)]
+    rows += [(3000 + i, [1.0, float(x)]) for i, x in enumerate(rnd.normal(size=20))]
+    rows += [(4000, [1.0] * 7), (4001, [2.0] * 7), (4002, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, 0.95, width=4, chunk=30).collect()} == brute_vectors(rows, 0.95)
+    scaled = [(1, [1e200, 0.0]), (2, [1.0, 0.0]), (3, [1e-200, 1e-202]), (4, [0.0, 5e-324]), (5, [1e-320, 1e-320]), (6, [-0.0, 3.0]), (7, [1e308, 1e308])]
+    wide = [(10 + i, [x * 1e-200 for x in v] + [0.0] * 5) for i, v in scaled]
+    df = spark.createDataFrame(scaled + wide, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert [got[i] for i in range(1, 8)] == [(2, 1), (2, 1), (2, 1), (1, 4), (1, 5), (1, 4), (1, 5)]
+    assert got[11] == (1, 11) and got[12] == (1, 11) and got[13] == (0, 13) and got[17] == (0, 17)  # what underflows to zero links with nothing
+
+
+def test_roots_of_pairs_given_bit_by_bit():
+    rnd = np.random.default_rng(1)
+    root, plain = np.arange(300), list(range(300))
+
+    def find(i):
+        while plain[i] != i:
+            i = plain[i]
+        return i
+
+    for _ in range(40):
+        u, v = rnd.integers(0, 300, (2, 5))
+        _join_roots(root, u, v)
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            lo, hi = sorted((find(a), find(b)))
+            plain[hi] = lo
+    assert root.tolist() == [find(i) for i in range(300)]
+
+
 def test_near_vectors_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or -1, r.n_links) for r in near_vectors(df).collect()) == [(-1, 0), (1, 1), (1, 1), (2, 1)]
