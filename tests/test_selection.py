@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from whyframe.core import mix
@@ -27,6 +29,31 @@ def test_nearest_against_brute_force(spark):
     assert got[("b", 1.4)] == [1, 2, 0, 3]
 
 
+@pytest.mark.parametrize("k", [1, 3, 12])
+def test_neighbours_across_partitions(spark, k):
+    """Many tiny partitions, ids that are texts, values and targets that aren't finite."""
+    rng = random.Random(k)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    rows = [(p, f"c{i:03d}", rng.choice([*odd, 0.0, -0.0, 5.0, round(rng.gauss(0, 9), 1)])) for p in "ab" for i in range(150)] + [("c", "x", 1.0), ("c", "y", None)]
+    asks = [(p, t) for p in "abc" for t in [*odd[1:], 0.0, 5.0, 1e6, -1e6, *[rng.gauss(0, 9) for _ in range(30)]]]
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = nearest_by_value(spark.createDataFrame(asks, "part string, target double"), spark.createDataFrame(rows, "part string, case_id string, value double"), k).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(asks)
+    for r in got:
+        def far(v):
+            gap = abs(v - r.target) if v is not None else math.inf
+            return gap if gap < math.inf else math.inf
+
+        want = sorted((far(v), i) for p, i, v in rows if p == r.part)[:k]
+        assert [(p.diff, p.case_id) for p in r.picks] == [(pytest.approx(d), i) for d, i in want], r.target
+
+
 def make_cases(spark, n=200):
     rng = random.Random(5)
     rows = [(i, rng.randint(0, 30), round(rng.random() * 100, 2), rng.choice(["F", "M"]), i % 2) for i in range(n)]

@@ -73,3 +73,15 @@ def unpivot_numeric(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """Long form ``(id_col, feature, value)`` of the numeric columns."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
     return df.select(F.col(id_col), F.inline(pairs))
+
+
+def join_busy(rows: DataFrame, sides: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
+    """``rows`` joined to ``sides``, which has one row a key. Both are read several times, so they should be written tables.
+
+    Keys that more than a ten-thousandth of the rows share (and at least ``least``) are 10,000 at most: their rows are met by a broadcast
+    and not sent to one task.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    limit = max(least, rows.count() // 10_000)
+    busy = F.broadcast(counts.filter(F.col("_c") > limit).select(*keys))
+    return rows.join(busy, keys, "left_anti").join(sides, keys).unionByName(rows.join(F.broadcast(sides.join(busy, keys, "left_semi")), keys))

@@ -8,33 +8,126 @@ when the column is categorical. A group without a usable feature stands for the
 whole table.
 
 Plan: there is no questions x cases product. Per feature, cases are thinned to
-``k`` ids per distinct value, the distinct values are ranked in ordered
-buckets, every distinct target finds its rank with one window, and its
-neighbours are fetched by equality on rank. Work grows with
+``k`` ids per distinct value; these and the distinct targets are sorted together
+over all partitions, every partition is told the ``k`` values before and after
+it, and finds the neighbours of its targets where they lie. Work grows with
 ``cases + k * targets``.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from whyframe.core import ensure_checkpoint_dir, numeric_columns, shuffle_width, unpivot_numeric
+from whyframe.core import ensure_checkpoint_dir, join_busy, numeric_columns, unpivot_numeric
 from whyframe.functions.text import is_number
-from whyframe.operators.ranking import bucket_of, quantile_bounds
 from whyframe.operators.schema_match import AliasTable
 
+TARGETS = 2048  # targets whose neighbours are compared at once
+
+
+def _slices(batches):
+    """Of a task's sorted rows ``(number, part, value, ids)``: the partition's number and, per part, its values, their ids and its targets."""
+    number, parts = None, {}
+    for b in batches:
+        if b.num_rows:
+            number = b.column("number")[0].as_py()
+            names = b.column("part").to_pylist()
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                parts.setdefault(names[lo], []).append(b.slice(lo, hi - lo))
+    out = []
+    for name, pieces in parts.items():
+        value = np.concatenate([p.column("value").to_numpy() for p in pieces])
+        ids = [x for p in pieces for x in p.column("ids").to_pylist()]
+        held = np.array([x is not None for x in ids])
+        out.append((name, value[held], [x for x in ids if x is not None], value[~held]))
+    return number, out
+
+
+def _ends(k: int):
+    """One row a partition: the first values of its first part and the last ones of its last part, with their ids."""
+    def run(batches):
+        number, parts = _slices(batches)
+        if parts:
+            first, last = parts[0], parts[-1]
+            told = [first[0], list(zip(first[1][:k].tolist(), first[2][:k], strict=True)), last[0], list(zip(last[1][-k:].tolist(), last[2][-k:], strict=True)), len(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([json.dumps(told)])], ["number", "told"])
+
+    return run
+
+
+def _around(told: dict[int, list], k: int) -> dict[int, tuple[list, list]]:
+    """Per partition the last ``k`` values before it of its first part and the first ``k`` after it of its last part."""
+    before, after = {}, {}
+    name, held = None, []
+    for n in sorted(told):
+        first, head, last, tail, parts = told[n]
+        before[n] = held if name == first else []
+        held = ((before[n] if parts == 1 else []) + tail)[-k:]
+        name = last
+    name, held = None, []
+    for n in sorted(told, reverse=True):
+        first, head, last, tail, parts = told[n]
+        after[n] = held if name == last else []
+        held = (head + (after[n] if parts == 1 else []))[:k]
+        name = first
+    return {n: (before[n], after[n]) for n in told}
+
+
+def _picks(around, k: int, id_type):
+    """``(part, target, picks)`` of a partition's targets."""
+    def run(batches):
+        number, parts = _slices(batches)
+        for at, (name, value, ids, targets) in enumerate(parts):
+            if not len(targets):
+                continue
+            before, after = around.value[number]
+            before, after = before if at == 0 else [], after if at == len(parts) - 1 else []
+            value = np.concatenate([[v for v, _ in before], value, [v for v, _ in after]])
+            ids = [x for _, x in before] + ids + [x for _, x in after]
+            names, rank = np.unique(np.array([i for x in ids for i in x], object if pa.types.is_string(id_type) else None), return_inverse=True)
+            sizes = np.array([len(x) for x in ids])
+            table = np.full((len(value), k), len(names))  # one past the last id: nobody
+            table[np.repeat(np.arange(len(value)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = rank
+            for lo in range(0, len(targets), TARGETS):
+                t = targets[lo:lo + TARGETS]
+                near = np.searchsorted(value, t)[:, None] + np.arange(-k, k)
+                real = (near >= 0) & (near < len(value))
+                near = np.clip(near, 0, len(value) - 1)
+                who = np.where(real[:, :, None], table[near], len(names)).reshape(len(t), -1)
+                far = np.repeat(np.abs(value[near] - t[:, None]), k, axis=1)
+                far[who == len(names)] = np.inf
+                order = np.lexsort((who, far), axis=-1)[:, :k]
+                who, far = np.take_along_axis(who, order, 1), np.take_along_axis(far, order, 1)
+                some = who < len(names)
+                picks = pa.StructArray.from_arrays([pa.array(far[some]), pa.array(names[who[some]], id_type)], ["diff", "case_id"])
+                offsets = np.append(0, np.cumsum(some.sum(axis=1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(t)), pa.array(t), pa.ListArray.from_arrays(offsets, picks)], ["part", "target", "picks"])
+
+    return run
+
 
 def nearest_by_value(targets: DataFrame, values: DataFrame, k: int = 10) -> DataFrame:
     """``targets(part, target)`` x ``values(part, case_id, value)`` -> k nearest per distinct target.
 
     Returns ``(part, target, picks)`` with ``picks`` an array of
-    ``(diff, case_id)`` in order. Missing values count as infinitely far.
+    ``(diff, case_id)`` in order. Values that are missing or not finite count as
+    infinitely far; to a target that isn't finite all cases are.
     """
     spark = values.sparkSession
     ensure_checkpoint_dir(spark)
     inf = F.lit(float("inf"))
-    vals = values.select("part", "case_id", F.nanvl(F.coalesce("value", inf), inf).alias("value"))
+
+    def finite(c: str):
+        return F.coalesce(F.abs(F.col(c)) < inf, F.lit(False))  # NaN is greater than infinity
+
+    vals = values.select("part", "case_id", F.when(finite("value"), F.col("value").cast("double")).otherwise(inf).alias("value"))
 
     # k smallest ids per distinct value: the rank limit also prunes before the
     # shuffle, so one very frequent value costs k rows per input partition.
@@ -43,42 +136,22 @@ def nearest_by_value(targets: DataFrame, values: DataFrame, k: int = 10) -> Data
         vals.withColumn("_rn", F.row_number().over(tie)).filter(F.col("_rn") <= k)
         .groupBy("part", "value").agg(F.sort_array(F.collect_list("case_id")).alias("ids"))
     )
-    wanted = targets.select("part", F.col("target").cast("double").alias("value")).distinct()
-    both = thin.unionByName(wanted.withColumn("ids", F.lit(None).cast(thin.schema["ids"].dataType)))
-
-    n = max(8, min(4096, shuffle_width(spark) * 4))
-    stride = max(2, int(n ** 0.5))
-    # targets take part in the cut points, so far-off targets spread over buckets too
-    bounds = quantile_bounds(values.select("part", "value").unionByName(wanted), ["part"], "value", n)
-    # one row per part: at most as many as the table has numeric columns
-    placed = both.join(F.broadcast(bounds), "part", "left").withColumn(
-        "bucket", F.coalesce(bucket_of(F.col("value"), F.col("bounds"), stride), F.lit(0))
-    ).drop("bounds")
-    is_val = F.col("ids").isNotNull().cast("long")
-    order = Window.partitionBy("part", "bucket").orderBy("value", is_val)
-    # the ordered buckets are read three times below, so they are written once
-    counted = placed.withColumn(
-        "upto", F.sum(is_val).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ).checkpoint()
-    sizes = counted.groupBy("part", "bucket").agg(F.sum(is_val).alias("n"))
-    before = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    # at most buckets x columns rows
-    ranked = counted.join(F.broadcast(offsets), ["part", "bucket"]).withColumn("rank", F.col("upto") + F.col("off"))
-
-    held = ranked.filter(F.col("ids").isNotNull()).select("part", "rank", "value", "ids")
-    asked = ranked.filter(F.col("ids").isNull()).select(
-        "part", F.col("value").alias("target"),
-        F.explode(F.sequence(F.greatest(F.col("rank") - (k - 1), F.lit(1)), F.col("rank") + k)).alias("rank"),
-    )
-    near = asked.join(held, ["part", "rank"]).select(
-        "part", "target",
-        F.transform("ids", lambda i: F.struct(F.abs(F.col("value") - F.col("target")).alias("diff"), i.alias("case_id"))).alias("c"),
-    )
-    # at most 2k values of at most k ids each per target
-    return near.groupBy("part", "target").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("picks")
-    )
+    asked = targets.select("part", F.col("target").cast("double").alias("value")).distinct()
+    wanted = asked.filter(finite("value")).withColumn("ids", F.lit(None).cast(thin.schema["ids"].dataType))
+    # a checkpoint keeps partitions and their order
+    order = thin.unionByName(wanted).repartitionByRange("part", "value").sortWithinPartitions("part", "value").checkpoint()
+    order = order.withColumn("number", F.spark_partition_id())
+    told = {r[0]: json.loads(r[1]) for r in order.mapInArrow(_ends(k), "number int, told string").collect()}  # one row a partition
+    around = spark.sparkContext.broadcast(_around(told, k))
+    kind = values.schema["case_id"].dataType
+    id_type = to_arrow_type(kind)
+    picks = order.mapInArrow(_picks(around, k, id_type), f"part string, target double, picks array<struct<diff:double,case_id:{kind.simpleString()}>>")
+
+    odd = asked.filter(~finite("value")).select("part", F.col("value").alias("target"))
+    lowest = vals.join(odd.select("part").distinct(), "part", "left_semi").withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("part").orderBy("case_id"))).filter(F.col("_rn") <= k)
+    lists = lowest.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(inf.alias("diff"), "case_id"))).alias("picks"))
+    return picks.unionByName(odd.join(lists, "part").select("part", "target", "picks"))
 
 
 def usable_features(groups: DataFrame, cases: DataFrame, id_col: str) -> DataFrame:
@@ -115,20 +188,24 @@ def nearest_cases(cases: DataFrame, groups: DataFrame, k: int = 10, id_col: str
         .join(F.broadcast(used), "part", "left_semi")  # at most one row per column
     )
     picks = nearest_by_value(ends.select("part", "target"), values, k)
-    chosen = ends.join(picks, ["part", "target"]).select(
-        *keys, "last_col", "last_target", ((F.col("last_col") != F.col("part")) | (F.col("last_target") != F.col("target"))).alias("reorder"), F.posexplode("picks").alias("p", "pick")
-    ).select(*keys, "last_col", "last_target", "reorder", (F.col("p") + 1).cast("long").alias("rank"), F.col("pick.case_id").alias(id_col))
+    # each distinct target's picks meet their cases once, whatever the number of groups that ask for it
+    one = picks.select("part", "target", F.posexplode("picks").alias("at", "pick")).select("part", "target", "at", F.col("pick.case_id").alias("case_id"))
+    row_values = F.array(*[F.col(c).cast("double") for c in numeric])
+    with_values = one.join(cases.select(F.col(id_col).alias("case_id"), row_values.alias("values")), "case_id")
+    lists = with_values.groupBy("part", "target").agg(F.collect_list(F.struct("at", "case_id", "values")).alias("picks")).checkpoint()
 
-    # a later feature re-orders: only those rows need the case itself
     inf = F.lit(float("inf"))
-    row_value = F.coalesce(*[F.when(F.col("last_col") == c, F.col(c).cast("double")) for c in numeric])
-    far = F.when(F.col("reorder"), F.abs(F.nanvl(F.coalesce(row_value, inf), inf) - F.col("last_target"))).otherwise(F.col("rank"))
-    # rows that look nothing up get a spread key instead of piling up on null
-    keyed = chosen.withColumn("_key", F.when(F.col("reorder"), F.col(id_col))).withColumn(
-        "_salt", F.when(F.col("reorder"), F.lit(0)).otherwise(F.hash(*keys)))
-    order = Window.partitionBy(*keys).orderBy(far, id_col)  # at most k rows each
-    values_of = cases.select(F.col(id_col).alias("_key"), F.lit(0).alias("_salt"), *numeric)
-    return keyed.join(values_of, ["_key", "_salt"], "left").select(*keys, id_col, F.row_number().over(order).cast("long").alias("rank"))
+    reorder = (F.col("last_col") != F.col("part")) | (F.col("last_target") != F.col("target"))
+    place = F.array_position(F.array(*[F.lit(c) for c in numeric]), F.col("last_col")).cast("int")
+
+    def far(p):
+        gap = F.abs(F.element_at(p["values"], place) - F.col("last_target"))
+        return F.when(reorder, F.when(gap < inf, gap).otherwise(inf)).otherwise(p["at"].cast("double"))
+
+    # at most k picks a group
+    sorted_picks = F.array_sort(F.transform("picks", lambda p: F.struct(far(p).alias("far"), p["case_id"].alias("case_id"))))
+    return join_busy(ends, lists, ["part", "target"]).select(*keys, F.posexplode(sorted_picks).alias("p", "pick")).select(
+        *keys, F.col("pick.case_id").alias(id_col), (F.col("p") + 1).cast("long").alias("rank"))
 
 
 def whole_table_groups(cases: DataFrame, groups: DataFrame, id_col: str = "case_id") -> DataFrame:
