@@ -18,7 +18,7 @@ from whyframe.llm.quality_rules import measure, quality_rules
 from whyframe.llm.queries import word_tokenizer
 from whyframe.llm.simhash import keep_one, links, simhash_components
 from whyframe.llm.token_counts import token_counts
-from whyframe.llm.toxicity import fit_lexicon, fold, reject, score_documents
+from whyframe.llm.toxicity import Lexicon, fit_lexicon, fold, reject, score_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, k int, w string, term string, _id long, domain string, score string"
 
@@ -141,8 +141,6 @@ def test_line_dedup(docs, empty, monkeypatch):
     assert sum(v[1] for v in want.values()) == 6
     index = LineIndex.build(docs)
     assert cleaned(index, docs) == want
-    monkeypatch.setattr("whyframe.llm.line_dedup.FILTER_BYTES", -1)
-    assert cleaned(index, docs) == want
     kept = index.clean(docs, keep=True)
     assert kept.columns == docs.columns and {r.doc_id: r.text or "" for r in kept.collect()} == {i: v[2] for i, v in want.items()}
     assert kept.where("text is null").count() == 1
@@ -160,6 +158,22 @@ def test_line_dedup_is_reversible(docs):
     assert sorted(back.refs.select("n", "last").collect()) == sorted(start.refs.select("n", "last").collect())
 
 
+def test_shards_split_as_the_index_grows(spark, monkeypatch):
+    monkeypatch.setattr("whyframe.llm.line_dedup.SHARD_KEYS", 3)
+    monkeypatch.setattr("whyframe.llm.line_dedup.WAVE_BYTES", 1)  # a wave per shard
+    rnd = random.Random(2)
+    lines = [f"{i} is a line that is long enough to be counted, it is" for i in range(40)]
+    rows = [(i, "\n".join(rnd.sample(lines, 12))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = LineIndex.build(docs.limit(0))
+    assert index.shards == 1 and cleaned(index, docs.limit(0)) == {}
+    some = index.insert(docs.where("doc_id < 8"))
+    grown = some.insert(docs.where("doc_id >= 8"))
+    assert grown.shards == 16 and cleaned(grown, docs) == brute_lines(rows)
+    back = grown.delete(docs.where("doc_id >= 8").select("doc_id"))
+    assert cleaned(back, docs.where("doc_id < 8")) == brute_lines(rows[:8]) == cleaned(some, docs.where("doc_id < 8"))
+
+
 def test_cuckoo_filter():
     keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(3000)]
     made = Cuckoo.holding(keys[:2000])
@@ -227,6 +241,19 @@ def test_simhash_links_in_small_and_large_buckets(spark, bucket):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_repeated_windows_of_any_text():
+    import random
+
+    from whyframe.llm.quality_rules import measure
+
+    rnd = random.Random(3)
+    for size in [*range(12), 40, 41, 200]:
+        words = [rnd.choice("ab") + rnd.choice(["", "c"]) for _ in range(size)]
+        windows = collections.Counter(tuple(words[i:i + 5]) for i in range(size - 4))
+        marked = {i + j for i in range(size - 4) for j in range(5) if windows[tuple(words[i:i + 5])] > 1}
+        assert measure(" ".join(words))[4] == len(marked)
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules(docs).collect():
         text = texts()[r.doc_id] or ""
@@ -261,6 +288,36 @@ def test_toxicity_folds_and_spares():
     assert lex.strength("idiot " + "word " * 5000) < lex.strength("idiot word")
 
 
+def test_toxicity_strength_is_the_plain_sum():
+    """Every word at every place against every spared phrase, and a long text in a time that fits its length."""
+    import random
+    import time
+
+    rnd = random.Random(6)
+    lexicon = Lexicon(tuple((fold(t), w) for t, w in (("idi", 1.0), ("idiot", 2.5), ("fool", 2.0), ("cl", 0.25))), tuple(map(fold, ("clown fish", "no fool", "idiot proof"))))
+    words = ["idiot", "idiots", "idea", "fool", "no", "clown", "fish", "proof", "id1ot", "kind", "FOOL!"]
+    for _ in range(300):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randrange(30)))
+        folded = f" {fold(text)} "
+        spared = [(m.start(), m.start() + len(p) + 1) for p in lexicon.phrases for m in re.finditer(f"(?= {p} )", folded)]
+        total = 0.0
+        for at in range(len(folded)):
+            found = [(len(t), w) for t, w in lexicon.terms if folded.startswith(f" {t}", at)]
+            if found and not any(a <= at <= b for a, b in spared):
+                total += max(found)[1]
+        assert lexicon.strength(text) == pytest.approx(total / (1 + math.log1p(folded.count(" ") / 100)))
+    start = time.perf_counter()
+    lexicon.strength("clown fish idiot " * 40_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_a_document_with_two_labels_counts_as_clean(spark):
+    rows = [(i, "awful grubbish thing" if i % 2 else "a kind thing") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)] + [(i, 0, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert fit_lexicon(docs, labels) == fit_lexicon(docs, labels.groupBy("doc_id", "quality").agg({"toxic": "min"}).withColumnRenamed("min(toxic)", "toxic"))
+
+
 def test_toxicity_held_out(spark, docs, empty):
     import duckdb
 

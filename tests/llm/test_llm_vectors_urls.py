@@ -176,3 +176,13 @@ def test_log_ratios(spark):
     assert len(rows) == len(wanted)
     for r in rows:
         assert r.ratio == pytest.approx(math.log(brute_p([pad(u) for u in yes], r.g)) - math.log(brute_p([pad(u) for u in no], r.g)))
+
+
+def test_very_long_urls(spark):
+    import time
+
+    rows = [(i, f"http://site{i}.example.com/fr/{i}") for i in range(20)] + [(i, f"http://x{i}.example.com/de/{i}") for i in range(20, 40)] + [(99, "http://a.net/" + "ab9é/" * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.perf_counter()
+    assert {r.page_id: r.rule for r in judge_urls(df, URL_RULES).collect()}[99] is None
+    assert time.perf_counter() - start < 60

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from whyframe.llm.common import scratch, text_rows
 SLOTS = 4
 KICKS = 500
 SHARD_KEYS = 200_000
-# Filters larger than this in all are not sent to the tasks; the exact join then sees every counted line.
-FILTER_BYTES = 64 << 20
+# Filters are sent to the tasks in waves of at most this many bytes (but one filter at least); each wave meets the lines of its shards.
+WAVE_BYTES = 64 << 20
 
 
 class Cuckoo:
@@ -135,16 +136,28 @@ class LineIndex:
         postings = scratch(cls.postings_of(docs, min_chars, id_col, text_col), "postings")
         refs = scratch(cls._count(postings), "refs")
         frequent = refs.where(F.col("n") >= min_docs)
-        shards = frequent.count() // SHARD_KEYS + 1
-        filters = frequent.select("key", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(
+        shards = cls._shards_for(frequent.count())
+        return cls(postings, refs, scratch(cls._filters(frequent, shards), "filters"), min_chars, min_docs, shards)
+
+    @staticmethod
+    def _shards_for(keys: int) -> int:
+        """The power of two at which a shard has at most ``SHARD_KEYS`` keys on average; doubling it splits each shard into two."""
+        return 1 << max(0, (max(keys, 1) - 1) // SHARD_KEYS).bit_length()
+
+    @staticmethod
+    def _filters(frequent: DataFrame, shards: int) -> DataFrame:
+        return frequent.select("key", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(
             lambda pdf: pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "blob": [Cuckoo.holding(list(map(bytes, pdf["key"]))).blob()]}), "shard long, blob binary")
-        return cls(postings, refs, scratch(filters, "filters"), min_chars, min_docs, shards)
 
     def _changed(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
         """The index over ``postings`` when only the counts of the keys ``touched`` differ."""
         old = self.refs.join(touched, "key", "left_semi").select("key", F.col("n").alias("was"))
         new = scratch(self._count(postings.join(touched, "key", "left_semi")), "refs-new")
         refs = scratch(self.refs.join(touched, "key", "left_anti").unionByName(new), "refs")
+        frequent = refs.where(F.col("n") >= self.min_docs)
+        shards = self._shards_for(frequent.count())
+        if shards > self.shards:  # shards are split; as their number doubles, all of this is rare
+            return LineIndex(postings, refs, scratch(self._filters(frequent, shards), "filters"), self.min_chars, self.min_docs, shards)
         moves = (old.join(new, "key", "full").select("key", (F.coalesce("was", F.lit(0)) >= self.min_docs).alias("had"), (F.coalesce("n", F.lit(0)) >= self.min_docs).alias("has"))
                  .where("had <> has").withColumn("shard", _shard(self.shards)))
 
@@ -156,9 +169,8 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]], "blob": [None if full else made.blob()]})
 
         filters = scratch(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(update, "shard long, blob binary"), "filters")
-        again = refs.where(F.col("n") >= self.min_docs).withColumn("shard", _shard(self.shards)).join(filters.where("blob is null"), "shard", "left_semi")
-        built = again.select("key", "shard").groupBy("shard").applyInPandas(
-            lambda pdf: pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "blob": [Cuckoo.holding(list(map(bytes, pdf["key"]))).blob()]}), "shard long, blob binary")
+        full = filters.where("blob is null").select(F.col("shard").alias("s"))
+        built = self._filters(frequent.join(full, _shard(self.shards) == F.col("s"), "left_semi"), self.shards)
         filters = scratch(filters.where("blob is not null").unionByName(built), "filters")
         return LineIndex(postings, refs, filters, self.min_chars, self.min_docs, self.shards)
 
@@ -175,28 +187,43 @@ class LineIndex:
     def dropped(self) -> DataFrame:
         """``(id, keys)``: the line keys that each document loses, those of its frequent lines of which it isn't the last holder.
 
-        The filters leave out nearly all other lines before the exact join decides. They travel to the tasks only while they are
-        smaller than ``FILTER_BYTES``; beyond, all counted lines go to the join, with the same result.
+        The filters leave out nearly all other lines before the exact join decides. They travel to the tasks wave by wave, so the
+        size of a broadcast is bounded by ``WAVE_BYTES`` and the lines are read once a wave.
         """
-        lines = self.postings
-        if (self.filters.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) <= FILTER_BYTES:
-            sent = lines.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in self.filters.collect()})
-
-            def probe(batches):
-                made = {s: Cuckoo(blob=b) for s, b in sent.value.items()}
-                for b in batches:
-                    shard, hit = b.column("shard").to_numpy(), np.zeros(b.num_rows, bool)
-                    keys = np.array(b.column("key").to_pylist(), object)
-                    for s, c in made.items():
-                        at = np.flatnonzero(shard == s)
-                        if len(at):
-                            hit[at] = c.contains(list(keys[at]))
-                    yield b.select(["key", "id"]).filter(pa.array(hit))
-
-            lines = lines.withColumn("shard", _shard(self.shards)).mapInArrow(probe, f"key binary, id {dict(lines.dtypes)['id']}")
+        sizes = sorted((r[0], r[1]) for r in self.filters.select("shard", F.octet_length("blob")).collect())  # one row a shard
+        waves: list[list[int]] = []
+        held = 0
+        for shard, size in sizes:
+            if not waves or held + size > WAVE_BYTES:
+                waves.append([])
+                held = 0
+            waves[-1].append(shard)
+            held += size
+        dealt = self.postings.withColumn("shard", _shard(self.shards))
+        found = [self._probed(dealt, wave) for wave in waves]
+        lines = reduce(DataFrame.unionByName, found) if found else self.postings.limit(0)
         frequent = self.refs.where(F.col("n") >= self.min_docs).select("key", "last")
         return lines.join(frequent, "key").where("id < last").groupBy("id").agg(F.collect_list("key").alias("keys"))
 
+    def _probed(self, dealt: DataFrame, wave: list[int]) -> DataFrame:
+        """The lines of the wave's shards that their filters may hold. Shards of a wave follow each other but for empty ones."""
+        mine = F.col("shard").between(wave[0], wave[-1])
+        blobs = {r[0]: bytes(r[1]) for r in self.filters.where(mine).collect()}
+        sent = dealt.sparkSession.sparkContext.broadcast(blobs)
+
+        def probe(batches):
+            made = {s: Cuckoo(blob=b) for s, b in sent.value.items()}
+            for b in batches:
+                shard, hit = b.column("shard").to_numpy(), np.zeros(b.num_rows, bool)
+                keys = np.array(b.column("key").to_pylist(), object)
+                for s in np.unique(shard):
+                    if s in made:
+                        at = np.flatnonzero(shard == s)
+                        hit[at] = made[s].contains(list(keys[at]))
+                yield b.select(["key", "id"]).filter(pa.array(hit))
+
+        return dealt.where(mine).mapInArrow(probe, f"key binary, id {dict(dealt.dtypes)['id']}")
+
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
         """``(id_col, text_col, n_lines, n_dropped)`` of every row; with ``keep`` the columns of ``docs`` instead, its texts replaced.
 

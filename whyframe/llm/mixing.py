@@ -124,11 +124,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least:
     """``(id, h, k, tokens, p, rate)`` of each distinct (id, text) so that expected tokens per domain meet ``targets``.
 
     ``labelled (id_col, domain)`` names the documents the classifier learns from: at most ``max_labelled``, those with the smallest hash
-    of their id. Everything else covers all rows. Null texts have no words and keep their prior membership. With ``least`` 1 no document
+    of their id; of several domains of one document the first in order counts. Everything else covers all rows. Null texts have no words and keep their prior membership. With ``least`` 1 no document
     is thinned out: the targets are raised together until each can be met by repeating documents.
     """
     domains = list(targets)
-    rows = labelled.where(F.col("domain").isin(domains)).select(F.col(id_col).alias("_id"), "domain").dropDuplicates(["_id"])
+    rows = labelled.where(F.col("domain").isin(domains)).groupBy(F.col(id_col).alias("_id")).agg(F.min("domain").alias("domain"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     train = docs.join(F.broadcast(rows), docs[id_col] == rows["_id"]).select(docs[text_col].alias("text"), rows["domain"])
     members = scratch(posteriors(docs, fit_domains(train, domains), id_col, text_col), "members")

@@ -12,20 +12,29 @@ from pyspark.sql import functions as F
 from whyframe.llm.common import scratch, text_rows
 from whyframe.llm.terms import encode_terms, terms
 
-CACHE = 600_000  # terms a worker keeps, about 100 MB; beyond that it starts afresh
+CACHE_BYTES = 96 << 20  # of terms, their ids and the table that holds them a worker keeps; beyond that it starts afresh
+LONG_TERM = 1024  # bytes; longer terms are not kept
 _cache: dict[bytes, bytes] = {}
+_held = 0
 
 
 def _ids(path: str, texts: list[bytes], end_id: int) -> list[bytes]:
     """Little-endian 32-bit ids of each text, with ``end_id`` last."""
-    if len(_cache) > CACHE:
+    global _held
+    if _held > CACHE_BYTES:
         _cache.clear()
+        _held = 0
     words = [terms(t) for t in texts]
     new = [t for t in {t for w in words for t in w} if t not in _cache]
     for t, ids in zip(new, encode_terms(path, new), strict=True):
         _cache[t] = np.array(ids, "<u4").tobytes()
+        _held += len(t) + len(_cache[t]) + 150
     end = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(_cache.__getitem__, w)) + end for w in words]
+    out = [b"".join(map(_cache.__getitem__, w)) + end for w in words]
+    for t in new:
+        if len(t) > LONG_TERM:
+            _held -= len(t) + len(_cache.pop(t)) + 150
+    return out
 
 
 def pieces(docs: DataFrame, path: str, size: int, unit: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

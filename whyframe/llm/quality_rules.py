@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +52,17 @@ def measure(text: str | None, rules: Rules = Rules()) -> tuple:
     raw = text.encode()
     words = raw.split()
     n = len(words)
-    places: dict[tuple, int] = {}
-    marks = bytearray(n)
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = [number[w] for w in words]
-    for i, window in enumerate(zip(ids, ids[1:], ids[2:], ids[3:], ids[4:], strict=False)):
-        first = places.setdefault(window, i)
-        if first != i:
-            marks[i:i + 5] = b"\x01" * 5
-            marks[first:first + 5] = b"\x01" * 5
-    n_repeat = sum(marks)
+    n_repeat = 0
+    if n >= 5:
+        number: dict[bytes, int] = {}
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, n)
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, 5)).view("V20").ravel()
+        _, kind, counts = np.unique(windows, return_inverse=True, return_counts=True)
+        edges = np.zeros(n + 1, np.int64)
+        again = np.flatnonzero(counts[kind] > 1)
+        np.add.at(edges, again, 1)
+        np.add.at(edges, again + 5, -1)
+        n_repeat = int((np.cumsum(edges) > 0).sum())
     seen: set[str] = set()
     dup, kept_words, stay = 0, 0, []
     for line in text.split("\n"):

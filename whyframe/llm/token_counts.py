@@ -14,7 +14,7 @@ from whyframe.llm.terms import encode_terms, terms
 # Terms whose piece counts travel to every task: at most this many, of at most this many bytes each (16 MB).
 HOT_TERMS = 262_144
 HOT_BYTES = 64
-FLUSH = 400_000
+FLUSH_BYTES = 48 << 20  # of distinct terms a task holds before it passes them on
 
 
 def _chunks(seen: Counter):
@@ -29,12 +29,17 @@ def vocabulary(rows: DataFrame, path: str) -> DataFrame:
 
     def count(batches):
         seen: Counter = Counter()
+        held = 0
         for b in batches:
             for text in b.column("text").cast(pa.binary()):
-                seen.update(terms(text.as_py()))
-                if len(seen) > FLUSH:
+                before = len(seen)
+                found = terms(text.as_py())
+                seen.update(found)
+                held += 120 * (len(seen) - before) + sum(len(t) for t in found if len(t) > 100)
+                if held > FLUSH_BYTES:
                     yield from _chunks(seen)
                     seen.clear()
+                    held = 0
         yield from _chunks(seen)
 
     def encode(batches):

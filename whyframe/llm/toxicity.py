@@ -91,7 +91,13 @@ class Lexicon:
                 spared.append((begin, end))
             elif n > hits.get(begin, (0, 0.0))[0]:
                 hits[begin] = (n, w)
-        total = sum(w for at, (_, w) in hits.items() if not any(a <= at <= b for a, b in spared)) if spared else sum(w for _, w in hits.values())
+        total, i, reach = 0.0, 0, -1
+        spared.sort()
+        for at in sorted(hits) if spared else hits:
+            while i < len(spared) and spared[i][0] <= at:
+                reach, i = max(reach, spared[i][1]), i + 1
+            if at > reach:
+                total += hits[at][1]
         return total / (1 + math.log1p(folded.count(" ") / self.span)) if total else 0.0
 
     def score(self, text: str | None) -> float:
@@ -121,11 +127,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, max_labelled
 
     At most ``max_labelled`` labelled rows are used, those with the smallest hash of their id: the only bounded sample here. Stems are
     the first 4 to 10 letters of folded words; a stem enters if more toxic than clean rows have it, with a log-likelihood ratio of
-    ``least_evidence``, unless a shorter stem says the same. Two words of which one starts with a stem become an exception phrase when
+    ``least_evidence``, unless a shorter stem says the same. A document with both labels counts as clean. Two words of which one starts with a stem become an exception phrase when
     mostly clean rows have them. At most ``max_terms`` stems reach the driver. Without labelled rows the starting lexicon remains.
     """
     train = labels.where(F.col(label_col).isin(0, 1) & (crc_fold(F.col(id_col), folds) != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    train = train.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+    train = train.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     rows = docs.join(F.broadcast(train), docs[id_col] == train["_id"]).select(F.coalesce(docs[text_col], F.lit("")).alias("text"), train["_y"]).cache()
     size = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
     n_clean, n_tox = size.get(0, 0), size.get(1, 0)
@@ -193,10 +199,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, folds: int = 5, max_labelled
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)`` of every row's whole text."""
+    """``(id_col, score)`` of every row's whole text, in time proportional to its length; repeated rows come back as often as they came in."""
     return docs.select(docs[id_col], lexicon.column(docs[text_col]).alias("score"))
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose score is below ``least``, with their columns as they are."""
+    """The rows whose score is below ``least``, with their columns as they are; repeated rows stay or go together."""
     return docs.where(lexicon.column(docs[text_col]) < least)

@@ -30,8 +30,9 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
 def grams(urls: DataFrame, *keep: str) -> DataFrame:
     """``(*keep, g)``: the ``ORDER``-grams of ``url`` over a fixed alphabet, padded in front, closed behind; one row per place."""
     s = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), "[0-9]", "0"), r"[^a-z0:/.?=&_#%-]", "*")
-    s = F.concat(F.lit("^" * (ORDER - 1)), s, F.lit("$"))
-    return urls.select(*keep, s.alias("s")).select(*keep, "s", F.explode(F.sequence(F.lit(1), F.length("s") - (ORDER - 1))).alias("i")).select(*keep, F.expr(f"substring(s, i, {ORDER})").alias("g"))
+    # the folded text is ASCII; places of a binary are found at once, those of a string by walking to them
+    s = F.concat(F.lit("^" * (ORDER - 1)), s, F.lit("$")).cast("binary")
+    return urls.select(*keep, s.alias("s")).select(*keep, "s", F.explode(F.sequence(F.lit(1), F.length("s") - (ORDER - 1))).alias("i")).select(*keep, F.expr(f"cast(substring(s, i, {ORDER}) as string)").alias("g"))
 
 
 def log_ratios(seeds: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     """``(id_col, host, path, rule, verdict, score)`` of every row; verdict is the longest fitting rule's, else the models'.
 
     The models learn from the urls that the rules decide: allowed ones are accepted, blocked ones rejected; the cut between their
-    scores is calibrated on them. A null url has empty host and path and is judged like an empty one. Repeated rows stay.
+    scores is calibrated on them. A null url has empty host and path and is judged like an empty one; the time of a url grows with its length. Repeated rows stay.
     """
     host, path = parts(F.col("url"))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url")).withColumns({"host": host, "path": path})
