@@ -28,6 +28,8 @@ def test_ontology(spark, tmp_path):
     nodes = spark.createDataFrame([(n,) for n in below], "s string")
     mined = sorted((r.explanation, r.question) for r in graph.mine_questions(nodes, tr).collect())
     assert mined == [("case answer", "What else?"), ("case answer", "Which case is like it?"), ("case answer", "Why this one?")]
+    assert sorted((r.explanation, r.question) for r in graph.mine_questions_below(tr, "answer").collect()) == mined
+    assert graph.mine_questions_below(tr, "no such class").count() == 0
     assert [r.name for r in graph.instances_of(tr, "near case").collect()] == ["Proto"]
     assert {r.s: r.value for r in graph.property_value(nodes, tr, graph.DEFINITION).collect()}["http://x#NearCase"] == ""
 
@@ -37,7 +39,28 @@ def test_descendants_with_cycle(spark):
     root = spark.createDataFrame([(1,)], "id long")
     assert {r.node: r.depth for r in graph.descendants(edges, root).collect()} == {2: 1, 4: 1, 3: 2}
     deep = spark.range(1, 31).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
-    assert graph.descendants(deep, spark.createDataFrame([(0,)], "id long"), every=4).count() == 30
+    assert graph.descendants(deep, spark.createDataFrame([(0,)], "id long")).count() == 30
+
+
+def test_descendants_of_deep_and_mixed_graphs(spark):
+    import random
+
+    rnd = random.Random(3)
+    chain = [(i + 1, i) for i in range(700)]
+    some = [(rnd.randrange(1000, 1060), rnd.randrange(1000, 1060)) for _ in range(90)]  # cycles, several parents, loops
+    edges = spark.createDataFrame([*chain, *some, (None, 1), (5, None)], "child long, parent long")
+
+    def plain(roots, most=10 ** 6):
+        depth, level, n = dict.fromkeys(roots, 0), list(roots), 0
+        while level and n < most:
+            n += 1
+            level = list({c for c, p in chain + some if p in set(level)} - depth.keys())
+            depth |= dict.fromkeys(level, n)
+        return {k: d for k, d in depth.items() if d}
+
+    for roots, most in (([0], None), ([3, 1005], None), ([1001], 3), ([0], 5), ([9999], None)):
+        root = spark.createDataFrame([(r,) for r in roots], "id long")
+        assert {r.node: r.depth for r in graph.descendants(edges, root, most).collect()} == plain(roots, most or 10 ** 6)
 
 
 def test_instruction_blocks_roundtrip(spark, tmp_path):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +31,28 @@ def classes_by_label(triples: DataFrame, label: str) -> DataFrame:
     return objects(triples, LABEL, "label").filter(F.lower(F.trim("label")) == label.lower()).agg(F.min("s").alias("s"))
 
 
-def descendants(edges: DataFrame, root: DataFrame, max_depth: int | None = None, every: int = 8) -> DataFrame:
+def descendants(edges: DataFrame, root: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(node, depth)`` reachable from the root rows through ``edges(child, parent)``, at their least depth.
 
-    Level by level: join the frontier with the edges, drop what was seen (so
-    cycles end), stop when nothing is new. Each level is checkpointed to the
-    shared folder, which cuts the plan and survives lost executors; the seen
-    set is one file set per level and is compacted now and then.
+    By doubling: the pairs that are exactly one step apart give those two steps apart, these those four apart, and so on (in a tree no
+    more pairs than nodes each time). Any depth is a sum of such steps, so the root then takes the longest ones first. The number of
+    rounds grows with the logarithm of the depth; each is written to the shared folder. Cycles end as no least depth reaches the
+    number of nodes.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.select("child", "parent").distinct().checkpoint()
-    frontier = root.select(F.col(root.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0).cast("long")).checkpoint()
-    levels, depth = [frontier], 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        seen = reduce(DataFrame.unionByName, levels).select("node")
-        frontier = (
-            frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-            .join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint()
-        )
-        if frontier.isEmpty():
+    hops = [edges.select(F.col("parent").alias("top"), F.col("child").alias("node")).filter("top is not null and node is not null").distinct().checkpoint()]
+    most = hops[0].select("node").distinct().count() if max_depth is None else max_depth
+    while 2 << (len(hops) - 1) <= most:
+        near = hops[-1].withColumnRenamed("node", "middle")
+        further = near.join(hops[-1].withColumnRenamed("top", "middle"), "middle").select("top", "node").distinct().checkpoint()
+        if further.isEmpty():
             break
-        levels.append(frontier)
-        if len(levels) > every:
-            levels = [reduce(DataFrame.unionByName, levels).checkpoint()]
-    return reduce(DataFrame.unionByName, levels).filter("depth > 0")
+        hops.append(further)
+    reached = root.select(F.col(root.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0).cast("long")).checkpoint()
+    for k in reversed(range(len(hops))):
+        steps = reached.withColumnRenamed("node", "top").join(hops[k], "top").select("node", (F.col("depth") + (1 << k)).alias("depth"))
+        reached = reached.unionByName(steps).groupBy("node").agg(F.min("depth").alias("depth")).checkpoint()
+    return reached.filter("depth > 0") if max_depth is None else reached.filter((F.col("depth") > 0) & (F.col("depth") <= max_depth))
 
 
 def children_of_named(edges: DataFrame, names: DataFrame, text: str) -> DataFrame:
@@ -91,6 +86,13 @@ def mine_questions(nodes: DataFrame, triples: DataFrame, first_only: bool = Fals
     return spread(found, [F.coalesce("explanation", F.lit("")).alias("explanation")], quoted(F.col("example")), "question")
 
 
+def mine_questions_below(triples: DataFrame, root_label: str, first_only: bool = False) -> DataFrame:
+    """The questions of all classes below the class with the label, at any depth."""
+    edges = objects(triples, SUBCLASS, "parent").withColumnRenamed("s", "child")
+    below = descendants(edges, classes_by_label(triples, root_label).filter("s is not null"))
+    return mine_questions(below.select(F.col("node").alias("s")), triples, first_only)
+
+
 def instances_of(triples: DataFrame, label: str) -> DataFrame:
     """Instances of the classes with a given label, with their display label."""
     classes = objects(triples, LABEL, "label").filter(F.col("label") == label).select(F.col("s").alias("cls"))

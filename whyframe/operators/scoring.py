@@ -65,9 +65,11 @@ def confusion_counts(df: DataFrame, truth: str, pred: str, labels: list) -> Data
 def classification_report(df: DataFrame, truth: str, pred: str, labels: list) -> DataFrame:
     """Per-class precision, recall, F1 and support, then accuracy, macro and weighted averages.
 
-    One pass of conditional counts; a zero denominator scores 0.
+    Where truths or predictions outside ``labels`` occur, the micro average over ``labels`` stands in the place of the accuracy. One pass
+    of conditional counts; a zero denominator scores 0.
     """
-    aggs = [F.count(F.lit(1)).alias("total")]
+    known = F.col(truth).isin(labels) & F.col(pred).isin(labels)
+    aggs = [F.count_if(~F.coalesce(known, F.lit(True))).alias("others")]
     for i, lab in enumerate(labels):
         t, p = F.col(truth) == F.lit(lab), F.col(pred) == F.lit(lab)
         aggs += [F.count_if(t & p).alias(f"tp{i}"), F.count_if(p).alias(f"pp{i}"), F.count_if(t).alias(f"sp{i}")]
@@ -92,8 +94,9 @@ def classification_report(df: DataFrame, truth: str, pred: str, labels: list) ->
                         f.cast("double").alias("f1"), s.cast("long").alias("support"))
 
     rows = [row(str(lab), F.col(f"p{i}"), F.col(f"r{i}"), F.col(f"f{i}"), F.col(f"sp{i}")) for i, lab in enumerate(labels)]
-    acc = ratio(hits, support)
-    rows.append(row("accuracy", acc, acc, acc, support))
+    precision, recall = ratio(hits, total([F.col(f"pp{i}") for i in range(n)])), ratio(hits, support)
+    both = row("", precision, recall, ratio(2 * precision * recall, precision + recall), support)
+    rows.append(both.withField("label", F.when(F.col("others") > 0, "micro avg").otherwise("accuracy")))
     rows.append(row("macro avg", *[total([F.col(f"{m}{i}") for i in range(n)]) / n for m in "prf"], support))
     rows.append(row("weighted avg", *[ratio(total([F.col(f"{m}{i}") * F.col(f"sp{i}") for i in range(n)]), support) for m in "prf"], support))
     return one.select(F.inline(F.array(*rows)))

@@ -159,6 +159,20 @@ def mine_questions(t):
     return graph.mine_questions(_edges(t).select(F.col("child").alias("s")), tr)
 
 
+@query("mine_questions_below", """
+    WITH RECURSIVE d(k) AS (SELECT s_suppkey FROM supplier WHERE s_suppkey // 2 = 1 AND s_suppkey > 1
+      UNION ALL SELECT s_suppkey FROM supplier JOIN d ON s_suppkey // 2 = k AND s_suppkey > 1)
+    SELECT concat('class ', k) AS explanation, concat('why ', k, '?') AS question FROM d WHERE k % 3 = 0""")
+def mine_questions_below(t):
+    """Questions of every class below class 1, where a supplier is a class whose parent has half its number."""
+    number = F.col("s_suppkey")
+    tr = graph.to_triples(t.supplier, F.concat(F.lit("c"), number), {
+        graph.LABEL: F.concat(F.lit("class "), number),
+        graph.SUBCLASS: F.when(number > 0, F.concat(F.lit("c"), F.floor(number / 2).cast("string"))),
+        graph.EXAMPLE: F.when(number % 3 == 0, F.concat(F.lit('As in "why '), number, F.lit('?" and so on')))})
+    return graph.mine_questions_below(tr, "Class 1")
+
+
 @query("class_by_label", f"""
     SELECT min(concat('{NS}Supplier', s_suppkey)) AS s FROM supplier WHERE lower(s_name) = 'supplier#000000003'""")
 def class_by_label(t):
