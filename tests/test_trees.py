@@ -86,3 +86,28 @@ def test_the_fitted_model_goes_through_the_flow(spark, cases):
     assert shap == {(i, g, f) for i in (1, 5) for g in (0, 1) for f in score.features}
     assert {r.explainer for r in results.select("explainer").distinct().collect()} == set(IMPLEMENTED)
     assert all(not math.isnan(r.value) for r in evaluations.collect())
+
+
+def test_flips_of_a_fitted_model_over_numbers_and_categories(spark, cases):
+    from whyframe.operators.counterfactuals import feature_values, mixed_counterfactuals
+
+    model, _ = ml.best_model_flow(cases, "label", "case_id", which=[3])
+    score = tree_score(model, *ml.feature_columns(cases, "label", ["case_id"]))
+    table = score.encoded(cases)
+    tried = feature_values(table, score.features, ["Kind_code"])
+    assert tried["Kind_code"] == [-1.0, 0.0, 1.0, 2.0] and len(tried["Age"]) == 5
+    rows = {r.case_id: r for r in table.collect()}
+    out = mixed_counterfactuals(table, table, "case_id", score, ["Kind_code"], most_changes=3).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        own = [rows[r.case_id][f] for f in score.features]
+        if r.n_changed:
+            new = [r[f"cf_{f}"] for f in score.features]
+            was, now = (score.numpy(np.array([[np.nan if v is None else v for v in x]], float))[0] >= 0.5 for x in ([tried["Age"][2] if own[0] is None else own[0], *own[1:]], new))
+            assert was != now and r.distance > 0
+            assert sum(a != b for a, b in zip(own, new, strict=True) if a is not None) <= r.n_changed <= 3
+        else:
+            assert r.distance is None and r.cf_Age is None
+    assert any(rows[r.case_id].Kind_code != r.cf_Kind_code for r in out if r.n_changed)
+    never = TreeScore(("Age", "Size", "Kind_code"), (plain_tree(["Age", "Size", "Kind_code"], 0.9),), (0.0,) * 3)
+    assert {(r.n_changed, r.distance) for r in mixed_counterfactuals(table, table, "case_id", never, ["Kind_code"]).collect()} == {(0, None)}

@@ -1,8 +1,10 @@
-"""Counterfactual cases: the smallest change of one or two features that flips the model.
+"""Counterfactual cases: the smallest change that flips the model.
 
 Candidate values lie on an even grid between each feature's least and greatest
-value, so the candidate list has a fixed size and the search is a projection
-over the queries: no join, no shuffle.
+value (``counterfactuals``, one or two features), or are its quantiles and
+categories (``mixed_counterfactuals``, best first over more features). Either
+list has a fixed size and the search is a projection over the queries: no join,
+no shuffle.
 """
 
 from __future__ import annotations
@@ -71,6 +73,80 @@ def counterfactuals(queries: DataFrame, cases: DataFrame, id_col: str, score: Lo
     return base.mapInPandas(search, schema)
 
 
+def feature_values(cases: DataFrame, features: list[str], categories: list[str], levels: int = 5, most: int = 50) -> dict[str, list[float]]:
+    """Values to try per feature: evenly spaced quantiles of numbers, the ``most`` frequent values of coded categories. One aggregate each."""
+    numbers = [f for f in features if f not in categories]
+    steps = [i / (levels - 1) for i in range(levels)]
+    row = cases.agg(F.count(F.lit(1)), *[F.percentile(F.col(f).cast("double"), F.array(*[F.lit(s) for s in steps])).alias(f) for f in numbers]).first()
+    out = {f: sorted(set(row[f] or [])) for f in numbers}
+    for f in categories:
+        top = cases.filter(F.col(f).isNotNull()).groupBy(F.col(f).cast("double").alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect()
+        out[f] = sorted(r["v"] for r in top)
+    return out
+
+
+def mixed_counterfactuals(queries: DataFrame, cases: DataFrame, id_col: str, score, categories: list[str] | None = None, levels: int = 5,
+                          most_changes: int = 3, beam: int = 64) -> DataFrame:
+    """Best flip of every query over numbers and coded categories: ``(id, n_changed, distance, cf_<feature>...)``.
+
+    Best first: all single changes are scored, then changes of the ``beam`` states nearest to the other class, and so on up to
+    ``most_changes`` features. Fewest changed features win, then the smallest distance (a number's change over its range, 1 for a
+    category), then the smaller values in the order of the features. A query without a flip has ``n_changed`` 0 and nulls. ``score`` may be a
+    fitted tree model (``TreeScore``); its category columns are coded by ``encoded``. Missing values count as the feature's middle value.
+    """
+    import numpy as np
+    import pandas as pd
+
+    feats = score.features
+    coded = set(categories or [])
+    values = feature_values(cases, feats, list(coded), levels)
+    span = np.array([1.0 if f in coded else (values[f][-1] - values[f][0] if values[f] else 0.0) for f in feats])
+    middle = np.array([values[f][len(values[f]) // 2] if values[f] else 0.0 for f in feats])
+    moves = [(i, v) for i, f in enumerate(feats) for v in values[f]]
+    at, to = np.array([m[0] for m in moves], int), np.array([m[1] for m in moves], float)
+
+    def distance(cf, x):
+        gap = np.abs(cf - x)
+        share = np.divide(gap, span, out=np.zeros_like(gap), where=span > 0)
+        return np.where([f in coded for f in feats], (gap > 0).astype(float), share).sum(axis=-1)
+
+    def one(x, flipped_from: bool):
+        states, changed = x[None, :], np.zeros((1, len(feats)), bool)
+        for n in range(1, most_changes + 1):
+            s, m = (g.ravel() for g in np.meshgrid(np.arange(len(states)), np.arange(len(moves)), indexing="ij"))
+            new = ~changed[s, at[m]] & (states[s, at[m]] != to[m])
+            s, m = s[new], m[new]
+            if not len(s):
+                return None
+            cf, mask = states[s].copy(), changed[s].copy()
+            rows = np.arange(len(s))
+            cf[rows, at[m]] = to[m]
+            mask[rows, at[m]] = True
+            p = score.numpy(cf)
+            hit = np.flatnonzero((p >= 0.5) != flipped_from)
+            if len(hit):
+                dist = np.round(distance(cf[hit], x), 9)
+                order = np.lexsort((*[cf[hit, k] for k in reversed(range(len(feats)))], dist))
+                return n, dist[order[0]], cf[hit[order[0]]]
+            _, first = np.unique(cf, axis=0, return_index=True)  # one state reached by several ways
+            near = first[np.argsort(p[first] if flipped_from else -p[first], kind="stable")[:beam]]
+            states, changed = cf[near], mask[near]
+        return None
+
+    def search(batches):
+        for pdf in batches:
+            x = pdf[feats].to_numpy(float)
+            x = np.where(np.isnan(x), middle, x)
+            own = score.numpy(x) >= 0.5
+            found = [one(row, bool(y)) or (0, None, [None] * len(feats)) for row, y in zip(x, own, strict=True)]
+            out = {id_col: pdf[id_col].to_numpy(), "n_changed": [f[0] for f in found], "distance": pd.Series([f[1] for f in found], dtype="float64")}
+            out |= {f"cf_{f}": pd.Series([r[2][k] for r in found], dtype="float64") for k, f in enumerate(feats)}
+            yield pd.DataFrame(out)
+
+    schema = f"{id_col} {queries.schema[id_col].dataType.simpleString()}, n_changed long, distance double, " + ", ".join(f"cf_{f} double" for f in feats)
+    return queries.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(search, schema)
+
+
 def changes(queries: DataFrame, cfs: DataFrame, id_col: str, outcome: str | None = None) -> DataFrame:
     """Change table: the new value of categoricals and of the outcome, the rounded difference of numerics."""
     q, c = queries.alias("q"), cfs.alias("c")

@@ -172,6 +172,39 @@ def counterfactual_changes(t):
     return cf.changes(q, c, "p_partkey", outcome="outcome")
 
 
+MIXED_SCORE = LogisticScore({"p_size": 0.06, "p_retailprice": 0.002, "name_len": -0.15, "brand": 0.35}, -3.4)
+BRAND = "CAST(CAST(substr(p_brand, 7) AS INT) % 5 AS DOUBLE)"
+
+
+def mixed_sql() -> str:
+    """Every change of up to three features to a quantile or a category, listed."""
+    feats = MIXED_SCORE.features
+    numbers = feats[:3]
+    tried = ", ".join(f"v_{f} AS (SELECT DISTINCT unnest([{', '.join(f'quantile_cont({f}, {i / 4})' for i in range(5))}]) AS c_{f} FROM p UNION ALL SELECT NULL)" for f in numbers)
+    new = {f: f"coalesce(c_{f}, {f})" for f in feats}
+    changed = " + ".join(f"CASE WHEN c_{f} IS NULL THEN 0 ELSE 1 END" for f in feats)
+    same = " AND ".join(f"(c_{f} IS NULL OR c_{f} <> {f})" for f in feats)
+    dist = " + ".join([f"abs({new[f]} - {f}) / (hi_{f} - lo_{f})" for f in numbers] + ["CASE WHEN c_brand IS NULL THEN 0.0 ELSE 1.0 END"])
+    spans = ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in numbers)
+    cf = ", ".join(f"{e} AS cf_{f}" for f, e in new.items())
+    return f"""
+    WITH p AS (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice, length(p_name)::DOUBLE AS name_len, {BRAND} AS brand FROM part),
+    r AS (SELECT {spans} FROM p), {tried}, v_brand AS (SELECT DISTINCT brand AS c_brand FROM p UNION ALL SELECT NULL),
+    x AS (SELECT p.*, {cf}, {changed} AS n_changed, {dist} AS dist FROM p, r, {', '.join(f'v_{f}' for f in feats)} WHERE {same} AND {changed} BETWEEN 1 AND 3),
+    best AS (SELECT * FROM x WHERE ({MIXED_SCORE.sql()} >= 0.5) <> ({MIXED_SCORE.sql({f: f'cf_{f}' for f in feats})} >= 0.5)
+      QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n_changed, round(dist, 9), {', '.join(f'cf_{f}' for f in feats)}) = 1)
+    SELECT p.p_partkey, CAST(coalesce(n_changed, 0) AS BIGINT) AS n_changed, round(dist, 6) AS distance, {', '.join(f'round(cf_{f}, 3) AS cf_{f}' for f in feats)}
+    FROM p LEFT JOIN best USING (p_partkey)"""
+
+
+@query("counterfactual_mixed", mixed_sql())
+def counterfactual_mixed(t):
+    """Every part's smallest flip over numbers and a category, or none."""
+    p = parts(t).join(t.part.select("p_partkey", F.expr(BRAND).alias("brand")), "p_partkey")
+    out = cf.mixed_counterfactuals(p, p, "p_partkey", MIXED_SCORE, ["brand"], beam=256)
+    return out.withColumns({"distance": F.round("distance", 6), **{f"cf_{f}": F.round(f"cf_{f}", 3) for f in MIXED_SCORE.features}})
+
+
 def rule_rows(t):
     return t.lineitem.select("l_quantity", "l_extendedprice", "l_tax", F.when(LINE_SCORE.column() >= 0.5, 1).otherwise(0).alias("y"))
 
