@@ -61,3 +61,35 @@ def test_delegate_runs_groups_nothing_narrows_on_the_table(spark):
     assert {k[0] for k in per} == {0, 1, 2}
     assert per[(0, "run_protodash")] == 5 and per[(1, "run_shap")] == len(ORDER_SCORE.features) and per[(2, "run_rulexai")] == 1
     assert {r.metric for r in ev.select("metric").distinct().collect()} >= {"Diversity", "Monotonicity", "Fidelity"}
+
+
+def test_delegate_runs_each_explainer_once_per_signature_and_routed_metric(spark, monkeypatch):
+    """Records that ask alike get alike results from one run; a modality without its metrics is not scored."""
+    from whyframe.plans.catalog.explainers import ORDER_SCORE
+    from whyframe.plans.catalog.shared import CASE_COLUMNS, IMPLEMENTED, METHODS, MODALITY_METRICS, TYPES, cases, values
+    from whyframe.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    kinds = ["Case Based Explanation", "Contrastive Explanation", "Rationale Explanation", "Counterfactual Explanation"]
+    records = spark.createDataFrame([(i, "", f"Predict(TotalPrice = {90000 * (1 + i // 8)})", kinds[i % 4]) for i in range(24)], "record_id long, question string, interpretation string, explanation_type string")
+    table = cases(t).withColumn("label", F.when(F.col("OrderStatus") == "F", 1).otherwise(0))
+    methods = values(t, METHODS, "explanation_type string, instance string, modality string")
+    groups_seen = []
+    plain = flows.group_rules
+    monkeypatch.setattr(flows, "group_rules", lambda picks, keys, score: groups_seen.append(picks.select(*keys).distinct().count()) or plain(picks, keys, score))
+
+    def run(metrics):
+        res, ev = flows.delegate(records, table, "case_id", CASE_COLUMNS, methods, IMPLEMENTED, ORDER_SCORE, "label", TYPES,
+                                 modality_metrics=None if metrics is None else values(t, metrics, "modality string, metric string"))
+        return res.collect(), ev.collect()
+
+    res, ev = run(MODALITY_METRICS)
+    assert groups_seen == [3]
+    by = {}
+    for r in res:
+        by.setdefault((r.record_id, r.explainer), set()).add((r.item, r.content))
+    assert all(by.get((i, e)) == by.get((i + 4, e)) for i in (0, 1, 2, 3, 8, 9) for e in IMPLEMENTED)
+    everything = {(r.record_id, r.explainer, r.metric, round(r.value, 9)) for r in ev}
+    assert everything == {(r.record_id, r.explainer, r.metric, round(r.value, 9)) for r in run(None)[1]}
+    fewer = {(r.explainer, r.metric) for r in run([m for m in MODALITY_METRICS if m[1] not in ("Diversity", "Fidelity")])[1]}
+    assert fewer == {(e, m) for e in ("run_protodash", "run_dice") for m in ("Non representativeness",)} | {("run_shap", "Faithfulness"), ("run_shap", "Monotonicity")}

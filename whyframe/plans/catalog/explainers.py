@@ -15,7 +15,7 @@ from whyframe.operators.trees import tree_score as fitted_score
 from whyframe.plans import flows
 from whyframe.plans.catalog.models import LINE_SCORE, customer_cases
 from whyframe.plans.catalog.selection import mix_sql
-from whyframe.plans.catalog.shared import CASE_COLUMNS, IMPLEMENTED, KIND, METHODS, TYPES, cases, interpretations, values
+from whyframe.plans.catalog.shared import CASE_COLUMNS, IMPLEMENTED, KIND, METHODS, MODALITY_METRICS, TYPES, cases, interpretations, values
 from whyframe.plans.registry import query
 
 FEATS = LINE_SCORE.features
@@ -303,7 +303,8 @@ def _delegate(t):
         "WHEN 3 THEN 'Counterfactual Explanation' ELSE 'Data Explanation' END").alias("explanation_type"))
     table = cases(t).withColumn("label", F.when(F.col("OrderStatus") == "F", 1).otherwise(0))
     return flows.delegate(interpretations(t).join(kinds, "record_id"), table, "case_id", CASE_COLUMNS,
-                          values(t, METHODS, "explanation_type string, instance string, modality string"), IMPLEMENTED, ORDER_SCORE, "label", TYPES)
+                          values(t, METHODS, "explanation_type string, instance string, modality string"), IMPLEMENTED, ORDER_SCORE, "label", TYPES,
+                          modality_metrics=values(t, MODALITY_METRICS, "modality string, metric string"))
 
 
 @query("delegate_batch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,9 +129,17 @@ def group_rules(picks: DataFrame, keys: list[str], score: Score) -> DataFrame:
     return picks.select(*keys, *feats).groupBy(*keys).applyInPandas(run, fields + ", rule string, fidelity double")
 
 
+def chosen_evaluators(methods: DataFrame, implemented: list[str], modality_metrics: DataFrame) -> set[tuple[str, str]]:
+    """``(explainer, evaluator)``: an explainer's modality names its metrics, and an evaluator is used when all its metrics are named."""
+    names = F.array(*[F.lit(n) for n in implemented])
+    found = methods.select("modality", F.explode(F.filter(names, lambda n: F.contains(n, F.lower(F.col("instance"))))).alias("explainer")).distinct()
+    metrics = routing.explainer_metrics(found, modality_metrics)
+    return {(r[0], r[1]) for r in routing.route_evaluator(metrics, "explainer").collect()}  # at most explainers x evaluators
+
+
 def _report(keys: list[str], id_col: str, cases: DataFrame, score: Score, label: str, most: int,
-            protos: DataFrame, flips: DataFrame, explained: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Results and evaluations in long form from each explainer's output by ``keys``, at most ``most`` cases each."""
+            protos: DataFrame, flips: DataFrame, explained: DataFrame, rules: DataFrame, chosen: set[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results and evaluations in long form from each explainer's output by ``keys``, at most ``most`` cases each; ``chosen`` evaluators only."""
     feats = score.features
     proto_rows = protos.join(cases, id_col)
     vec = F.array(*[F.col(f).cast("double") for f in [*feats, "weight"]])
@@ -151,18 +161,22 @@ def _report(keys: list[str], id_col: str, cases: DataFrame, score: Score, label:
         .unionByName(item(importance, "run_shap", F.col("feature"), F.format_string("%.6f", "importance")))
         .unionByName(item(rules, "run_rulexai", F.lit("rule"), F.col("rule")))
     )
-    evaluations = (
-        _long(proto_div, keys, "run_protodash", {"Diversity": F.col("diversity")})
-        .unionByName(_long(proto_rep, keys, "run_protodash", {"Non representativeness": F.col("non_representativeness")}))
-        .unionByName(_long(dice_div, keys, "run_dice", {"Diversity": F.col("diversity")}))
-        .unionByName(_long(dice_rep, keys, "run_dice", {"Non representativeness": F.col("non_representativeness")}))
-        .unionByName(_long(attributed, keys, "run_shap", {"Faithfulness": F.col("faithfulness"), "Monotonicity": F.col("monotonicity")}))
-        .unionByName(_long(rules, keys, "run_rulexai", {"Average rule length": rule_length(F.col("rule")), "Fidelity": F.col("fidelity")}))
-    )
+    scored = {
+        ("run_protodash", "diversity"): lambda: _long(proto_div, keys, "run_protodash", {"Diversity": F.col("diversity")}),
+        ("run_protodash", "non_representativeness"): lambda: _long(proto_rep, keys, "run_protodash", {"Non representativeness": F.col("non_representativeness")}),
+        ("run_dice", "diversity"): lambda: _long(dice_div, keys, "run_dice", {"Diversity": F.col("diversity")}),
+        ("run_dice", "non_representativeness"): lambda: _long(dice_rep, keys, "run_dice", {"Non representativeness": F.col("non_representativeness")}),
+        ("run_shap", "monotonicity_and_faithfulness"): lambda: _long(attributed, keys, "run_shap", {"Faithfulness": F.col("faithfulness"), "Monotonicity": F.col("monotonicity")}),
+        ("run_rulexai", "average_rule_length_and_fidelity"): lambda: _long(
+            rules, keys, "run_rulexai", {"Average rule length": rule_length(F.col("rule")), "Fidelity": F.col("fidelity")}),
+    }
+    made = [build() for pair, build in scored.items() if chosen is None or pair in chosen]
+    evaluations = reduce(DataFrame.unionByName, made) if made else _long(rules, keys, "run_rulexai", {"Fidelity": F.col("fidelity")}).limit(0)
     return results, evaluations
 
 
-def whole_table_report(cases: DataFrame, id_col: str, score: Score, label: str, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
+def whole_table_report(cases: DataFrame, id_col: str, score: Score, label: str, m: int = 5, n_explained: int = 10,
+                       chosen: set[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """``_report`` of every explainer run once on the whole table, keyed by ``scope``.
 
     ``m`` prototypes of all cases, the best single cut of all predictions, and attributions and counterfactuals of a seeded sample of
@@ -184,42 +198,54 @@ def whole_table_report(cases: DataFrame, id_col: str, score: Score, label: str,
         span = (float("-inf"), top["edge"]) if top["side"] == "below" else (top["edge"], float("inf"))
         found = [("table", rule_text([(top["feature"], *span)], str(top["label"])), top["precision"] * top["coverage"])]
     rules = spark.createDataFrame(found, "scope string, rule string, fidelity double")
-    return _report(keys, id_col, cases, score, label, max(m, n_explained), protos, flips, sample.join(phis, id_col).withColumn("scope", scope), rules)
+    return _report(keys, id_col, cases, score, label, max(m, n_explained), protos, flips, sample.join(phis, id_col).withColumn("scope", scope), rules, chosen)
 
 
 def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[str], methods: DataFrame, implemented: list[str],
-             score: Score, label: str, types: list[str], k: int = 10, m: int = 5, n_explained: int = 10) -> tuple[DataFrame, DataFrame]:
+             score: Score, label: str, types: list[str], k: int = 10, m: int = 5, n_explained: int = 10,
+             modality_metrics: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse, route and explain all records at once.
 
     Returns results ``(record_id, group_idx, explainer, item, content)`` and
-    evaluations ``(record_id, group_idx, explainer, metric, value)``. Each
-    explainer is one plan over all records routed to it. A group that no
-    feature narrows gets the results of the whole table, which are computed
-    once for all such groups.
+    evaluations ``(record_id, group_idx, explainer, metric, value)``. Groups that
+    pick the same cases share a signature: each explainer is one plan over the
+    distinct signatures routed to it, and a table of signatures links the
+    records to their results. A group that no feature narrows gets the results
+    of the whole table, which are computed once for all such groups. With
+    ``modality_metrics(modality, metric)`` an explainer is scored by the
+    evaluators whose metrics its modality names, otherwise by all of its own.
     """
     keys = ["record_id", "group_idx"]
     ensure_checkpoint_dir(cases.sparkSession)
+    chosen = chosen_evaluators(methods, implemented, modality_metrics) if modality_metrics is not None else None
     parsed, _ = ip.usable(ip.parse_interpretations(records, columns), types)
     routes = routing.route_explainer(parsed.select("record_id", "explanation_type"), methods, implemented).select("record_id", "explainer")
     groups = ip.long_groups(parsed, ["record_id"])
     picks = nearest_cases(cases, groups, k, id_col)
+    # at most k ids a group
+    picked = picks.groupBy(*keys).agg(F.sort_array(F.collect_list(id_col)).alias("ids")).withColumn("signature", F.md5(F.concat_ws(",", F.col("ids").cast("array<string>"))))
+    links = picked.join(routes, "record_id").select(*keys, "explainer", "signature", "ids").checkpoint()
+    own = ["signature"]
+    wanted = links.groupBy("signature", "explainer").agg(F.first("ids").alias("ids")).select("signature", "explainer", F.explode("ids").alias(id_col))
     # every explainer reads the routed cases, so they are written once
-    rows = picks.join(cases, id_col).join(routes, "record_id").checkpoint()
+    rows = wanted.join(cases, id_col).checkpoint()
     of = {name: rows.filter(F.col("explainer") == name) for name in implemented}
     feats = score.features
 
     scaled = standard_scale(cases.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]), feats)
-    protos = group_prototypes(of["run_protodash"].select(*keys, id_col).join(scaled, id_col), keys, id_col, feats, m).checkpoint()
+    protos = group_prototypes(of["run_protodash"].select(*own, id_col).join(scaled, id_col), own, id_col, feats, m).checkpoint()
     flips = counterfactuals(of["run_dice"].select(id_col, *feats).distinct(), cases, id_col, score)
-    dice = of["run_dice"].select(*keys, id_col).join(flips, id_col)
-    explained = case_attributions(of["run_shap"], keys, id_col, score)
-    parts = _report(keys, id_col, cases, score, label, k, protos, dice, explained, group_rules(of["run_rulexai"], keys, score))
+    dice = of["run_dice"].select(*own, id_col).join(flips, id_col)
+    explained = case_attributions(of["run_shap"], own, id_col, score)
+    parts = _report(own, id_col, cases, score, label, k, protos, dice, explained, group_rules(of["run_rulexai"], own, score), chosen)
+    named = links.drop("ids")
+    parts = tuple(named.join(p, ["signature", "explainer"]).select(*keys, *[c for c in p.columns if c != "signature"]) for p in parts)
 
     whole = whole_table_groups(cases, groups, id_col).join(routes, "record_id").checkpoint()
     if whole.isEmpty():
         return parts
     # at most m + n_explained + one row per feature and metric stand for the table, whatever its size
-    tables = whole_table_report(cases, id_col, score, label, m, n_explained)
+    tables = whole_table_report(cases, id_col, score, label, m, n_explained, chosen)
     return tuple(p.unionByName(whole.join(F.broadcast(t.drop("scope")), "explainer")) for p, t in zip(parts, tables, strict=True))
 
 
