@@ -1,6 +1,7 @@
 """The registered queries on the smallest folder, and the pipeline stage by stage against plain versions."""
 
 import collections
+import itertools
 import zlib
 
 import duckdb
@@ -45,13 +46,26 @@ def test_toxicity_stage_removes_toxic_and_keeps_clean(stages):
     assert sum(i in left for i in clean) >= 0.98 * len(clean)
 
 
-def test_simhash_stage_keeps_one_of_each_group(spark, stages):
-    from whyframe.llm.simhash import simhash_components
+def test_simhash_stage_keeps_one_of_each_group(stages):
+    """Of texts linked by a Jaccard similarity of five-word shingles of 0.8 or more, the smallest id stays."""
+    def shingled(text):
+        words = (text or "").encode().lower().split()
+        return frozenset([tuple(words)] if 0 < len(words) < 5 else zip(*[words[i:] for i in range(5)], strict=False))
 
-    groups = collections.defaultdict(set)
-    for r in simhash_components(stages["line_dedup"]).collect():
-        groups[r.component_id].add(r.doc_id)
-    assert sorted(r.doc_id for r in stages["simhash"].collect()) == sorted(min(g) for g in groups.values())
+    sets = {r.doc_id: shingled(r.text) for r in stages["line_dedup"].collect()}
+    first = {i: i for i in sets}
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or len(x & y) >= 0.8 * len(x | y):
+            lo, hi = sorted((find(a), find(b)))
+            first[hi] = lo
+    assert sorted(r.doc_id for r in stages["simhash"].collect()) == sorted({find(i) for i in sets})
 
 
 def test_mixing_stage_drops_nothing(stages):
