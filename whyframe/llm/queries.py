@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from whyframe.llm import oracles
 from whyframe.llm.common import crc_fold
 from whyframe.llm.embeddings import near_vectors
 from whyframe.llm.kneser_ney import quality_by_perplexity
@@ -110,4 +111,4 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_near_vectors, op3_perplexity, op4_token_counts, op5_quality_rules, op6_pack,
                                                      op7_line_dedup, op8_url_filter, op9_simhash, op10_toxicity, op11_prefix_trie, op12_sharding,
                                                      op13_spelling_variants)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": oracles.OP7, "op11_prefix_trie": oracles.OP11, "op13_spelling_variants": oracles.OP13}
