@@ -8,6 +8,7 @@ from whyframe.plans.catalog import (  # noqa: F401
     parsing,
     projections,
     quality,
+    roundtrips,
     selection,
     similarity,
     sources,

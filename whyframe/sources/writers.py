@@ -56,9 +56,13 @@ def load_model(path: str):
 
 
 def append_batches(df: DataFrame, batch: str, path: str, every: int = 10) -> int:
-    """Write a batched table in one job, ``every`` batches to a folder ``slice=...``; returns the number of slices up to the last batch."""
+    """Write a batched table in one job, ``every`` batches to a folder ``slice=...``; returns the number of slices up to the last batch.
+
+    The slices of ``df`` replace those of the same number, so a run that is repeated doubles nothing; other slices stay.
+    """
     last = df.agg(F.max(batch).alias("m")).first()["m"]
     if last is None:
         return 0
-    df.withColumn("slice", F.floor(F.col(batch) / every)).write.mode("append").partitionBy("slice").json(path)
+    sliced = df.withColumn("slice", F.floor(F.col(batch) / every))
+    sliced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").json(path)
     return int(last) // every + 1
