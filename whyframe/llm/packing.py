@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from whyframe.llm.common import scratch, text_rows
-from whyframe.llm.terms import encode_terms, terms
+from whyframe.llm.terms import encode_bytes, terms
 
 CACHE_BYTES = 96 << 20  # of terms, their ids and the table that holds them a worker keeps; beyond that it starts afresh
 LONG_TERM = 1024  # bytes; longer terms are not kept
@@ -25,10 +25,10 @@ def _ids(path: str, texts: list[bytes], end_id: int) -> list[bytes]:
         _cache.clear()
         _held = 0
     words = [terms(t) for t in texts]
-    new = [t for t in {t for w in words for t in w} if t not in _cache]
-    for t, ids in zip(new, encode_terms(path, new), strict=True):
-        _cache[t] = np.array(ids, "<u4").tobytes()
-        _held += len(t) + len(_cache[t]) + 150
+    new = list(set().union(*words).difference(_cache))
+    found = encode_bytes(path, new)
+    _cache.update(zip(new, found, strict=True))
+    _held += sum(map(len, new)) + sum(map(len, found)) + 150 * len(new)
     end = np.array([end_id], "<u4").tobytes()
     out = [b"".join(map(_cache.__getitem__, w)) + end for w in words]
     for t in new:

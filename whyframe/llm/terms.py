@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+
 TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[\x09-\x0d ]|\Z)")
 BATCH = 400
 SEPARATOR = "\x01"
@@ -32,23 +34,22 @@ def terms(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def encode_terms(path: str, batch: list[bytes]) -> list[list[int]]:
-    """Ids of each term as the library gives them, many terms to a call with a separator whose id no other text yields."""
-    tok, out = tokenizer(path), []
+def encode_bytes(path: str, batch: list[bytes]) -> list[bytes]:
+    """Ids of each term as the library gives them, as little-endian 32-bit numbers: many terms to a call with a separator whose id no other text yields."""
+    tok = tokenizer(path)
     mark = tok.encode(SEPARATOR, add_special_tokens=False).ids
     words = [t.decode("utf-8", "replace") for t in batch]
-    odd = len(mark) != 1
-    for i in range(0, len(words), BATCH):
-        part = words[i:i + BATCH]
-        cut: list[list[int]] = []
-        if not odd and not any(SEPARATOR in w or "<|" in w for w in part):
-            cut.append([])
-            for x in tok.encode(f" {SEPARATOR} ".join(part), add_special_tokens=False).ids:
-                if x == mark[0]:
-                    cut.append([])
-                else:
-                    cut[-1].append(x)
-        if len(cut) != len(part):
-            cut = [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
-        out += cut
+    plain = [i for i, w in enumerate(words) if len(mark) == 1 and SEPARATOR not in w and "<|" not in w]
+    out: list[bytes | None] = [None] * len(words)
+    for lo in range(0, len(plain), BATCH):
+        part = plain[lo:lo + BATCH]
+        ids = np.array(tok.encode(f" {SEPARATOR} ".join([words[i] for i in part]), add_special_tokens=False).ids, "<u4")
+        cuts = 4 * np.flatnonzero(ids == mark[0])
+        if len(cuts) == len(part) - 1:
+            raw = ids.tobytes()
+            for i, start, end in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
+                out[i] = raw[start:end]
+    odd = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(odd, tok.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.llm.common import scratch, text_rows
-from whyframe.llm.terms import encode_terms, terms
+from whyframe.llm.terms import encode_bytes, terms
 
 # Terms whose piece counts travel to every task: at most this many, of at most this many bytes each (16 MB).
 HOT_TERMS = 262_144
@@ -44,8 +44,8 @@ def vocabulary(rows: DataFrame, path: str) -> DataFrame:
 
     def encode(batches):
         for b in batches:
-            got = encode_terms(path, b.column("term").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("term"), b.column("n"), pa.array(map(len, got), pa.int64())], ["term", "n", "pieces"])
+            got = encode_bytes(path, b.column("term").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("term"), b.column("n"), pa.array([len(x) // 4 for x in got], pa.int64())], ["term", "n", "pieces"])
 
     found = rows.select("text").mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return scratch(found.mapInArrow(encode, "term binary, n long, pieces long"), "vocabulary")
