@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from whyframe.core import ensure_checkpoint_dir
+
 
 def nonneg_weights(gram, mu):
     """Maximise ``w.mu - w.K.w/2`` over ``w >= 0`` for a few rows, growing and shrinking the set of positive weights."""
@@ -102,6 +104,83 @@ def prototypes(df: DataFrame, id_col: str, features: list[str], m: int = 10, dro
     return spark.createDataFrame([(i, p, round(float(v / total), 2)) for p, (i, v) in enumerate(zip(ids, w))], schema)
 
 
+def gaussian_prototypes(df: DataFrame, id_col: str, features: list[str], m: int = 10, sigma: float = 2.0, landmarks: int = 512, shortlist: int = 64) -> DataFrame:
+    """``(id, pick, weight)``: as ``prototypes`` with the kernel ``exp(-|x - y|^2 / (2 sigma^2))``.
+
+    A row's mean kernel to all rows would pair the table with itself. It is computed exactly for ``landmarks`` rows (those with the smallest
+    hash of their id) in one aggregate and carried on to all rows by the kernel to the landmarks, which fits a smooth function of the
+    rows closely. A greedy step ranks all rows by that gain, takes the best ``shortlist`` and computes their mean kernels exactly in
+    one pass (rows x ``shortlist``), so picks, gains and weights are exact unless a better row isn't on the list. Landmarks and the list
+    are all that reaches the driver. Ties go to the smaller id.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kind = df.schema[id_col].dataType
+    data = df.select(F.col(id_col).alias("id"), F.array(*clean(df, features)).alias("x")).checkpoint()
+
+    def matrix(b):
+        return np.array(b.column("x").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, len(features))
+
+    def kernel(x, y):
+        return np.exp(-np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0) / (2 * sigma * sigma))
+
+    def added(fn, n):
+        """Sums over all rows of ``fn(x)``, a vector of ``n`` numbers a batch."""
+        def run(batches):
+            total, rows = np.zeros(n), 0
+            for b in batches:
+                for lo in range(0, b.num_rows, 4096):
+                    part = matrix(b.slice(lo, 4096))
+                    total += fn(part)
+                    rows += len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n + 1), pa.int32()), pa.array([*total, float(rows)])], ["k", "s"])
+
+        got = {r[0]: r[1] for r in data.mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s")).collect()}  # n + 1 rows
+        return np.array([got.get(k, 0.0) for k in range(n)]) / max(got.get(n, 0.0), 1.0)
+
+    marks = np.array([r["x"] for r in data.orderBy(F.xxhash64("id"), "id").limit(landmarks).collect()]).reshape(-1, len(features))
+    means = added(lambda x: kernel(x, marks).sum(0), len(marks))
+    carry = np.linalg.pinv(kernel(marks, marks), rcond=1e-9, hermitian=True) @ means
+
+    def rate(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("x"), pa.array(kernel(matrix(part), marks) @ carry)], ["id", "x", "mu"])
+
+    rated = data.mapInArrow(rate, f"id {kind.simpleString()}, x array<double>, mu double").checkpoint()
+    exact: dict = {}
+    vectors: dict = {}
+    ids: list = []
+    w = np.zeros(0)
+    for _ in range(m):
+        chosen, weights = np.array([vectors[i] for i in ids]), w
+
+        def gains(batches, chosen=chosen, weights=weights):
+            for b in batches:
+                gain = b.column("mu").to_numpy() - (kernel(matrix(b), chosen) @ weights if len(chosen) else 0.0)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(gain)], ["id", "x", "gain"])
+
+        left = rated.filter(~F.col("id").isin(ids)) if ids else rated
+        top = left.mapInArrow(gains, f"id {kind.simpleString()}, x array<double>, gain double").orderBy(F.desc("gain"), "id").limit(shortlist).collect()
+        if not top:
+            break
+        vectors |= {r["id"]: r["x"] for r in top}
+        new = [r["id"] for r in top if r["id"] not in exact]
+        if new:
+            asked = np.array([vectors[i] for i in new])
+            exact |= dict(zip(new, added(lambda x, asked=asked: kernel(x, asked).sum(0), len(new)), strict=True))
+        told = {r["id"]: exact[r["id"]] - (float(kernel(np.array([r["x"]]), chosen)[0] @ w) if ids else 0.0) for r in top}
+        ids.append(min(told, key=lambda i: (-round(told[i], 12), i)))
+        rows = np.array([vectors[i] for i in ids])
+        w = nonneg_weights(kernel(rows, rows), np.array([exact[i] for i in ids]))
+    total = w.sum() if w.sum() > 0 else 1.0
+    return spark.createDataFrame([(i, p, round(float(v / total), 2)) for p, (i, v) in enumerate(zip(ids, w, strict=True))], f"{id_col} {kind.simpleString()}, pick long, weight double")
+
+
 def group_prototypes(picks: DataFrame, keys: list[str], id_col: str, features: list[str], m: int = 5) -> DataFrame:
     """``m`` prototypes of each selected subset (subsets hold at most the ``k`` nearest cases); all rows of a smaller one."""
     def pick(pdf):

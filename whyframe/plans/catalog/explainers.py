@@ -294,6 +294,14 @@ def prototypes(t):
     return pt.prototypes(vectors(t), "vec_id", [f"e{i}" for i in range(64)])
 
 
+@query("prototype_gaussian", """
+    WITH x AS (SELECT a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d FROM embeddings a, embeddings b),
+    m AS (SELECT vec_id, avg(exp(-d / 8)) AS mu FROM x GROUP BY vec_id) SELECT vec_id, CAST(0 AS BIGINT) AS pick, 1.0::DOUBLE AS weight FROM m ORDER BY round(mu, 12) DESC, vec_id LIMIT 1""")
+def prototype_gaussian(t):
+    """The vector nearest to all others by the Gaussian kernel."""
+    return pt.gaussian_prototypes(vectors(t), "vec_id", [f"e{i}" for i in range(64)], m=1)
+
+
 ORDER_SCORE = LogisticScore({"TotalPrice": 0.00001, "CustKey": -0.0005}, -2.0)
 
 
