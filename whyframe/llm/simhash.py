@@ -79,10 +79,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links(nodes, bucket))
     labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marks.join(labels, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each near-duplicate group: the smallest id. Of rows that repeat an id one stays; rows without id stay."""
-    best = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__wf_keep")).distinct()
-    kept = docs.join(best, docs[id_col] == best["__wf_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
