@@ -99,3 +99,12 @@ def test_numbered_pages(spark):
 def test_best_model(spark):
     df = spark.createDataFrame([("x", 1, 0.5), ("x", 2, 0.5), ("x", 3, 0.4), ("y", 2, None), ("y", 3, None)], "d string, model_no int, f1 double")
     assert {r.d: r.best_model for r in sc.best_model(df, ["d"]).collect()} == {"x": 1, "y": 1}
+
+
+def test_scorecard_fields_are_scored_apart(spark):
+    df = spark.createDataFrame([("a b", "a c", "same", "same", None, None), ("x", "x", "one", "two", None, None)], "a string, b string, c string, d string, e string, f string")
+    card = {(r.field, r.kind): (r.f1, r.precision, r.recall) for r in sc.scorecard(df, {"one": ("a", "b"), "two": ("c", "d"), "none": ("e", "f")}).collect()}
+    assert card[("one", "tokens")] == ("66.67%",) * 3 and card[("two", "tokens")] == ("50.00%",) * 3 and card[("none", "tokens")] == ("100.00%",) * 3
+    assert card[("one", "edit distance")] == ("100.00%",) * 3 and card[("two", "edit distance")][0] == "50.00%" and card[("none", "edit distance")][0] == "0.00%"
+    alone = {(r.field, r.kind): r.f1 for r in sc.scorecard(df, {"two": ("c", "d")}).collect()}
+    assert alone == {k: v[0] for k, v in card.items() if k[0] == "two"}

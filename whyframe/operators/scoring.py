@@ -172,15 +172,18 @@ def levenshtein_f1(df: DataFrame, ref: str, res: str, threshold: float = 0.6, by
 
 
 def scorecard(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """Token and edit-distance F1 of several text fields, printed as percentages."""
-    out = None
-    for name, (ref, res) in fields.items():
-        for kind, scores in (("tokens", token_f1(df, ref, res)), ("edit distance", levenshtein_f1(df, ref, res))):
-            row = scores.select(F.lit(name).alias("field"), F.lit(kind).alias("kind"), *[
-                F.format_string("%.2f%%", F.round(F.col(c) * 100, 6)).alias(c) for c in ("f1", "precision", "recall")
-            ])
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Token and edit-distance F1 of several text fields, printed as percentages.
+
+    All fields are rows of one narrow table, so each kind of score is one pass whatever their number. A field without any text agrees
+    with itself in tokens and has no pair to measure.
+    """
+    pairs = F.array(*[F.struct(F.lit(name).alias("field"), F.col(ref).cast("string").alias("ref"), F.col(res).cast("string").alias("res"))
+                      for name, (ref, res) in fields.items()])
+    rows = df.select(F.inline(pairs))
+    names = df.sparkSession.createDataFrame([(name,) for name in fields], "field string")
+    kinds = (("tokens", token_f1(rows, "ref", "res", ["field"]), 1.0), ("edit distance", levenshtein_f1(rows, "ref", "res", by=["field"]), 0.0))
+    return reduce(DataFrame.unionByName, [names.join(scores, "field", "left").select("field", F.lit(kind).alias("kind"), *[
+        F.format_string("%.2f%%", F.round(F.coalesce(c, F.lit(empty)) * 100, 6)).alias(c) for c in ("f1", "precision", "recall")]) for kind, scores, empty in kinds])
 
 
 def best_model(reports: DataFrame, group: list[str], model_no: str = "model_no", f1: str = "f1") -> DataFrame:
