@@ -183,3 +183,12 @@ def test_model_save_and_reuse(spark, cases, tmp_path):
     assert none is None
     a = [r.prediction for r in model.transform(df).orderBy("case_id").collect()]
     assert a == [r.prediction for r in again.transform(df).orderBy("case_id").collect()]
+
+
+def test_a_group_beyond_the_stated_bound_is_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.range(30).select(F.lit(1).alias("g"), "id", F.col("id").cast("double").alias("x"))
+    assert mt.diversity(df, ["g"], "id", F.array("x"), block=30, max_group=10).first().n == 30
+    with pytest.raises(PySparkException, match="more than 20 rows"):
+        mt.diversity(df, ["g"], "id", F.array("x"), block=20, max_group=10).collect()

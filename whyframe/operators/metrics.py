@@ -39,13 +39,14 @@ def diversity(df: DataFrame, keys: list[str], id_col: str, vector: Column, block
     pairs never become rows and a huge group spreads over many tasks. A
     group that fits one block (the usual ten-row result) is a single cell;
     ``max_group`` states a bound the caller's operator guarantees (k nearest, m
-    prototypes) and saves the counting pass.
+    prototypes) and saves the counting pass; a group beyond a block then ends the query.
     """
     if max_group is not None and max_group <= block:
         rows = df.select(*keys, vector.cast("array<double>").alias("v"))
         packed = rows.groupBy(*keys).agg(F.collect_list("v").alias("left"))
-        return packed.select(*keys, F.size("left").cast("long").alias("n"), (
-            _distances()(F.lit(True), "left", F.array().cast("array<array<double>>")) / F.size("left")).alias("diversity"))
+        size = F.when(F.size("left") <= block, F.size("left")).otherwise(F.raise_error(F.lit(f"a group has more than {block} rows, not {max_group}")).cast("int"))
+        return packed.select(*keys, size.cast("long").alias("n"), (
+            _distances()(F.lit(True), "left", F.array().cast("array<array<double>>")) / size).alias("diversity"))
     rows = df.select(*keys, F.xxhash64(id_col).alias("h"), vector.cast("array<double>").alias("v"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sized = rows.join(sizes.withColumn("nb", F.ceil(F.col("n") / block)), keys)
