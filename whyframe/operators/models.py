@@ -128,19 +128,25 @@ def fit_models(df: DataFrame, y: str, id_col: str, which: list[int] | None = Non
     return fitted, report
 
 
+# Rows of one task of a fit; small tables are fitted in few tasks, as a fit is hundreds of short jobs.
+FIT_ROWS = 50_000
+
+
 def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int] | None = None, trees: int = 100,
                 seed: int = 7, parallelism: int = 4) -> DataFrame:
     """Stratified k-fold accuracy: ``(model_no, mean_score, std_score)``.
 
     Features are prepared once per fold on its training part; all folds of a
-    model are scored as one union, so accuracy is a single aggregate.
+    model are scored as one union, so accuracy is a single aggregate. The tasks
+    of a fit follow the number of rows, not the width of shuffles.
     """
     from functools import reduce
     from multiprocessing.pool import ThreadPool
 
     from pyspark.ml import Pipeline
 
-    folds = stratified_folds(df, id_col, y, k, seed).persist()
+    dealt = stratified_folds(df, id_col, y, k, seed).persist()
+    folds = dealt.coalesce(max(1, -(-dealt.count() // FIT_ROWS)))
 
     def run(f: int) -> list[DataFrame]:
         train = folds.filter(F.col("fold") != f)
@@ -160,7 +166,7 @@ def cv_accuracy(df: DataFrame, y: str, id_col: str, k: int = 10, which: list[int
     per_fold = reduce(DataFrame.unionByName, scored).groupBy("model_no", "fold").agg(F.avg("hit").alias("accuracy"))
     ensure_checkpoint_dir(df.sparkSession)
     summary = cv_summary(per_fold, "model_no", "accuracy").checkpoint()
-    folds.unpersist()
+    dealt.unpersist()
     return summary
 
 
