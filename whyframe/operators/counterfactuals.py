@@ -9,6 +9,8 @@ no shuffle.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,9 @@ def feature_values(cases: DataFrame, features: list[str], categories: list[str],
     return out
 
 
+CELLS = 100_000  # changes of queries that are scored at once
+
+
 def mixed_counterfactuals(queries: DataFrame, cases: DataFrame, id_col: str, score, categories: list[str] | None = None, levels: int = 5,
                           most_changes: int = 3, beam: int = 64) -> DataFrame:
     """Best flip of every query over numbers and coded categories: ``(id, n_changed, distance, cf_<feature>...)``.
@@ -133,15 +138,53 @@ def mixed_counterfactuals(queries: DataFrame, cases: DataFrame, id_col: str, sco
             states, changed = cf[near], mask[near]
         return None
 
+    # changes of n features for which no state is left out on the way, as there are no more than ``beam``; they are tried for many queries at once
+    lists, states = [], 1
+    for n in range(1, most_changes + 1):
+        if states > beam:
+            break
+        ways = [(which, to) for which in itertools.combinations(range(len(feats)), n) for to in itertools.product(*[values[feats[i]] for i in which])]
+        mask, new = np.zeros((len(ways), len(feats)), bool), np.zeros((len(ways), len(feats)))
+        for w, (which, to) in enumerate(ways):
+            mask[w, list(which)], new[w, list(which)] = True, to
+        lists.append((mask, new))
+        states = len(ways)
+
+    def listed(x, own, mask, new):
+        """``(rows, distance, cf)`` of the queries that one of the listed changes flips: the nearest flip, then the one of smaller values."""
+        cf = np.where(mask, new, x[:, None, :])
+        tried = (~mask | (x[:, None, :] != new)).all(axis=2)
+        hit = tried & ((score.numpy(cf.reshape(-1, cf.shape[2])).reshape(tried.shape) >= 0.5) != own[:, None])
+        dist = np.round(distance(cf, x[:, None, :]), 9)
+        order = np.where(hit & ~np.isnan(dist), dist, np.inf)
+        best = hit & (order == order.min(axis=1, keepdims=True))
+        for k in range(cf.shape[2]):
+            v = np.where(best, cf[:, :, k], np.inf)
+            best &= v == v.min(axis=1, keepdims=True)
+        rows = np.flatnonzero(best.any(axis=1))
+        at = best[rows].argmax(axis=1)
+        return rows, dist[rows, at], cf[rows, at]
+
     def search(batches):
         for pdf in batches:
             x = pdf[feats].to_numpy(float)
             x = np.where(np.isnan(x), middle, x)
             own = score.numpy(x) >= 0.5
-            found = [one(row, bool(y)) or (0, None, [None] * len(feats)) for row, y in zip(x, own, strict=True)]
-            out = {id_col: pdf[id_col].to_numpy(), "n_changed": [f[0] for f in found], "distance": pd.Series([f[1] for f in found], dtype="float64")}
-            out |= {f"cf_{f}": pd.Series([r[2][k] for r in found], dtype="float64") for k, f in enumerate(feats)}
-            yield pd.DataFrame(out)
+            n_changed, dist, cf = np.zeros(len(x), np.int64), np.full(len(x), np.nan), np.full(x.shape, np.nan)
+            left = np.arange(len(x))
+            for n, (mask, new) in enumerate(lists, 1):
+                block = max(1, CELLS // max(1, len(mask)))
+                for lo in range(0, len(left) if len(mask) else 0, block):
+                    some = left[lo:lo + block]
+                    rows, d, c = listed(x[some], own[some], mask, new)
+                    n_changed[some[rows]], dist[some[rows]], cf[some[rows]] = n, d, c
+                left = left[n_changed[left] == 0]
+            if len(lists) < most_changes:
+                for i in left:
+                    n_changed[i], dist[i], cf[i] = one(x[i], bool(own[i])) or (0, np.nan, np.nan)
+            none = n_changed == 0
+            out = {id_col: pdf[id_col].to_numpy(), "n_changed": n_changed, "distance": pd.Series(dist).astype("Float64").mask(none)}
+            yield pd.DataFrame(out | {f"cf_{f}": pd.Series(cf[:, k]).astype("Float64").mask(none) for k, f in enumerate(feats)})
 
     schema = f"{id_col} {queries.schema[id_col].dataType.simpleString()}, n_changed long, distance double, " + ", ".join(f"cf_{f} double" for f in feats)
     return queries.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(search, schema)
