@@ -20,43 +20,61 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from whyframe.core import ensure_checkpoint_dir, join_busy, numeric_columns, unpivot_numeric
+from whyframe.core import ensure_checkpoint_dir, join_busy, numeric_columns, shuffle_width, unpivot_numeric
 from whyframe.functions.text import is_number
 from whyframe.operators.schema_match import AliasTable
 
 TARGETS = 2048  # targets whose neighbours are compared at once
+SORTED = 200_000  # values and targets of one task, which holds them in memory
 
 
 def _slices(batches):
-    """Of a task's sorted rows ``(number, part, value, ids)``: the partition's number and, per part, its values, their ids and its targets."""
+    """Of a task's sorted rows ``(number, part, value, ids)``: the partition's number and, per part, its values, their ids, the number of each one's ids and its targets."""
     number, parts = None, {}
     for b in batches:
         if b.num_rows:
             number = b.column("number")[0].as_py()
-            names = b.column("part").to_pylist()
-            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                parts.setdefault(names[lo], []).append(b.slice(lo, hi - lo))
+            names = b.column("part")
+            ends = pa.compute.run_end_encode(names)
+            lo = 0
+            for name, hi in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                piece = b.slice(lo, hi - lo)
+                value, ids = piece.column("value").to_numpy(zero_copy_only=False), piece.column("ids")
+                held = ids.is_valid().to_numpy(zero_copy_only=False)
+                kept = ids.drop_null()
+                parts.setdefault(name, []).append((value[held], kept.flatten(), kept.value_lengths().to_numpy(zero_copy_only=False), value[~held]))
+                lo = hi
     out = []
     for name, pieces in parts.items():
-        value = np.concatenate([p.column("value").to_numpy() for p in pieces])
-        ids = [x for p in pieces for x in p.column("ids").to_pylist()]
-        held = np.array([x is not None for x in ids])
-        out.append((name, value[held], [x for x in ids if x is not None], value[~held]))
+        value, ids, sizes, targets = zip(*pieces, strict=True)
+        out.append((name, np.concatenate(value), pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(targets)))
     return number, out
 
 
+def _told(value, ids, sizes, k: int, tail: bool) -> list:
+    """The first or last ``k`` values with their ids."""
+    n = min(k, len(value))
+    if tail:
+        value, ids, sizes = value[len(value) - n:], ids.slice(len(ids) - int(sizes[len(sizes) - n:].sum())), sizes[len(sizes) - n:]
+    ids, at, out = ids.slice(0, int(sizes[:n].sum())).to_pylist(), 0, []
+    for v, size in zip(value[:n].tolist(), sizes[:n].tolist(), strict=True):
+        out.append((v, ids[at:at + size]))
+        at += size
+    return out
+
+
 def _ends(k: int):
     """One row a partition: the first values of its first part and the last ones of its last part, with their ids."""
     def run(batches):
         number, parts = _slices(batches)
         if parts:
             first, last = parts[0], parts[-1]
-            told = [first[0], list(zip(first[1][:k].tolist(), first[2][:k], strict=True)), last[0], list(zip(last[1][-k:].tolist(), last[2][-k:], strict=True)), len(parts)]
+            told = [first[0], _told(*first[1:4], k, False), last[0], _told(*last[1:4], k, True), len(parts)]
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([json.dumps(told)])], ["number", "told"])
 
     return run
@@ -84,15 +102,16 @@ def _picks(around, k: int, id_type):
     """``(part, target, picks)`` of a partition's targets."""
     def run(batches):
         number, parts = _slices(batches)
-        for at, (name, value, ids, targets) in enumerate(parts):
+        for at, (name, value, ids, sizes, targets) in enumerate(parts):
             if not len(targets):
                 continue
             before, after = around.value[number]
             before, after = before if at == 0 else [], after if at == len(parts) - 1 else []
             value = np.concatenate([[v for v, _ in before], value, [v for v, _ in after]])
-            ids = [x for _, x in before] + ids + [x for _, x in after]
-            names, rank = np.unique(np.array([i for x in ids for i in x], object if pa.types.is_string(id_type) else None), return_inverse=True)
-            sizes = np.array([len(x) for x in ids])
+            outer = [pa.array([i for _, x in side for i in x], ids.type) for side in (before, after)]
+            ids = pa.concat_arrays([outer[0], ids, outer[1]])
+            names, rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+            sizes = np.concatenate([np.array([len(x) for _, x in before], np.int64), sizes, np.array([len(x) for _, x in after], np.int64)])
             table = np.full((len(value), k), len(names))  # one past the last id: nobody
             table[np.repeat(np.arange(len(value)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = rank
             for lo in range(0, len(targets), TARGETS):
@@ -139,7 +158,8 @@ def nearest_by_value(targets: DataFrame, values: DataFrame, k: int = 10) -> Data
     asked = targets.select("part", F.col("target").cast("double").alias("value")).distinct()
     wanted = asked.filter(finite("value")).withColumn("ids", F.lit(None).cast(thin.schema["ids"].dataType))
     # a checkpoint keeps partitions and their order
-    order = thin.unionByName(wanted).repartitionByRange("part", "value").sortWithinPartitions("part", "value").checkpoint()
+    width = max(shuffle_width(spark), -(-(vals.count() + targets.count()) // SORTED))
+    order = thin.unionByName(wanted).repartitionByRange(width, "part", "value").sortWithinPartitions("part", "value").checkpoint()
     order = order.withColumn("number", F.spark_partition_id())
     told = {r[0]: json.loads(r[1]) for r in order.mapInArrow(_ends(k), "number int, told string").collect()}  # one row a partition
     around = spark.sparkContext.broadcast(_around(told, k))
