@@ -94,3 +94,16 @@ def test_rows_that_share_an_id_but_not_a_text_stay(spark):
     rows = [(1, "first text of one"), (1, "quite another one"), (2, "first text of one"), (5, "third"), (9, "third"), (9, "fourth"), (9, "fourth"), (None, "third")]
     kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "third"), (1, "first text of one"), (1, "quite another one"), (5, "third"), (9, "fourth")]
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """Equal fingerprints and those two bits apart become candidates, three bits apart don't; the stage verifies what they find."""
+    nodes = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (9, 0b1011 << 40), (10, 5 | 0b1110 << 20)], "node long, fp long")
+    found = {frozenset(r) for r in near_copies.fingerprint_pairs(nodes).collect()}
+    assert found == {frozenset((1, 2)), frozenset((1, 3))}
+    asked, usual = [], near_copies.fingerprint_pairs
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda n: asked.append(n.count()) or usual(n))
+    base = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join(base + ["x"] * i) for i in range(4)} | {7: "quite another text than those before it", 8: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_first(docs).collect()) == brute_firsts(texts) and asked == [5]

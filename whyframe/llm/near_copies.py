@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: banded min-hashes find candidates, the whole texts decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints and banded min-hashes find candidates, the whole texts decide."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from whyframe.llm.common import components, scratch, text_rows
+from whyframe.llm.simhash import links, majority
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -47,20 +48,20 @@ def fewest_alike(similarity: float) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, h, node, n, keys, signature)`` of every row: ``h`` is a hash of the text, ``node`` one of its ``n`` distinct shingles.
+    """``(id, h, node, n, fp, keys, signature)`` of every row: ``h`` is a hash of the text, ``node`` one of its ``n`` distinct shingles.
 
-    ``keys`` has one 32-bit number per band and ``signature`` 8 bits of each min-hash.
+    ``fp`` is the SimHash of the shingles, ``keys`` has one 32-bit number per band and ``signature`` 8 bits of each min-hash.
     """
 
-    @F.pandas_udf("node long, n int, keys array<int>, signature binary")
+    @F.pandas_udf("node long, n int, fp long, keys array<int>, signature binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             found = shingles(t.encode(), size)
             low = min_hashes(found)
             keys = [xxhash.xxh32_intdigest(b.tobytes()) - (1 << 31) for b in low.reshape(BANDS, ROWS)]
-            out.append((xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), len(found), keys, low.astype("u1").tobytes()))
-        return pd.DataFrame(out, columns=["node", "n", "keys", "signature"])
+            out.append((xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), len(found), majority(found) if len(found) else 0, keys, low.astype("u1").tobytes()))
+        return pd.DataFrame(out, columns=["node", "n", "fp", "keys", "signature"])
 
     rows = text_rows(docs, id_col, text_col)
     return rows.select("id", F.xxhash64("text").alias("h"), sketch("text").alias("s")).select("id", "h", "s.*")
@@ -157,10 +158,18 @@ def _cross(rows: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b)`` that connect all nodes ``(node, fp)`` whose fingerprints differ in two bits at most; equal ones hang on their smallest node."""
+    heads = scratch(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    hung = nodes.select("fp", F.col("node").alias("a")).join(heads.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+    return hung.unionByName(links(heads).select("a", "b"))
+
+
 def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, h, first, first_h)`` of every row with an id: the smallest (id, text hash) reachable over texts of that Jaccard similarity.
 
-    Texts of equal shingles are one node. Every node meets one node of each bucket that it shares a band's min-hashes with, the one that meets
+    Texts of equal shingles are one node. Nodes whose SimHash fingerprints differ in two bits at most are candidates first. Texts of that similarity
+    differ in up to about eleven, so the rest is found by min-hashes: every node meets one node of each bucket that it shares a band's min-hashes with, the one that meets
     most others (found by aggregates, so a bucket is never one group), then the nodes of other components in those buckets; where a bucket holds many such
     pairs, as texts with a common passage do, only those that share one of their rarest shingles. Candidates are sifted by their
     min-hash signatures and verified on the shingles of their whole texts, so a large group of copies costs one pair a member, and
@@ -170,7 +179,7 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     8 bytes a word where it is verified. Ties and repeated rows share a node, other columns are ignored, an empty table gives no rows.
     """
     marks = scratch(sketches(docs.where(docs[id_col].isNotNull()), id_col, text_col, size), "sketches")
-    nodes = scratch(marks.groupBy("node").agg(F.min(F.struct("id", "h")).alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"),
+    nodes = scratch(marks.groupBy("node").agg(F.min(F.struct("id", "h")).alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"),
                                               F.first("signature").alias("signature")), "nodes")
     rows = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("band", "v"))
     rows = rows.select("node", "n", (F.col("band") * F.lit(1 << 32) + F.col("v")).alias("k"))
@@ -182,7 +191,8 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tops = scratch(known.groupBy("k").agg(F.first("c").alias("c"), F.max(F.struct("meets", "node", "n")).alias("top")), "tops")
     fits = F.least("n", "top.n") >= similarity * F.greatest("n", "top.n")
     starred = _met(shared.select("k", "node", "n"), tops, total).where((F.col("node") != F.col("top.node")) & fits)
-    stars = scratch(starred.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct(), "stars")
+    met = fingerprint_pairs(nodes.where("n > 0")).unionByName(starred.select(F.col("node").alias("a"), F.col("top.node").alias("b")))
+    stars = scratch(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     texts = text_rows(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
 
     @F.pandas_udf("binary")
@@ -206,8 +216,7 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few, many = (mixed.where(F.col("size") <= BUCKET_PAIRS), mixed.where(F.col("size") > BUCKET_PAIRS))
     rarest = _rarest(sets_of(many.select("node").distinct()), comps, similarity)
     pairs = _cross(few, similarity).unionByName(_cross(scratch(_mixed(rarest), "rare"), similarity)).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = linked(scratch(pairs.join(tried, ["a", "b"], "left_anti"), "crossed"))
+    second = linked(scratch(pairs.join(stars, ["a", "b"], "left_anti"), "crossed"))
     found = components(first.unionByName(second))
     names = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = names.groupBy("component").agg(F.min("low").alias("first"))

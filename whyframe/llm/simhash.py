@@ -23,7 +23,11 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit number."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i:i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
