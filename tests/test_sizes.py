@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from whyframe.operators import models as ml
 from whyframe.operators import nearest
+from whyframe.operators import rules as rl
 from whyframe.operators.counterfactuals import mixed_counterfactuals
 from whyframe.sources import writers
 
@@ -63,3 +64,18 @@ def test_nearest_values_are_dealt_by_their_number(spark, monkeypatch):
     for t, ids in got.items():
         assert ids == [held[v] for v in sorted(held, key=lambda v: (abs(v - t), held[v]))[:3]]
     assert len(got) == 20
+
+
+def test_cut_tables_drop_what_rules_have_set_aside(spark):
+    rows = spark.range(400).select(F.when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 20).alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                   (F.col("id") % 20 < 15).cast("int").alias("y"))
+    tables = rl.CutTables(rows, ["a", "b"], "y")
+
+    def held():
+        return sum(len(r.y) // 8 for r in tables.table.collect())
+
+    assert held() == 792
+    label, feature, side, edge, covered, precision = tables.best([], None, 20)
+    assert (label, feature, side, edge, precision) == (1, "a", "below", 15.0, 1.0) and covered == 292
+    tables.set_aside([("a", float("-inf"), 15.0)], covered)
+    assert held() == 108 + 100 and tables.closed == []

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whyframe.core import ensure_checkpoint_dir
+from whyframe.core import ensure_checkpoint_dir, shuffle_width
 from whyframe.functions.text import spread
 
 # Fixed value: grammar of one condition, all bracket forms.
@@ -220,11 +220,68 @@ def best_cut(scores: DataFrame, min_coverage: float = 0.05) -> DataFrame:
     return ok.groupBy("label").agg(top.alias("t")).select("label", "t.*")
 
 
+PACKED = "feature int, y binary, rows binary"
+
+
+def _packed(feature: int, y, rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([feature], pa.int32()), pa.array([y.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], ["feature", "y", "rows"])
+
+
+def _unpacked(batches, d: int):
+    """``(partition, feature, labels, values of all features)`` of each record."""
+    import numpy as np
+
+    for b in batches:
+        part = b.column("part")[0].as_py() if b.num_rows and "part" in b.schema.names else None
+        for k, y, rows in zip(*[b.column(c).to_pylist() for c in ("feature", "y", "rows")], strict=True):
+            yield part, k, np.frombuffer(y, np.int64), np.frombuffer(rows, "<f8").reshape(d, -1)
+
+
+def _still_open(closed: list[list[tuple[int, float, float]]], inside: list[tuple[int, float, float]]):
+    """Mask of the rows within ``inside`` and within none of ``closed``; a missing value is within nothing."""
+    def run(rows):
+        import numpy as np
+
+        def holds(conds):
+            return reduce(lambda a, c: a & (rows[c[0]] >= c[1]) & (rows[c[0]] < c[2]), conds, np.ones(rows.shape[1], bool))
+
+        return reduce(lambda a, rule: a & ~holds(rule), closed, holds(inside))
+
+    return run
+
+
+def _value_sums(batches, d: int, test):
+    """Of a task's records its partition and ``(feature, x, n, p)``: rows and label sum of each distinct value of the rows that pass ``test``."""
+    import numpy as np
+
+    part, cols = None, []
+    for number, k, y, rows in _unpacked(batches, d):
+        held = test(rows)
+        x, y = rows[k][held], y[held]
+        if len(x):
+            part = number
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            cols.append((np.full(len(first), k), x[first], np.diff(np.append(first, len(x))), np.add.reduceat(y, first)))
+    if part is None:
+        return None, None
+    feature, x, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
+    first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))  # a value may end one record and begin the next
+    return part, (feature[first], x[first], np.add.reduceat(n, first), np.add.reduceat(p, first))
+
+
+# Rows of one task of the cut tables.
+CUT_ROWS = 1_000_000
+
+
 class CutTables:
     """Per feature the rows in the order of its values, sorted and written once; every later question is one pass without a shuffle.
 
-    A row carries all features, so the rows a rule set has covered and those inside a condition are told apart where they lie. Counts
-    below a value are the counts of the partitions before (one small row a partition and feature) and a running sum within.
+    A row carries all features, so the rows a rule set has covered and those inside a condition are told apart where they lie. Rows are
+    held as packed columns, a few thousand to a record, so a pass moves and filters arrays. Once half the rows that a table holds are set
+    aside it is written anew without them. Counts below a value are the counts of the partitions before (one small row a partition and
+    feature) and a running sum within.
     """
 
     def __init__(self, df: DataFrame, features: list[str], y: str):
@@ -232,53 +289,64 @@ class CutTables:
         ensure_checkpoint_dir(spark)
         self.features = features
         self.rows = df.count()
-        self.own = [f"f{i}" for i in range(len(features))]
-        base = df.select(F.col(y).cast("int").alias("y"), *[F.col(f).cast("double").alias(own) for f, own in zip(features, self.own, strict=True)])
-        long = base.select("*", F.posexplode(F.array(*self.own)).alias("feature", "x")).filter("x is not null and not isnan(x)")
+        self.closed: list[list[tuple[int, float, float]]] = []  # set aside but still held
+        self.held = self.open = self.rows
+        own = [f"f{i}" for i in range(len(features))]
+        base = df.select(F.col(y).cast("int").alias("y"), *[F.col(f).cast("double").alias(o) for f, o in zip(features, own, strict=True)])
+        long = base.select("*", F.posexplode(F.array(*own)).alias("feature", "x")).filter("x is not null and not isnan(x)")
         # an order of label and other values spreads one very common value over several partitions
-        keys = ["feature", "x", "y", *self.own]
+        keys = ["feature", "x", "y", *own]
+        width = max(shuffle_width(spark), -(-self.rows * len(features) // CUT_ROWS))
+        ordered = long.repartitionByRange(width, *keys).sortWithinPartitions("feature", "x").select("feature", "y", *own)
+
+        def pack(batches):
+            import numpy as np
+
+            for b in batches:
+                if b.num_rows:
+                    feature, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("feature", "y"))
+                    rows = np.array([b.column(o).to_numpy(zero_copy_only=False) for o in own], "<f8")
+                    cuts = [0, *(np.flatnonzero(feature[1:] != feature[:-1]) + 1).tolist(), len(feature)]
+                    for lo, hi in zip(cuts, cuts[1:], strict=False):
+                        yield _packed(int(feature[lo]), y[lo:hi].astype(np.int64), rows[:, lo:hi])
+
+        self._keep(ordered.mapInArrow(pack, PACKED))
+
+    def _keep(self, packed: DataFrame) -> None:
         # a checkpoint keeps partitions and their order
-        self.table = long.repartitionByRange(*keys).sortWithinPartitions("feature", "x").checkpoint().withColumn("part", F.spark_partition_id())
+        self.table = packed.checkpoint().withColumn("part", F.spark_partition_id())
 
-    def _open(self, closed: list[list[tuple[str, float, float]]], inside: list[tuple[str, float, float]]) -> DataFrame:
-        """The rows within ``inside`` and within none of ``closed``, where they lie."""
+    def _conds(self, conds: list[tuple[str, float, float]]) -> list[tuple[int, float, float]]:
+        return [(self.features.index(f), lo, hi) for f, lo, hi in conds]
 
-        def holds(conds):
-            tests = [(F.col(self.own[self.features.index(f)]) >= lo) & (F.col(self.own[self.features.index(f)]) < hi) for f, lo, hi in conds]
-            return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
+    def set_aside(self, conds: list[tuple[str, float, float]], covered: int) -> None:
+        """Leave out the rows within ``conds``, of which ``covered`` were open."""
+        self.closed.append(self._conds(conds))
+        self.open -= covered
+        if self.open * 2 <= self.held:
+            rest, d = _still_open(self.closed, []), len(self.features)
 
-        return self.table.filter(reduce(lambda a, rule: a & ~holds(rule), closed, holds(inside))).select("part", "feature", "x", "y")
+            def drop(batches):
+                for _, k, y, rows in _unpacked(batches, d):
+                    held = rest(rows)
+                    if held.any():
+                        yield _packed(k, y[held], rows[:, held])
 
-    @staticmethod
-    def _runs(batches):
-        """Of a task's rows ``part`` and ``(feature, x, n, p)``: rows and label sum of each distinct value."""
-        import numpy as np
+            self._keep(self.table.select("feature", "y", "rows").mapInArrow(drop, PACKED))
+            self.closed, self.held = [], self.open
 
-        part, cols = None, []
-        for b in batches:
-            if b.num_rows:
-                part = b.column("part")[0].as_py()
-                feature, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("feature", "x", "y"))
-                first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))
-                cols.append((feature[first], x[first], np.diff(np.append(first, len(x))), np.add.reduceat(y.astype(np.int64), first)))
-        if part is None:
-            return None, None
-        feature, x, n, p = (np.concatenate(c) for c in zip(*cols, strict=True))
-        first = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (x[1:] != x[:-1])))  # a value may end one batch and begin the next
-        return part, (feature[first], x[first], np.add.reduceat(n, first), np.add.reduceat(p, first))
-
-    def best(self, closed: list, inside: list, label: int | None, least: float):
-        """``(label, feature, side, edge, covered, precision)`` of the best cut that covers ``least`` rows; None without one.
+    def best(self, inside: list[tuple[str, float, float]], label: int | None, least: float):
+        """``(label, feature, side, edge, covered, precision)`` of the best cut of the open rows within ``inside`` that covers ``least`` rows; None without one.
 
         By precision, then coverage, then the later feature and side, then the smaller edge; of both labels alike the smaller.
         """
-        table, runs = self._open(closed, inside), self._runs
+        table, d, test = self.table, len(self.features), _still_open(self.closed, self._conds(inside))
 
         def sums(batches):
             import numpy as np
             import pyarrow as pa
 
-            part, got = runs(batches)
+            part, got = _value_sums(batches, d, test)
             if got is not None:
                 feature, x, n, p = got
                 kinds = np.unique(feature)
@@ -300,7 +368,7 @@ class CutTables:
             import numpy as np
             import pyarrow as pa
 
-            part, got = runs(batches)
+            part, got = _value_sums(batches, d, test)
             out = []
             if got is not None:
                 feature, x, n, p = got
@@ -338,13 +406,12 @@ def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None
     """
     tables = CutTables(df, features, y)
     least = min_coverage * tables.rows
-    closed: list[list[tuple[str, float, float]]] = []
     out = []
     while max_rules is None or len(out) < max_rules:
         conds: list[tuple[str, float, float]] = []
         label, last = None, None
         for _ in range(max_conditions):
-            best = tables.best(closed, conds, label, least)
+            best = tables.best(conds, label, least)
             if best is None or (last is not None and best[5] <= last[5]):
                 break
             last = best
@@ -355,7 +422,7 @@ def mine_rules(df: DataFrame, features: list[str], y: str, max_rules: int | None
         if last is None:
             break
         out.append((len(out), rule_text(conds, str(label)), last[4], last[5]))
-        closed.append(conds)
+        tables.set_aside(conds, last[4])
     return df.sparkSession.createDataFrame(out, "rule_id long, rule string, covered long, precision double")
 
 
