@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from whyframe.operators import frames as fr
 from whyframe.operators import models as ml
 from whyframe.operators import nearest
 from whyframe.operators import rules as rl
@@ -79,3 +80,11 @@ def test_cut_tables_drop_what_rules_have_set_aside(spark):
     assert (label, feature, side, edge, precision) == (1, "a", "below", 15.0, 1.0) and covered == 292
     tables.set_aside([("a", float("-inf"), 15.0)], covered)
     assert held() == 108 + 100 and tables.closed == []
+
+
+def test_frames_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(fr, "FRAME_ROWS", 10)
+    rows = spark.range(300).selectExpr("id % 2 as run", "id div 3 as subset", "id % 3 as v")
+    assert fr.dealt(rows, ["run", "subset"], 300).rdd.getNumPartitions() == 30
+    plain, wide = (fr.dedup_frames(rows, "run", "subset", ["v"], rows=n) for n in (None, 300))
+    assert sorted(plain.collect()) == sorted(wide.collect()) and wide.count() > 0

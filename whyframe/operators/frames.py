@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whyframe.core import MIX_RANGE, mix
+from whyframe.core import MIX_RANGE, mix, shuffle_width
 from whyframe.functions.text import let
 from whyframe.operators.ranking import hash_rank
 
@@ -57,6 +57,15 @@ def duplicate_count(df: DataFrame, question: str) -> DataFrame:
                    F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicates"))
 
 
+# Rows of one task that tells sub-tables apart.
+FRAME_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` with the rows of equal keys together, about ``FRAME_ROWS`` of its at most ``rows`` rows to a task."""
+    return df.repartition(max(shuffle_width(df.sparkSession), -(-rows // FRAME_ROWS)), *keys)
+
+
 def frame_fingerprint(df: DataFrame, keys: list[str], cols: list[str], pos: str | None = None) -> DataFrame:
     """``(keys, n, h1, h2)`` identifying the rows of each sub-table.
 
@@ -71,14 +80,16 @@ def frame_fingerprint(df: DataFrame, keys: list[str], cols: list[str], pos: str
     )
 
 
-def distinct_frames(df: DataFrame, run: str, subset: str, cols: list[str], pos: str | None = None) -> DataFrame:
-    """``(run, subset)`` of the sub-tables to keep: the first of each set of equal ones in a run."""
+def distinct_frames(df: DataFrame, run: str, subset: str, cols: list[str], pos: str | None = None, rows: int | None = None) -> DataFrame:
+    """``(run, subset)`` of the sub-tables to keep: the first of each set of equal ones in a run; ``rows`` says how many rows there are at most."""
     prints = frame_fingerprint(df, [run, subset], cols, pos)
+    if rows is not None:
+        prints = dealt(prints, [run, "n", "h1", "h2"], rows)
     return prints.groupBy(run, "n", "h1", "h2").agg(F.min(subset).alias(subset)).select(run, subset)
 
 
-def dedup_frames(df: DataFrame, run: str, subset: str, cols: list[str], pos: str | None = None) -> DataFrame:
-    return df.join(distinct_frames(df, run, subset, cols, pos), [run, subset], "left_semi")
+def dedup_frames(df: DataFrame, run: str, subset: str, cols: list[str], pos: str | None = None, rows: int | None = None) -> DataFrame:
+    return df.join(distinct_frames(df, run, subset, cols, pos, rows), [run, subset], "left_semi")
 
 
 # Fixed value: the key removed from every group before rendering.

@@ -82,13 +82,19 @@ def distinct_methods(t):
     return t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
 
 
+def frame_rows(t):
+    rows = t.lineitem.select(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("subset_idx"), "l_returnflag", "l_linestatus")
+    return fr.dealt(rows, ["run_id", "subset_idx"], t.lineitem.count()).distinct()
+
+
 @query("dedup_frames", """
     WITH g AS (SELECT l_suppkey, l_partkey, string_agg(DISTINCT concat(l_returnflag, l_linestatus), ',' ORDER BY concat(l_returnflag, l_linestatus)) AS sig FROM lineitem GROUP BY ALL)
     SELECT l_suppkey AS run_id, min(l_partkey) AS subset_idx, count(*) AS copies FROM g GROUP BY l_suppkey, sig""")
 def dedup_frames(t):
     """Equal sub-tables of a run: the first is kept, its copies counted."""
-    rows = t.lineitem.select(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("subset_idx"), "l_returnflag", "l_linestatus").distinct()
+    rows = frame_rows(t)
     prints = fr.frame_fingerprint(rows, ["run_id", "subset_idx"], ["l_returnflag", "l_linestatus"])
+    prints = fr.dealt(prints, ["run_id", "n", "h1", "h2"], t.lineitem.count())
     return prints.groupBy("run_id", "n", "h1", "h2").agg(F.min("subset_idx").alias("subset_idx"), F.count(F.lit(1)).alias("copies")).select("run_id", "subset_idx", "copies")
 
 
@@ -98,8 +104,8 @@ def dedup_frames(t):
     k AS (SELECT l_suppkey, min(l_partkey) AS l_partkey FROM g GROUP BY l_suppkey, sig)
     SELECT r.l_suppkey AS run_id, r.l_partkey AS subset_idx, l_returnflag, l_linestatus FROM r JOIN k USING (l_suppkey, l_partkey)""")
 def dedup_frame_rows(t):
-    rows = t.lineitem.select(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("subset_idx"), "l_returnflag", "l_linestatus").distinct()
-    return fr.dedup_frames(rows, "run_id", "subset_idx", ["l_returnflag", "l_linestatus"])
+    rows = frame_rows(t)
+    return fr.dedup_frames(rows, "run_id", "subset_idx", ["l_returnflag", "l_linestatus"], rows=t.lineitem.count())
 
 
 @query("truncate_to_groups", """
