@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import mix
+from whyframe.operators.groups import map_groups, numbers, stacked
 from whyframe.operators.models import LogisticScore
 
 
+STACKED = 64  # rows of a block that is worked on together with others of its shape
+
+
 def _distances():
     @F.pandas_udf("double")
     def distances(same: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
@@ -26,7 +30,24 @@ def _distances():
                 return 0.0
             return sum(float(np.sqrt(((y - row) ** 2).sum(axis=1)).sum()) for row in x)
 
-        return pd.Series([total(s, a, b) for s, a, b in zip(same, left, right)], dtype="float64")
+        def together(x):
+            """``total`` of many blocks of one shape, each against itself."""
+            out = np.zeros(len(x))
+            for i in range(x.shape[1] - 1):
+                out += np.sqrt(((x[:, i + 1:] - x[:, i:i + 1]) ** 2).sum(axis=2)).sum(axis=1)
+            return out
+
+        out = np.zeros(len(same))
+        alike: dict[tuple, list] = {}
+        for g, (s, a, b) in enumerate(zip(same, left, right)):
+            x = np.array([np.asarray(v, dtype=float) for v in a]) if s and len(a) <= STACKED else None
+            if x is not None and x.ndim == 2:
+                alike.setdefault(x.shape, []).append((g, x))
+            else:
+                out[g] = total(s, a, b)
+        for held in alike.values():
+            out[[g for g, _ in held]] = together(np.stack([x for _, x in held]))
+        return pd.Series(out, dtype="float64")
 
     return distances
 
@@ -84,33 +105,33 @@ def non_representativeness(df: DataFrame, keys: list[str], id_col: str, y: str,
 
 
 def fitted_non_representativeness(picks: DataFrame, keys: list[str], id_col: str, features: list[str], y: str) -> DataFrame:
-    """The same metric with a logistic fit per fold, for selected subsets (at most ``k`` cases each)."""
-    def loss(pdf):
+    """The same metric with a logistic fit per fold, for selected subsets (at most ``k`` cases each); those of one size are fitted together."""
+    def loss(flat, places):
         import numpy as np
-
-        pdf = pdf.sort_values([y, id_col])
-        t = pdf[y].to_numpy(dtype=float)
-        x = pdf[features].astype(float).fillna(0.0).to_numpy()
-        sd = x.std(axis=0)
-        x = np.hstack([np.ones((len(x), 1)), (x - x.mean(axis=0)) / np.where(sd == 0, 1, sd)])
-        fold, errs = np.arange(len(t)) % 2, []
+        import pyarrow as pa
+
+        t = numbers(flat[0])[places]
+        x = stacked(flat[2:], places)
+        groups, n, d = x.shape
+        sd = x.std(axis=1, keepdims=True)
+        x = np.concatenate([np.ones((groups, n, 1)), (x - x.mean(axis=1, keepdims=True)) / np.where(sd == 0, 1, sd)], axis=2)
+        fold, total = np.arange(n) % 2, np.zeros(groups)
         for f in (0, 1):
             tr, te = fold != f, fold == f
             if not te.any() or not tr.any():
                 continue
-            w = np.zeros(x.shape[1])
+            w = np.zeros((groups, d + 1, 1))
+            xt = x[:, tr]
             for _ in range(30):  # ridge-penalised Newton steps
-                p = 1 / (1 + np.exp(-x[tr] @ w))
-                grad = x[tr].T @ (p - t[tr]) + w
-                hess = (x[tr] * (p * (1 - p))[:, None]).T @ x[tr] + np.eye(len(w))
+                p = 1 / (1 + np.exp(-xt @ w))
+                grad = xt.transpose(0, 2, 1) @ (p - t[:, tr, None]) + w
+                hess = (xt * (p * (1 - p))).transpose(0, 2, 1) @ xt + np.eye(d + 1)
                 w = w - np.linalg.solve(hess, grad)
-            errs.append(float((((x[te] @ w > 0).astype(float) - t[te]) ** 2).mean()))
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**out, "n": [len(t)], "non_representativeness": [sum(errs) / (2 * len(t))]})
+            total += (((x[:, te] @ w > 0)[:, :, 0].astype(float) - t[:, te]) ** 2).mean(axis=1)
+        return np.arange(groups), [pa.array(np.full(groups, n, np.int64)), pa.array(total / (2 * n), from_pandas=True)]
 
-    fields = [f"{c} {picks.schema[c].dataType.simpleString()}" for c in keys]
-    return picks.select(*keys, id_col, *dict.fromkeys([*features, y])).groupBy(*keys).applyInPandas(
-        loss, ", ".join([*fields, "n long", "non_representativeness double"]))
+    cols = {"_y": F.col(y).cast("double"), "_id": F.col(id_col)} | {f"x{i}": F.col(f).cast("double") for i, f in enumerate(features)}
+    return map_groups(picks, keys, cols, loss, {"n": "long", "non_representativeness": "double"})
 
 
 def _predicted(score: LogisticScore, values: dict[str, Column], positive: Column) -> Column:

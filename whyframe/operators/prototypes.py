@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whyframe.core import ensure_checkpoint_dir
+from whyframe.operators.groups import map_groups, stacked
 
 
 def nonneg_weights(gram, mu):
@@ -183,16 +184,18 @@ def gaussian_prototypes(df: DataFrame, id_col: str, features: list[str], m: int
 
 def group_prototypes(picks: DataFrame, keys: list[str], id_col: str, features: list[str], m: int = 5) -> DataFrame:
     """``m`` prototypes of each selected subset (subsets hold at most the ``k`` nearest cases); all rows of a smaller one."""
-    def pick(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(id_col)
-        x = pdf[features].astype(float).fillna(0.0).to_numpy()
-        chosen, w = _greedy(x, m)
-        total = w.sum() if len(w) and w.sum() > 0 else 1.0
-        out = {k: [pdf[k].iloc[0]] * len(chosen) for k in keys}
-        out |= {id_col: pdf[id_col].to_numpy()[chosen], "weight": [round(float(v / total), 2) for v in w]}
-        return pd.DataFrame(out)
-
-    fields = [f"{c} {picks.schema[c].dataType.simpleString()}" for c in [*keys, id_col]]
-    return picks.select(*keys, id_col, *features).groupBy(*keys).applyInPandas(pick, ", ".join([*fields, "weight double"]))
+    def pick(flat, places):
+        import numpy as np
+        import pyarrow as pa
+
+        of, at, weights = [], [], []
+        for g, x in enumerate(stacked(flat[1:], places)):
+            chosen, w = _greedy(x, m)
+            total = w.sum() if len(w) and w.sum() > 0 else 1.0
+            of += [g] * len(chosen)
+            at += places[g][chosen].tolist()
+            weights += [round(float(v / total), 2) for v in w]
+        return np.array(of, np.int64), [flat[0].take(pa.array(at, pa.int64())), pa.array(weights, pa.float64(), from_pandas=True)]
+
+    cols = {id_col: F.col(id_col)} | {f"x{i}": F.col(f).cast("double") for i, f in enumerate(features)}
+    return map_groups(picks, keys, cols, pick, {id_col: picks.schema[id_col].dataType.simpleString(), "weight": "double"})

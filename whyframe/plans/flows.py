@@ -15,6 +15,7 @@ from whyframe.operators import routing
 from whyframe.operators.attributions import shapley
 from whyframe.operators.counterfactuals import counterfactuals
 from whyframe.operators.frames import seeded_sample
+from whyframe.operators.groups import CELLS, dealt_groups, map_groups, stacked
 from whyframe.operators.metrics import diversity, faithfulness, fitted_non_representativeness, monotonicity
 from whyframe.operators.models import LogisticScore, standard_scale
 from whyframe.operators.nearest import nearest_cases, whole_table_groups
@@ -67,25 +68,30 @@ def case_attributions(picks: DataFrame, keys: list[str], id_col: str, score: Sco
         return picks.select(*keys, id_col, *[F.col(f).cast("double").alias(f) for f in feats]).join(found, id_col)
     d = len(feats)
 
-    def run(pdf):
+    def run(flat, places):
         import numpy as np
+        import pyarrow as pa
 
         from whyframe.operators.attributions import coalition_weight
 
-        x = pdf[feats].astype(float).fillna(0.0).to_numpy()
+        x = stacked(flat[1:], places)
+        groups, n, _ = x.shape
         v = []
         for s in range(1 << d):
             on = np.array([bool(s >> i & 1) for i in range(d)])
-            mixed = np.where(on, x[:, None, :], x[None, :, :])
-            v.append(score.numpy(mixed).mean(axis=1))
-        out = pdf[[*keys, id_col]].copy()
-        for i, f in enumerate(feats):
-            out[f] = x[:, i]
-            out[f"phi_{f}"] = sum(coalition_weight(s.bit_count(), d) * (v[s | 1 << i] - v[s]) for s in range(1 << d) if not s >> i & 1)
-        return out
+            own = np.empty((groups, n))
+            step = max(1, CELLS // (groups * n))
+            for lo in range(0, n, step):
+                own[:, lo:lo + step] = score.numpy(np.where(on, x[:, lo:lo + step, None, :], x[:, None, :, :])).mean(axis=2)
+            v.append(own)
+        out = [flat[0].take(pa.array(places.ravel()))]
+        for i in range(d):
+            phi = sum(coalition_weight(s.bit_count(), d) * (v[s | 1 << i] - v[s]) for s in range(1 << d) if not s >> i & 1)
+            out += [pa.array(x[:, :, i].ravel(), from_pandas=True), pa.array(phi.ravel(), from_pandas=True)]
+        return np.repeat(np.arange(groups), n), out
 
-    fields = [f"{c} {picks.schema[c].dataType.simpleString()}" for c in [*keys, id_col]] + [f"{f} double, phi_{f} double" for f in feats]
-    return picks.select(*keys, id_col, *feats).groupBy(*keys).applyInPandas(run, ", ".join(fields))
+    kinds = {id_col: picks.schema[id_col].dataType.simpleString()} | {name: "double" for f in feats for name in (f, f"phi_{f}")}
+    return map_groups(picks, keys, {id_col: F.col(id_col)} | {f"x{i}": F.col(f).cast("double") for i, f in enumerate(feats)}, run, kinds)
 
 
 def attribution_report(explained: DataFrame, keys: list[str], score: Score) -> tuple[DataFrame, DataFrame]:
@@ -102,31 +108,47 @@ def attribution_report(explained: DataFrame, keys: list[str], score: Score) -> t
 
 
 def group_rules(picks: DataFrame, keys: list[str], score: Score) -> DataFrame:
-    """Best single cut explaining the model's predictions within each selected subset (at most ``k`` cases)."""
+    """Best single cut explaining the model's predictions within each selected subset (at most ``k`` cases).
+
+    By precision, then coverage, then the earlier feature, the smaller edge, ``below`` and label 0.
+    """
     feats = score.features
 
-    def run(pdf):
+    def run(flat, places):
         import numpy as np
-        import pandas as pd
-
-        x = pdf[feats].astype(float).fillna(0.0).to_numpy()
-        y = score.numpy(x) >= 0.5
-        best = None
-        for i, f in enumerate(feats):
-            for cut in np.unique(x[:, i]):
-                for below in (True, False):
-                    hit = x[:, i] < cut if below else x[:, i] >= cut
-                    if not hit.any():
-                        continue
-                    for label in (0, 1):
-                        key = (float((y[hit] == label).mean()), int(hit.sum()), -i, -float(cut))
-                        if best is None or key > best[0]:
-                            span = (f, float("-inf"), float(cut)) if below else (f, float(cut), float("inf"))
-                            best = (key, span, label, float((y[hit] == label).sum() / len(y)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "rule": [rule_text([best[1]], str(best[2]))], "fidelity": [best[3]]})
-
-    fields = ", ".join(f"{c} {picks.schema[c].dataType.simpleString()}" for c in keys)
-    return picks.select(*keys, *feats).groupBy(*keys).applyInPandas(run, fields + ", rule string, fidelity double")
+        import pyarrow as pa
+
+        x = stacked(flat, places)
+        groups, n, d = x.shape
+        said = score.numpy(x.reshape(-1, d)).reshape(groups, n) >= 0.5
+        edges, hits, agreeing = np.empty((groups, d, n)), np.empty((groups, d, n, 2, 1), int), np.empty((groups, d, n, 2, 2), int)
+        for i in range(d):
+            order = np.argsort(x[:, :, i], axis=1, kind="stable")
+            edge = edges[:, i] = np.take_along_axis(x[:, :, i], order, 1)
+            # rows below an edge are those before the first of its value
+            new = np.concatenate([np.ones((groups, 1), bool), edge[:, 1:] != edge[:, :-1]], axis=1)
+            below = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+            running = np.concatenate([np.zeros((groups, 1), int), np.cumsum(np.take_along_axis(said, order, 1), axis=1)], axis=1)
+            positive = np.take_along_axis(running, below, 1)
+            for side, (covered, pos) in enumerate(((below, positive), (n - below, running[:, -1:] - positive))):
+                hits[:, i, :, side, 0], agreeing[:, i, :, side, 0], agreeing[:, i, :, side, 1] = covered, covered - pos, pos
+        precision = np.where(hits > 0, agreeing / np.maximum(hits, 1), -1.0)
+        best = precision == precision.max(axis=(1, 2, 3, 4), keepdims=True)
+        covered = np.where(best, hits, -1)
+        best &= covered == covered.max(axis=(1, 2, 3, 4), keepdims=True)
+        every = np.arange(groups)
+        feature = best.any(axis=(2, 3, 4)).argmax(axis=1)
+        best, edge = best[every, feature], edges[every, feature]
+        low = np.where(best.any(axis=(2, 3)), edge, np.inf).min(axis=1)
+        best &= (edge == low[:, None])[:, :, None, None]
+        pick = best.reshape(groups, -1).argmax(axis=1)
+        side, label = np.unravel_index(best.any(axis=1).reshape(groups, -1).argmax(axis=1), (2, 2))
+        fidelity = agreeing[every, feature].reshape(groups, -1)[every, pick] / n
+        lines = [rule_text([(feats[f], float("-inf"), c) if s == 0 else (feats[f], c, float("inf"))], str(a))
+                 for f, c, s, a in zip(feature.tolist(), low.tolist(), side.tolist(), label.tolist(), strict=True)]
+        return every, [pa.array(lines, pa.string()), pa.array(fidelity)]
+
+    return map_groups(picks, keys, {f"x{i}": F.col(f).cast("double") for i, f in enumerate(feats)}, run, {"rule": "string", "fidelity": "double"})
 
 
 def chosen_evaluators(methods: DataFrame, implemented: list[str], modality_metrics: DataFrame) -> set[tuple[str, str]]:
@@ -138,17 +160,22 @@ def chosen_evaluators(methods: DataFrame, implemented: list[str], modality_metri
 
 
 def _report(keys: list[str], id_col: str, cases: DataFrame, score: Score, label: str, most: int,
-            protos: DataFrame, flips: DataFrame, explained: DataFrame, rules: DataFrame, chosen: set[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Results and evaluations in long form from each explainer's output by ``keys``, at most ``most`` cases each; ``chosen`` evaluators only."""
-    feats = score.features
-    proto_rows = protos.join(cases, id_col)
+            protos: DataFrame, flips: DataFrame, explained: DataFrame, rules: DataFrame, chosen: set[tuple[str, str]] | None = None,
+            sizes: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results and evaluations in long form from each explainer's output by ``keys``, at most ``most`` cases each; ``chosen`` evaluators only.
+
+    ``sizes`` says about how many rows an explainer's cases are; those of an explainer that isn't in it are few.
+    """
+    feats, sizes = score.features, sizes or {}
+    proto_rows = dealt_groups(protos.join(cases, id_col), keys, sizes.get("run_protodash", 0))
     vec = F.array(*[F.col(f).cast("double") for f in [*feats, "weight"]])
     proto_div = diversity(proto_rows, keys, id_col, vec, max_group=most)
     proto_rep = fitted_non_representativeness(proto_rows, keys, id_col, feats, label)
 
     moved = {f: F.col(f"cf_{f}") for f in feats}
-    dice_div = diversity(flips, keys, id_col, F.array(*moved.values()), max_group=most)
-    flipped = flips.withColumn("flipped", (score.column(moved) >= 0.5).cast("int"))
+    dealt_flips = dealt_groups(flips, keys, sizes.get("run_dice", 0))
+    dice_div = diversity(dealt_flips, keys, id_col, F.array(*moved.values()), max_group=most)
+    flipped = dealt_flips.withColumn("flipped", (score.column(moved) >= 0.5).cast("int"))
     dice_rep = fitted_non_representativeness(flipped, keys, id_col, [f"cf_{f}" for f in feats], "flipped")
     importance, attributed = attribution_report(explained, keys, score)
 
@@ -219,6 +246,8 @@ def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[st
     ensure_checkpoint_dir(cases.sparkSession)
     chosen = chosen_evaluators(methods, implemented, modality_metrics) if modality_metrics is not None else None
     parsed, _ = ip.usable(ip.parse_interpretations(records, columns), types)
+    # the parse is the dearest pass over the records and is read four times
+    parsed = parsed.checkpoint()
     routes = routing.route_explainer(parsed.select("record_id", "explanation_type"), methods, implemented).select("record_id", "explainer")
     groups = ip.long_groups(parsed, ["record_id"])
     picks = nearest_cases(cases, groups, k, id_col)
@@ -229,15 +258,23 @@ def delegate(records: DataFrame, cases: DataFrame, id_col: str, columns: list[st
     wanted = links.groupBy("signature", "explainer").agg(F.first("ids").alias("ids")).select("signature", "explainer", F.explode("ids").alias(id_col))
     # every explainer reads the routed cases, so they are written once
     rows = wanted.join(cases, id_col).checkpoint()
-    of = {name: rows.filter(F.col("explainer") == name) for name in implemented}
+    sizes = {r[0]: r[1] for r in rows.groupBy("explainer").count().collect()}  # one row an explainer
+
+    def wanted_rows(name: str) -> DataFrame:
+        return rows.filter(F.col("explainer") == name)
+
     feats = score.features
 
     scaled = standard_scale(cases.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats]), feats)
-    protos = group_prototypes(of["run_protodash"].select(*own, id_col).join(scaled, id_col), own, id_col, feats, m).checkpoint()
-    flips = counterfactuals(of["run_dice"].select(id_col, *feats).distinct(), cases, id_col, score)
-    dice = of["run_dice"].select(*own, id_col).join(flips, id_col)
-    explained = case_attributions(of["run_shap"], own, id_col, score)
-    parts = _report(own, id_col, cases, score, label, k, protos, dice, explained, group_rules(of["run_rulexai"], own, score), chosen)
+    near = wanted_rows("run_protodash").select(*own, id_col).join(scaled, id_col)
+    protos = group_prototypes(dealt_groups(near, own, sizes.get("run_protodash", 0)), own, id_col, feats, m).checkpoint()
+    asked = wanted_rows("run_dice")
+    flips = counterfactuals(dealt_groups(asked.select(id_col, *feats), [id_col], sizes.get("run_dice", 0)).distinct(), cases, id_col, score)
+    # both evaluators read them
+    dice = asked.select(*own, id_col).join(flips, id_col).checkpoint()
+    explained = case_attributions(dealt_groups(wanted_rows("run_shap"), own, sizes.get("run_shap", 0)), own, id_col, score)
+    rules = group_rules(dealt_groups(wanted_rows("run_rulexai"), own, sizes.get("run_rulexai", 0)), own, score)
+    parts = _report(own, id_col, cases, score, label, k, protos, dice, explained, rules, chosen, sizes)
     named = links.drop("ids")
     parts = tuple(named.join(p, ["signature", "explainer"]).select(*keys, *[c for c in p.columns if c != "signature"]) for p in parts)
 
