@@ -27,6 +27,15 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that sorts both: neither is sent through the driver, whatever size Spark expects of it.
+
+    Spark takes a table for as large as its Parquet files, and an explode or an Arrow function on it for no more rows than went in, so
+    tables whose rows grow with the input are not left to its broadcasts.
+    """
+    return df.hint("merge")
+
+
 def crc_fold(c: Column, folds: int) -> Column:
     """Fold of a key that any language computes alike: CRC-32 of its decimal text modulo ``folds``."""
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whyframe.llm.common import components, scratch, text_rows
+from whyframe.llm.common import components, scratch, sorted_side, text_rows
 
 BITS = 64
 SEGMENTS = 2
@@ -63,12 +63,12 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     probes = table.select(F.col("fp").alias("fp2"), F.col("node").alias("node2"), "k", F.explode(ball).alias("v")).where("v is not null")
     sizes = table.groupBy("k", "v").count()
     few, many = sizes.where(F.col("count") <= bucket).select("k", "v"), scratch(sizes.where(F.col("count") > bucket).select("k", "v"), "buckets")
-    pairs = (probes.join(table.join(few, ["k", "v"]), ["k", "v"])
+    pairs = (probes.join(sorted_side(table.join(sorted_side(few), ["k", "v"])), ["k", "v"])
              .where((F.col("fp") != F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2)).select(F.col("node").alias("a"), F.col("node2").alias("b")))
     met = probes.select(F.col("fp2").alias("fp"), F.col("node2").alias("node"), "k", "v").join(many, ["k", "v"], "left_semi").select("fp", "node").distinct()
     near = met.select("node", F.explode(F.array(F.col("fp"), *[_flip(F.col("fp"), i) for i in range(BITS)])).alias("mid"))
     low = near.groupBy("mid").agg(F.min("node").alias("b"))
-    return pairs.unionByName(near.join(low, "mid").where("node <> b").select(F.col("node").alias("a"), "b"))
+    return pairs.unionByName(near.join(sorted_side(low), "mid").where("node <> b").select(F.col("node").alias("a"), "b"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -81,5 +81,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = scratch(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = scratch(marks.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     found = components(links(nodes, bucket))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    labels = nodes.join(sorted_side(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marks.join(labels, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
