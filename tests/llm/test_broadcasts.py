@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from whyframe.llm import common, simhash
+from whyframe.llm import common, simhash, spelling
 
 
 def broadcasts(df):
@@ -32,7 +32,7 @@ def plans(spark, monkeypatch):
         seen.append(df)
         return scratch(df, name)
 
-    for module in (common, simhash):
+    for module in (common, simhash, spelling):
         monkeypatch.setattr(module, "scratch", kept)
     return seen
 
@@ -63,3 +63,14 @@ def test_simhash_components(spark, plans):
     found = simhash.simhash_components(docs)
     assert sorted((r.doc_id, r.component_id) for r in found.collect()) == sorted([(i, i) for i in range(30)] * 2)
     assert [x for df in (found, *plans) for x in grown(df)] == []
+
+
+def test_neighbours_of_reduced_words(spark, plans):
+    rnd = random.Random(7)
+    words = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(300)})
+    pairs = {(w, w[:5] + w[6:]) for w in words[:60]} | {(w, w[:9] + "é" + w[10:]) for w in words[60:120]}
+    table = written(spark.createDataFrame([(w, 7) for w in words + [v for _, v in pairs]], "word string, n long"))
+    for direct in (spelling.DIRECT, 0):
+        found = spelling.near_words(table, direct=direct)
+        assert {tuple(sorted((r.a, r.b))) for r in found.collect()} == {tuple(sorted(p)) for p in pairs}
+        assert [x for df in (found, *plans) for x in grown(df)] == []

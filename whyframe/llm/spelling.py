@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whyframe.llm.common import scratch, text_rows
+from whyframe.llm.common import scratch, sorted_side, text_rows
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -194,12 +194,12 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, direct: int = DIRECT) -
     reduced = scratch(coded.groupBy("code").agg(F.first("r").alias("r"), F.count("*").alias("held")), "reduced")
     asked = reduced.select("code").mapInArrow(_neighbours(symbols), "r long, key long, op byte, place int")
     sizes = reduced.groupBy("r").agg(F.sum("held").alias("held"))
-    met = asked.join(sizes.select(F.col("r").alias("key"), F.col("held").alias("held2")), "key").join(sizes, "r")
+    met = asked.join(sorted_side(sizes.select(F.col("r").alias("key"), F.col("held").alias("held2"))), "key").join(sorted_side(sizes), "r")
     # alone in its reduced word, a word has no equal neighbour
     met = scratch(met.where("op <> 0 or held > 1").distinct(), "met")
     few, many = met.where(F.col("held") * F.col("held2") <= direct), met.where(F.col("held") * F.col("held2") > direct)
     left, right = coded.select("r", F.col("word").alias("a"), F.col("n").alias("an")), coded.select(F.col("r").alias("key"), F.col("word").alias("b"), F.col("n").alias("bn"))
-    found = few.join(left, "r").join(right, "key").where((F.col("op") != 0) | (F.col("a") < F.col("b"))).select("a", "an", "b", "bn")
+    found = few.join(sorted_side(left), "r").join(sorted_side(right), "key").where((F.col("op") != 0) | (F.col("a") < F.col("b"))).select("a", "an", "b", "bn")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -209,12 +209,12 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, direct: int = DIRECT) -
     fields = "r long, key long, op byte, place int, longer boolean, word string, n long, code binary, at int, rest long"
 
     def sides(by: str, longer: bool) -> DataFrame:
-        rows = many.select(*edit).join(coded.withColumnRenamed("r", by), by).select(*edit, F.lit(longer).alias("longer"), "word", "n", "code")
+        rows = many.select(*edit).join(sorted_side(coded.withColumnRenamed("r", by)), by).select(*edit, F.lit(longer).alias("longer"), "word", "n", "code")
         return rows.mapInArrow(_left_over, fields)
 
     one = sides("r", True).select(*edit, "at", "rest", F.col("word").alias("a"), F.col("n").alias("an"))
     two = sides("key", False).select(*edit, "at", "rest", F.col("word").alias("b"), F.col("n").alias("bn"))
-    met_words = one.join(two, [*edit, "at", "rest"]).where((F.col("op") != 0) | (F.col("a") < F.col("b"))).select("a", "an", "b", "bn")
+    met_words = one.join(sorted_side(two), [*edit, "at", "rest"]).where((F.col("op") != 0) | (F.col("a") < F.col("b"))).select("a", "an", "b", "bn")
     return found.unionByName(met_words).where(linked("a", "b")).distinct()
 
 
@@ -232,14 +232,14 @@ def spelling_variants(docs: DataFrame, min_chars: int = 6, min_count: int = 5, r
         links.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("an").alias("m")))
     best = ends.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     good = -F.col("best.m") >= ratio * F.col("n")
-    stats = scratch(words.join(best, "word", "left").select(
+    stats = scratch(words.join(sorted_side(best), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, F.col("best.other")).alias("form"), F.when(good, -F.col("best.m")).alias("form_n")), "forms")
     # each step doubles how far a word has been followed; counts grow by the ratio a step, so a few rounds do
     hops = stats.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         there = hops.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        longer = scratch(hops.join(there, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
+        longer = scratch(hops.join(sorted_side(there), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
         hops = longer.select("word", "root")
         if longer.where("moved").isEmpty():
             break
-    return stats.join(hops, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.col("n_near").cast("long").alias("n_near"), "form_n")
+    return stats.join(sorted_side(hops), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.col("n_near").cast("long").alias("n_near"), "form_n")
