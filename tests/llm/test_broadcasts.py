@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from whyframe.llm import common, simhash, spelling
+from whyframe.llm import common, near_copies, simhash, spelling
 
 
 def broadcasts(df):
@@ -32,7 +32,7 @@ def plans(spark, monkeypatch):
         seen.append(df)
         return scratch(df, name)
 
-    for module in (common, simhash, spelling):
+    for module in (common, near_copies, simhash, spelling):
         monkeypatch.setattr(module, "scratch", kept)
     return seen
 
@@ -65,6 +65,18 @@ def test_simhash_components(spark, plans):
     assert [x for df in (found, *plans) for x in grown(df)] == []
 
 
+@pytest.mark.parametrize("pairs", [0, near_copies.BUCKET_PAIRS])
+def test_near_copies(spark, plans, monkeypatch, pairs):
+    monkeypatch.setattr(near_copies, "BUCKET_PAIRS", pairs)
+    rnd = random.Random(5)
+    texts = [[f"w{rnd.randrange(5000)}" for _ in range(60)] for _ in range(40)]
+    texts += [[*t[:-1], "end"] for t in texts[:20]] + [[*t[:-1], "other"] for t in texts[:20]] + texts[:5]
+    docs = written(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    found = near_copies.keep_first(docs)
+    assert sorted(r.doc_id for r in found.collect()) == list(range(40))
+    assert [x for df in (found, *plans) for x in grown(df)] == []
+
+
 def test_neighbours_of_reduced_words(spark, plans):
     rnd = random.Random(7)
     words = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(300)})

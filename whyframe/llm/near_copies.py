@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from whyframe.llm.common import components, scratch, text_rows
+from whyframe.llm.common import components, scratch, sorted_side, text_rows
 from whyframe.llm.simhash import links, majority
 
 SIZE = 5
@@ -76,7 +76,7 @@ def _heavy(counted: DataFrame, total: int) -> tuple[DataFrame, int]:
 def _met(rows: DataFrame, sides: DataFrame, total: int) -> DataFrame:
     """``rows`` joined to ``sides (k, c, …)`` on the bucket ``k``; the buckets with very many rows are broadcast, so none is one task's load."""
     heavy = F.broadcast(_heavy(sides, total)[0])
-    light = rows.join(heavy.select("k"), "k", "left_anti").join(sides, "k")
+    light = rows.join(heavy.select("k"), "k", "left_anti").join(sorted_side(sides), "k")
     return light.unionByName(rows.join(heavy, "k"))
 
 
@@ -88,7 +88,7 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     two = table.select(F.col("node").alias("b"), F.col(value).alias("vb")).join(busy, "b", "left")
     two = two.select("b", "vb", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("way"))
     left = pairs.join(busy, "b", "left").withColumn("way", F.pmod(F.xxhash64("a"), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
-    return left.join(one, "a").join(two, ["b", "way"]).select("a", "b", "va", "vb")
+    return left.join(sorted_side(one), "a").join(sorted_side(two), ["b", "way"]).select("a", "b", "va", "vb")
 
 
 def _alike(least: int):
@@ -140,7 +140,7 @@ def _rarest(sets: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
     own = Window.partitionBy("node")
     met = _met(rows, counts, rows.count()).select("k", "node", "c", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("c", "k")).alias("at"))
     few = met.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & (F.col("c") > 1))
-    return scratch(few.select("k", "node", F.col("n").cast("int").alias("n"), "at").join(comps, "node", "left")
+    return scratch(few.select("k", "node", F.col("n").cast("int").alias("n"), "at").join(sorted_side(comps), "node", "left")
                    .select("k", "node", "n", "at", F.coalesce("component", "node").alias("comp")), "rarest")
 
 
@@ -152,7 +152,7 @@ def _cross(rows: DataFrame, similarity: float) -> DataFrame:
     """
     stray = rows.where("comp <> main").select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("at").alias("ia"))
     other = rows.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("at").alias("ib"), "main")
-    near = stray.join(other, "k").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
+    near = stray.join(sorted_side(other), "k").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
     both = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
     near = near.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (both * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-6))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -161,7 +161,7 @@ def _cross(rows: DataFrame, similarity: float) -> DataFrame:
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """``(a, b)`` that connect all nodes ``(node, fp)`` whose fingerprints differ in two bits at most; equal ones hang on their smallest node."""
     heads = scratch(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
-    hung = nodes.select("fp", F.col("node").alias("a")).join(heads.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+    hung = nodes.select("fp", F.col("node").alias("a")).join(sorted_side(heads.withColumnRenamed("node", "b")), "fp").where("a <> b").select("a", "b")
     return hung.unionByName(links(heads).select("a", "b"))
 
 
@@ -187,7 +187,7 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch(rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     shared = scratch(_met(rows, buckets, total), "shared")
     # the text that meets most others in all its buckets: in a group of edited copies, what they were copied from
-    known = shared.join(shared.groupBy("node").agg(F.sum("c").alias("meets")), "node")
+    known = shared.join(sorted_side(shared.groupBy("node").agg(F.sum("c").alias("meets"))), "node")
     tops = scratch(known.groupBy("k").agg(F.first("c").alias("c"), F.max(F.struct("meets", "node", "n")).alias("top")), "tops")
     fits = F.least("n", "top.n") >= similarity * F.greatest("n", "top.n")
     starred = _met(shared.select("k", "node", "n"), tops, total).where((F.col("node") != F.col("top.node")) & fits)
@@ -201,8 +201,8 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(which: DataFrame) -> DataFrame:
         # of the rows that are a node's smallest id and text hash any will do
-        held = which.join(nodes, "node").select("node", "low.*")
-        return scratch(texts.join(held, ["id", "h"]).dropDuplicates(["node"]).select("node", whole("text").alias("set")), "sets")
+        held = which.join(sorted_side(nodes), "node").select("node", "low.*")
+        return scratch(texts.join(sorted_side(held), ["id", "h"]).dropDuplicates(["node"]).select("node", whole("text").alias("set")), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         alike = scratch(_with_both(pairs, nodes, "signature").mapInArrow(_alike(fewest_alike(similarity)), "a long, b long"), "alike")
@@ -211,14 +211,14 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = linked(stars)
     comps = scratch(components(first), "components")
-    named = shared.select("k", "node", "n").join(comps, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("comp"), F.lit(1).alias("at"))
+    named = shared.select("k", "node", "n").join(sorted_side(comps), "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("comp"), F.lit(1).alias("at"))
     mixed = scratch(_mixed(scratch(named, "named")), "strays")
     few, many = (mixed.where(F.col("size") <= BUCKET_PAIRS), mixed.where(F.col("size") > BUCKET_PAIRS))
     rarest = _rarest(sets_of(many.select("node").distinct()), comps, similarity)
     pairs = _cross(few, similarity).unionByName(_cross(scratch(_mixed(rarest), "rare"), similarity)).distinct()
-    second = linked(scratch(pairs.join(stars, ["a", "b"], "left_anti"), "crossed"))
+    second = linked(scratch(pairs.join(sorted_side(stars), ["a", "b"], "left_anti"), "crossed"))
     found = components(first.unionByName(second))
-    names = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    names = nodes.join(sorted_side(found), "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lows = names.groupBy("component").agg(F.min("low").alias("first"))
     labels = names.join(lows, "component").select("node", "first.*").toDF("node", "first", "first_h")
     return marks.select("id", "h", "node").join(labels, "node").select("id", "h", "first", "first_h")
