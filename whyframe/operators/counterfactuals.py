@@ -145,8 +145,8 @@ def mixed_counterfactuals(queries: DataFrame, cases: DataFrame, id_col: str, sco
             break
         ways = [(which, to) for which in itertools.combinations(range(len(feats)), n) for to in itertools.product(*[values[feats[i]] for i in which])]
         mask, new = np.zeros((len(ways), len(feats)), bool), np.zeros((len(ways), len(feats)))
-        for w, (which, to) in enumerate(ways):
-            mask[w, list(which)], new[w, list(which)] = True, to
+        for w, (which, aims) in enumerate(ways):  # not ``to``, which ``one`` reads
+            mask[w, list(which)], new[w, list(which)] = True, aims
         lists.append((mask, new))
         states = len(ways)
 
